@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridstride.llm import packing, simhash, substring, token_counts
-from gridstride.llm.common import table
+from gridstride.llm import langid, packing, simhash, substring, token_counts, toxicity
+from gridstride.llm.common import held_out, table
 
 
 def tokenizer_file(name: str) -> str:
@@ -16,6 +16,22 @@ def tokenizer_file(name: str) -> str:
         return f.read()
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = toxicity.train(docs, table(spark, sf_dir, "labels").where(~held_out("doc_id")))
+    return toxicity.toxicity(docs, net).select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
+def language_model(docs: DataFrame) -> langid.Model:
+    return langid.train(docs.where(~held_out("doc_id")))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs.select("doc_id", "text"), language_model(docs))
+    return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeated_passages(table(spark, sf_dir, "documents"), with_text=False)
 
@@ -32,6 +48,6 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_repeated_passages, op4_token_counts, op5_packing, op9_simhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_repeated_passages, op4_token_counts, op5_packing, op9_simhash)}
 
 ORACLE_SQL: dict[str, str] = {}
