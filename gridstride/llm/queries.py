@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridstride.llm import langid, lines, packing, simhash, substring, token_counts, toxicity
+from gridstride.llm import decontam, langid, lines, packing, simhash, substring, token_counts, toxicity
 from gridstride.llm.common import held_out, table
 
 
@@ -55,6 +55,11 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_repeated_passages, op4_token_counts, op5_packing, op8_line_dedup, op9_simhash)}
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per contaminated document and test item: doc_id, item_id, distance."""
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_repeated_passages, op4_token_counts, op5_packing, op8_line_dedup, op9_simhash, op10_decontamination)}
 
 ORACLE_SQL: dict[str, str] = {}
