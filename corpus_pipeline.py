@@ -1,12 +1,43 @@
-"""A corpus pipeline of the library's operators. Each stage is (spark, docs, sf_dir) -> DataFrame."""
+"""From raw documents to packed training sequences.
+
+Each stage is (spark, docs, sf_dir) -> DataFrame. All but the last return the
+columns of ``documents``; the last returns pieces of sequences.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from gridstride.llm import decontam, langid, lines, packing, simhash
+from gridstride.llm.common import durable, table
+from gridstride.llm.queries import language_model, tokenizer_file
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text has letters and one clearly nearest language. Languages are learnt from ``docs``."""
+    found = langid.identify(docs, language_model(docs))
+    return found.where((F.col("lang_pred") != langid.UNKNOWN) & ~F.col("ambiguous")).select(docs.columns)
+
+
+def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that nearly repeat an earlier one; a document that loses all its words goes."""
+    done = lines.deduplicate(docs)
+    done = done.where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
+    return done.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(docs.columns)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id of each near-duplicate component, once. Rows without an id stay."""
+    groups = simhash.near_duplicates(docs).select(F.col("doc_id").alias("_id"), "component_id").where("_id = component_id").select("_id").distinct()
+    kept = docs.join(groups, F.col("doc_id") == F.col("_id"), "left").where("doc_id is null or _id is not null")
+    order = Window.partitionBy("doc_id").orderBy("text")
+    return kept.withColumn("_rank", F.row_number().over(order)).where("_rank = 1 or doc_id is null").select(docs.columns)
+
 
-from gridstride.llm import packing
-from gridstride.llm.common import table
-from gridstride.llm.queries import tokenizer_file
+def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of a benchmark item."""
+    return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark")).select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,14 +45,17 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, tokenizer_file("word_bpe_49k.json"))
 
 
-STAGES = [("packing", pack)]
+STAGES = [("language_id", known_language), ("line_dedup", distinct_lines), ("near_dedup", one_of_each), ("decontamination", uncontaminated), ("packing", pack)]
 
-#: Merging tokens, learning languages and reachability have no SQL.
+#: Learnt languages, reachability and merging tokens have no SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = durable(docs)  # several passes of the next stage read it
     return docs
