@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridstride.llm import decontam, langid, lines, packing, simhash, substring, token_counts, topk, toxicity
+from gridstride.llm import decontam, html, langid, lines, packing, simhash, substring, token_counts, topk, toxicity
 from gridstride.llm.common import held_out, table
 
 
@@ -45,6 +45,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_products(table(spark, sf_dir, "embeddings"))
 
@@ -64,7 +68,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_repeated_passages, op4_token_counts, op5_packing, op7_top_products, op8_line_dedup, op9_simhash, op10_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_repeated_passages, op4_token_counts, op5_packing, op6_main_text, op7_top_products, op8_line_dedup, op9_simhash, op10_decontamination)}
 
 ORACLE_SQL: dict[str, str] = {
     "op7_top_products": """
