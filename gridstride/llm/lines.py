@@ -16,7 +16,7 @@ of fixed size. Lines are told apart by 64-bit hashes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -131,40 +131,35 @@ def sketches(lines: list[str]) -> np.ndarray:
     return out
 
 
+def forest(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+    """Links that join what ``near`` links: for each item it is asked only about later items that are not joined yet."""
+    label, links = np.arange(n), []
+    for i in range(n - 1):
+        apart = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
+        found = near(i, apart) if len(apart) else apart
+        others, first = np.unique(label[found], return_index=True)
+        for other, j in zip(others.tolist(), found[first].tolist(), strict=True):
+            links.append((i, j))
+            label[label == other] = label[i]
+    return links
+
+
 def links_within(lines: list[str], similarity: float = SIMILARITY) -> list[tuple[int, int]]:
     """A spanning forest of the pairs of lines whose shingle sets reach the Jaccard similarity, by exact intersections."""
     h, counts = shingles(lines)
     n, starts = len(lines), np.cumsum(counts) - counts
-    parent = list(range(n))
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    links = []
-
-    def join(a: int, b: int) -> None:
-        x, y = find(a), find(b)
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-            links.append((a, b))
-
     values, ids = np.unique(h, return_inverse=True)
-    owner = np.repeat(np.arange(n), counts)
-    by_id = np.argsort(ids, kind="stable")
-    posting, ends = owner[by_id], np.cumsum(np.bincount(ids, minlength=len(values)))
-    for i in range(n - 1):
+    posting, ends = np.repeat(np.arange(n), counts)[np.argsort(ids, kind="stable")], np.cumsum(np.bincount(ids, minlength=len(values)))
+
+    def near(i: int, apart: np.ndarray) -> np.ndarray:
         mine = ids[starts[i] : starts[i] + counts[i]]
         lo = np.where(mine > 0, ends[mine - 1], 0)
         sizes = ends[mine] - lo
         at = np.repeat(lo - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-        both = np.bincount(posting[at], minlength=n)
-        near = np.flatnonzero(both >= similarity * (counts[i] + counts - both) - 1e-9)
-        for j in near[near > i].tolist():
-            join(i, j)
-    return links
+        both = np.bincount(posting[at], minlength=n)[apart]
+        return apart[both >= similarity * (counts[i] + counts[apart] - both) - 1e-9]
+
+    return forest(n, near)
 
 
 def _distinct_lines(texts: list[str | None]) -> dict[int, str]:
@@ -266,32 +261,13 @@ def families(shared: DataFrame, texts: DataFrame, parts: int) -> DataFrame:
         order = np.argsort(keys, kind="stable")
         keys, lines, bits = keys[order], lines[order], bits[order]
         starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-        a, b = [], []
+        out: list[tuple[int, int]] = []
         for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(keys)], strict=True):
-            n = hi - lo
-            if n > 2 * BLOCK:  # verified in blocks later; here all are taken for close
-                a.append(np.full(n - 1, lo))
-                b.append(np.arange(lo + 1, hi))
-                continue
-            for i in range(lo, hi - 1):
-                near = np.flatnonzero(np.bitwise_count(bits[i] ^ bits[i + 1 : hi]).sum(1) <= DIFFER)
-                if len(near):
-                    a.append(np.full(len(near), i))
-                    b.append(i + 1 + near)
-        parent = np.arange(len(keys)).tolist()  # a key's lines: as many links as lines, at most
-
-        def find(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        out = []
-        for x, y in zip(np.concatenate(a).tolist() if a else [], np.concatenate(b).tolist() if b else [], strict=True):
-            p, q = find(x), find(y)
-            if p != q:
-                parent[q] = p
-                out.append((x, y))
+            if hi - lo > 2 * BLOCK:  # verified in blocks later; here all are taken for close
+                out += [(lo, k) for k in range(lo + 1, hi)]
+            else:
+                own = bits[lo:hi]
+                out += [(lo + x, lo + y) for x, y in forest(hi - lo, lambda i, apart, own=own: apart[np.bitwise_count(own[i] ^ own[apart]).sum(1) <= DIFFER])]
         at = np.array(out, np.int64).reshape(-1, 2)
         return pa.table({"a": lines[at[:, 0]], "b": lines[at[:, 1]]})
 
