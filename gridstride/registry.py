@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gridstride.plans import graph_queries  # noqa: F401  (adds to the queries)
 from gridstride.plans import queries as plans
 
 Query = Callable[[SparkSession, str], DataFrame]
