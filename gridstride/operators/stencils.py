@@ -6,17 +6,22 @@ and one along columns; nothing gathers a grid in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-ALONG_X = Window.partitionBy("y").orderBy("x")
-ALONG_Y = Window.partitionBy("x").orderBy("y")
+
+def along_x() -> WindowSpec:
+    return Window.partitionBy("y").orderBy("x")
+
+
+def along_y() -> WindowSpec:
+    return Window.partitionBy("x").orderBy("y")
 
 
 def _box(cells: DataFrame, value: str, combine, reach: int) -> DataFrame:  # noqa: ANN001
     """Combine a value over the (2 reach + 1)-square around each cell of a dense grid, clipped at the border."""
-    once = cells.withColumn(value, combine(value).over(ALONG_X.rowsBetween(-reach, reach)))
-    return once.withColumn(value, combine(value).over(ALONG_Y.rowsBetween(-reach, reach)))
+    once = cells.withColumn(value, combine(value).over(along_x().rowsBetween(-reach, reach)))
+    return once.withColumn(value, combine(value).over(along_y().rowsBetween(-reach, reach)))
 
 
 def erode(cells: DataFrame, mask: str) -> DataFrame:
@@ -50,11 +55,11 @@ def smoothed(cells: DataFrame, value: str) -> DataFrame:
 def slope(cells: DataFrame, value: str, pixel_m: float) -> DataFrame:
     """Horn's gradient with replicated edges; null where a neighbour is unknown."""
     rows = cells
-    for name, window, step in (("w", ALONG_X, -1), ("e", ALONG_X, 1)):
+    for name, window, step in (("w", along_x(), -1), ("e", along_x(), 1)):
         edge = F.lag(F.struct(value), -step).over(window)
         rows = rows.withColumn(f"_{name}", F.when(edge.isNull(), F.col(value)).otherwise(edge[value]))
     rows = rows.withColumn("_row", F.struct(F.col("_w").alias("w"), F.col(value).alias("c"), F.col("_e").alias("e")))
-    rows = rows.withColumn("_n", F.coalesce(F.lag("_row").over(ALONG_Y), "_row")).withColumn("_s", F.coalesce(F.lead("_row").over(ALONG_Y), "_row"))
+    rows = rows.withColumn("_n", F.coalesce(F.lag("_row").over(along_y()), "_row")).withColumn("_s", F.coalesce(F.lead("_row").over(along_y()), "_row"))
     n, m, s = F.col("_n"), F.col("_row"), F.col("_s")
     dx = (n["e"] + 2 * m["e"] + s["e"] - (n["w"] + 2 * m["w"] + s["w"])) / (8 * pixel_m)
     dy = (s["w"] + 2 * s["c"] + s["e"] - (n["w"] + 2 * n["c"] + n["e"])) / (8 * pixel_m)
@@ -101,11 +106,11 @@ def box_mean(cells: DataFrame, value: str, reach: int, out: str) -> DataFrame:
 def summed_area(cells: DataFrame, value: str) -> DataFrame:
     """Summed-area table: cumulative sums along rows, then columns."""
     upto = (Window.unboundedPreceding, 0)
-    once = cells.withColumn("sat", F.sum(value).over(ALONG_X.rowsBetween(*upto)))
-    return once.withColumn("sat", F.sum("sat").over(ALONG_Y.rowsBetween(*upto)))
+    once = cells.withColumn("sat", F.sum(value).over(along_x().rowsBetween(*upto)))
+    return once.withColumn("sat", F.sum("sat").over(along_y().rowsBetween(*upto)))
 
 
 def beside(cells: DataFrame, mask: str, other: str) -> DataFrame:
     """Cells of the mask with a 4-neighbour in the other mask."""
-    flags = [F.coalesce(f(other).over(w), F.lit(0)) for f in (F.lag, F.lead) for w in (ALONG_X, ALONG_Y)]
+    flags = [F.coalesce(f(other).over(w), F.lit(0)) for f in (F.lag, F.lead) for w in (along_x(), along_y())]
     return cells.withColumn("_near", F.greatest(*flags)).where((F.col(mask) == 1) & (F.col("_near") == 1)).drop("_near")
