@@ -135,3 +135,25 @@ def first_wins(parts: list[DataFrame]) -> DataFrame:
 def best_of_macro_cells(cells: DataFrame, value: str, side: int) -> DataFrame:
     """Of each side x side block, the cell of the largest value; ties to the first in row order."""
     return cells.groupBy(F.floor(F.col("y") / side).alias("my"), F.floor(F.col("x") / side).alias("mx")).agg(F.max_by(F.struct("y", "x", value), F.struct(value, -F.col("y"), -F.col("x"))).alias("c")).select("my", "mx", "c.y", "c.x", f"c.{value}")
+
+
+def box_fraction(sat: DataFrame, points: DataFrame, reach: int, height: int, width: int) -> DataFrame:
+    """Mean of a value over the clipped square around each point (id, y, x), from four corners of a summed-area table."""
+    low = lambda c: F.greatest(F.lit(0), F.col(c) - reach)
+    high = lambda c, n: F.least(F.lit(n - 1), F.col(c) + reach)
+    corner = lambda y, x, s: F.struct(y.cast("long").alias("y"), x.cast("long").alias("x"), F.lit(s).alias("s"))
+    y0, y1, x0, x1 = low("y") - 1, high("y", height), low("x") - 1, high("x", width)
+    area = (y1 - y0) * (x1 - x0)
+    rows = points.select("id", area.alias("area"), F.explode(F.array(corner(y1, x1, 1), corner(y0, x1, -1), corner(y1, x0, -1), corner(y0, x0, 1))).alias("c")).select("id", "area", "c.y", "c.x", "c.s")
+    return rows.join(sat, ["y", "x"], "left").groupBy("id", "area").agg(F.sum(F.col("s") * F.coalesce("sat", F.lit(0))).alias("sum")).select("id", (F.col("sum") / F.col("area")).alias("fraction"))
+
+
+def feature_vector() -> Column:
+    """The features of a candidate as one array, unknown gain 0 and unknown slope -1, both kept in their range."""
+    unit = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(c)))
+    return F.array(*[F.coalesce(unit(f), F.lit(0.0)) if f == "elevGain" else F.when(F.col(f) < 0, -1.0).otherwise(F.coalesce(unit(f), F.lit(-1.0))) if f == "slope" else F.col(f) for f in fixed.FEATURES])
+
+
+def guard(checks: list[tuple[str, Column]]) -> Column:
+    """The first failed check's reason, null if all hold."""
+    return F.coalesce(*[F.when(failed, F.lit(reason)) for reason, failed in checks])

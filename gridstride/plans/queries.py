@@ -563,3 +563,57 @@ def latest_request(spark: SparkSession, d: str) -> DataFrame:
 def hourly_events(spark: SparkSession, d: str) -> DataFrame:
     rows = V.load(spark, d, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return rounded(rows.select(F.col("w.start").cast("string").alias("hour"), "event_type", "n", "total"), "total", digits=4)
+
+
+# ---- guards, features and attributes ----------------------------------------------------------
+
+
+@query(with_(V.GRID64, V.MASKS, PTS64.replace("/ 100::DOUBLE AS px", "// 100 AS x").replace("/ 100::DOUBLE AS py", "// 100 AS y")) + "SELECT id, round(avg(green), 8) AS fraction FROM pt JOIN masks m ON m.y BETWEEN pt.y - 2 AND pt.y + 2 AND m.x BETWEEN pt.x - 2 AND pt.x + 2 GROUP BY id")
+def box_fraction(spark: SparkSession, d: str) -> DataFrame:
+    """Class share around points by a summed-area table."""
+    e = F.col("event_id")
+    points = V.load(spark, d, "events").select(e.alias("id"), F.floor(e * 91 % 6400 / 100).alias("y"), F.floor(e * 37 % 6400 / 100).alias("x"))
+    sat = S.summed_area(V.masks(V.grid(spark, d, 64)).select("y", "x", "green"), "green").select("y", "x", "sat")
+    return rounded(C.box_fraction(sat, points, 2, 64, 64), "fraction", digits=8)
+
+
+@query(with_(V.CANDIDATES) + """SELECT cell, i - 1 AS n, round([green, open, water, "waterNear", built, major, secondary, minor, thin, path, "minorDensity",
+    greatest(0::DOUBLE, least(1::DOUBLE, "elevGain")), CASE WHEN slope < 0 THEN -1 ELSE least(1::DOUBLE, slope) END][i], 6) AS value FROM cand, range(1, 14) r(i)""")
+def feature_vectors(spark: SparkSession, d: str) -> DataFrame:
+    rows = V.candidates(spark, d).select("cell", F.posexplode(C.feature_vector()).alias("n", "value"))
+    return rounded(rows.withColumn("n", F.col("n").cast("long")), "value")
+
+
+@query("""SELECT user_id, CASE WHEN min(value) < 0.02 THEN 'blank' WHEN count(*) < 50 THEN 'no-road' WHEN count(*) FILTER (event_type = 'purchase') = 0 THEN 'no-match' WHEN abs(sum(value) / 2500 - 1) > 0.3 THEN 'diverged' END AS reason FROM events GROUP BY user_id""")
+def guards(spark: SparkSession, d: str) -> DataFrame:
+    """The reason why a request stops, in the order of its checks."""
+    one = V.load(spark, d, "events").groupBy("user_id").agg(F.min("value").alias("low"), F.count("*").alias("n"), F.count_if(F.col("event_type") == "purchase").alias("bought"), F.sum("value").alias("total"))
+    return one.select("user_id", C.guard([("blank", F.col("low") < 0.02), ("no-road", F.col("n") < 50), ("no-match", F.col("bought") == 0), ("diverged", F.abs(F.col("total") / 2500 - 1) > 0.3)]).alias("reason"))
+
+
+@query(with_(V.CANDIDATES) + """SELECT event_id, coalesce(category, kind) AS label FROM events LEFT JOIN cand ON cand.cell = event_id""")
+def waypoint_labels(spark: SparkSession, d: str) -> DataFrame:
+    """A stop's label from the candidate of its cell."""
+    cand = V.candidates(spark, d).select("cell", F.coalesce("category", "kind").alias("label"))
+    return V.load(spark, d, "events").select("event_id").join(cand, F.col("event_id") == F.col("cell"), "left").select("event_id", "label")
+
+
+@query("""SELECT user_id, round(sum(CASE WHEN near AND prev IS NOT NULL THEN sqrt(pow(y - prev.y, 2) + pow(x - prev.x, 2)) * 3 ELSE 0 END), 4) AS edge_m, round(sum(CASE WHEN prev IS NOT NULL THEN sqrt(pow(y - prev.y, 2) + pow(x - prev.x, 2)) * 3 ELSE 0 END), 4) AS length_m
+FROM (SELECT *, lag({'y': y, 'x': x}) OVER (PARTITION BY user_id ORDER BY event_id) AS prev FROM (SELECT user_id, event_id, event_id % 64 AS y, event_id * 7 % 64 AS x, event_id % 3 = 0 AS near FROM events)) GROUP BY user_id""")
+def cell_path_length(spark: SparkSession, d: str) -> DataFrame:
+    """Length of a cell path, and of its part beside water."""
+    from pyspark.sql import Window
+
+    e = F.col("event_id")
+    cells = V.load(spark, d, "events").select("user_id", "event_id", (e % 64).alias("y"), (e * 7 % 64).alias("x"), (e % 3 == 0).alias("near"))
+    prev = F.lag(F.struct("y", "x")).over(Window.partitionBy("user_id").orderBy("event_id"))
+    step = F.coalesce(F.sqrt(F.pow(F.col("y") - F.col("p.y"), 2) + F.pow(F.col("x") - F.col("p.x"), 2)) * 3, F.lit(0.0))
+    rows = cells.withColumn("p", prev).withColumn("step", step)
+    return rounded(rows.groupBy("user_id").agg(F.sum(F.when(F.col("near"), F.col("step")).otherwise(0.0)).alias("edge_m"), F.sum("step").alias("length_m")), "edge_m", "length_m", digits=4)
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderpriority = '1-URGENT')")
+def never_urgent(spark: SparkSession, d: str) -> DataFrame:
+    """Requested keys without a match: an anti-join."""
+    urgent = V.load(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select("o_custkey")
+    return V.load(spark, d, "customer").select("c_custkey").join(urgent, F.col("c_custkey") == F.col("o_custkey"), "left_anti")
