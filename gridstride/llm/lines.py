@@ -243,14 +243,14 @@ def _bitmap(lines: DataFrame) -> np.ndarray:
 
 def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(line, text) of the wanted lines, each once."""
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(_bitmap(wanted).view(np.uint8)[:, None] >> np.arange(8, dtype=np.uint8) & 1))
+    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted))  # of fixed size
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
+        words = shared.value
         for texts in _slices(batches):
             found = _distinct_lines(texts)
             at = np.fromiter(found, np.int64, len(found)) % BITMAP
-            use = bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1
+            use = words[at >> 5] >> (at & 31).astype(np.uint32) & 1
             kept = [x for x, u in zip(found.items(), use.tolist(), strict=True) if u]
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in kept], pa.int64()), pa.array([v for _, v in kept], pa.string())], names=["line", "text"])
 

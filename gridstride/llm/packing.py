@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridstride.llm.bpe import LONGEST, Merges
-from gridstride.llm.common import durable
+from gridstride.llm.common import durable, partitions
 
 #: Fixed value: the pre-token pattern of the word vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -32,6 +32,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PLAIN = regex.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-įĲ-ž‐-‧€]*").fullmatch
 MEMO = 250_000
 WINDOW = 2048
+#: Least buckets of a length; more with more shuffle partitions.
 BUCKETS = 512
 
 
@@ -199,7 +200,7 @@ def plan(histogram: dict[int, int], window: int = WINDOW) -> list[tuple[int, int
 def pack(found: DataFrame, window: int = WINDOW) -> DataFrame:
     """Give each piece (columns of :func:`pieces`) a sequence_id and an offset."""
     spark = found.sparkSession
-    bucket = F.pmod(F.xxhash64("id", "start"), F.lit(BUCKETS))
+    bucket = F.pmod(F.xxhash64("id", "start"), F.lit(max(BUCKETS, 4 * partitions(spark))))
     found = durable(found.withColumn("bucket", bucket))  # ids are made once; both uses below read it
     sums = durable(found.groupBy("length", "bucket").count())
     histogram = {r["length"]: r["n"] for r in sums.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # at most a window of rows
