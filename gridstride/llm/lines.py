@@ -37,7 +37,7 @@ LONG = 128
 BINS, SAME, SAME_FEW = 64, 36, 28
 BITMAP = 1 << 26
 BLOCK = 1500
-SLICE = 1 << 21
+SLICE = 1 << 20
 
 
 def _line_hash(line: str) -> int:
