@@ -23,12 +23,14 @@ edges AS MATERIALIZED (SELECT a.id AS a, b.id AS b, CASE WHEN dy <> 0 AND dx <>
     WHERE dy = 0 OR dx = 0 OR (EXISTS (FROM open c WHERE c.y = a.y AND c.x = b.x) AND EXISTS (FROM open c WHERE c.y = b.y AND c.x = a.x)))"""
 
 
-@query("WITH RECURSIVE " + ", ".join([V.GRID64, V.MASKS, EDGES]) + """, dist(id, d) USING KEY (id) AS (SELECT 0::BIGINT, 0::DOUBLE UNION
+@query("WITH RECURSIVE " + ", ".join([V.GRID64, V.MASKS, EDGES]) + """, dist(id, d) USING KEY (id) AS (SELECT min(id), 0::DOUBLE FROM open UNION
     SELECT e.b, min(dist.d + e.w) FROM dist JOIN edges e ON e.a = dist.id LEFT JOIN recurring.dist r ON r.id = e.b WHERE r.id IS NULL OR dist.d + e.w < r.d - 1e-9 GROUP BY e.b)
 SELECT id // 64 AS y, id % 64 AS x, round(d, 6) AS metres FROM dist""")
 def shortest_paths(spark: SparkSession, d: str) -> DataFrame:
-    """Shortest 8-connected distances from a cell, without cutting corners."""
-    return rounded(G.distances(_open(spark, d), (0, 0)).select("y", "x", "metres"), "metres")
+    """Shortest 8-connected distances from the first open cell, without cutting corners."""
+    cells = _open(spark, d)
+    first = cells.orderBy("y", "x").first()
+    return rounded(G.distances(cells, (first["y"], first["x"])).select("y", "x", "metres"), "metres")
 
 
 COMPONENTS = "WITH RECURSIVE " + ", ".join([V.GRID64, V.MASKS, EDGES]) + """, lab(id, l) USING KEY (id) AS (SELECT id, id FROM open UNION
