@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from gridstride.llm.common import durable
 
-BUCKETS, BLOCK, SEEDS = 256, 2048, 2048
+#: Buckets at most, vectors of a block, queries of a group, seed vectors.
+BUCKETS, BLOCK, QUERIES, SEEDS = 256, 16384, 1024, 2048
 #: From this local cosine on, the coordinate prunes better than the length.
 COSINE = 0.5
 EXACT = 1 << 52
@@ -134,7 +135,7 @@ def top_products(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str =
 
     wanted = rows.where(F.col("id") % every == 0)
     queries = known.join(wanted.select("v").distinct(), "v", "left_semi").select("v", "length", threshold("v").alias("threshold"))
-    groups = max(1, -(-total // every // BLOCK))
+    groups = max(1, -(-(total // every) // QUERIES))
     hopeful = F.filter(table, lambda b: F.col("length") * b["longest"] * (1 + 1e-9) >= F.col("threshold"))
     asked = queries.withColumn("b", F.explode(hopeful)).select("v", "threshold", F.pmod(F.xxhash64("v"), F.lit(groups)).alias("group"), "b.bucket", F.explode(F.sequence(F.lit(0), F.col("b.blocks") - 1).cast("array<long>")).alias("block"))
     held = bucketed.withColumn("block", F.pmod(F.xxhash64("v"), blocks[F.col("bucket")])).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)).cast("array<long>")))
