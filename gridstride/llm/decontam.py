@@ -30,7 +30,7 @@ GRAM = 5
 #: Characters of items that one scan takes.
 BLOCK_CHARS = 4_000_000
 SPACES = re.compile(r"\s+")
-SLICE = 1 << 22
+SLICE = 1 << 20
 GAP = b"\x00" * 8
 
 

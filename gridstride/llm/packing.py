@@ -30,7 +30,7 @@ from gridstride.llm.common import durable, partitions
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Characters for which the fast path equals the library: Latin scripts and common marks.
 PLAIN = regex.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-įĲ-ž‐-‧€]*").fullmatch
-MEMO = 250_000
+MEMO = 150_000
 WINDOW = 2048
 #: Least buckets of a length; more with more shuffle partitions.
 BUCKETS = 512
@@ -40,9 +40,7 @@ class Encoder:
     """Ids of whole texts, with a memo of white-space separated words."""
 
     def __init__(self, spec: str):
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_str(spec)
+        self.spec, self.library = spec, None
         self.merges, self.find = Merges(spec), regex.compile(PATTERN).findall
         self.specials = [t["content"] for t in json.loads(spec)["added_tokens"]]
         self._clear()
@@ -63,6 +61,13 @@ class Encoder:
         self.sizes = np.concatenate((self.sizes, np.diff(np.concatenate(([0], ends)))))
         self.ids = np.concatenate((self.ids, ids))
 
+    def _by_library(self, text: str) -> np.ndarray:
+        if self.library is None:  # most tasks never need it
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_str(self.spec)
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, without special tokens."""
         split: list[list[str] | None] = []
@@ -80,7 +85,7 @@ class Encoder:
         out, get = [], self.memo.__getitem__
         for t, words in zip(texts, split, strict=True):
             if words is None:
-                out.append(np.array(self.library.encode(t, add_special_tokens=False).ids, np.uint32))
+                out.append(self._by_library(t))
                 continue
             at = np.fromiter(map(get, words), np.int64, len(words))
             sizes = self.sizes[at]
@@ -97,8 +102,8 @@ def pieces(docs: DataFrame, spec: str, end_id: int = 1, window: int = WINDOW, id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
+            for lo in range(0, batch.num_rows, 400):
+                part = batch.slice(lo, 400)
                 rows = []
                 for row, ids in enumerate(encoder.encode([t or "" for t in part.column(1).to_pylist()])):
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4")
