@@ -26,16 +26,46 @@ LENGTH, STRIDE = 32, 24
 WORDS, GRAMS = 1 << 12, 1 << 14
 SIZES = (3, 4, 5)
 WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 8, 16, 8, 8
-#: Bounds of the training sample: texts of each label, windows of a text, bytes of a word.
-PER_LABEL, WINDOWS_OF_TEXT, WORD_BYTES = 800, 16, 40
+#: Bounds of the training sample: texts of each label, windows of a text.
+PER_LABEL, WINDOWS_OF_TEXT = 800, 16
+#: A run without white space is one word up to so many bytes; a longer one is read in pieces of that size that start so far apart.
+WORD_BYTES, PIECE_STEP = 40, 24
 MEMO = 200_000
 #: A text without words has one empty window's worth of evidence: none.
 EMPTY_SCORE = 0.0
 MARKS = b"".join(bytes([b]) for b in range(33, 127) if not chr(b).isalnum())
+SPACED = bytes.maketrans(MARKS, b" " * len(MARKS))
+
+
+def _pieces(run: bytes) -> list[bytes]:
+    """Overlapping pieces of at most ``WORD_BYTES`` that cover a run, cut between characters."""
+    out, at = [], 0
+    while True:
+        end = at + WORD_BYTES
+        while end < len(run) and run[end] & 0xC0 == 0x80:
+            end -= 1
+        out.append(run[at:end])
+        if end >= len(run):
+            return out
+        at += PIECE_STEP
+        while run[at] & 0xC0 == 0x80:
+            at -= 1
 
 
 def words_of(text: str | None) -> list[bytes]:
-    return (text or "").lower().encode().translate(None, MARKS).split()
+    """Words without punctuation; runs too long for a word are split at punctuation, then into pieces, so that all bytes are read."""
+    raw = (text or "").lower().encode()
+    words = raw.translate(None, MARKS).split()
+    if max(map(len, words), default=0) <= WORD_BYTES:
+        return words
+    out: list[bytes] = []
+    for run in raw.split():
+        word = run.translate(None, MARKS)
+        if len(word) <= WORD_BYTES:
+            out += [word] if word else []
+        else:
+            out += [p for part in run.translate(SPACED).split() for p in _pieces(part)]
+    return out
 
 
 def windows_of(count: int) -> list[int]:
@@ -45,7 +75,7 @@ def windows_of(count: int) -> list[int]:
 
 def word_inputs(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each word's hashed id, and its hashed n-grams: all ids, and how many each word has."""
-    marked = [b"<" + w[:WORD_BYTES] + b">" for w in words]
+    marked = [b"<" + w + b">" for w in words]
     sizes = np.fromiter(map(len, marked), np.int64, len(marked))
     data = np.frombuffer(b"".join(marked), np.uint8).astype(np.uint32)
     owner = np.repeat(np.arange(len(words)), sizes)
@@ -308,7 +338,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for batch in batches:
             labels, bags = [], []
             for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = [w[:WORD_BYTES] for w in words_of(text)]
+                words = words_of(text)
                 starts = windows_of(len(words))
                 starts = [starts[i * len(starts) // WINDOWS_OF_TEXT] for i in range(WINDOWS_OF_TEXT)] if len(starts) > WINDOWS_OF_TEXT else starts
                 if starts:

@@ -319,5 +319,21 @@ def test_windows_cover_all_words():
         assert starts[0] == 0 and starts[-1] + toxicity.LENGTH >= n and all(b - a == toxicity.STRIDE for a, b in zip(starts, starts[1:], strict=False))
 
 
+def test_toxicity_reads_long_runs_to_their_end():
+    words = toxicity.words_of
+    assert words("don't a_b") == [b"dont", b"ab"] and words(",".join(["word"] * 20)) == [b"word"] * 20
+    r = random.Random(1)
+    for letters in ("abcdefgh", "漢字毒物文é"):
+        for n in (13, 14, 40, 41, 64, 65, 500):
+            run = "".join(r.choice(letters) for _ in range(n))
+            pieces = [w.decode() for w in words(run)]
+            assert all(len(w.encode()) <= toxicity.WORD_BYTES for w in pieces)
+            assert all(any(run[k : k + 4] in w for w in pieces) for k in range(n - 3))
+    scorer = toxicity.Scorer(toxicity.Network())
+    for run in ("漢" * 60, "x" * 200, "some,words_" * 20):
+        plain, ended = scorer.score([run, run + "毒物"])
+        assert plain != ended
+
+
 def test_tokenizer_files_are_not_copied():
     assert public_tokenizers.path("word_bpe_49k.json").startswith("/")
