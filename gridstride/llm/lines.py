@@ -33,8 +33,9 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 14, 5
 #: From so many shingles on, one permutation does; up to 1 / SIMILARITY times as many, both kinds are made.
 LONG = 128
-#: Sketches of 64 bytes agree in 51 +- 4 at similarity 0.8, +- 6 for lines of few shingles.
-BINS, SAME, SAME_FEW = 64, 36, 28
+#: Sketches of 64 bytes agree in 51 +- 4 at similarity 0.8. Lines of under FEW shingles have a permutation for each byte:
+#: in bins, a shingle of theirs would own a run of bytes.
+BINS, SAME, FEW = 64, 36, 64
 BITMAP = 1 << 26
 BLOCK = 1500
 SLICE = 1 << 20
@@ -129,17 +130,23 @@ def band_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketches(lines: list[str]) -> np.ndarray:
-    """A byte of each bin of a one-permutation MinHash, and 1 if the line has few shingles, else 0."""
+    """64 bytes of a MinHash (one permutation for lines of ``FEW`` shingles or more, else one for each byte), and how many shingles the line has, 255 at most."""
     if not lines:
         return np.zeros((0, BINS + 1), np.uint8)
-    one, distinct = _one(*all_shingles(lines), BINS)
-    return np.concatenate(((_mix(one) & np.uint64(255)).astype(np.uint8), (distinct < BINS).astype(np.uint8)[:, None]), axis=1)
+    h, counts = all_shingles(lines)
+    least, distinct = _one(h, counts, BINS)
+    few = distinct < FEW
+    if few.any():
+        least[few] = _many(h[np.repeat(few, counts)], counts[few], BINS, 17)
+    return np.concatenate(((_mix(least) & np.uint64(255)).astype(np.uint8), np.minimum(distinct, 255).astype(np.uint8)[:, None]), axis=1)
 
 
 def alike(sketch: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """Whether two lines may reach the similarity, by their sketches."""
-    few = (sketch[-1] | others[:, -1]) > 0
-    return (sketch[:-1] == others[:, :-1]).sum(1) >= np.where(few, SAME_FEW, SAME)
+    """Whether two lines may reach the similarity: by their numbers of shingles, and by their sketches if these are of one kind."""
+    size, sizes = int(sketch[-1]), others[:, -1].astype(np.int64)
+    near = np.minimum(size, sizes) >= SIMILARITY * np.maximum(size, sizes) - 1e-9
+    mixed = (size < FEW) != (sizes < FEW)
+    return near & (mixed | ((sketch[:-1] == others[:, :-1]).sum(1) >= SAME))
 
 
 def forest(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:

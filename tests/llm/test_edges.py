@@ -179,6 +179,19 @@ def test_line_links_equal_brute_force():
     assert got == root
 
 
+def test_sketches_keep_short_pairs():
+    r = random.Random(12)
+    for n in (8, 14, 34, 66, 67, 70, 150):
+        base = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)) for _ in range(2000)]
+        more = [x + "!" * ((n - 4) // 4) for x in base]
+        sets = [({x[i : i + 5] for i in range(len(x) - 4)}, {y[i : i + 5] for i in range(len(y) - 4)}) for x, y in zip(base, more, strict=True)]
+        real = [k for k, (a, b) in enumerate(sets) if len(a & b) >= 0.8 * len(a | b)]
+        one, two = lines.sketches([base[k] for k in real]), lines.sketches([more[k] for k in real])
+        assert len(real) > 1000 and all(lines.alike(a, b[None])[0] for a, b in zip(one, two, strict=True)), n
+        far = lines.sketches(["".join(r.choice("0123456789") for _ in range(n)) for _ in real])
+        assert sum(lines.alike(a, b[None])[0] for a, b in zip(one, far, strict=True)) < 0.01 * len(real) or n in range(67, 85)
+
+
 def distance(p, t):
     row = [0] * (len(t) + 1)
     for i, c in enumerate(p, 1):
