@@ -256,6 +256,14 @@ def test_main_text(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_long_notices_go_and_classes_of_the_page_do_not_hide_it(spark):
+    notice = "We keep records of visits as the law demands. " * 6
+    page = lambda k: f'<html class="no-sidebar"><body class="has-sidebar"><main class="menu-open"><article class="post has-comments"><p>Story {k} {"told " * (200 + k)}</p><p class="legal">{notice}</p><article class="comment"><p>reader {k}</p></article></article></main></body></html>'
+    rows = [(k, f"https://c.example/{k}", page(k)) for k in range(8)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"Story {k} {'told ' * (200 + k)}".strip() for k in range(8)}, got
+
+
 def test_wrapper_alignment():
     a, b = (html.expression(html.parse(x)) for x in ("<div><p>a</p><p>b</p><hr></div>", "<div><p>c</p><table></table></div>"))
     (div,) = html.align(a, b)
