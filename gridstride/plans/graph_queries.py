@@ -91,7 +91,7 @@ def map_elements(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lattice_loops(spark: SparkSession, d: str) -> DataFrame:
-    """Round trips on a lattice of streets, one for each of some users' seeds."""
+    """Round trips on a lattice of streets, one for each user's seed."""
     side, cell = 64, 16.0
     cells = spark.range(side * side).select(F.col("id").alias("cell"), F.floor(F.col("id") / side).alias("y"), (F.col("id") % side).alias("x"))
     street = (F.col("y") % 8 < 2) | (F.col("x") % 8 < 2)
@@ -100,7 +100,7 @@ def lattice_loops(spark: SparkSession, d: str) -> DataFrame:
     dy, dx = F.col("y") - 32, F.col("x") - 32
     cands = cells.where(street & ((F.col("cell") * 7) % 11 == 0)).select(F.struct("cell", (F.greatest(F.abs(dy), F.abs(dx)) * cell + F.least(F.abs(dy), F.abs(dx)) * cell * 0.41).alias("d"), F.atan2(dy.cast("double"), dx.cast("double")).alias("bearing"), (F.col("cell") % 5 / 5.0).alias("score"), F.array(F.lit("nature")).alias("tags")).alias("c"))
     cands = cands.agg(F.array_sort(F.collect_list("c")).alias("cands"))
-    users = V.load(spark, d, "events").select("user_id").distinct().where("user_id % 10 = 0").select(F.col("user_id").alias("id"), F.col("user_id").alias("seed"))
+    users = V.load(spark, d, "events").select("user_id").distinct().select(F.col("user_id").alias("id"), F.col("user_id").alias("seed"))
     one = cost.crossJoin(cands)  # one row: the map and its candidates
     requests = users.crossJoin(F.broadcast(one)).select("id", "seed", F.lit(1000.0).alias("target_m"), F.lit(3).alias("k"), F.lit(cell).alias("cell_m"), F.lit(side).alias("height"), F.lit(side).alias("width"), F.lit(origin).alias("origin"), "cost", "cands")
     return G.loops(requests).select("id", "reason", F.round("length_m", 3).alias("length_m"), F.size("path").alias("cells"), F.size("stops").alias("stops"))

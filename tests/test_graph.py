@@ -173,3 +173,10 @@ def test_stream_limits_like_the_batch(spark, tmp_path):
     got = {(r.k, r.event_id): r.ok for r in spark.table("limited").collect()}
     assert got == {(r.k, r.event_id): r.ok for r in admitted(rows, "k", 3, 60).collect()}
     assert len(got) == 58
+
+
+def test_lattice_loops_serve_every_user(spark, sf_dir):
+    from gridstride.plans.graph_queries import lattice_loops
+
+    users = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id").distinct()
+    assert {r.id for r in lattice_loops(spark, sf_dir).select("id").collect()} == {r.user_id for r in users.collect()}
