@@ -14,12 +14,15 @@ whatever the benchmark's size; the usual benchmark is one block.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Allowed edits as a share of an item's characters.
 ERRORS = 0.1
@@ -106,14 +109,14 @@ class Pieces:
     def _windows(self, text: bytes, item: int, places: list[tuple[int, int]]) -> list[list[int]]:
         """Byte ranges around the hits, as wide as any match through them, where enough grams of the item occur."""
         size, k = len(self.items[item][1]), self.budget[item]
-        out: list[list[int]] = []
-        for at, offset in sorted(places):
+        found: list[tuple[int, int]] = []
+        for at, offset in places:
             before, after = offset + k, size - offset + k
             if not text[max(0, at - 4 * before) : at + 4 * after].isascii():
                 before, after = 4 * before, 4 * after  # bytes of a character, at most
-            lo, hi = max(0, at - before), at + after
-            if out and lo >= out[-1][0] and hi <= out[-1][1]:
-                continue
+            found.append((max(0, at - before), at + after))
+        out: list[list[int]] = []
+        for lo, hi in sorted(set(found)):  # by their starts: a later hit of a later piece may start earlier
             part, missing = text[lo:hi], k  # an edit touches one of the disjoint grams, at most
             for g in self.grams[item]:
                 if g not in part:
@@ -166,10 +169,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS,
 
     Null and empty texts and items match nothing; null ids match like others;
     repeated rows give repeated results; an empty table of either gives no rows.
+    Ids of both tables may have any type. Items of under 1 / ``errors``
+    characters have no budget: they match where they occur unchanged, within
+    longer words too.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
-    out = None
+    kind, item_type = rows.schema["id"].dataType.simpleString(), benchmark.schema[item_col].dataType
+    out, item_kind = None, to_arrow_type(item_type)
     for items in _blocks(benchmark, item_col, item_text_col):
         shared = docs.sparkSession.sparkContext.broadcast(items)  # at most BLOCK_CHARS and one item
 
@@ -183,15 +189,39 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS,
                     if size > SLICE or hi == len(texts):
                         got = pieces.match(texts[lo:hi])
                         row = pa.array([lo + r for r, _, _ in got], pa.int64())
-                        yield pa.RecordBatch.from_arrays([batch.column(0).take(row), pa.array([i for _, i, _ in got], pa.int64()), pa.array([d for _, _, d in got], pa.int32())], names=["id", "item_id", "distance"])
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(row), pa.array([i for _, i, _ in got], item_kind), pa.array([d for _, _, d in got], pa.int32())], names=["id", "item_id", "distance"])
                         lo, size = hi, 0
 
-        part = rows.mapInArrow(run, f"id {kind}, item_id long, distance int")
+        part = rows.mapInArrow(run, f"id {kind}, item_id {item_type.simpleString()}, distance int")
         out = part if out is None else out.union(part)
     return out.withColumnRenamed("id", id_col)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that match no item, with all their columns. Rows with null ids stay."""
-    hit = contaminated(docs, benchmark, errors, id_col, text_col).select(F.col(id_col).alias("_hit")).distinct()
-    return docs.join(hit, F.col(id_col) == F.col("_hit"), "left_anti")
+def _matcher(shared: Broadcast, errors: float) -> Callable[[Column], Column]:
+    """Whether a text matches an item of the block."""
+
+    @F.pandas_udf("boolean")
+    def matches(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        pieces = Pieces(shared.value, errors)
+        for texts in batches:
+            hit, lo, size = np.zeros(len(texts), bool), 0, 0
+            for hi, t in enumerate(texts, 1):
+                size += len(t or "")
+                if size > SLICE or hi == len(texts):
+                    hit[[lo + r for r, _, _ in pieces.match(texts.iloc[lo:hi].tolist())]] = True
+                    lo, size = hi, 0
+            yield pd.Series(hit)
+
+    return matches
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose texts match no item, with all their columns.
+
+    Each row is judged by its own text, so rows that share an id, or have none,
+    are told apart. Nothing is shuffled: each block of items is one more filter.
+    """
+    for items in _blocks(benchmark, item_col, item_text_col):
+        shared = docs.sparkSession.sparkContext.broadcast(items)  # at most BLOCK_CHARS and one item
+        docs = docs.where(~_matcher(shared, errors)(F.col(text_col)))
+    return docs

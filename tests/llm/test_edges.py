@@ -225,6 +225,30 @@ def test_decontamination(spark, docs, none):
     assert decontam.contaminated(none, benchmark).count() == 0
     assert decontam.contaminated(table, benchmark.where("false")).count() == 0
     assert decontam.decontaminate(docs, benchmark).columns == docs.columns
+    kept = decontam.decontaminate(spark.createDataFrame([(1, items[0][1], "a"), (1, "clean", "b"), (None, items[1][1], "c"), (None, None, "d")], "doc_id long, text string, _hit string"), benchmark)
+    assert sorted(r._hit for r in kept.collect()) == ["b", "d"]  # by text, whatever the id
+
+
+def test_decontamination_of_items_with_repeated_phrases(spark):
+    r = random.Random(21)
+    phrases = ["".join(r.choice("abcé ") for _ in range(r.randrange(4, 14))) for _ in range(5)]
+    items = [(f"item {i}", "".join(r.choice(phrases[:3]) for _ in range(r.randrange(3, 9)))) for i in range(12)]
+    rows = []
+    for i in range(1500):
+        x = list(r.choice(items)[1])
+        for _ in range(r.randrange(10)):
+            k = r.randrange(len(x) + 1)
+            x[k : k + r.randrange(2)] = r.choice(["", "q", "zz", "é"])
+        rows.append((f"d{i}", "".join(r.choice(phrases) for _ in range(r.randrange(4))) + "".join(x) + "".join(r.choice(phrases) for _ in range(r.randrange(4)))))
+    got = pairs(decontam.contaminated(spark.createDataFrame(rows, "doc_id string, text string"), spark.createDataFrame(items, "item_id string, text string")), "doc_id", "item_id", "distance")
+    want = []
+    for i, t in rows:
+        for j, p in items:
+            p = decontam.normal(p)
+            if p and (d := decontam.least_distance(p, decontam.normal(t))) <= int(0.1 * len(p)):
+                want.append((i, j, d))
+    assert len(want) > 500 and got == sorted(want)
+    assert all(decontam.least_distance(p, t) == distance(p, t) for p, t in ((decontam.normal(items[k % 12][1]), decontam.normal(rows[k][1])) for k in range(60)) if p)
 
 
 def test_top_products(spark):
