@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,15 +25,30 @@ def held_out(doc_id) -> F.Column:
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage with a checkpoint in the folder that the cluster shares.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is
-    unset (tests, notebooks) a temporary one is made.
+    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset
+    and all tasks run in this process (notebooks, tests) a temporary one is made.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        place = context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-")
-        context.setCheckpointDir(place)
+        place = context.getConf().get("spark.checkpoint.dir")
+        if place is None and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir is unset: set it to a folder that all executors share")
+        context.setCheckpointDir(place or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint(eager=True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def spread(salt: str, *columns: str) -> F.Column:
+    """A number from 0 to 1 made from the row, the same in every run."""
+    return F.pmod(F.xxhash64(F.lit(salt), *columns), F.lit(1 << 40)) / float(1 << 40)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -8,23 +8,25 @@ did in training, and flags texts where the runner-up is nearly as close.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridstride.llm.common import fresh, spread
+
 UNKNOWN = "und"
 FEATURES = 1 << 12
 GRAMS = (1, 2, 3)
-#: Training rows per language, and languages, at most: they bound what the driver fits on.
-PER_LANGUAGE, LANGUAGES = 400, 64
+#: Training rows per language, and in all, at most: they bound what the driver fits on. All languages are learnt.
+PER_LANGUAGE, ROWS = 400, 20_000
 #: A text is ambiguous if the runner-up's probability is this share of the winner's.
 NEAR = 0.9
-LETTER = re.compile(r"[^\W\d_]").search
+LETTER = regex.compile(r"\p{L}").search
 TO_SPACE = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 STEP = 1 << 20
 
@@ -50,12 +52,12 @@ def features(text: str) -> np.ndarray:
 def codewords(languages: int, bits: int = 15, seed: int = 7) -> np.ndarray:
     """+1/-1 codewords, a row per language, with the largest least distance of many random draws."""
     random, best, far = np.random.default_rng(seed), None, -1
-    bits = max(bits, 2 * int(np.ceil(np.log2(max(2, languages)))) + 5)
-    for _ in range(300):
+    bits = max(bits, 4 * int(np.ceil(np.log2(max(2, languages)))) + 5)
+    for _ in range(max(3, min(300, 100_000_000 // (languages * languages * bits)))):
         code = random.choice([-1, 1], (languages, bits))
         one_sided = np.abs(code.sum(0)) == languages
         code[0, one_sided] *= -1 if languages > 1 else 1
-        distance = ((code[:, None] != code[None]).sum(2) + bits * np.eye(languages, dtype=int)).min()
+        distance = ((bits - code @ code.T) // 2 + bits * np.eye(languages, dtype=int)).min()
         if distance > far:
             best, far = code, distance
     return best
@@ -72,7 +74,8 @@ class Model:
     def decode(self, x: np.ndarray) -> np.ndarray:
         """The probability of each language, a row per text."""
         margins = x @ self.weights + self.bias
-        loss = np.logaddexp(0.0, -margins[:, None, :] * self.code[None]) @ self.trust
+        # the logistic loss of a bit that is -1 is that of one that is +1, and the margin
+        loss = (np.logaddexp(0.0, -margins) @ self.trust)[:, None] + (margins * self.trust) @ ((1 - self.code) / 2).T
         p = np.exp(loss.min(1, keepdims=True) - loss)
         return p / p.sum(1, keepdims=True)
 
@@ -80,7 +83,8 @@ class Model:
 def fit(x: np.ndarray, names: list[str], steps: int = 300) -> Model:
     """Train all bits' classifiers together by Adam on the logistic loss."""
     languages = sorted(set(names))
-    label = np.array([languages.index(n) for n in names], int)
+    number = {n: i for i, n in enumerate(languages)}
+    label = np.array([number[n] for n in names], int)
     code = codewords(max(1, len(languages)))
     weights, bias = np.zeros((FEATURES, code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)
     target = code[label].astype(np.float32)
@@ -97,11 +101,6 @@ def fit(x: np.ndarray, names: list[str], steps: int = 300) -> Model:
     return Model(languages, code, weights, bias, np.clip(2 * right - 1, 0.05, 1.0))
 
 
-def _spread(salt: str, id_col: str) -> F.Column:
-    """A number from 0 to 1 made from the id."""
-    return F.pmod(F.xxhash64(F.lit(salt), F.col(id_col)), F.lit(1 << 40)) / float(1 << 40)
-
-
 def _featured(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,19 +111,21 @@ def _featured(rows: DataFrame) -> DataFrame:
 
 
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
-    """Fit on at most ``per_language`` rows of each of the ``LANGUAGES`` most frequent languages.
+    """Fit on at most ``per_language`` rows of each language, fewer if there are so many that this would exceed ``ROWS``.
 
     Rows with null language or without a letter are left out. With no rows, the
-    model knows no language.
+    model knows no language. The same table gives the same model however it is
+    partitioned.
     """
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
-    if not counts:
+    counts = rows.groupBy("lang").count()
+    known = counts.count()
+    if not known:
         return fit(np.zeros((0, FEATURES), np.float32), [])
-    share = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, per_language / n))])
-    sample = rows.where(_spread("language", "id") < F.coalesce(share[F.col("lang")], F.lit(0.0))).limit(2 * per_language * len(counts))
-    found = _featured(sample).collect()  # bounded by the two parameters, each row of fixed size
-    return fit(np.array([np.frombuffer(r["x"], np.float16) for r in found], np.float32).reshape(-1, FEATURES), [r["lang"] for r in found])
+    each = max(1, min(per_language, ROWS // known))
+    sample = rows.join(counts, "lang").where(spread("language", "id", "text") < each / F.col("count")).limit(2 * each * known)
+    found = sorted((r["lang"], bytes(r["x"])) for r in _featured(sample).collect())  # bounded by the two parameters, each row of fixed size
+    return fit(np.array([np.frombuffer(x, np.float16) for _, x in found], np.float32).reshape(-1, FEATURES), [lang for lang, _ in found])
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -153,4 +154,5 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                 near[i] = p.shape[1] > 1 and p[row, order[row, 1]] >= NEAR * p[row, order[row, 0]]
         return pd.DataFrame({"lang_pred": names, "score": scores, "ambiguous": near})
 
-    return docs.withColumn("_language", predict(F.col(text_col))).select(*docs.columns, "_language.lang_pred", "_language.score", "_language.ambiguous")
+    out = fresh(docs, "_language")
+    return docs.withColumn(out, predict(F.col(text_col))).select(*docs.columns, *[F.col(out)[c].alias(c) for c in ("lang_pred", "score", "ambiguous")])
