@@ -20,14 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridstride.llm.langid import _spread
+from gridstride.llm.common import spread
 
 LENGTH, STRIDE = 32, 24
 WORDS, GRAMS = 1 << 12, 1 << 14
 SIZES = (3, 4, 5)
 WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 8, 16, 8, 8
-#: Bounds of the training sample: texts of each label, windows of a text.
-PER_LABEL, WINDOWS_OF_TEXT = 800, 16
+#: Bound of the training sample: texts of each label. All their windows are learnt from, at most so many at once.
+PER_LABEL, WINDOWS_AT_ONCE = 500, 2048
 #: A run without white space is one word up to so many bytes; a longer one is read in pieces of that size that start so far apart.
 WORD_BYTES, PIECE_STEP = 40, 24
 MEMO = 200_000
@@ -199,10 +199,10 @@ class Network:
         return g, dgates[1:]
 
 
-def fit(bags: list[list[list[bytes]]], labels: list[int], epochs: int = 5, bag_batch: int = 48, seed: int = 5) -> Network:
-    """Train on texts given as lists of windows of words; the loss of a text is that of its windows' soft maximum."""
+def fit(texts: list[list[bytes]], labels: list[int], epochs: int = 5, bag_batch: int = 48, seed: int = 5) -> Network:
+    """Train on whole texts given as lists of words; the loss of a text is that of its windows' soft maximum."""
     net, random = Network(), np.random.default_rng(seed)
-    names = sorted({w for bag in bags for win in bag for w in win})
+    names = sorted(set().union(*texts)) if texts else []
     number = {w: i for i, w in enumerate(names)}
     ids, grams, counts = word_inputs(names)
     starts = np.cumsum(counts) - counts
@@ -212,18 +212,17 @@ def fit(bags: list[list[list[bytes]]], labels: list[int], epochs: int = 5, bag_b
         net.p["out_b"][:] = 8.0 if labels and labels[0] else -8.0
         return net
     table = []
-    for bag in bags:
-        idx = np.zeros((len(bag), LENGTH), np.int64)
-        for i, win in enumerate(bag):
-            idx[i, : len(win)] = [number[w] + 1 for w in win]
-        table.append(idx)
+    for words in texts:
+        flat = np.fromiter((number[w] + 1 for w in words), np.int64, len(words))
+        place = np.array(windows_of(len(words)))[:, None] + np.arange(LENGTH)
+        table.append(np.where(place < len(flat), flat[np.minimum(place, len(flat) - 1)], 0))
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items() if k != "scale"}
     balance = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
-    epochs = max(epochs, 240 // -(-len(bags) // bag_batch))  # few texts are seen more often
-    steps, total = 0, epochs * -(-len(bags) // bag_batch)
+    epochs = max(epochs, 240 // -(-len(texts) // bag_batch))  # few texts are seen more often
+    steps, total = 0, epochs * -(-len(texts) // bag_batch)
     for _ in range(epochs):
         wrong = 0.0
-        order = random.permutation(len(bags))
+        order = random.permutation(len(texts))
         for lo in range(0, len(order), bag_batch):
             at = order[lo : lo + bag_batch]
             idx = np.concatenate([table[i] for i in at])
@@ -234,15 +233,24 @@ def fit(bags: list[list[list[bytes]]], labels: list[int], epochs: int = 5, bag_b
             at_grams = np.repeat(starts[w] - np.cumsum(counts[w]) + counts[w], counts[w]) + np.arange(counts[w].sum())
             own = grams[at_grams]
             x = net.vectors(ids[w], own, counts[w])
-            tape: dict = {}
-            z = net.logits(net.gates(x), local, tape)
+            gates = net.gates(x)
+            parts = [local[k : k + WINDOWS_AT_ONCE] for k in range(0, len(local), WINDOWS_AT_ONCE)]  # long texts in parts, so that memory is bounded
+            tapes: list[dict] = [{} for _ in parts]
+            z = np.concatenate([net.logits(gates, part, tape if len(parts) == 1 else None) for part, tape in zip(parts, tapes, strict=True)])
             first = np.cumsum(sizes) - sizes
             e = np.exp(2 * (z - np.repeat(np.maximum.reduceat(z, first), sizes)))
             share = e / np.repeat(np.add.reduceat(e, first), sizes)
             bag = np.add.reduceat(share * z, first)
             pull = (_sigmoid(bag) - y[at]) * balance[at] / len(at)
             wrong += float(np.abs(pull).sum())
-            g, dgates = net.gradient(tape, (np.repeat(pull, sizes) * share).astype(np.float32), len(w) + 1)
+            dlogit = (np.repeat(pull, sizes) * share).astype(np.float32)
+            g, dgates = {}, 0
+            for k, (part, tape) in enumerate(zip(parts, tapes, strict=True)):
+                if not tape:
+                    net.logits(gates, part, tape)
+                some, more = net.gradient(tape, dlogit[k * WINDOWS_AT_ONCE : (k + 1) * WINDOWS_AT_ONCE], len(w) + 1)
+                tape.clear()
+                g, dgates = {name: g.get(name, 0) + d for name, d in some.items()}, dgates + more
             dx = 0
             for k, side in enumerate("fb"):
                 part = dgates[:, 3 * k * HIDDEN : 3 * (k + 1) * HIDDEN]
@@ -261,7 +269,7 @@ def fit(bags: list[list[list[bytes]]], labels: list[int], epochs: int = 5, bag_b
         if wrong / -(-len(order) // bag_batch) < 0.003:  # learnt
             break
     gates = net.gates(net.vectors(ids, grams, counts))
-    top = np.array([net.logits(gates, t).max() for t in table])
+    top = np.array([max(net.logits(gates, t[k : k + WINDOWS_AT_ONCE]).max() for k in range(0, len(t), WINDOWS_AT_ONCE)) for t in table])
     a, b = 1.0, 0.0  # logistic calibration of the largest logit, by Newton steps
     for _ in range(25):
         q = _sigmoid(a * top + b)
@@ -323,31 +331,19 @@ class Scorer:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = PER_LABEL) -> Network:
-    """Fit on at most ``per_label`` labelled texts of each label, and at most ``WINDOWS_OF_TEXT`` windows of each.
+    """Fit on at most ``per_label`` labelled texts of each label, and all windows of each.
 
     ``labels`` has the ids and 0/1 labels to learn from; null ids and labels are
     left out. Without texts of both labels the network gives one score to all.
+    The same tables give the same network however they are partitioned.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)")
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}  # two rows
     share = F.when(F.col("label") == 1, per_label / max(1, counts.get(1, 0))).otherwise(per_label / max(1, counts.get(0, 0)))
-    sample = known.where(_spread("toxicity", "id") < share).limit(3 * per_label)  # bounded
+    sample = known.where(spread("toxicity", "id") < share).limit(3 * per_label)  # bounded
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null").join(F.broadcast(sample), "id").select("label", "text")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            labels, bags = [], []
-            for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = words_of(text)
-                starts = windows_of(len(words))
-                starts = [starts[i * len(starts) // WINDOWS_OF_TEXT] for i in range(WINDOWS_OF_TEXT)] if len(starts) > WINDOWS_OF_TEXT else starts
-                if starts:
-                    labels.append(label)
-                    bags.append([words[s : s + LENGTH] for s in starts])
-            yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array(bags, pa.list_(pa.list_(pa.binary())))], names=["label", "bag"])
-
-    found = texts.mapInArrow(cut, "label int, bag array<array<binary>>").limit(3 * per_label).collect()  # bounded by the parameters
-    return fit([[[bytes(w) for w in win] for win in r["bag"]] for r in found], [r["label"] for r in found])
+    found = sorted((r["label"], words) for r in texts.limit(3 * per_label).toLocalIterator() if (words := words_of(r["text"])))  # bounded by the parameter
+    return fit([words for _, words in found], [label for label, _ in found])
 
 
 def toxicity(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

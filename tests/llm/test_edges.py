@@ -322,6 +322,19 @@ def test_language_id(spark, docs, none):
     assert {r.lang_pred for r in langid.identify(table, one).collect()} == {"xx"}
 
 
+def test_language_id_of_marks_and_many_languages(spark):
+    rows = [(i, " ".join(chr(0x4E00 + 40 * (i % 70) + (i * k) % 37) * 2 for k in range(1, 30)), f"l{i % 70}", "mine") for i in range(70 * 12)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, _language string")
+    model = langid.train(table.where("doc_id div 70 != 3"))
+    assert len(model.languages) == 70 and np.abs(model.code).min() == 1
+    found = langid.identify(table, model)
+    assert found.where("lang_pred = lang and _language = 'mine'").count() >= 0.9 * len(rows)
+    again = langid.train(table.where("doc_id div 70 != 3").repartition(7))
+    assert np.array_equal(model.weights, again.weights)
+    odd = spark.createDataFrame([(1, "½ ①"), (2, "²3 _ Ⅷ"), (3, "ß")], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred == "und" for r in langid.identify(odd, model).collect()} == {1: True, 2: True, 3: False}
+
+
 def test_codewords_are_far_apart():
     code = langid.codewords(4)
     assert min((code[a] != code[b]).sum() for a in range(4) for b in range(a)) >= 7
@@ -338,6 +351,16 @@ def test_toxicity(spark, docs, none):
     assert toxicity.toxicity(docs, toxicity.fit([], [])).where("predicted = 0").count() == docs.count()
 
 
+def test_long_texts_are_learnt_in_parts(monkeypatch):
+    r = random.Random(3)
+    texts = [[("bad" if k % 2 and j == 150 else r.choice(WORDS)).encode() for j in range(200)] for k in range(12)]
+    whole = toxicity.fit(texts, [k % 2 for k in range(12)], epochs=1)
+    monkeypatch.setattr(toxicity, "WINDOWS_AT_ONCE", 5)
+    parts = toxicity.fit(texts, [k % 2 for k in range(12)], epochs=1)
+    scores = [toxicity.Scorer(net).score([" ".join(map(bytes.decode, t)) for t in texts]) for net in (whole, parts)]
+    assert np.allclose(*scores, atol=0.05) and all((s >= 0.5) == bool(k % 2) for k, s in enumerate(scores[0]))
+
+
 def test_gradient_of_the_network():
     net = toxicity.Network()
     net.p = {k: v.astype(float) for k, v in net.p.items()}
