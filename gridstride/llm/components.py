@@ -2,7 +2,7 @@
 
 Each round replaces a node's links by links to the smallest node it knows: first
 from its larger neighbours (large star), then from its smaller ones (small star).
-The tables stay distributed; only a count and a checksum reach the driver.
+The tables stay distributed; only whether a round was the last reaches the driver.
 """
 
 from __future__ import annotations
@@ -16,50 +16,66 @@ from pyspark.sql import functions as F
 from gridstride.llm.common import durable
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+#: Links that a task joins at once, and parts into which a node's links are dealt where they meet its least neighbour.
+CHUNK, SALTS = 200_000, 8
+
+
+def _reduced(links: list[tuple[int, int]]) -> pa.RecordBatch:
     """Union-find within a task: as many links as nodes, at most."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        root = x
+        while (up := parent.setdefault(root, root)) != root:
+            root = up
+        while parent[x] != root:
+            parent[x], x = root, parent[x]
+        return root
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+    kept = [(x, find(x)) for x in parent if find(x) != x]
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in kept], pa.int64()) for i in (0, 1)], names=["u", "v"])
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[tuple[int, int]] = []
     for batch in batches:
-        parent: dict[int, int] = {}
+        held += zip(*(c.to_pylist() for c in batch.columns), strict=True)
+        if len(held) > CHUNK:
+            yield _reduced(held)
+            held = []
+    yield _reduced(held)
 
-        def find(x: int, parent: dict[int, int] = parent) -> int:
-            root = x
-            while (up := parent.setdefault(root, root)) != root:
-                root = up
-            while parent[x] != root:
-                parent[x], x = root, parent[x]
-            return root
 
-        for a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            a, b = find(a), find(b)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-        links = [(x, find(x)) for x in parent if find(x) != x]
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["u", "v"])
+def _with_least(rows: DataFrame, least: DataFrame) -> DataFrame:
+    """Join (u, v) with (u, m) in several parts of each u, so that a hub's links are not one task."""
+    salted = least.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return rows.withColumn("part", F.pmod("v", F.lit(SALTS).cast("long"))).join(salted, ["u", "part"]).drop("part")
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for every node of ``links`` (two long columns); root is the smallest node of its component.
 
     Nulls and links of a node to itself are ignored, repeated links are one, and
-    an empty table gives no rows.
+    an empty table gives no rows. The number of rounds grows with the logarithm of
+    the nodes; more than ``rounds`` of them are an error.
     """
     a, b = links.columns
     edges = links.where(f"{a} is not null and {b} is not null and {a} != {b}").select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-    edges = durable(edges.mapInArrow(_forest, "u long, v long"))
-    state = None
+    edges = durable(edges.mapInArrow(_forest, "u long, v long").distinct())
     for _ in range(rounds):
+        # settled: every node has one link, and none leads on
+        ends = edges.select("u", F.lit(1).alias("out")).union(edges.select("v", F.lit(0)).distinct())
+        if ends.groupBy("u").agg(F.sum("out").alias("out"), F.min("out").alias("low")).where("out > 1 or out = 1 and low = 0").isEmpty():
+            roots = edges.select("v").distinct()
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots.select(F.col("v").alias("node"), F.col("v").alias("root")))
         both = edges.union(edges.select(F.col("v"), F.col("u")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = _with_least(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").union(least.select("u", F.col("m").alias("v"))).distinct()
+        small = _with_least(large, least).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").union(least.select("u", F.col("m").alias("v"))).distinct()
         edges = durable(small)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
-            break
-        state = now
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    roots = edges.select("v").distinct()
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots.select(F.col("v").alias("node"), F.col("v").alias("root")))
+    raise RuntimeError(f"components did not settle in {rounds} rounds")

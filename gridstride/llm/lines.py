@@ -3,15 +3,16 @@
 1. Each distinct line's character shingles give a signature (one permutation for
    long lines, one per row for short ones), cut into bands. Band keys are dealt to
    hash ranges, which name the lines that share a key with another line.
-2. Only for these lines, sketches of 64 bytes are compared within each key. Pairs
-   that are clearly too different are let go; the rest form families, by
-   distributed union-find.
-3. A family's lines meet once, in blocks of bounded size, and their Jaccard
-   similarity is computed exactly. Verified links form the final components, again
-   by distributed union-find, and the first line of each stays.
-
-The texts of the lines that steps 2 and 3 need are picked in the scan by a bitmap
-of fixed size. Lines are told apart by 64-bit hashes.
+2. Only the texts of these lines are read again, picked by a bitmap of fixed size,
+   each with a sketch of 70 bytes of its signature. Sketches are compared within
+   each key: pairs that are clearly too different are let go, the rest form
+   families, by distributed union-find.
+3. A family's lines meet, and their Jaccard similarity is computed exactly. A large
+   family is first verified line by line against its root; the lines that this does
+   not join meet all others in blocks of bounded size. Verified links form the final
+   components, again by distributed union-find, and the first line of each stays.
+
+Lines are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -19,23 +20,27 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridstride.llm.common import durable, partitions
+from gridstride.llm.common import durable, fresh, partitions
 from gridstride.llm.components import components
 from gridstride.llm.substring import _mix, _planes, _values
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: With 14 bands of 5 rows a pair at 0.8 shares a band with probability 0.996.
 BANDS, ROWS = 14, 5
-#: From so many shingles on, one permutation does; up to 1 / SIMILARITY times as many, both kinds are made.
-LONG = 128
-#: Sketches of 64 bytes agree in 51 +- 4 at similarity 0.8. Lines of under FEW shingles have a permutation for each byte:
-#: in bins, a shingle of theirs would own a run of bytes.
-BINS, SAME, FEW = 64, 36, 64
+WIDTH = BANDS * ROWS
+#: From so many distinct shingles on, one permutation does; up to the second number, both kinds are made. Numbers are
+#: estimated from the filled bins of COUNT, alike for like lines; the second leaves room for 1 / SIMILARITY and its error.
+LONG, SHORT, COUNT = 128, 184, 512
+#: Sketches agree in 56 +- 3.4 of 70 bytes at similarity 0.8.
+SAME = 40
+#: Lines of up to so many shingles, and so many hashes, are packed into one matrix.
+PACK = 1 << 16
 BITMAP = 1 << 26
 BLOCK = 1500
 SLICE = 1 << 20
@@ -49,104 +54,125 @@ def lines_of(text: str | None) -> list[str]:
     return (text or "").split("\n")
 
 
-def all_shingles(lines: list[str], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of each line's shingles of characters, repeats included, and how many each has; a shorter line is one shingle."""
+def _hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """32-bit hashes of the shingles of lines that are not empty, repeats included, and how many each has; a shorter line is one shingle."""
     sizes = np.fromiter(map(len, lines), np.int64, len(lines))
-    data = np.frombuffer("".join(lines).encode("utf-32-le"), "<u4").astype(np.uint64)
-    counts = np.maximum(sizes - size + 1, np.minimum(sizes, 1))
-    n = max(0, len(data) - size + 1)
-    h = np.zeros(len(data), np.uint64)
-    for k in range(size):
-        h[:n] *= np.uint64(0x9E3779B97F4A7C15)
+    data = np.frombuffer("".join(lines).encode("utf-32-le"), "<u4")
+    n, ends = max(0, len(data) - SHINGLE + 1), np.cumsum(sizes)
+    h = np.zeros(len(data), np.uint32)
+    h[:n] = data[:n]
+    for k in range(1, SHINGLE):
+        h[:n] *= np.uint32(0x9E3779B1)
         h[:n] += data[k : k + n]
-    starts = np.cumsum(sizes) - sizes
-    for i in np.flatnonzero(sizes < size).tolist():  # whole lines, told apart from shingles by their size
-        if sizes[i]:
-            h[starts[i]] = np.uint64(xxhash.xxh64_intdigest(lines[i].encode()))
-    first = np.repeat(starts, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    return _mix(h[first]), counts
-
-
-def shingles(lines: list[str], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """As above, each line's distinct shingles."""
-    h, counts = all_shingles(lines, size)
-    owner = np.repeat(np.arange(len(lines)), counts)
-    order = np.lexsort((h, owner))
-    h, owner = h[order], owner[order]
-    new = np.concatenate(([True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1]))) if len(h) else np.zeros(0, bool)
-    return h[new], np.bincount(owner[new], minlength=len(lines))
-
-
-def _many(h: np.ndarray, counts: np.ndarray, rows: int, seed: int) -> np.ndarray:
-    """MinHash with a permutation for each row."""
-    random = np.random.default_rng(seed)
-    a, b = random.integers(1, 1 << 31, rows, np.uint32) * np.uint32(2) + np.uint32(1), random.integers(0, 1 << 32, rows, np.uint32)
-    starts, low = np.cumsum(counts) - counts, h.astype(np.uint32)
-    return np.stack([np.minimum.reduceat(low * a[k] + b[k], starts) for k in range(rows)], axis=1).astype(np.uint64)
-
-
-def _one(h: np.ndarray, counts: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """One-permutation MinHash: the least hash of each bin, empty bins borrowing from the next; and how many distinct hashes each line has."""
-    order = (h >> np.uint64(32)) * np.uint64(rows) >> np.uint64(32)
-    order += np.repeat(np.arange(len(counts), dtype=np.uint64) * np.uint64(rows), counts)
-    order = np.sort(order << np.uint64(32) | (h & np.uint64(0xFFFFFFFF)))
-    new = np.concatenate(([True], order[1:] != order[:-1]))
-    distinct = np.add.reduceat(new, np.cumsum(counts) - counts, dtype=np.int64)
-    slots = (order >> np.uint64(32)).view(np.int64)
-    first = np.concatenate(([True], slots[1:] != slots[:-1]))
-    out = np.full(len(counts) * rows, -1, np.int64)
-    out[slots[first]] = (order[first] & np.uint64(0xFFFFFFFF)).view(np.int64)
-    out = out.reshape(-1, rows)
-    for _ in range(rows):
-        at = np.flatnonzero((out < 0).any(1))
-        if not len(at):
+    for i in np.flatnonzero(sizes < SHINGLE).tolist():  # whole lines, told apart from shingles by their size
+        h[ends[i] - sizes[i]] = xxhash.xxh32_intdigest(lines[i].encode())
+    first = np.ones(len(data), bool)  # where a shingle, or a short line, begins
+    for k in range(1, SHINGLE):
+        first[(ends - k)[sizes > k]] = False
+    h, counts = h[first], np.maximum(sizes - SHINGLE + 1, 1)
+    h ^= h >> np.uint32(15)
+    h *= np.uint32(0x85EBCA6B)
+    h ^= h >> np.uint32(13)
+    h *= np.uint32(0xC2B2AE35)
+    h ^= h >> np.uint32(16)
+    return h, counts
+
+
+_RANDOM = np.random.default_rng(11)
+_TIMES, _PLUS = _RANDOM.integers(1, 1 << 31, WIDTH, np.uint32) * np.uint32(2) + np.uint32(1), _RANDOM.integers(0, 1 << 32, WIDTH, np.uint32)
+
+
+def _many(h: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """MinHash with a permutation for each row, of lines of few distinct shingles. Lines of about one size are packed into a matrix."""
+    order = np.argsort(counts, kind="stable")
+    sizes, out, lo = counts[order], np.empty((len(counts), WIDTH), np.uint32), 0
+    while lo < len(order):
+        hi = int(np.searchsorted(sizes, sizes[lo] + max(8, sizes[lo] // 8), side="right"))
+        hi = min(hi, lo + max(1, PACK // int(sizes[hi - 1])))
+        at = order[lo:hi]
+        block = h[starts[at] + np.minimum(np.arange(sizes[hi - 1])[:, None], counts[at] - 1)]  # a line's last shingle fills its column
+        turned, least = np.empty_like(block), np.empty((WIDTH, len(at)), np.uint32)
+        for k in range(WIDTH):
+            np.multiply(block, _TIMES[k], out=turned)
+            np.add(turned, _PLUS[k], out=turned)
+            np.minimum.reduce(turned, axis=0, out=least[k])
+        out[at] = least.T
+        lo = hi
+    return out
+
+
+def _one(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """One-permutation MinHash: the least hash of each bin, empty bins borrowing from the next."""
+    n = len(counts)
+    slot = h >> np.uint32(16)
+    slot *= np.uint32(WIDTH)
+    slot >>= np.uint32(16)
+    at = np.repeat(np.arange(n, dtype=np.int64) * WIDTH, counts) + slot
+    none = np.uint32(0xFFFFFFFF)
+    out = np.full(n * WIDTH, none, np.uint32)
+    np.minimum.at(out, at, h * np.uint32(0x27D4EB2F))
+    out = out.reshape(-1, WIDTH)
+    for _ in range(WIDTH):
+        empty = np.flatnonzero((out == none).any(1))
+        if not len(empty):
             break
-        part = out[at]
-        out[at] = np.where(part < 0, np.roll(part, -1, axis=1), part)
-    return out.astype(np.uint64), distinct
+        part = out[empty]
+        out[empty] = np.where(part == none, np.roll(part, -1, axis=1), part)
+    return out
 
 
-def _keys(signature: np.ndarray, kind: int) -> np.ndarray:
-    bands = signature.reshape(len(signature), BANDS, ROWS)
-    h = np.full(bands.shape[:2], np.uint64(kind)) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    for k in range(ROWS):
-        h = _mix(h ^ bands[:, :, k]) + np.uint64(k)
-    return h
+def signatures(lines: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each kind, short and long: the numbers of its lines, and a row of values for each of them."""
+    if not lines:
+        return [(np.zeros(0, np.int64), np.zeros((0, WIDTH), np.uint32))] * 2
+    h, counts = _hashes(lines)
+    starts = np.cumsum(counts) - counts
+    seen = counts.copy()
+    some = np.flatnonzero(counts >= LONG)  # others have fewer distinct ones for sure
+    for lo in range(0, len(some), 4096):
+        at = some[lo : lo + 4096]
+        filled = np.zeros((len(at), COUNT), bool)
+        use = np.repeat(starts[at] - np.cumsum(counts[at]) + counts[at], counts[at]) + np.arange(counts[at].sum())
+        filled.reshape(-1)[np.repeat(np.arange(len(at)) * COUNT, counts[at]) + (h[use] >> np.uint32(23))] = True
+        share = np.minimum(filled.mean(1), 1 - 0.5 / COUNT)
+        seen[at] = np.floor(-COUNT * np.log1p(-share))
+    short, long = np.flatnonzero(seen < SHORT), np.flatnonzero(seen >= LONG)
+    in_long = np.repeat(seen >= LONG, counts)
+    return [(short, _many(h, starts[short], counts[short])), (long, _one(h[in_long], counts[long]))]
 
 
 def band_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """All band keys of the lines, and the line of each."""
-    if not lines:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    h, counts = all_shingles(lines)
-    one, distinct = _one(h, counts, BANDS * ROWS)
-    long, short = np.flatnonzero(distinct >= LONG), np.flatnonzero(distinct < LONG / SIMILARITY)
-    keys, owners = [_keys(one[long], 1).ravel()], [np.repeat(long, BANDS)]
-    if len(short):
-        part = h[np.repeat(distinct < LONG / SIMILARITY, counts)]
-        keys.append(_keys(_many(part, counts[short], BANDS * ROWS, 11), 0).ravel())
-        owners.append(np.repeat(short, BANDS))
+    keys, owners = [], []
+    for kind, (at, rows) in enumerate(signatures(lines)):
+        bands = rows.reshape(len(rows), BANDS, ROWS).astype(np.uint64)
+        h = np.full(bands.shape[:2], np.uint64(kind + 1))
+        for k in range(ROWS):
+            h = (h + bands[:, :, k]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        keys.append(_mix(h + np.arange(BANDS, dtype=np.uint64)).ravel())
+        owners.append(np.repeat(at, BANDS))
     return np.concatenate(keys), np.concatenate(owners)
 
 
 def sketches(lines: list[str]) -> np.ndarray:
-    """64 bytes of a MinHash (one permutation for lines of ``FEW`` shingles or more, else one for each byte), and how many shingles the line has, 255 at most."""
-    if not lines:
-        return np.zeros((0, BINS + 1), np.uint8)
-    h, counts = all_shingles(lines)
-    least, distinct = _one(h, counts, BINS)
-    few = distinct < FEW
-    if few.any():
-        least[few] = _many(h[np.repeat(few, counts)], counts[few], BINS, 17)
-    return np.concatenate(((_mix(least) & np.uint64(255)).astype(np.uint8), np.minimum(distinct, 255).astype(np.uint8)[:, None]), axis=1)
+    """A row of bytes for each line: whether it has a sketch of each kind, and both sketches (zeros where there is none)."""
+    out = np.zeros((len(lines), 2 + 2 * WIDTH), np.uint8)
+    for kind, (at, rows) in enumerate(signatures(lines)):
+        out[at, kind] = 1
+        out[at, 2 + kind * WIDTH : 2 + (kind + 1) * WIDTH] = (rows * np.uint32(0x9E3779B1)) >> np.uint32(24)
+    return out
 
 
 def alike(sketch: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """Whether two lines may reach the similarity: by their numbers of shingles, and by their sketches if these are of one kind."""
-    size, sizes = int(sketch[-1]), others[:, -1].astype(np.int64)
-    near = np.minimum(size, sizes) >= SIMILARITY * np.maximum(size, sizes) - 1e-9
-    mixed = (size < FEW) != (sizes < FEW)
-    return near & (mixed | ((sketch[:-1] == others[:, :-1]).sum(1) >= SAME))
+    """Whether two lines may reach the similarity: by their sketches of a kind that both have; lines without one are let through."""
+    agree, both = np.zeros(len(others), np.int64), np.zeros(len(others), bool)
+    for kind in (0, 1):
+        have = (others[:, kind] & sketch[..., kind]).astype(bool)
+        lo, hi = 2 + kind * WIDTH, 2 + (kind + 1) * WIDTH
+        agree = np.maximum(agree, np.where(have, (sketch[..., lo:hi] == others[:, lo:hi]).sum(1), 0))
+        both |= have
+    return ~both | (agree >= SAME)
 
 
 def forest(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
@@ -162,22 +188,35 @@ def forest(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[
     return links
 
 
+def _sets(line: str, size: int = SHINGLE) -> set[str]:
+    return {line[i : i + size] for i in range(len(line) - size + 1)} or {line}
+
+
+def similar(a: set[str], b: set[str], similarity: float) -> bool:
+    both = len(a & b) if min(len(a), len(b)) >= similarity * max(len(a), len(b)) - 1e-9 else 0
+    return both >= similarity * (len(a) + len(b) - both) - 1e-9 and both > 0
+
+
 def links_within(lines: list[str], similarity: float = SIMILARITY) -> list[tuple[int, int]]:
     """A spanning forest of the pairs of lines whose shingle sets reach the Jaccard similarity, by exact intersections."""
-    h, counts = shingles(lines)
-    n, starts = len(lines), np.cumsum(counts) - counts
-    values, ids = np.unique(h, return_inverse=True)
-    posting, ends = np.repeat(np.arange(n), counts)[np.argsort(ids, kind="stable")], np.cumsum(np.bincount(ids, minlength=len(values)))
+    sets = [_sets(x) for x in lines]
+    if len(lines) <= 8:
+        return forest(len(lines), lambda i, apart: np.array([j for j in apart.tolist() if similar(sets[i], sets[j], similarity)], np.int64))
+    ids: dict[str, int] = {}
+    numbers = [np.fromiter((ids.setdefault(x, len(ids)) for x in own), np.int64, len(own)) for own in sets]
+    counts = np.fromiter(map(len, sets), np.int64, len(sets))
+    flat = np.concatenate(numbers)
+    posting, ends = np.repeat(np.arange(len(lines)), counts)[np.argsort(flat, kind="stable")], np.cumsum(np.bincount(flat, minlength=len(ids)))
 
     def near(i: int, apart: np.ndarray) -> np.ndarray:
-        mine = ids[starts[i] : starts[i] + counts[i]]
+        mine = numbers[i]
         lo = np.where(mine > 0, ends[mine - 1], 0)
         sizes = ends[mine] - lo
         at = np.repeat(lo - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-        both = np.bincount(posting[at], minlength=n)[apart]
-        return apart[both >= similarity * (counts[i] + counts[apart] - both) - 1e-9]
+        both = np.bincount(posting[at], minlength=len(lines))[apart]
+        return apart[(both > 0) & (both >= similarity * (counts[i] + counts[apart] - both) - 1e-9)]
 
-    return forest(n, near)
+    return forest(len(lines), near)
 
 
 def _distinct_lines(texts: list[str | None]) -> dict[int, str]:
@@ -249,7 +288,7 @@ def _bitmap(lines: DataFrame) -> np.ndarray:
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(line, text) of the wanted lines, each once."""
+    """(line, text, sketch) of the wanted lines, each once; a few others pass the bitmap and do no harm."""
     shared = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted))  # of fixed size
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,69 +298,91 @@ def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             at = np.fromiter(found, np.int64, len(found)) % BITMAP
             use = words[at >> 5] >> (at & 31).astype(np.uint32) & 1
             kept = [x for x, u in zip(found.items(), use.tolist(), strict=True) if u]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in kept], pa.int64()), pa.array([v for _, v in kept], pa.string())], names=["line", "text"])
+            rows = sketches([v for _, v in kept])
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in kept], pa.int64()), pa.array([v for _, v in kept], pa.string()), pa.array([r.tobytes() for r in rows], pa.binary())], names=["line", "text", "sketch"])
 
-    return docs.select("text").mapInArrow(pick, "line long, text string").join(wanted, "line", "left_semi").dropDuplicates(["line"])
+    return docs.select("text").mapInArrow(pick, "line long, text string, sketch binary").dropDuplicates(["line"])
 
 
 def families(shared: DataFrame, texts: DataFrame, parts: int) -> DataFrame:
     """(node, root) of lines that stay close by their sketches under some band key."""
 
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 2000):
-                part = batch.slice(lo, 2000)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r.tobytes() for r in sketches(part.column(1).to_pylist())], pa.binary())], names=["line", "sketch"])
-
     def close(group: pa.Table) -> pa.Table:
         keys, lines = group.column("key").to_numpy(), group.column("line").to_numpy()
-        bits = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS + 1)
+        bits = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(len(lines), -1)
         order = np.argsort(keys, kind="stable")
         keys, lines, bits = keys[order], lines[order], bits[order]
         starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-        out: list[tuple[int, int]] = []
-        for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(keys)], strict=True):
-            if hi - lo > 2 * BLOCK:  # verified in blocks later; here all are taken for close
-                out += [(lo, k) for k in range(lo + 1, hi)]
-            else:
-                own = bits[lo:hi]
-                out += [(lo + x, lo + y) for x, y in forest(hi - lo, lambda i, apart, own=own: apart[alike(own[i], own[apart])])]
-        at = np.array(out, np.int64).reshape(-1, 2)
+        sizes = np.diff(np.append(starts, len(keys)))
+        twos = starts[sizes == 2]
+        out = [np.stack((twos, twos + 1), axis=1)[alike(bits[twos], bits[twos + 1])]]
+        more: list[tuple[int, int]] = []
+        for lo, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+            own = bits[lo : lo + n]
+            more += [(lo + x, lo + y) for x, y in forest(n, lambda i, apart, own=own: apart[alike(own[i], own[apart])])]
+        at = np.concatenate([*out, np.array(more, np.int64).reshape(-1, 2)])
         return pa.table({"a": lines[at[:, 0]], "b": lines[at[:, 1]]})
 
-    sketched = texts.mapInArrow(sketch, "line long, sketch binary")
-    joined = shared.join(sketched, "line").withColumn("part", F.pmod(F.xxhash64("key"), F.lit(4 * parts)))
+    joined = shared.join(texts.select("line", "sketch"), "line").withColumn("part", F.pmod(F.xxhash64("key"), F.lit(4 * parts)))
     return components(joined.groupBy("part").applyInArrow(close, "a long, b long"))
 
 
 def verified(family: DataFrame, texts: DataFrame, parts: int, similarity: float) -> DataFrame:
-    """(a, b): a spanning forest of the similar lines within each block pair of each family."""
-    sizes = family.groupBy("root").count().withColumn("blocks", F.ceil(F.col("count") / BLOCK)).select("root", "blocks")
-    rows = family.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.select(F.col("node").alias("line"), "root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    rows = rows.join(texts, "line").withColumn("part", F.pmod(F.xxhash64("root", "i", "j"), F.lit(4 * parts)))
+    """(a, b): links of similar lines that join each family's lines as all its similar pairs would.
+
+    A family of up to ``BLOCK`` lines is one group. The lines of a larger one are
+    compared with its root, row by row; only those that stay apart are dealt into
+    blocks, each of which meets the family's other blocks.
+    """
+    many = durable(family.groupBy("root").count().where(F.col("count") > BLOCK).select("root", "count"))
+    rows = family.select(F.col("node").alias("line"), "root").join(texts.select("line", "text"), "line")
+    small = rows.join(many, "root", "left_anti").select("line", "text", "root", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"))
+    if many.isEmpty():
+        return _checked(small, parts, similarity)
+
+    @F.pandas_udf("boolean")
+    def near_root(lines: pd.Series, roots: pd.Series) -> pd.Series:
+        known: dict[str, set[str]] = {}
+        for r in roots.unique():
+            known[r] = _sets(r)
+        return pd.Series([similar(_sets(x), known[r], similarity) for x, r in zip(lines, roots, strict=True)])
+
+    pivots = durable(many.join(texts.select(F.col("line").alias("root"), F.col("text").alias("pivot")), "root"))
+    large = durable(rows.join(pivots, "root").withColumn("near", near_root("text", "pivot")).drop("pivot"))
+    apart = durable(large.where(~F.col("near")).groupBy("root").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).join(many, "root").select("root", "blocks", F.ceil(F.col("count") / BLOCK).alias("all")))
+    placed = large.where(F.col("line") != F.col("root")).join(apart, "root")
+    hashed = F.xxhash64("line")
+    to_all = placed.where(~F.col("near")).select("line", "text", "root", F.pmod(hashed, "blocks").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("all") - 1)).alias("j"))
+    to_apart = placed.select("line", "text", "root", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("i"), F.pmod(hashed, "all").alias("j"))
+    links = large.where("near and line != root").select(F.col("line").alias("a"), F.col("root").alias("b"))
+    return _checked(small, parts, similarity).union(links).union(_checked(to_all.union(to_apart), parts, similarity))
+
+
+def _checked(rows: DataFrame, parts: int, similarity: float) -> DataFrame:
+    """(a, b): a spanning forest of the similar lines within each cell (root, i, j)."""
 
     def check(group: pa.Table) -> pa.Table:
         group = group.sort_by([("root", "ascending"), ("i", "ascending"), ("j", "ascending"), ("line", "ascending")])
         lines, cell = group.column("line").to_numpy(), np.stack([group.column(c).to_numpy() for c in ("root", "i", "j")])
-        starts = np.flatnonzero(np.concatenate(([True], (cell[:, 1:] != cell[:, :-1]).any(0))))
-        texts, out = group.column("text").to_pylist(), []
+        new = (cell[:, 1:] != cell[:, :-1]).any(0)
+        once = np.concatenate(([True], new | (lines[1:] != lines[:-1])))
+        lines, texts = lines[once], group.column("text").filter(pa.array(once)).to_pylist()
+        starts = np.flatnonzero(np.concatenate(([True], new))[once])
+        out = []
         for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(lines)], strict=True):
             out += [(lo + x, lo + y) for x, y in links_within(texts[lo:hi], similarity)]
         at = np.array(out, np.int64).reshape(-1, 2)
         return pa.table({"a": lines[at[:, 0]], "b": lines[at[:, 1]]})
 
-    return rows.groupBy("part").applyInArrow(check, "a long, b long")
+    return rows.withColumn("part", F.pmod(F.xxhash64("root", "i", "j"), F.lit(4 * parts))).groupBy("part").applyInArrow(check, "a long, b long")
 
 
 def line_components(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(node, root): line hashes that have near copies, and the component of each. ``docs`` has a column text."""
     parts = partitions(docs.sparkSession)
     shared = durable(members(docs, parts))
-    texts = texts_of(docs, shared.select("line").distinct())
+    texts = durable(texts_of(docs, shared))
     family = durable(families(shared, texts, parts))
-    texts = texts_of(docs, family.select(F.col("node").alias("line")))
     return components(verified(family, texts, parts, similarity))
 
 
@@ -330,10 +391,12 @@ def deduplicate(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "
 
     Lines are what line feeds separate. Of each component of lines whose
     ``SHINGLE``-character shingles reach the Jaccard similarity, the line of the
-    smallest (id, position) stays. Lines of white space stay and are not
-    compared. Rows with equal ids share their decisions; rows with a null id come
-    first in order and lose no line. A null text stays null with no lines.
+    smallest (id, position) stays, null ids first. Lines of white space stay and
+    are not compared. Rows that share an id are told apart by their texts; rows
+    that share both keep and lose the same lines. A null text stays null with no
+    lines. Existing columns of the two names are replaced.
     """
+    docs = docs.drop("n_lines", "n_removed")
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = plain.schema["id"].dataType.simpleString()
     roots = line_components(plain, similarity)
@@ -341,33 +404,37 @@ def deduplicate(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, at, hashes = [], [], []
-            for row, text in enumerate(batch.column(1)):
+            for row, text in enumerate(batch.column(2)):
                 for k, x in enumerate(lines_of(text.as_py())):
                     if x and not x.isspace():
                         rows.append(row)
                         at.append(k)
                         hashes.append(_line_hash(x))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(at, pa.int64()), pa.array(hashes, pa.int64())], names=["id", "at", "node"])
-
-    place = plain.mapInArrow(places, f"id {kind}, at long, node long")
-    named = place.join(roots, "node", "left").select("id", "at", F.coalesce("root", "node").alias("label"))
-    firsts = named.groupBy("label").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    gone = named.join(firsts, "label").where("not (struct(id, at) <=> first)").groupBy("id").agg(F.collect_set("at").alias("gone"))
-    joined = docs.withColumn("_id", F.col(id_col)).join(gone.withColumnRenamed("id", "_id").withColumnRenamed("gone", "_gone"), "_id", "left").drop("_id")
-
-    @F.pandas_udf("text string, n_lines long, n_removed long")
-    def keep(texts, gone):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        out = []
+            where = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(where), batch.column(1).take(where), pa.array(at, pa.int64()), pa.array(hashes, pa.int64())], names=["id", "row", "at", "node"])
+
+    row_key = F.xxhash64(F.lit("row"), F.col(id_col), F.col(text_col))
+    place = durable(docs.select(F.col(id_col).alias("id"), row_key.alias("row"), F.col(text_col).alias("text")).mapInArrow(places, f"id {kind}, row long, at long, node long"))
+    # each line's first place, then each component's; only lines with several places can lose one
+    nodes = place.groupBy("node").agg(F.min(F.struct("id", "row", "at")).alias("first"), F.count("*").alias("n"))
+    nodes = durable(nodes.join(roots, "node", "left").where("root is not null or n > 1").select("node", "first", F.coalesce("root", "node").alias("label")))
+    firsts = durable(nodes.groupBy("label").agg(F.min("first").alias("keep")))
+    known = durable(nodes.join(firsts, "label").select("node", "keep.row", "keep.at"))  # joins of written tables, which Spark can split where a key is common
+    gone = place.join(known.select("node", F.col("row").alias("keep_row"), F.col("at").alias("keep_at")), "node").where("row != keep_row or at != keep_at")
+    key, lost, out = fresh(docs, "_row"), fresh(docs, "_gone"), fresh(docs, "_kept")
+    gone = gone.groupBy("row").agg(F.collect_set("at").alias(lost)).withColumnRenamed("row", key)
+    joined = docs.withColumn(key, row_key).join(gone, key, "left")
+
+    @F.pandas_udf("string")
+    def keep(texts: pd.Series, gone: pd.Series) -> pd.Series:
+        rest = []
         for text, drop in zip(texts, gone, strict=True):
-            if text is None:
-                out.append((None, 0, 0))
-                continue
-            lines, drop = lines_of(text), set(drop.tolist()) if drop is not None else ()
-            out.append((text, len(lines), 0) if not drop else ("\n".join([x for k, x in enumerate(lines) if k not in drop]), len(lines), len(drop)))
-        return pd.DataFrame(out, columns=["text", "n_lines", "n_removed"])
-
-    done = joined.withColumn("_kept", keep(F.col(text_col), F.col("_gone")))
-    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    return done.select(*[F.col("_kept.text").alias(c) if c == text_col else F.col(c) for c in names], "_kept.n_lines", "_kept.n_removed")
+            drop = set(drop.tolist()) if text is not None else ()
+            rest.append(text and "\n".join([x for k, x in enumerate(lines_of(text)) if k not in drop]))
+        return pd.Series(rest, dtype=object)
+
+    text, hit = F.col(text_col), F.col(lost).isNotNull()
+    done = joined.withColumn(out, keep(F.when(hit, text), F.col(lost)))
+    count = F.when(text.isNull(), 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
+    removed = F.when(hit, F.size(lost)).otherwise(0).cast("long")
+    return done.select(*[F.when(hit, F.col(out)).otherwise(text).alias(c) if c == text_col else F.col(c) for c in docs.columns], count.alias("n_lines"), removed.alias("n_removed"))

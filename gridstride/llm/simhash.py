@@ -109,7 +109,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, distance: int = DISTAN
     fps = durable(fingerprints(docs, size, id_col, text_col))
     classes = fps.groupBy("fp").agg(F.min("id").alias("least"))
     roots = components(near_pairs(classes.select("fp"), distance)).withColumnRenamed("node", "fp")
-    rooted = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    rooted = durable(classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    named = durable(rooted.groupBy("root").agg(F.min("least").alias("component_id")))  # written, so that Spark can split the join of a large component
     names = rooted.select("fp", "root").join(named, "root").select("fp", "component_id")
     return fps.join(names, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
