@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridstride.functions.geo import haversine
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def steps(path: DataFrame, key: str) -> DataFrame:
     """Add the previous point (plat, plng) and the metres from it."""
     w = Window.partitionBy(key).orderBy("i")
@@ -29,23 +41,82 @@ def resampled(path: DataFrame, key: str, every_m: float = 30.0) -> DataFrame:
     return hits.select(key, "k", (F.col("plat") + (F.col("lat") - F.col("plat")) * t).alias("lat"), (F.col("plng") + (F.col("lng") - F.col("plng")) * t).alias("lng"))
 
 
+#: Samples of a path that one task reduces to their turning points.
+CHUNK = 4096
+
+
+def turning_points(values: Iterable[float], least: float) -> list[float]:
+    """The ends of a series' rises and falls, without those of at most ``least`` that lie within larger ones.
+
+    Such a swing has no part in the climb of the whole, wherever the series stands
+    in a longer one, so parts can be reduced first and their results together again.
+    """
+    out: list[float] = []
+    for v in values:
+        if len(out) > 1 and (out[-1] - out[-2]) * (v - out[-1]) >= 0:
+            out[-1] = v  # the same direction goes on
+        elif not out or v != out[-1]:
+            out.append(v)
+        while len(out) > 3:
+            a, b, c, d = out[-4:]
+            if abs(b - c) > min(least, abs(a - b), abs(c - d)):
+                break
+            out[-4:] = [a, d] if a != d else [a]
+    return out
+
+
+def climb(values: list[float], least: float) -> float:
+    """The sum of the rises between turning points, those of at most ``least`` at either end left out."""
+    swings = np.diff(values)
+    large = np.flatnonzero(np.abs(swings) > least)
+    return float(np.maximum(swings[large[0] : large[-1] + 1], 0).sum()) if len(large) else 0.0
+
+
 def ascent(samples: DataFrame, key: str, order: str, value: str, hysteresis: float = 8.0) -> DataFrame:
-    """Metres climbed along each path's samples: climbs count once they exceed the hysteresis; nulls are skipped."""
-    ordered = samples.where(F.col(value).isNotNull()).groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, F.col(value).cast("double").alias("e")))), lambda s: s["e"]).alias("es"))
-    fold = f"""aggregate(es, named_struct('low', cast(null as double), 'top', cast(null as double), 'up', false, 'sum', 0D), (s, e) -> case
-        when s.low is null then named_struct('low', e, 'top', s.top, 'up', false, 'sum', s.sum)
-        when not s.up and e < s.low then named_struct('low', e, 'top', s.top, 'up', false, 'sum', s.sum)
-        when not s.up and e - s.low > {hysteresis}D then named_struct('low', s.low, 'top', e, 'up', true, 'sum', s.sum + e - s.low)
-        when s.up and e > s.top then named_struct('low', s.low, 'top', e, 'up', true, 'sum', s.sum + e - s.top)
-        when s.up and s.top - e > {hysteresis}D then named_struct('low', e, 'top', s.top, 'up', false, 'sum', s.sum)
-        else s end).sum"""
-    return ordered.select(key, F.expr(fold).alias("ascent_m"))
+    """Metres climbed along each path's samples: only swings larger than the hysteresis count; nulls are skipped.
+
+    Stretches of ``CHUNK`` samples become turning points first, so that a long path
+    is no single group.
+    """
+    rows = samples.where(F.col(value).isNotNull()).select(F.col(key).alias("key"), F.floor(F.col(order) / CHUNK).alias("chunk"), F.col(order).cast("double").alias("at"), F.col(value).cast("double").alias("e"))
+    kind = rows.schema["key"].dataType.simpleString()
+
+    def reduce(group: pa.Table) -> pa.Table:
+        ordered = group.sort_by("at").column("e").to_pylist()
+        return pa.table({"key": group.column("key")[:1], "chunk": group.column("chunk")[:1], "turns": pa.array([turning_points(ordered, hysteresis)], pa.list_(pa.float64()))})
+
+    def total(group: pa.Table) -> pa.Table:
+        turns = [v for part in group.sort_by("chunk").column("turns").to_pylist() for v in part]
+        return pa.table({"key": group.column("key")[:1], "ascent_m": pa.array([climb(turning_points(turns, hysteresis), hysteresis)], pa.float64())})
+
+    parts = rows.groupBy("key", "chunk").applyInArrow(reduce, f"key {kind}, chunk long, turns array<double>")
+    return parts.groupBy("key").applyInArrow(total, f"key {kind}, ascent_m double").withColumnRenamed("key", key)
+
+
+def sampled(path: DataFrame, key: str, every_m: float = 30.0) -> DataFrame:
+    """(key, k, lat, lng): a path's first point, a point each ``every_m`` metres, and its last point, numbered by ``k`` in order."""
+    ends = path.groupBy(key).agg(F.min_by(F.struct("lat", "lng"), "i").alias("a"), F.max_by(F.struct("lat", "lng"), "i").alias("b"), F.count("*").alias("n"))
+    first = ends.select(key, F.lit(0).cast("long").alias("k"), "a.lat", "a.lng")
+    last = ends.where("n > 1").select(key, F.lit((1 << 62)).alias("k"), "b.lat", "b.lng")
+    return first.union(resampled(path, key, every_m).select(key, "k", "lat", "lng")).union(last)
+
+
+def without_collinear(path: DataFrame, key: str) -> DataFrame:
+    """Drop points (x, y) at which a path goes straight on; its ends and points where it turns back stay."""
+    w = Window.partitionBy(key).orderBy("i")
+    ux, uy = F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w)
+    vx, vy = F.lead("x").over(w) - F.col("x"), F.lead("y").over(w) - F.col("y")
+    on = (ux * vy - uy * vx == 0) & (ux * vx + uy * vy > 0)
+    kept = fresh(path, "_on")
+    return path.withColumn(kept, F.coalesce(on, F.lit(False))).where(~F.col(kept)).drop(kept)
 
 
 def without_repeats(path: DataFrame, key: str, cell: str) -> DataFrame:
     """Drop points in the same cell as the one before."""
-    before = F.lag(cell).over(Window.partitionBy(key).orderBy("i"))
-    return path.withColumn("_b", before).where(~F.col(cell).eqNullSafe(F.col("_b"))).drop("_b")
+    first = F.row_number().over(Window.partitionBy(key).orderBy("i")) == 1
+    same = F.col(cell).eqNullSafe(F.lag(cell).over(Window.partitionBy(key).orderBy("i")))
+    name = fresh(path, "_same")
+    return path.withColumn(name, same & ~first).where(~F.col(name)).drop(name)
 
 
 def farthest(path: DataFrame, key: str) -> DataFrame:

@@ -38,11 +38,11 @@ def test_used_cells_cost_more():
 
 def test_distances_across_tiles_equal_dijkstra(spark):
     random = np.random.default_rng(1)
-    mask = random.random((70, 50)) < 0.75
+    mask = random.random((150, 70)) < 0.75
     mask[0, 0] = True
     got = {(r.y, r.x): r.metres for r in G.distances(walk(spark, mask), (0, 0), 2.0).collect()}
     start = np.where(np.arange(mask.size).reshape(mask.shape) == 0, 0.0, INF)
-    best = G._relax(mask, start, True, 2.0)
+    best = G._relax(mask, start, 2.0, 2.0 * math.sqrt(2))
     assert set(got) == {tuple(map(int, p)) for p in zip(*np.nonzero(np.isfinite(best)), strict=True)}
     assert all(math.isclose(best[p], m, abs_tol=1e-9) for p, m in got.items())
 
@@ -116,6 +116,69 @@ def test_ascent_ignores_small_climbs(spark):
     assert {r.k: r.ascent_m for r in paths.ascent(rows, "k", "i", "e").collect()} == {1: 31.0}
 
 
+def fold(values, least):
+    low, top, total = None, None, 0.0
+    for e in values:
+        if low is None:
+            low = e
+        elif top is None:
+            low = min(low, e)
+            if e - low > least:
+                total, top = total + e - low, e
+        elif e > top:
+            total, top = total + e - top, e
+        elif top - e > least:
+            low, top = e, None
+    return total
+
+
+def test_ascent_equals_an_ordered_fold_in_whole_and_in_parts(spark, monkeypatch):
+    random = np.random.default_rng(8)
+    rows = []
+    for k in range(300):
+        steps = random.integers(-9, 10, random.integers(1, 90)) if k % 2 else random.normal(0, 5, 60)
+        values = np.cumsum(steps).tolist()
+        want = fold(values, 8.0)
+        assert math.isclose(paths.climb(paths.turning_points(values, 8.0), 8.0), want, abs_tol=1e-9), values
+        rows += [(k, i, float(v), want) for i, v in enumerate(values)]
+    monkeypatch.setattr(paths, "CHUNK", 7)
+    table = spark.createDataFrame(rows, "k int, i int, e double, want double")
+    got = {r.k: r.ascent_m for r in paths.ascent(table, "k", "i", "e").collect()}
+    assert all(math.isclose(got[k], w, abs_tol=1e-9) for k, _, _, w in rows)
+
+
+def test_stops_are_distinct_and_in_their_bands():
+    cost, origin = lattice(), (32, 32)
+    cands = candidates(cost, origin, 16.0)
+    for k in (3, 4, 5):
+        for seed in range(30):
+            found = G.stops(cands, 1000.0, k, 1.0, G.rng(seed))
+            kinds = [kind for _, kind in found]
+            assert len({c["cell"] for c, _ in found}) == len(found) and kinds.count("turn") == 1 and kinds.count("mid") <= k - 3 and kinds.count("side") <= 2
+            (turn,) = (c for c, kind in found if kind == "turn")
+            for c, kind in found:
+                if kind == "side":
+                    assert 49.9 <= abs(math.degrees(math.remainder(c["bearing"] - turn["bearing"], 2 * math.pi))) <= 110.1
+    best = [{"cell": 7, "d": 300.0, "bearing": 0.0, "score": math.inf, "tags": None}]
+    assert G.stops(best, 1000.0, 3, 1.0, G.rng(1)) == [(best[0], "turn")]
+
+
+def test_depth_has_no_reach(spark):
+    mask = np.ones((150, 140), int)
+    mask[70, 60] = 0
+    cells = spark.createDataFrame([(1, y, x, int(mask[y, x])) for y in range(150) for x in range(140)], "req long, y long, x long, m int")
+    got = {(r.y, r.x): r.dist for r in G.depth(cells, "m", 150, 140).collect()}
+    for (y, x), d in got.items():
+        a, b = abs(y - 70), abs(x - 60)
+        assert d == min(3 * abs(a - b) + 4 * min(a, b), 3 * min(y + 1, 150 - y, x + 1, 140 - x))
+
+
+def test_without_collinear(spark):
+    path = [(0, 0), (1, 0), (2, 0), (2, 1), (2, 2), (3, 3), (4, 4), (3, 3), (3, 3)]
+    rows = spark.createDataFrame([(1, i, x, y) for i, (x, y) in enumerate(path)], "k int, i int, x int, y int")
+    assert sorted(r.i for r in paths.without_collinear(rows, "k").collect()) == [0, 2, 4, 6, 7, 8]
+
+
 def test_rows_only_queries_run(spark, sf_dir):
     assert graph_queries.map_elements(spark, sf_dir).count() > 0
     assert graph_queries.lattice_loops(spark, sf_dir).where("reason is null").count() > 0
