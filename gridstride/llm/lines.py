@@ -3,14 +3,14 @@
 1. Each distinct line's character shingles give a signature (one permutation for
    long lines, one per row for short ones), cut into bands. Band keys are dealt to
    hash ranges, which name the lines that share a key with another line.
-2. Only the texts of these lines are read again, picked by a bitmap of fixed size,
-   each with a sketch of 70 bytes of its signature. Sketches are compared within
-   each key: pairs that are clearly too different are let go, the rest form
-   families, by distributed union-find.
+2. Only for these lines, picked by a bitmap of fixed size, sketches of 70 bytes of
+   their signatures are compared within each key. Pairs that are clearly too
+   different are let go; the rest form families, by distributed union-find.
 3. A family's lines meet, and their Jaccard similarity is computed exactly. A large
-   family is first verified line by line against its root; the lines that this does
-   not join meet all others in blocks of bounded size. Verified links form the final
-   components, again by distributed union-find, and the first line of each stays.
+   family is first verified line by line against a few of its lines; those outside
+   the largest component that this makes then meet all others in blocks of bounded
+   size. Verified links form the final components, again by distributed union-find,
+   and the first line of each stays.
 
 Lines are told apart by 64-bit hashes.
 """
@@ -18,6 +18,7 @@ Lines are told apart by 64-bit hashes.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -36,14 +37,15 @@ BANDS, ROWS = 14, 5
 WIDTH = BANDS * ROWS
 #: From so many distinct shingles on, one permutation does; up to the second number, both kinds are made. Numbers are
 #: estimated from the filled bins of COUNT, alike for like lines; the second leaves room for 1 / SIMILARITY and its error.
-LONG, SHORT, COUNT = 128, 184, 512
+LONG, SHORT, COUNT = 112, 160, 512
 #: Sketches agree in 56 +- 3.4 of 70 bytes at similarity 0.8.
-SAME = 40
+SAME = 43
 #: Lines of up to so many shingles, and so many hashes, are packed into one matrix.
-PACK = 1 << 16
+PACK = 1 << 17
 BITMAP = 1 << 26
-BLOCK = 1500
-SLICE = 1 << 20
+#: Lines of a block, and about how many of a large family's lines all its lines are compared with first.
+BLOCK, PIVOTS = 1500, 16
+SLICE = 1 << 21
 
 
 def _line_hash(line: str) -> int:
@@ -79,19 +81,20 @@ def _hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 _RANDOM = np.random.default_rng(11)
-_TIMES, _PLUS = _RANDOM.integers(1, 1 << 31, WIDTH, np.uint32) * np.uint32(2) + np.uint32(1), _RANDOM.integers(0, 1 << 32, WIDTH, np.uint32)
+_TIMES, _PLUS = _RANDOM.integers(0, 1 << 15, WIDTH, np.uint16) * np.uint16(2) + np.uint16(1), _RANDOM.integers(0, 1 << 16, WIDTH, np.uint16)
 
 
 def _many(h: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """MinHash with a permutation for each row, of lines of few distinct shingles. Lines of about one size are packed into a matrix."""
+    """MinHash with a permutation for each row, of lines of few distinct shingles, for which 16 bits of a hash do. Lines of about one size are packed into a matrix."""
+    h = (h >> np.uint32(16)).astype(np.uint16)
     order = np.argsort(counts, kind="stable")
-    sizes, out, lo = counts[order], np.empty((len(counts), WIDTH), np.uint32), 0
+    sizes, out, lo = counts[order], np.empty((len(counts), WIDTH), np.uint16), 0
     while lo < len(order):
-        hi = int(np.searchsorted(sizes, sizes[lo] + max(8, sizes[lo] // 8), side="right"))
+        hi = int(np.searchsorted(sizes, sizes[lo] + max(16, sizes[lo] // 4), side="right"))
         hi = min(hi, lo + max(1, PACK // int(sizes[hi - 1])))
         at = order[lo:hi]
         block = h[starts[at] + np.minimum(np.arange(sizes[hi - 1])[:, None], counts[at] - 1)]  # a line's last shingle fills its column
-        turned, least = np.empty_like(block), np.empty((WIDTH, len(at)), np.uint32)
+        turned, least = np.empty_like(block), np.empty((WIDTH, len(at)), np.uint16)
         for k in range(WIDTH):
             np.multiply(block, _TIMES[k], out=turned)
             np.add(turned, _PLUS[k], out=turned)
@@ -150,34 +153,25 @@ def band_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
         for k in range(ROWS):
             h = (h + bands[:, :, k]) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
-        keys.append(_mix(h + np.arange(BANDS, dtype=np.uint64)).ravel())
+        h = _mix(h + np.arange(BANDS, dtype=np.uint64)).ravel()
+        keys.append(h & ~np.uint64(1) | np.uint64(kind))  # a key tells its kind
         owners.append(np.repeat(at, BANDS))
     return np.concatenate(keys), np.concatenate(owners)
 
 
-def sketches(lines: list[str]) -> np.ndarray:
-    """A row of bytes for each line: whether it has a sketch of each kind, and both sketches (zeros where there is none)."""
-    out = np.zeros((len(lines), 2 + 2 * WIDTH), np.uint8)
-    for kind, (at, rows) in enumerate(signatures(lines)):
-        out[at, kind] = 1
-        out[at, 2 + kind * WIDTH : 2 + (kind + 1) * WIDTH] = (rows * np.uint32(0x9E3779B1)) >> np.uint32(24)
-    return out
+def sketches(lines: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each kind: the numbers of its lines, and a row of bytes of their signatures."""
+    return [(at, ((rows.astype(np.uint32) * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8)) for at, rows in signatures(lines)]
 
 
 def alike(sketch: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """Whether two lines may reach the similarity: by their sketches of a kind that both have; lines without one are let through."""
-    agree, both = np.zeros(len(others), np.int64), np.zeros(len(others), bool)
-    for kind in (0, 1):
-        have = (others[:, kind] & sketch[..., kind]).astype(bool)
-        lo, hi = 2 + kind * WIDTH, 2 + (kind + 1) * WIDTH
-        agree = np.maximum(agree, np.where(have, (sketch[..., lo:hi] == others[:, lo:hi]).sum(1), 0))
-        both |= have
-    return ~both | (agree >= SAME)
-
-
-def forest(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
-    """Links that join what ``near`` links: for each item it is asked only about later items that are not joined yet."""
-    label, links = np.arange(n), []
+    """Whether lines may reach the similarity, by their sketches of one kind."""
+    return (sketch == others).sum(1) >= SAME
+
+
+def forest(n: int, near: Callable[[int, np.ndarray], np.ndarray], label: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links that join what ``near`` links: for each item it is asked only about later items that are not joined yet. Items of one ``label`` are joined from the start."""
+    label, links = np.arange(n) if label is None else label.copy(), []
     for i in range(n - 1):
         apart = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
         found = near(i, apart) if len(apart) else apart
@@ -197,26 +191,40 @@ def similar(a: set[str], b: set[str], similarity: float) -> bool:
     return both >= similarity * (len(a) + len(b) - both) - 1e-9 and both > 0
 
 
-def links_within(lines: list[str], similarity: float = SIMILARITY) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs of lines whose shingle sets reach the Jaccard similarity, by exact intersections."""
-    sets = [_sets(x) for x in lines]
-    if len(lines) <= 8:
-        return forest(len(lines), lambda i, apart: np.array([j for j in apart.tolist() if similar(sets[i], sets[j], similarity)], np.int64))
-    ids: dict[str, int] = {}
-    numbers = [np.fromiter((ids.setdefault(x, len(ids)) for x in own), np.int64, len(own)) for own in sets]
-    counts = np.fromiter(map(len, sets), np.int64, len(sets))
-    flat = np.concatenate(numbers)
-    posting, ends = np.repeat(np.arange(len(lines)), counts)[np.argsort(flat, kind="stable")], np.cumsum(np.bincount(flat, minlength=len(ids)))
+def links_within(lines: list[str], similarity: float = SIMILARITY, classes: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of lines whose shingle sets reach the Jaccard similarity, by exact intersections.
+
+    Lines of one class are joined already. Of many lines, pairs that are clearly too
+    different by their sketches are not intersected.
+    """
+    n, sets = len(lines), {}
+    start = np.arange(n) if classes is None else np.unique(classes, return_inverse=True)[1]
+
+    def real(i: int, j: int) -> bool:
+        for k in (i, j):
+            if k not in sets:
+                sets[k] = _sets(lines[k])
+        return similar(sets[i], sets[j], similarity)
+
+    if n <= 8:
+        label, links = start.tolist(), []
+        for i, j in combinations(range(n), 2):
+            if label[i] != label[j] and real(i, j):
+                links.append((i, j))
+                label = [label[i] if x == label[j] else x for x in label]
+        return links
+    marks = np.zeros((2, n, WIDTH), np.uint8)
+    have = np.zeros((2, n), bool)
+    for kind, (at, rows) in enumerate(sketches(lines)):
+        marks[kind, at], have[kind, at] = rows, True
 
     def near(i: int, apart: np.ndarray) -> np.ndarray:
-        mine = numbers[i]
-        lo = np.where(mine > 0, ends[mine - 1], 0)
-        sizes = ends[mine] - lo
-        at = np.repeat(lo - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-        both = np.bincount(posting[at], minlength=len(lines))[apart]
-        return apart[(both > 0) & (both >= similarity * (counts[i] + counts[apart] - both) - 1e-9)]
+        hope = ~(have[:, i, None] & have[:, apart]).any(0)
+        for kind in np.flatnonzero(have[:, i]):
+            hope |= have[kind, apart] & alike(marks[kind, i], marks[kind, apart])
+        return np.array([j for j in apart[hope].tolist() if real(i, j)], np.int64)
 
-    return forest(len(lines), near)
+    return forest(n, near, start)
 
 
 def _distinct_lines(texts: list[str | None]) -> dict[int, str]:
@@ -265,12 +273,18 @@ def members(docs: DataFrame, parts: int) -> DataFrame:
     def shared(group: pa.Table) -> pa.Table:
         keys = np.concatenate([_values(p.as_py()) for p in group.column("keys")])
         lines = np.concatenate([np.frombuffer(p.as_py(), np.int64) for p in group.column("lines")])
-        order = np.lexsort((lines, keys))
+        order = np.argsort(keys, kind="stable")  # runs in order already
         keys, lines = keys[order], lines[order]
-        new = np.concatenate(([True], (keys[1:] != keys[:-1]) | (lines[1:] != lines[:-1])))
-        keys, lines = keys[new], lines[new]
         same = keys[1:] == keys[:-1]
         use = np.concatenate(([False], same)) | np.concatenate((same, [False]))
+        keys, lines = keys[use], lines[use]
+        order = np.lexsort((lines, keys))
+        keys, lines = keys[order], lines[order]
+        same = keys[1:] == keys[:-1]
+        new = np.concatenate(([True], ~same | (lines[1:] != lines[:-1])))[: len(keys)]
+        keys, lines = keys[new], lines[new]  # a line once under a key, then again only keys of several lines
+        same = keys[1:] == keys[:-1]
+        use = (np.concatenate(([False], same)) | np.concatenate((same, [False])))[: len(keys)]
         return pa.table({"key": keys[use].view(np.int64), "line": lines[use]})
 
     sent = docs.select("text").mapInArrow(send, "range int, keys binary, lines binary")
@@ -287,8 +301,8 @@ def _bitmap(lines: DataFrame) -> np.ndarray:
     return out
 
 
-def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(line, text, sketch) of the wanted lines, each once; a few others pass the bitmap and do no harm."""
+def _picked(docs: DataFrame, wanted: DataFrame, make: Callable[[list[str]], dict[str, pa.Array]], schema: str) -> DataFrame:
+    """``line`` and what ``make`` tells of the wanted lines, each once; a few others pass the bitmap and do no harm."""
     shared = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted))  # of fixed size
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,18 +312,37 @@ def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             at = np.fromiter(found, np.int64, len(found)) % BITMAP
             use = words[at >> 5] >> (at & 31).astype(np.uint32) & 1
             kept = [x for x, u in zip(found.items(), use.tolist(), strict=True) if u]
-            rows = sketches([v for _, v in kept])
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in kept], pa.int64()), pa.array([v for _, v in kept], pa.string()), pa.array([r.tobytes() for r in rows], pa.binary())], names=["line", "text", "sketch"])
+            yield pa.RecordBatch.from_pydict({"line": pa.array([k for k, _ in kept], pa.int64()), **make([v for _, v in kept])})
+
+    return docs.select("text").mapInArrow(pick, f"line long, {schema}").distinct()  # a hash of whole rows, cheaper than a first value
+
+
+def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(line, text)"""
+    return _picked(docs, wanted, lambda lines: {"text": pa.array(lines, pa.string())}, "text string")
+
+
+def sketches_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(line, sketch0, sketch1): the sketch of each kind, null if the line has none of it."""
 
-    return docs.select("text").mapInArrow(pick, "line long, text string, sketch binary").dropDuplicates(["line"])
+    def make(lines: list[str]) -> dict[str, pa.Array]:
+        out = {}
+        for kind, (at, rows) in enumerate(sketches(lines)):
+            own: list[bytes | None] = [None] * len(lines)
+            for i, r in zip(at.tolist(), rows, strict=True):
+                own[i] = r.tobytes()
+            out[f"sketch{kind}"] = pa.array(own, pa.binary())
+        return out
 
+    return _picked(docs, wanted, make, "sketch0 binary, sketch1 binary")
 
-def families(shared: DataFrame, texts: DataFrame, parts: int) -> DataFrame:
+
+def families(shared: DataFrame, marks: DataFrame, parts: int) -> DataFrame:
     """(node, root) of lines that stay close by their sketches under some band key."""
 
     def close(group: pa.Table) -> pa.Table:
         keys, lines = group.column("key").to_numpy(), group.column("line").to_numpy()
-        bits = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(len(lines), -1)
+        bits = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(len(lines), WIDTH)
         order = np.argsort(keys, kind="stable")
         keys, lines, bits = keys[order], lines[order], bits[order]
         starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
@@ -323,7 +356,8 @@ def families(shared: DataFrame, texts: DataFrame, parts: int) -> DataFrame:
         at = np.concatenate([*out, np.array(more, np.int64).reshape(-1, 2)])
         return pa.table({"a": lines[at[:, 0]], "b": lines[at[:, 1]]})
 
-    joined = shared.join(texts.select("line", "sketch"), "line").withColumn("part", F.pmod(F.xxhash64("key"), F.lit(4 * parts)))
+    sketch = F.when(F.col("key") % 2 == 0, F.col("sketch0")).otherwise(F.col("sketch1"))
+    joined = shared.join(marks, "line").select("key", "line", sketch.alias("sketch"), F.pmod(F.xxhash64("key"), F.lit(4 * parts)).alias("part"))
     return components(joined.groupBy("part").applyInArrow(close, "a long, b long"))
 
 
@@ -331,31 +365,45 @@ def verified(family: DataFrame, texts: DataFrame, parts: int, similarity: float)
     """(a, b): links of similar lines that join each family's lines as all its similar pairs would.
 
     A family of up to ``BLOCK`` lines is one group. The lines of a larger one are
-    compared with its root, row by row; only those that stay apart are dealt into
-    blocks, each of which meets the family's other blocks.
+    compared, row by row, with about ``PIVOTS`` of them; the lines that this leaves
+    out of the family's largest component are dealt into blocks, and each block
+    meets the family's other blocks.
     """
-    many = durable(family.groupBy("root").count().where(F.col("count") > BLOCK).select("root", "count"))
-    rows = family.select(F.col("node").alias("line"), "root").join(texts.select("line", "text"), "line")
-    small = rows.join(many, "root", "left_anti").select("line", "text", "root", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"))
+    many = durable(family.groupBy("root").count().where(F.col("count") > BLOCK))
+    rows = family.select(F.col("node").alias("line"), "root").join(texts, "line")
+    zero = F.lit(0).cast("long")
+    small = rows.join(many, "root", "left_anti").select("line", "text", "root", zero.alias("i"), zero.alias("j"), F.col("line").alias("class"))
     if many.isEmpty():
         return _checked(small, parts, similarity)
+    rows = durable(rows.join(many, "root"))
 
-    @F.pandas_udf("boolean")
-    def near_root(lines: pd.Series, roots: pd.Series) -> pd.Series:
-        known: dict[str, set[str]] = {}
-        for r in roots.unique():
-            known[r] = _sets(r)
-        return pd.Series([similar(_sets(x), known[r], similarity) for x, r in zip(lines, roots, strict=True)])
-
-    pivots = durable(many.join(texts.select(F.col("line").alias("root"), F.col("text").alias("pivot")), "root"))
-    large = durable(rows.join(pivots, "root").withColumn("near", near_root("text", "pivot")).drop("pivot"))
-    apart = durable(large.where(~F.col("near")).groupBy("root").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).join(many, "root").select("root", "blocks", F.ceil(F.col("count") / BLOCK).alias("all")))
-    placed = large.where(F.col("line") != F.col("root")).join(apart, "root")
+    @F.pandas_udf("array<long>")
+    def near(lines: pd.Series, roots: pd.Series, pivots: pd.Series) -> pd.Series:
+        known: dict[int, list[tuple[int, set[str]]]] = {}
+        out = []
+        for line, root, some in zip(lines, roots, pivots, strict=True):
+            if root not in known:
+                known[root] = [(p["line"], _sets(p["text"])) for p in some]
+            own = _sets(line)
+            out.append([p for p, theirs in known[root] if similar(own, theirs, similarity)])
+        return pd.Series(out)
+
+    chosen = rows.where(F.pmod(F.xxhash64("line"), F.ceil(F.col("count") / PIVOTS)) == 0)
+    pivots = durable(chosen.groupBy("root").agg(F.collect_list(F.struct("line", "text")).alias("pivots")))  # PIVOTS of each, about
+    links = durable(rows.join(pivots, "root").select("line", "root", F.explode(near("text", "root", "pivots")).alias("pivot")).where("line != pivot"))
+    found = components(links.select("line", "pivot"))
+    placed = durable(rows.join(found.withColumnRenamed("node", "line").withColumnRenamed("root", "class"), "line", "left"))
+    sizes = placed.where("class is not null").groupBy("root", "class").count()
+    largest = sizes.groupBy("root").agg(F.max_by("class", F.struct("count", "class")).alias("largest"))
+    whole = placed.groupBy("root").agg(F.count("*").alias("n")).join(largest, "root", "left")
+    placed = durable(placed.join(durable(whole), "root").select("line", "text", "root", F.coalesce(F.col("class") == F.col("largest"), F.lit(False)).alias("joined"), F.coalesce("class", "line").alias("class"), F.ceil(F.col("n") / BLOCK).alias("all")))
+    blocks = durable(placed.where("not joined").groupBy("root").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")))
+    placed = placed.join(blocks, "root")
     hashed = F.xxhash64("line")
-    to_all = placed.where(~F.col("near")).select("line", "text", "root", F.pmod(hashed, "blocks").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("all") - 1)).alias("j"))
-    to_apart = placed.select("line", "text", "root", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("i"), F.pmod(hashed, "all").alias("j"))
-    links = large.where("near and line != root").select(F.col("line").alias("a"), F.col("root").alias("b"))
-    return _checked(small, parts, similarity).union(links).union(_checked(to_all.union(to_apart), parts, similarity))
+    to_all = placed.where("not joined").select("line", "text", "root", F.pmod(hashed, "blocks").alias("i"), F.explode(F.sequence(zero, F.col("all") - 1)).alias("j"), "class")
+    to_apart = placed.select("line", "text", "root", F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("i"), F.pmod(hashed, "all").alias("j"), "class")
+    checked = _checked(small, parts, similarity).union(_checked(to_all.union(to_apart), parts, similarity))
+    return checked.union(links.select("line", "pivot"))
 
 
 def _checked(rows: DataFrame, parts: int, similarity: float) -> DataFrame:
@@ -366,11 +414,12 @@ def _checked(rows: DataFrame, parts: int, similarity: float) -> DataFrame:
         lines, cell = group.column("line").to_numpy(), np.stack([group.column(c).to_numpy() for c in ("root", "i", "j")])
         new = (cell[:, 1:] != cell[:, :-1]).any(0)
         once = np.concatenate(([True], new | (lines[1:] != lines[:-1])))
-        lines, texts = lines[once], group.column("text").filter(pa.array(once)).to_pylist()
+        group, lines = group.filter(pa.array(once)), lines[once]
+        texts, classes = group.column("text").to_pylist(), group.column("class").to_numpy()
         starts = np.flatnonzero(np.concatenate(([True], new))[once])
         out = []
         for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(lines)], strict=True):
-            out += [(lo + x, lo + y) for x, y in links_within(texts[lo:hi], similarity)]
+            out += [(lo + x, lo + y) for x, y in links_within(texts[lo:hi], similarity, classes[lo:hi])]
         at = np.array(out, np.int64).reshape(-1, 2)
         return pa.table({"a": lines[at[:, 0]], "b": lines[at[:, 1]]})
 
@@ -381,8 +430,8 @@ def line_components(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     """(node, root): line hashes that have near copies, and the component of each. ``docs`` has a column text."""
     parts = partitions(docs.sparkSession)
     shared = durable(members(docs, parts))
-    texts = durable(texts_of(docs, shared))
-    family = durable(families(shared, texts, parts))
+    family = durable(families(shared, sketches_of(docs, shared), parts))
+    texts = durable(texts_of(docs, family.select(F.col("node").alias("line"))))
     return components(verified(family, texts, parts, similarity))
 
 
@@ -415,15 +464,15 @@ def deduplicate(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "
 
     row_key = F.xxhash64(F.lit("row"), F.col(id_col), F.col(text_col))
     place = durable(docs.select(F.col(id_col).alias("id"), row_key.alias("row"), F.col(text_col).alias("text")).mapInArrow(places, f"id {kind}, row long, at long, node long"))
-    # each line's first place, then each component's; only lines with several places can lose one
-    nodes = place.groupBy("node").agg(F.min(F.struct("id", "row", "at")).alias("first"), F.count("*").alias("n"))
-    nodes = durable(nodes.join(roots, "node", "left").where("root is not null or n > 1").select("node", "first", F.coalesce("root", "node").alias("label")))
-    firsts = durable(nodes.groupBy("label").agg(F.min("first").alias("keep")))
-    known = durable(nodes.join(firsts, "label").select("node", "keep.row", "keep.at"))  # joins of written tables, which Spark can split where a key is common
-    gone = place.join(known.select("node", F.col("row").alias("keep_row"), F.col("at").alias("keep_at")), "node").where("row != keep_row or at != keep_at")
+    # only lines with several places, or in a component, can go; of each component the first place stays
+    often = place.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node")
+    labels = often.join(roots, "node", "full").select("node", F.coalesce("root", "node").alias("label"))
+    found = durable(place.join(labels, "node").select("label", "id", "row", "at"))
+    firsts = durable(found.groupBy("label").agg(F.min(F.struct("id", "row", "at")).alias("keep")))
+    gone = found.join(firsts, "label").where("row != keep.row or at != keep.at")  # of written tables, so that Spark can split a common label
     key, lost, out = fresh(docs, "_row"), fresh(docs, "_gone"), fresh(docs, "_kept")
     gone = gone.groupBy("row").agg(F.collect_set("at").alias(lost)).withColumnRenamed("row", key)
-    joined = docs.withColumn(key, row_key).join(gone, key, "left")
+    joined = docs.withColumn(key, row_key).join(gone.hint("shuffle_hash"), key, "left")  # texts are not sorted for it
 
     @F.pandas_udf("string")
     def keep(texts: pd.Series, gone: pd.Series) -> pd.Series:
