@@ -59,6 +59,14 @@ SIDE_SECTOR, MID_SECTOR, TURN_FALLBACK = (50.0, 110.0), (10.0, 40.0), 0.3
 TOLERANCE, ACCEPT, ATTEMPTS, SCALE_MIN, SCALE_MAX, SCALE_POWER, TAU, TOP = 0.1, 0.3, 3, 0.5, 1.3, 0.8, 0.5, 5
 TILE_PX, MAX_TILES, WINDOW_FACTOR, WALK_KMH = 512, 4, 2.2, 4.0
 
+#: Metres within which features and stops are sought, strides, square metres of the least regions, and shares.
+NEAR_GREEN_M, NEAR_WATER_M, FEATURE_M, DENSITY_M, SNAP_M, SNAP_RIVER_M, ELEMENT_M, SEEN_M = 60.0, 120.0, 60.0, 120.0, 150.0, 250.0, 60.0, 30.0
+SHORE_STRIDE_M, MACRO_STRIDE_M, GREEN_LEAST_M2, WATER_LEAST_M2, OPEN_LEAST_M, GAIN_M, SLOPE_NORM = 120.0, 150.0, 800.0, 2000.0, 6.0, 40.0, 0.08
+LEAST_CLASSIFIED, LEAST_REACHED, THIN_FACTOR, MOST_CANDIDATES, CONFIDENT = 0.4, 0.01, 1.2, 400, 0.8
+
+#: Static courses: id, title, km, minutes, difficulty, latitude, longitude.
+COURSES = [("sinsu", "신수동 골목길 코스", 1.2, 18, "쉬움", 37.5505, 126.9322), ("daeheung", "대흥동 골목길 코스", 1.8, 27, "보통", 37.5462, 126.9345)]
+
 #: Labels of the tags, by id.
 TAG_LABELS = {"nature": "자연적인", "urban": "도시적인", "quiet": "조용한", "lively": "활기찬", "river": "강변", "alley": "골목길", "night": "야경", "cafe": "카페 투어", "hill": "언덕", "flat": "평지"}
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +36,9 @@ def resampled(path: DataFrame, key: str, every_m: float = 30.0) -> DataFrame:
     w = Window.partitionBy(key).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     rows = steps(path, key).withColumn("upto", F.sum("step_m").over(w)).withColumn("since", F.col("upto") - F.col("step_m")).where("step_m > 0")
     first, last = F.floor(F.col("since") / every_m) + 1, F.floor(F.col("upto") / every_m)
-    hits = rows.where(last >= first).withColumn("k", F.explode(F.sequence(first, last)))
-    t = (F.col("k") * every_m - F.col("since")) / F.col("step_m")
-    return hits.select(key, "k", (F.col("plat") + (F.col("lat") - F.col("plat")) * t).alias("lat"), (F.col("plng") + (F.col("lng") - F.col("plng")) * t).alias("lng"))
+    hits = rows.where(last >= first).withColumn("n", F.explode(F.sequence(first, last)))
+    t = (F.col("n") * every_m - F.col("since")) / F.col("step_m")
+    return hits.select(key, "n", (F.col("plat") + (F.col("lat") - F.col("plat")) * t).alias("lat"), (F.col("plng") + (F.col("lng") - F.col("plng")) * t).alias("lng"))
 
 
 #: Samples of a path that one task reduces to their turning points.
@@ -94,11 +94,11 @@ def ascent(samples: DataFrame, key: str, order: str, value: str, hysteresis: flo
 
 
 def sampled(path: DataFrame, key: str, every_m: float = 30.0) -> DataFrame:
-    """(key, k, lat, lng): a path's first point, a point each ``every_m`` metres, and its last point, numbered by ``k`` in order."""
-    ends = path.groupBy(key).agg(F.min_by(F.struct("lat", "lng"), "i").alias("a"), F.max_by(F.struct("lat", "lng"), "i").alias("b"), F.count("*").alias("n"))
-    first = ends.select(key, F.lit(0).cast("long").alias("k"), "a.lat", "a.lng")
-    last = ends.where("n > 1").select(key, F.lit((1 << 62)).alias("k"), "b.lat", "b.lng")
-    return first.union(resampled(path, key, every_m).select(key, "k", "lat", "lng")).union(last)
+    """(key, n, lat, lng): a path's first point, a point each ``every_m`` metres, and its last point, in the order of ``n``."""
+    ends = path.groupBy(key).agg(F.min_by(F.struct("lat", "lng"), "i").alias("a"), F.max_by(F.struct("lat", "lng"), "i").alias("b"), F.count("*").alias("points"))
+    first = ends.select(key, F.lit(0).cast("long").alias("n"), "a.lat", "a.lng")
+    last = ends.where("points > 1").select(key, F.lit(1 << 62).alias("n"), "b.lat", "b.lng")
+    return first.union(resampled(path, key, every_m)).union(last)
 
 
 def without_collinear(path: DataFrame, key: str) -> DataFrame:
@@ -133,37 +133,55 @@ def nearest_on_path(path: DataFrame, points: DataFrame, key: str) -> DataFrame:
     return path.join(points, key).groupBy(key).agg(F.min_by("i", F.struct(d, "i")).alias("nearest"))
 
 
-def bilinear(points: DataFrame, grid: DataFrame, value: str, height: int, width: int) -> DataFrame:
-    """Sample a grid at (id, px, py), cell centres at halves: the known corners' weighted mean, null outside or if none is known."""
+def bilinear(points: DataFrame, grid: DataFrame, value: str, height: int, width: int, by: Sequence[str] = ()) -> DataFrame:
+    """Sample a grid at (id, px, py), cell centres at halves: the known corners' weighted mean, null outside or if none is known. Grids and points may be told apart by ``by``."""
     u, v = F.col("px") - 0.5, F.col("py") - 0.5
-    rows = points.where((F.col("px") >= 0) & (F.col("px") < width) & (F.col("py") >= 0) & (F.col("py") < height)).select("id", F.floor(u).alias("x0"), F.floor(v).alias("y0"), (u - F.floor(u)).alias("fx"), (v - F.floor(v)).alias("fy"))
-    corner = lambda dx, dy, w: F.struct(F.greatest(F.lit(0).cast("long"), F.least(F.lit(width - 1).cast("long"), F.col("x0") + dx)).alias("x"), F.greatest(F.lit(0).cast("long"), F.least(F.lit(height - 1).cast("long"), F.col("y0") + dy)).alias("y"), w.alias("w"))
+    rows = points.where((F.col("px") >= 0) & (F.col("px") < width) & (F.col("py") >= 0) & (F.col("py") < height)).select(*by, "id", F.floor(u).alias("x0"), F.floor(v).alias("y0"), (u - F.floor(u)).alias("fx"), (v - F.floor(v)).alias("fy"))
     fx, fy = F.col("fx"), F.col("fy")
-    corners = F.explode(F.array(corner(0, 0, (1 - fx) * (1 - fy)), corner(1, 0, fx * (1 - fy)), corner(0, 1, (1 - fx) * fy), corner(1, 1, fx * fy)))
-    hit = rows.select("id", corners.alias("c")).select("id", "c.x", "c.y", "c.w").join(grid.where(F.col(value).isNotNull()).select("x", "y", value), ["x", "y"])
-    found = hit.groupBy("id").agg((F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias(value))
-    return points.select("id").join(found, "id", "left")
+    inside = lambda c, d, n: F.greatest(F.lit(0).cast("long"), F.least(F.lit(n - 1).cast("long"), F.col(c) + d))
+    corners = F.explode(F.array(*[F.struct(inside("x0", dx, width).alias("x"), inside("y0", dy, height).alias("y"), ((fx if dx else 1 - fx) * (fy if dy else 1 - fy)).alias("w")) for dy in (0, 1) for dx in (0, 1)]))
+    hit = rows.select(*by, "id", corners.alias("c")).select(*by, "id", "c.x", "c.y", "c.w").join(grid.where(F.col(value).isNotNull()).select(*by, "x", "y", value), [*by, "x", "y"])
+    found = hit.groupBy(*by, "id").agg((F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias(value))
+    return points.select(*by, "id").join(found, [*by, "id"], "left")
 
 
-def near_labels(path: DataFrame, labels: DataFrame, key: str, reach: int) -> DataFrame:
+def near_labels(path: DataFrame, labels: DataFrame, key: str, reach: int | F.Column, by: Sequence[str] = ()) -> DataFrame:
     """Per path, how many distinct labels lie within the square of ``reach`` cells around any of its cells (y, x)."""
-    offsets = F.sequence(F.lit(-reach).cast("long"), F.lit(reach).cast("long"))
-    around = path.select(key, "y", "x").distinct().withColumn("dy", F.explode(offsets)).withColumn("dx", F.explode(offsets))
-    around = around.select(key, (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x")).distinct()
-    return around.join(labels, ["y", "x"]).groupBy(key).agg(F.countDistinct("label").alias("labels"))
+    reach = F.lit(reach) if isinstance(reach, int) else reach
+    offsets = F.sequence(-reach.cast("long"), reach.cast("long"))
+    keys = list(dict.fromkeys([key, *by]))
+    around = path.select(*keys, "y", "x", offsets.alias("o")).distinct().withColumn("dy", F.explode("o")).withColumn("dx", F.explode("o"))
+    around = around.select(*keys, (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x")).distinct()
+    return around.join(labels, [*by, "y", "x"]).groupBy(key).agg(F.countDistinct("label").alias("labels"))
 
 
-def nearest_open(points: DataFrame, cells: DataFrame, reach: int) -> DataFrame:
+def nearest_open(points: DataFrame, cells: DataFrame, reach: int, by: Sequence[str] = (), most: str | None = None) -> DataFrame:
     """Snap each (id, cx, cy) to an open cell (y, x): the nearest square ring first, then the Euclidean distance, then the order in which the ring is walked (its top and bottom by x, then its sides by y).
 
-    Points meet only cells of their own and the neighbouring blocks of ``reach`` cells.
+    Points meet only cells of their own and the neighbouring blocks of ``reach``
+    cells, within the same ``by``. A column ``most`` narrows the reach of each point.
     """
     block = lambda c: F.floor(F.col(c) / max(1, reach))
-    home = points.select("id", "cx", "cy", F.floor(F.col("cx") + 0.5).alias("hx"), F.floor(F.col("cy") + 0.5).alias("hy"))
-    home = home.withColumn("bx", F.explode(F.sequence(block("hx") - 1, block("hx") + 1))).withColumn("by", F.explode(F.sequence(block("hy") - 1, block("hy") + 1)))
-    near = home.join(cells.select("y", "x", block("x").alias("bx"), block("y").alias("by")), ["bx", "by"])
+    home = points.select(*by, "id", "cx", "cy", (F.col(most) if most else F.lit(reach)).alias("most"), F.floor(F.col("cx") + 0.5).alias("hx"), F.floor(F.col("cy") + 0.5).alias("hy"))
+    home = home.withColumn("bx", F.explode(F.sequence(block("hx") - 1, block("hx") + 1))).withColumn("by_", F.explode(F.sequence(block("hy") - 1, block("hy") + 1)))
+    near = home.join(cells.select(*by, "y", "x", block("x").alias("bx"), block("y").alias("by_")), [*by, "bx", "by_"])
     ring = F.greatest(F.abs(F.col("x") - F.col("hx")), F.abs(F.col("y") - F.col("hy")))
     d = F.pow(F.col("x") - F.col("cx"), 2) + F.pow(F.col("y") - F.col("cy"), 2)
     flat = F.abs(F.col("y") - F.col("hy")) == ring
     walk = F.struct(ring.alias("r"), d.alias("d"), F.when(flat, 0).otherwise(1).alias("side"), F.when(flat, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(flat, F.col("y")).otherwise(F.col("x")).alias("b"))
-    return near.where(ring <= reach).groupBy("id").agg(F.min_by(F.struct("y", "x"), walk).alias("c")).select("id", "c.y", "c.x")
+    return near.where((ring <= reach) & (ring <= F.col("most"))).groupBy(*by, "id").agg(F.min_by(F.struct("y", "x"), walk).alias("c")).select(*by, "id", "c.y", "c.x")
+
+
+def shares(rows: DataFrame, key: str, kind: str) -> DataFrame:
+    """(key, kind, share): how much of each key's rows each kind has."""
+    counts = rows.groupBy(key, kind).agg(F.count("*").alias("n"))
+    return counts.select(key, kind, (F.col("n") / F.sum("n").over(Window.partitionBy(key))).alias("share"))
+
+
+def cell_length(path: DataFrame, key: str, order: str, cell_m: float | F.Column, near: F.Column) -> DataFrame:
+    """(key, edge_m, length_m) of a path of cells (y, x): its length, and that of the steps that end where ``near`` holds."""
+    w = Window.partitionBy(key).orderBy(order)
+    dy, dx = F.col("y") - F.lag("y").over(w), F.col("x") - F.lag("x").over(w)
+    step, beside = fresh(path, "_step"), fresh(path, "_near")
+    rows = path.withColumn(step, F.coalesce(F.sqrt(dy * dy + dx * dx) * cell_m, F.lit(0.0))).withColumn(beside, near)
+    return rows.groupBy(key).agg(F.sum(F.when(F.col(beside), F.col(step)).otherwise(0.0)).alias("edge_m"), F.sum(step).alias("length_m"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -72,13 +74,13 @@ def road_threshold(zoom: int) -> float:
     return 0.2 if zoom >= 15 else 0.34
 
 
-def cells(classified: DataFrame, zoom: int) -> DataFrame:
-    """Aggregate pixels to cells: y, x, a byte fraction f0..f13 of each class, road (byte) and road_cell."""
+def cells(classified: DataFrame, zoom: int, by: Sequence[str] = ()) -> DataFrame:
+    """Aggregate pixels to cells: the columns ``by``, y, x, a byte fraction f0..f13 of each class, road (byte) and road_cell."""
     down, n = downsample(zoom), len(fixed.CLASSES)
-    counts = classified.groupBy(F.floor(F.col("y") / down).alias("y"), F.floor(F.col("x") / down).alias("x")).agg(F.count("*").alias("area"), *[F.count_if(F.col("cls") == c).alias(f"n{c}") for c in range(n)])
+    counts = classified.groupBy(*by, F.floor(F.col("y") / down).alias("y"), F.floor(F.col("x") / down).alias("x")).agg(F.count("*").alias("area"), *[F.count_if(F.col("cls") == c).alias(f"n{c}") for c in range(n)])
     byte = lambda count: F.floor(count * 255 / F.col("area") + 0.5)
     road = sum((F.col(f"n{c}") for c in road_classes(zoom)), F.lit(0))
-    return counts.select("y", "x", *[byte(F.col(f"n{c}")).alias(f"f{c}") for c in range(n)], byte(road).alias("road"), (road / F.col("area") >= road_threshold(zoom)).cast("int").alias("road_cell"))
+    return counts.select(*by, "y", "x", *[byte(F.col(f"n{c}")).alias(f"f{c}") for c in range(n)], byte(road).alias("road"), (road / F.col("area") >= road_threshold(zoom)).cast("int").alias("road_cell"))
 
 
 def fraction_mask(classes: list[str], least: float = 0.5) -> F.Column:
@@ -93,6 +95,23 @@ def walk_kind() -> F.Column:
     return F.when(f("TRUNK") >= 0.15 * 255, k["TRUNK"]).when(F.col("road_cell") == 1, road).otherwise(k["NONE"])
 
 
+def passable() -> F.Column:
+    """Whether a walk kind can be walked on: all but no road and trunk roads."""
+    return (~F.col("kind").isin(fixed.KINDS["NONE"], fixed.KINDS["TRUNK"])).cast("int")
+
+
+def classified_share(classified: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, pixels, opaque, classified): the share of opaque pixels whose class is known; null without opaque ones."""
+    opaque = F.col("a") >= 128
+    known = F.count_if(opaque & (F.col("cls") != 0)) / F.nullif(F.count_if(opaque), F.lit(0))
+    return classified.groupBy(*by).agg(F.count("*").alias("pixels"), F.count_if(opaque).alias("opaque"), known.alias("classified"))
+
+
+def road_pixels(classified: DataFrame, zoom: int) -> DataFrame:
+    """Add ``road``: whether a pixel's class is a road's."""
+    return classified.withColumn("road", F.col("cls").isin(road_classes(zoom)).cast("int"))
+
+
 def first_of(table: DataFrame, by: list[str], order: list) -> DataFrame:
     """The first row of each key."""
     return table.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("_n = 1").drop("_n")

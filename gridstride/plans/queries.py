@@ -429,7 +429,7 @@ def path_length(spark: SparkSession, d: str) -> DataFrame:
 
 @query(with_(SAMPLES) + "SELECT user_id, k, round(lat, 6) AS lat, round(lng, 6) AS lng FROM res")
 def resampled_path(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(P.resampled(V.paths(spark, d), "user_id", 30000.0), "lat", "lng")
+    return rounded(P.resampled(V.paths(spark, d), "user_id", 30000.0).withColumnRenamed("n", "k"), "lat", "lng")
 
 
 @query(with_(V.PATHS) + "SELECT user_id, i FROM (SELECT *, lag(cell) OVER (PARTITION BY user_id ORDER BY i) AS before FROM (SELECT *, CAST(floor(lat * 500) AS BIGINT) AS cell FROM path)) WHERE before IS DISTINCT FROM cell")
