@@ -328,9 +328,41 @@ def test_top_products(spark):
             scores = sorted((-min(max(sum(a * b for a, b in zip(x, y, strict=True)), -(2**63)), 2**63 - 1), i) for i, y in whole.items() if i != q and len(y) == len(x))
             want += [(q, k, i, -s) for k, (s, i) in enumerate(scores[:5], 1)]
     assert [g for g in got if g[0] != 480 and g[2] != 480] == [w for w in sorted(want) if w[0] != 480 and w[2] != 480]
+    twins = [(3, [1.0, 0.0]), (3, [1.0, 0.0]), (3, [0.5, 0.0]), (20, [1.0, 0.0]), (20, [1.0, 0.0]), (20, [0.0, 1.0])]
+    got = pairs(topk.top_products(spark.createDataFrame(twins, "vec_id long, embedding array<double>"), 4), "query_id", "rank", "vec_id", "score")
+    long = [(20, 1, 3, 4096), (20, 2, 3, 4096), (20, 3, 20, 4096), (20, 4, 3, 2048)]
+    assert got == sorted([*long, *long, (20, 1, 3, 0), (20, 2, 3, 0), (20, 3, 3, 0), (20, 4, 20, 0)])
     assert topk.top_products(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+@pytest.mark.parametrize("spread", [0.05, 1.0])
+def test_buckets_prune_and_keep_the_best(spread):
+    r = np.random.default_rng(3)
+    centres = r.normal(0, 1, (20, 16))
+    rows = np.floor(64 * (centres[r.integers(0, 20, 3000)] + r.normal(0, spread, (3000, 16))) * r.gamma(2, 1, (3000, 1))).astype(np.int64)
+    queries = rows[::50]
+    best, checked = topk.Best(queries, np.full(len(queries), -np.inf), 5), 0
+    order = np.argsort(-np.sqrt((rows**2).sum(1)), kind="stable")
+    for lo in range(0, 3000, 500):
+        part = order[lo : lo + 500]
+        bucket = topk.Bucket(rows[part], part, lo)
+        bucket.search(best)
+        checked += bucket.verified
+    scores = queries @ rows.T
+    want = np.array([np.lexsort((np.arange(3000), -s))[:5] for s in scores])
+    assert np.array_equal(best.held[3].reshape(-1, 5), want) and np.array_equal(best.held[2].reshape(-1, 5), np.take_along_axis(scores, want, 1))
+    print(f"verified {checked / scores.size:.2f} of all products at spread {spread}")
+    assert checked < (0.5 if spread < 1 else 0.9) * scores.size
+
+
+def test_top_products_equal_their_sql(spark, sf_dir, duck):
+    from conftest import same
+
+    from gridstride.llm import queries
+
+    same(queries.op7_top_products(spark, sf_dir).toPandas(), duck.sql(queries.ORACLE_SQL["op7_top_products"]).df())
+
+
 def test_main_text(spark):
     page = lambda k, extra="": f"""<html><head><title>T</title><style>p{{}}</style></head><body><header><h1>Site</h1></header><nav><ul><li>menu</li></ul></nav><div class="ad">buy</div>
         <div class="box"><div class="post"><h2>Title {k}</h2><p>First <b>para</b>&amp;graph {k}.<br>next</p><p>Second {k} {'text ' * k}</p><p class="foot">Share this story</p>{extra}</div></div>
