@@ -384,10 +384,47 @@ def test_long_notices_go_and_classes_of_the_page_do_not_hide_it(spark):
     assert got == {k: f"Story {k} {'told ' * (200 + k)}".strip() for k in range(8)}, got
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<body><form id="aspnetForm"><div><p>One long text of the page.</p><p>Two</p></div></form></body>', "One long text of the page.\nTwo"),
+        ('<body><nav>menu</nav><article class="search-article"><p>Found it</p><p>here</p></article></body>', "Found it\nhere"),
+        ('<body><article><p>Start</p><section class="comment-on-the-law"><p>On the law</p></section></article></body>', "Start\nOn the law"),
+        ('<body><p title="a > b">Hello</p><p>World</p></body>', "Hello\nWorld"),
+        ('<body><p>An <span class="ad-hoc">improvised</span> talk, <a class="share" href="x">shared</a> by all</p></body>', "An improvised talk, shared by all"),
+        ("<body><p>Some<![CDATA[ <b>x</b> > y ]]> text</p></body>", "Some text"),
+        ("<body>" + "<div>" * 3000 + "deep<p>deeper" + "</div>" * 3000 + "</body>", "deep\ndeeper"),
+        ("<body><p>kept<noscript>no end <p>more</body>", "kept\nno end\nmore".replace("kept\nno end", "keptno end")),
+        ("<body><div class=comments><p>reader</p></div><div><p>The text of the page is long enough</p><p>and has parts</p></div></body>", "The text of the page is long enough\nand has parts"),
+        ('<p a="unclosed>x</p><p>y</p>', "x\ny"),
+        ("a < b and c<d>e", "a < b and c\ne"),
+    ],
+)
+def test_odd_pages(page, text):
+    assert html.main_text(page, None) == text
+
+
+def test_the_wrapper_tells_template_from_content(spark):
+    # no tag or class hints: only the host's other pages tell the menu, the notice and the footer from the text
+    page = lambda k: f'<html><body><div class="a1"><ul>{"".join(f"<li><a href=x{j}>{w}</a></li>" for j, w in enumerate(WORDS[k : k + 6]))}</ul></div><div class="b2"><h2>Title {k}</h2><p>Told {k} {"times " * (40 + k)}</p><p class="c3">This page is kept for you.</p><p>End {k}</p></div><div class="d4"><p>Made by us.</p></div></body></html>'
+    rows = [(k, f"https://t.example/{k}", page(k)) for k in range(9)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"Title {k}\nTold {k} {'times ' * (40 + k)}".strip() + f"\nEnd {k}" for k in range(9)}
+    assert "This page is kept for you." in html.main_text(page(1), None)  # one page alone cannot tell
+
+
+def test_expressions_stay_small():
+    pages = ["<body>" + "".join(f'<div class="x{(k * 7919 + j) % 5000}"><p>t{j}</p></div><h2>h</h2>' for j in range(300)) + "</body>" for k in range(40)]
+    held = html.expression(html.parse(pages[0]))
+    for p in pages[1:]:
+        held = html.align(held, html.expression(html.parse(p)))
+    assert len(held[0][5]) <= html.ITEMS
+
+
 def test_wrapper_alignment():
     a, b = (html.expression(html.parse(x)) for x in ("<div><p>a</p><p>b</p><hr></div>", "<div><p>c</p><table></table></div>"))
     (div,) = html.align(a, b)
-    assert [(x[0], x[1]) for x in div[4]] == [("p", "+"), ("hr", "?"), ("table", "?")] and div[4][0][4][0][4] is None
+    assert [(x[0], x[1]) for x in div[5]] == [("p", "+"), ("hr", "?"), ("table", "?")] and div[5][0][5][0][5] is None
 
 
 def labelled(spark, n=160):
