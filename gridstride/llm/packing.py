@@ -2,9 +2,11 @@
 
 1. Each text becomes ids; full windows are cut off, the rest is one shorter piece.
 2. A histogram of piece lengths (bounded by the window) goes to the driver. There,
-   shallow combinations of up to four lengths that fill a window are enumerated,
-   their repeat counts solved by non-negative least squares against the histogram
-   and rounded down, and what is left is packed greedily, still as counts.
+   shallow combinations of up to four lengths that fill a window are enumerated and
+   their repeat counts solved by non-negative least squares against the histogram,
+   on ever fewer combinations, so that counts are large enough to round. What
+   rounding leaves is solved again a few times; the rest is packed greedily, still
+   as counts.
 3. The resulting table of (length, ranks from..to, sequence) is bounded by the
    window too. Pieces get ranks within their length from per-bucket counts, so a
    common length is never gathered in one task, and look their place up.
@@ -34,6 +36,8 @@ MEMO = 150_000
 WINDOW = 2048
 #: Least buckets of a length; more with more shuffle partitions.
 BUCKETS = 512
+#: Times that least squares are solved on what is left.
+ROUNDS = 6
 
 
 class Encoder:
@@ -143,7 +147,7 @@ def combinations(have: np.ndarray, window: int = WINDOW, depth: int = 4) -> np.n
     return np.array(rows, np.int64).reshape(-1, depth)
 
 
-def nnls(combos: np.ndarray, counts: np.ndarray, steps: int = 400) -> np.ndarray:
+def nnls(combos: np.ndarray, counts: np.ndarray, steps: int = 150) -> np.ndarray:
     """Repeat counts x >= 0 with least squared error of sum(x * combo) against the histogram (accelerated projected gradient)."""
     n, size = len(counts), len(combos)
     at, which = combos.ravel(), np.repeat(np.arange(size), combos.shape[1])
@@ -160,6 +164,19 @@ def nnls(combos: np.ndarray, counts: np.ndarray, steps: int = 400) -> np.ndarray
     return x
 
 
+def repeats_of(combos: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Whole repeat counts of the combinations: least squares, on the larger half of them again and again until they are as few as the lengths, rounded."""
+    out, at = np.zeros(len(combos), np.int64), np.arange(len(combos))
+    few = max(8, int((counts > 0).sum()) // 2)
+    while len(at):
+        x = nnls(combos[at], counts)
+        if len(at) <= few:
+            out[at] = np.rint(x).astype(np.int64)
+            break
+        at = at[np.sort(np.argsort(-x, kind="stable")[: max(few, len(at) // 2)])]
+    return out
+
+
 def plan(histogram: dict[int, int], window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
     """(length, first rank, copies, first sequence, offset): copies of one slot, in consecutive sequences.
 
@@ -181,16 +198,18 @@ def plan(histogram: dict[int, int], window: int = WINDOW) -> list[tuple[int, int
             offset += length
         sequence += copies
 
-    # lengths repeat within a combination, so it is applied slot by slot
-    combos = combinations(np.flatnonzero(left), window)
-    if len(combos):
-        repeats = np.floor(nnls(combos, left.astype(float)) + 1e-6).astype(np.int64)
-        for k in np.argsort(-repeats, kind="stable"):
+    for _ in range(ROUNDS):
+        combos = combinations(np.flatnonzero(left), window)
+        repeats = repeats_of(combos, left.astype(float))
+        before = left.sum()
+        for k in np.argsort(-repeats, kind="stable"):  # lengths repeat within a combination, so it is applied slot by slot
             lengths = [int(v) for v in combos[k] if v]
             need = {v: lengths.count(v) for v in lengths}
             copies = min([int(repeats[k]), *(int(left[v]) // c for v, c in need.items())])
             if copies > 0:
                 place(lengths, copies)
+        if left.sum() == before:
+            break
     while left.any():  # best fit, longest first, many copies of the same pattern at once
         lengths, room, rest = [], window, left.copy()
         while room and (fit := np.flatnonzero(rest[: room + 1])).size:
