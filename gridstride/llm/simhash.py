@@ -10,7 +10,9 @@ most four groups differ, so at least three agree. A cell is one choice of three
 groups (35 in all) with their coordinates; links are found by an equi-join on
 cells, bounded by the Manhattan distance and then verified on the bits. A pair
 is kept only in the first cell in which it meets, so no link is emitted twice.
-Exact copies are one fingerprint before the join.
+Cells are finer for more fingerprints: of eight groups four agree (70 cells), of
+nine five, so that chance meetings stay few. Exact copies are one fingerprint
+before the join.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from gridstride.llm.components import components
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 STEP = 1 << 15
+#: Fingerprints from which on cells have a group more.
+FINER = 1 << 24
 
 
 def _signed(x: int) -> int:
@@ -78,13 +82,18 @@ def group_masks(groups: int = 7) -> list[int]:
     return [((1 << hi) - 1) ^ ((1 << lo) - 1) for lo, hi in zip(edges, edges[1:], strict=False)]
 
 
-def near_pairs(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """(a, b), a < b: all pairs of distinct values of ``fp`` within the Hamming distance, each once."""
-    masks = group_masks(distance + 3)
-    cells = list(combinations(range(len(masks)), 3))
+def agreeing(n: int) -> int:
+    """How many groups a cell has, for so many fingerprints."""
+    return 3 if n < FINER else 4 if n < 64 * FINER else 5
+
+
+def near_pairs(fps: DataFrame, distance: int = DISTANCE, agree: int = 3) -> DataFrame:
+    """(a, b), a < b: all pairs of distinct values of ``fp`` within the Hamming distance, each once, whatever ``agree``."""
+    masks = group_masks(distance + agree)
+    cells = list(combinations(range(len(masks)), agree))
     odd = 0x5555555555555555
     embedding = f"((fp | shiftrightunsigned(fp, 1)) & {odd}L) | shiftleft((fp & shiftrightunsigned(fp, 1)) & {odd}L, 1)"
-    keys = "array(" + ", ".join(f"{_signed(masks[a] | masks[b] | masks[c])}L" for a, b, c in cells) + ")"
+    keys = "array(" + ", ".join(f"{_signed(sum(masks[g] for g in cell))}L" for cell in cells) + ")"
     grid = fps.select("fp", F.expr(embedding).alias("e")).select("fp", "e", F.expr(f"posexplode({keys})").alias("cell", "mask")).select("fp", "e", "cell", (F.col("e").bitwiseAND(F.col("mask"))).alias("at"))
     x, y = grid.alias("x"), grid.alias("y")
     differ = "(x.e ^ y.e)"
@@ -108,7 +117,8 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, distance: int = DISTAN
     """
     fps = durable(fingerprints(docs, size, id_col, text_col))
     classes = fps.groupBy("fp").agg(F.min("id").alias("least"))
-    roots = components(near_pairs(classes.select("fp"), distance)).withColumnRenamed("node", "fp")
+    classes = durable(classes)
+    roots = components(near_pairs(classes.select("fp"), distance, agreeing(classes.count()))).withColumnRenamed("node", "fp")
     rooted = durable(classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
     named = durable(rooted.groupBy("root").agg(F.min("least").alias("component_id")))  # written, so that Spark can split the join of a large component
     names = rooted.select("fp", "root").join(named, "root").select("fp", "component_id")

@@ -91,6 +91,26 @@ def test_packing_plan_is_tight():
     rows = packing.plan(histogram)
     assert sum(x[2] for x in rows) == 20_000
     assert max(x[3] + x[2] for x in rows) * 2048 < 1.01 * sum(n * c for n, c in histogram.items())
+    full = {}
+    for n, _, copies, sequence, _ in rows:
+        for k in range(sequence, sequence + copies):
+            full[k] = full.get(k, 0) + n
+    assert sum(v == 2048 for v in full.values()) > 0.95 * len(full)
+
+
+def test_least_squares_place_most_pieces(monkeypatch):
+    r = random.Random(5)
+    histogram = {}
+    for _ in range(10_000):
+        n = min(2048, int(r.expovariate(1 / 500)) + 1)
+        histogram[n] = histogram.get(n, 0) + 1
+    solved = []
+    real = packing.repeats_of
+    monkeypatch.setattr(packing, "repeats_of", lambda combos, counts: solved.append(int(counts.sum())) or real(combos, counts))
+    packing.plan(histogram)
+    left = solved[-1]
+    print(f"pieces left to the greedy end after {len(solved)} rounds: at most {left} of 10000")
+    assert left < 5_000
 
 
 def test_fingerprints_and_components(docs, none):
@@ -116,10 +136,12 @@ def test_near_pairs_are_all_found_once(spark):
     base = [r.getrandbits(64) for _ in range(40)]
     values = {b ^ sum(1 << k for k in r.sample(range(64), r.randrange(7))) for b in base for _ in range(8)}
     df = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in values], "fp long")
-    got = [(r_.a, r_.b) for r_ in simhash.near_pairs(df).collect()]
     mask = (1 << 64) - 1
     want = {(a, b) for (a,) in df.collect() for (b,) in df.collect() if a < b and ((a ^ b) & mask).bit_count() <= 4}
-    assert len(got) == len(set(got)) and set(got) == want
+    for agree in (3, 4):
+        got = [(r_.a, r_.b) for r_ in simhash.near_pairs(df, agree=agree).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert simhash.agreeing(10**6) == 3 and simhash.agreeing(10**8) == 4
 
 
 def test_components_of_chains_and_stars(spark):
