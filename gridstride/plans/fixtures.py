@@ -10,33 +10,37 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def grid(spark: SparkSession, sf_dir: str, rows: int | None = None) -> DataFrame:
-    """(y, x, v): one cell for each component of each vector; ``rows`` is the grid's height."""
+def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(y, x, v): one cell for each component of each vector."""
     table = load(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    table = table if rows is None else table.where(F.col("vec_id") < rows)
     return table.select(F.col("vec_id").alias("y"), F.posexplode("embedding").alias("x", "v")).select("y", F.col("x").cast("long").alias("x"), F.col("v").cast("double").alias("v"))
 
 
+def grids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(req, y, x, v): the same cells as grids of 64 rows, one for each request."""
+    return grid(spark, sf_dir).select(F.floor(F.col("y") / 64).alias("req"), (F.col("y") % 64).alias("y"), "x", "v")
+
+
 GRID = """grid AS (
     SELECT vec_id AS y, CAST(i - 1 AS BIGINT) AS x, CAST(embedding[i] AS DOUBLE) AS v
     FROM embeddings, range(1, 65) r(i) WHERE i <= len(embedding)
 )"""
-GRID64 = GRID.replace("WHERE", "WHERE vec_id < 64 AND")
+GRIDS = GRID.replace("vec_id AS y", "vec_id // 64 AS req, vec_id % 64 AS y")
 
 
 def masks(cells: DataFrame) -> DataFrame:
-    return cells.select("y", "x", "v", (F.col("v") > -0.08).cast("int").alias("walk"), (F.col("v") > 0.15).cast("int").alias("green"), (F.col("v") < -0.15).cast("int").alias("water"))
+    return cells.select(*[c for c in ("req",) if c in cells.columns], "y", "x", "v", (F.col("v") > -0.08).cast("int").alias("walk"), (F.col("v") > 0.15).cast("int").alias("green"), (F.col("v") < -0.15).cast("int").alias("water"))
 
 
-MASKS = "masks AS (SELECT y, x, v, CAST(v > -0.08 AS INT) AS walk, CAST(v > 0.15 AS INT) AS green, CAST(v < -0.15 AS INT) AS water FROM grid)"
+MASKS = "masks AS (SELECT *, CAST(v > -0.08 AS INT) AS walk, CAST(v > 0.15 AS INT) AS green, CAST(v < -0.15 AS INT) AS water FROM grid)"
 
 
 def dem(cells: DataFrame) -> DataFrame:
     """(y, x, h): elevations, null where missing."""
-    return cells.select("y", "x", F.when(~((F.col("y") % 17 == 0) & (F.col("x") % 13 == 0)), 50 + 100 * F.col("v")).alias("h"))
+    return cells.select(*[c for c in ("req",) if c in cells.columns], "y", "x", F.when(~((F.col("y") % 17 == 0) & (F.col("x") % 13 == 0)), 50 + 100 * F.col("v")).alias("h"))
 
 
-DEM = "dem AS (SELECT y, x, CASE WHEN NOT (y % 17 = 0 AND x % 13 = 0) THEN 50 + 100 * v END AS h FROM grid)"
+DEM = "dem AS (SELECT * EXCLUDE (v), CASE WHEN NOT (y % 17 = 0 AND x % 13 = 0) THEN 50 + 100 * v END AS h FROM grid)"
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:

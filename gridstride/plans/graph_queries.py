@@ -14,40 +14,47 @@ from gridstride.streaming import limiter
 
 
 def _open(spark: SparkSession, d: str) -> DataFrame:
-    return V.masks(V.grid(spark, d, 64)).where("walk = 1").select(F.lit(1).cast("long").alias("req"), "y", "x")
+    return V.masks(V.grids(spark, d)).where("walk = 1").select("req", "y", "x")
 
 
-EDGES = """open AS MATERIALIZED (SELECT y, x, y * 64 + x AS id FROM masks WHERE walk = 1),
+EDGES = """open AS MATERIALIZED (SELECT req, y, x, (req * 64 + y) * 64 + x AS id FROM masks WHERE walk = 1),
 edges AS MATERIALIZED (SELECT a.id AS a, b.id AS b, CASE WHEN dy <> 0 AND dx <> 0 THEN sqrt(2::DOUBLE) ELSE 1::DOUBLE END AS w, dy, dx
-    FROM open a, (VALUES (0, 1), (0, -1), (1, 0), (-1, 0), (1, 1), (1, -1), (-1, 1), (-1, -1)) o(dy, dx) JOIN open b ON b.y = a.y + dy AND b.x = a.x + dx
-    WHERE dy = 0 OR dx = 0 OR (EXISTS (FROM open c WHERE c.y = a.y AND c.x = b.x) AND EXISTS (FROM open c WHERE c.y = b.y AND c.x = a.x)))"""
+    FROM open a, (VALUES (0, 1), (0, -1), (1, 0), (-1, 0), (1, 1), (1, -1), (-1, 1), (-1, -1)) o(dy, dx) JOIN open b ON b.req = a.req AND b.y = a.y + dy AND b.x = a.x + dx
+    WHERE dy = 0 OR dx = 0 OR (EXISTS (FROM open c WHERE c.req = a.req AND c.y = a.y AND c.x = b.x) AND EXISTS (FROM open c WHERE c.req = a.req AND c.y = b.y AND c.x = a.x)))"""
 
 
-@query("WITH RECURSIVE " + ", ".join([V.GRID64, V.MASKS, EDGES]) + """, dist(id, d) USING KEY (id) AS (SELECT min(id), 0::DOUBLE FROM open UNION
+@query("WITH RECURSIVE " + ", ".join([V.GRIDS, V.MASKS, EDGES]) + """, dist(id, d) USING KEY (id) AS (SELECT min(id), 0::DOUBLE FROM open GROUP BY req UNION
     SELECT e.b, min(dist.d + e.w) FROM dist JOIN edges e ON e.a = dist.id LEFT JOIN recurring.dist r ON r.id = e.b WHERE r.id IS NULL OR dist.d + e.w < r.d - 1e-9 GROUP BY e.b)
-SELECT id // 64 AS y, id % 64 AS x, round(d, 6) AS metres FROM dist""")
+SELECT id // 4096 AS req, id // 64 % 64 AS y, id % 64 AS x, round(d, 6) AS metres FROM dist""")
 def shortest_paths(spark: SparkSession, d: str) -> DataFrame:
-    """Shortest 8-connected distances from the first open cell, without cutting corners."""
+    """Shortest 8-connected distances from each grid's first open cell, without cutting corners."""
     cells = _open(spark, d)
-    first = cells.orderBy("y", "x").first()
-    return rounded(G.distances(cells, (first["y"], first["x"])).select("y", "x", "metres"), "metres")
+    first = cells.groupBy("req").agg(F.min(F.struct("y", "x")).alias("c")).select("req", "c.y", "c.x")
+    return rounded(G.distances(cells, first), "metres")
 
 
-COMPONENTS = "WITH RECURSIVE " + ", ".join([V.GRID64, V.MASKS, EDGES]) + """, lab(id, l) USING KEY (id) AS (SELECT id, id FROM open UNION
+COMPONENTS = "WITH RECURSIVE " + ", ".join([V.GRIDS, V.MASKS, EDGES]) + """, lab(id, l) USING KEY (id) AS (SELECT id, id FROM open UNION
     SELECT e.b, min(lab.l) FROM lab JOIN edges e ON e.a = lab.id AND (dy = 0 OR dx = 0) JOIN recurring.lab r ON r.id = e.b WHERE lab.l < r.l GROUP BY e.b)"""
 
 
-@query(COMPONENTS + ", big AS (SELECT l, dense_rank() OVER (ORDER BY l) AS label FROM lab GROUP BY l HAVING count(*) >= 2) SELECT id // 64 AS y, id % 64 AS x, label FROM lab JOIN big USING (l)")
+@query(COMPONENTS + ", big AS (SELECT l, dense_rank() OVER (PARTITION BY l // 4096 ORDER BY l) AS label FROM lab GROUP BY l HAVING count(*) >= 2) SELECT id // 4096 AS req, id // 64 % 64 AS y, id % 64 AS x, label FROM lab JOIN big USING (l)")
 def connected_components(spark: SparkSession, d: str) -> DataFrame:
     """4-connected components of two cells or more, numbered in row order."""
-    return G.components(_open(spark, d), 64, 2).select("y", "x", F.col("label").cast("long").alias("label"))
+    return G.components(_open(spark, d), 64, 2).select("req", "y", "x", F.col("label").cast("long").alias("label"))
 
 
-@query(COMPONENTS + ", big AS (SELECT l, dense_rank() OVER (ORDER BY l) AS label FROM lab GROUP BY l) SELECT label, count(*) AS cells, count(*) * 9.0::DOUBLE AS area_m2, round(avg(id % 64), 6) AS cx, round(avg(id // 64), 6) AS cy, min(id % 64) AS x0, max(id % 64) AS x1, min(id // 64) AS y0, max(id // 64) AS y1 FROM lab JOIN big USING (l) GROUP BY label")
+@query(COMPONENTS + """, deep AS (SELECT (a.req * 64 + a.y) * 64 + a.x AS id, least(min(greatest(abs(a.y - b.y), abs(a.x - b.x)) * 3 + least(abs(a.y - b.y), abs(a.x - b.x))), any_value(3 * least(a.y + 1, 64 - a.y, a.x + 1, 64 - a.x))) AS dist
+    FROM masks a JOIN masks b ON a.req = b.req AND b.walk = 0 WHERE a.walk = 1 GROUP BY a.req, a.y, a.x),
+wet AS (SELECT DISTINCT (a.req * 64 + a.y) * 64 + a.x AS id FROM masks a, (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) o(dy, dx) JOIN masks b ON b.req = a.req AND b.y = a.y + dy AND b.x = a.x + dx AND b.water = 1 WHERE a.walk = 1),
+big AS (SELECT l, dense_rank() OVER (PARTITION BY l // 4096 ORDER BY l) AS label FROM lab GROUP BY l)
+SELECT id // 4096 AS req, label, count(*) AS cells, count(*) * 9.0::DOUBLE AS area_m2, round(avg(id % 64), 6) AS cx, round(avg(id // 64 % 64), 6) AS cy, min(id % 64) AS x0, max(id % 64) AS x1, min(id // 64 % 64) AS y0, max(id // 64 % 64) AS y1,
+    arg_max(id, {'d': dist, 'i': -id}) // 64 % 64 AS pole_y, arg_max(id, {'d': dist, 'i': -id}) % 64 AS pole_x, bool_or(wet.id IS NOT NULL) AS touches FROM lab JOIN big USING (l) JOIN deep USING (id) LEFT JOIN wet USING (id) GROUP BY id // 4096, label""")
 def region_statistics(spark: SparkSession, d: str) -> DataFrame:
-    """Statistics of each component."""
-    out = G.regions(G.components(_open(spark, d), 64), 3.0).drop("req").withColumn("label", F.col("label").cast("long"))
-    return rounded(out, "cx", "cy")
+    """Statistics of each component, its deepest cell, and whether it touches water."""
+    masks = V.masks(V.grids(spark, d))
+    deep = G.depth(masks.select("req", "y", "x", "walk"), "walk", 64, 64)
+    out = G.regions(G.components(_open(spark, d), 64), 3.0, deep, masks.where("water = 1").select("req", "y", "x"))
+    return rounded(out.withColumn("label", F.col("label").cast("long")), "cx", "cy")
 
 
 _M = "4294967295"
@@ -55,13 +62,13 @@ _MUL = lambda a, b: f"((({a}) * {b}::UHUGEINT) & {_M})"
 _MIX = ", ".join(f"(SELECT xor(u, u >> 15) FROM (SELECT {_MUL('xor(t, t >> 15)', 0x735A2D97)} AS u FROM (SELECT {_MUL('xor(a, a >> 16)', 0x21F0AAAD)} AS t FROM (SELECT ((seed + {k * 0x9E3779B9 & 0xFFFFFFFF}) & {_M})::UHUGEINT AS a)))) AS {n}" for k, n in enumerate("abcd", 1))
 
 
-@query(f"""WITH RECURSIVE seeds AS (SELECT c_custkey::UHUGEINT AS seed FROM customer WHERE c_custkey <= 200), s0 AS (SELECT seed, {_MIX} FROM seeds),
+@query(f"""WITH RECURSIVE seeds AS (SELECT c_custkey::UHUGEINT AS seed FROM customer), s0 AS (SELECT seed, {_MIX} FROM seeds),
 s(seed, k, a, b, c, d, t) AS (SELECT seed, 0, a, b, c, d, 0::UHUGEINT FROM s0 UNION ALL
     SELECT seed, k + 1, xor(b, b >> 9), (c * 9) & {_M}, ((((c << 21) | (c >> 11)) & {_M}) + ((a + b + d) & {_M})) & {_M}, (d + 1) & {_M}, (a + b + d) & {_M} FROM s WHERE k < 17)
 SELECT seed::BIGINT AS seed, CAST(k - 12 AS BIGINT) AS n, round(t::DOUBLE / 4294967296, 10) AS draw FROM s WHERE k > 12""")
 def random_draws(spark: SparkSession, d: str) -> DataFrame:
     """The first five draws of each seed's stream."""
-    seeds = V.load(spark, d, "customer").where("c_custkey <= 200").select(F.col("c_custkey").alias("seed"))
+    seeds = V.load(spark, d, "customer").select(F.col("c_custkey").alias("seed"))
     return rounded(seeds.select("seed", F.posexplode(draws("seed", 5)).alias("n", "draw")).select("seed", (F.col("n") + 1).cast("long").alias("n"), "draw"), "draw", digits=10)
 
 

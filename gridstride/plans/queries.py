@@ -11,11 +11,15 @@ from pyspark.sql import functions as F
 from gridstride.functions import fixed
 from gridstride.functions.geo import clamp, half_up, haversine, lat_of, lng_of, metres_per_pixel, world_x, world_y
 from gridstride.operators import candidates as C
+from gridstride.operators import course
+from gridstride.operators import graph as G
 from gridstride.operators import paths as P
 from gridstride.operators import pixels as X
 from gridstride.operators import planning as L
 from gridstride.operators import stencils as S
 from gridstride.plans import fixtures as V
+from gridstride.sources import tiles
+from gridstride.streaming import limiter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -132,7 +136,7 @@ def capped_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 @query(with_(V.CANDIDATES) + "SELECT kind, cell FROM (SELECT kind, cell, row_number() OVER (PARTITION BY kind ORDER BY cell) - 1 AS n FROM cand) WHERE n % 7 = 0")
 def systematic_sample(spark: SparkSession, d: str) -> DataFrame:
-    return C.systematic(V.candidates(spark, d), "kind", 7).select("kind", "cell")
+    return C.systematic(V.candidates(spark, d), ["kind"], 7).select("kind", "cell")
 
 
 @query(with_(V.CANDIDATES) + "SELECT kind, arg_min(cell, {'e': abs(d - 0.3::DOUBLE * 2000), 'c': cell}) AS cell FROM cand GROUP BY kind")
@@ -335,8 +339,9 @@ def walk_grid(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sql_box(view: str, value: str, how: str, reach: int, out: str, keep: str = "y, x") -> str:
-    return f"""{out}_r AS (SELECT {keep}, {how}({value}) OVER (PARTITION BY y ORDER BY x ROWS BETWEEN {reach} PRECEDING AND {reach} FOLLOWING) AS {value} FROM {view}),
-{out} AS (SELECT {keep}, {how}({value}) OVER (PARTITION BY x ORDER BY y ROWS BETWEEN {reach} PRECEDING AND {reach} FOLLOWING) AS {value} FROM {out}_r)"""
+    by = "req, " if keep.startswith("req") else ""
+    return f"""{out}_r AS (SELECT {keep}, {how}({value}) OVER (PARTITION BY {by}y ORDER BY x ROWS BETWEEN {reach} PRECEDING AND {reach} FOLLOWING) AS {value} FROM {view}),
+{out} AS (SELECT {keep}, {how}({value}) OVER (PARTITION BY {by}x ORDER BY y ROWS BETWEEN {reach} PRECEDING AND {reach} FOLLOWING) AS {value} FROM {out}_r)"""
 
 
 def _masks(spark: SparkSession, d: str) -> DataFrame:
@@ -384,15 +389,19 @@ def distance_to_water(spark: SparkSession, d: str) -> DataFrame:
     return rounded(out.select("y", "x", "dist", S.closeness("dist", 12.0).alias("near")), "dist", "near")
 
 
-@query(with_(V.GRID64, V.MASKS) + """, spread AS (SELECT y + dy AS y, x + dx AS x, ((greatest(abs(dy), abs(dx)) - least(abs(dy), abs(dx))) + least(abs(dy), abs(dx)) * 4 / 3::DOUBLE) * 3 AS dist
-FROM masks, range(-6, 7) a(dy), range(-6, 7) b(dx) WHERE walk = 0),
-near AS (SELECT y, x, min(dist) AS dist FROM spread WHERE dist <= 18 GROUP BY ALL),
-full_ AS (SELECT y, x, least(coalesce(dist, 18), least(y + 1, 64 - y, x + 1, 64 - x) * 3, 18) AS dist FROM masks LEFT JOIN near USING (y, x))
-SELECT y // 3 AS y, x // 3 AS x, round(max(dist) / 3 * 2 / 3, 6) AS width FROM full_ GROUP BY ALL""")
+CLOSED = [_sql_box("masks", "walk", "max", 1, "c0", "req, y, x"), _sql_box("c0", "walk", "min", 1, "c1", "req, y, x")]
+
+
+@query(with_(V.GRIDS, V.MASKS, *CLOSED) + """, deep AS (SELECT a.req, a.y, a.x, least(min(greatest(abs(a.y - b.y), abs(a.x - b.x)) * 3 + least(abs(a.y - b.y), abs(a.x - b.x))), any_value(3 * least(a.y + 1, 64 - a.y, a.x + 1, 64 - a.x))) AS dist
+    FROM c1 a JOIN c1 b ON a.req = b.req AND b.walk = 0 WHERE a.walk = 1 GROUP BY a.req, a.y, a.x),
+cell AS (SELECT req, y // 3 AS y, x // 3 AS x, avg(walk) >= 0.2 AS road FROM masks GROUP BY ALL), wide AS (SELECT req, y // 3 AS y, x // 3 AS x, max(dist) AS dist FROM deep GROUP BY ALL)
+SELECT req, y, x, round(CASE WHEN road THEN coalesce(dist, 0) * 2 / 3::DOUBLE * 1.5::DOUBLE ELSE 0 END, 6) AS width FROM cell LEFT JOIN wide USING (req, y, x)""")
 def road_width(spark: SparkSession, d: str) -> DataFrame:
-    """Chamfer distance to the mask's outside, and its largest value per cell as a width."""
-    dist = S.inner_distance(V.masks(V.grid(spark, d, 64)).select("y", "x", "walk"), "walk", 64, 64, 6)
-    return rounded(dist.groupBy(F.floor(F.col("y") / 3).alias("y"), F.floor(F.col("x") / 3).alias("x")).agg((F.max("dist") / 3 * 2 / 3).alias("width")), "width")
+    """Widths of road cells, from the depth of their pixels in the closed road mask."""
+    masks = V.masks(V.grids(spark, d))
+    road = masks.groupBy("req", F.floor(F.col("y") / 3).alias("y"), F.floor(F.col("x") / 3).alias("x")).agg((F.avg("walk") >= 0.2).cast("int").alias("road_cell"))
+    deep = G.depth(S.closed(masks.select("req", "y", "x", "walk"), "walk", ["req"]), "walk", 64, 64)
+    return rounded(S.road_widths(deep, road, 3, 1.5), "width")
 
 
 @query(with_(V.GRID, "g2 AS (SELECT y, x, v AS s, 1 AS n FROM grid)", _sql_box("g2", "s", "sum", 3, "bs"), _sql_box("g2", "n", "sum", 3, "bn")) + "SELECT y, x, round(s / n, 6) AS mean FROM bs JOIN bn USING (y, x)")
@@ -458,69 +467,90 @@ def ascent(spark: SparkSession, d: str) -> DataFrame:
     return rounded(P.ascent(samples, "user_id", "i", "value"), "ascent_m", digits=4)
 
 
-PTS64 = "pt AS (SELECT event_id AS id, (event_id * 37 % 6400) / 100::DOUBLE AS px, (event_id * 91 % 6400) / 100::DOUBLE AS py FROM events)"
+PTS64 = "pt AS (SELECT event_id AS id, event_id % (SELECT max(req) + 1 FROM grid) AS req, (event_id * 37 % 6400) / 100::DOUBLE AS px, (event_id * 91 % 6400) / 100::DOUBLE AS py FROM events)"
 
 
 def _points64(spark: SparkSession, d: str) -> DataFrame:
+    """Points on the grids of requests."""
     e = F.col("event_id")
-    return V.load(spark, d, "events").select(e.alias("id"), (e * 37 % 6400 / 100.0).alias("px"), (e * 91 % 6400 / 100.0).alias("py"))
+    many = V.load(spark, d, "embeddings").agg((F.floor(F.max("vec_id") / 64) + 1).alias("many"))  # one row
+    return V.load(spark, d, "events").crossJoin(F.broadcast(many)).select(e.alias("id"), (e % F.col("many")).alias("req"), (e * 37 % 6400 / 100.0).alias("px"), (e * 91 % 6400 / 100.0).alias("py"))
 
 
-@query(with_(V.GRID64, V.DEM, PTS64) + """, c AS (SELECT id, least(63, greatest(0, CAST(floor(px - 0.5::DOUBLE) AS BIGINT) + dx)) AS x, least(63, greatest(0, CAST(floor(py - 0.5::DOUBLE) AS BIGINT) + dy)) AS y,
+@query(with_(V.GRIDS, V.DEM, PTS64) + """, c AS (SELECT id, req, least(63, greatest(0, CAST(floor(px - 0.5::DOUBLE) AS BIGINT) + dx)) AS x, least(63, greatest(0, CAST(floor(py - 0.5::DOUBLE) AS BIGINT) + dy)) AS y,
     CASE dx WHEN 1 THEN px - 0.5::DOUBLE - floor(px - 0.5::DOUBLE) ELSE 1 - (px - 0.5::DOUBLE - floor(px - 0.5::DOUBLE)) END * CASE dy WHEN 1 THEN py - 0.5::DOUBLE - floor(py - 0.5::DOUBLE) ELSE 1 - (py - 0.5::DOUBLE - floor(py - 0.5::DOUBLE)) END AS w
-FROM pt, (VALUES (0, 0), (1, 0), (0, 1), (1, 1)) o(dx, dy)), f AS (SELECT id, sum(w * h) / sum(w) AS h FROM c JOIN dem USING (y, x) WHERE h IS NOT NULL GROUP BY id) SELECT pt.id, round(h, 5) AS h FROM pt LEFT JOIN f USING (id)""")
+FROM pt, (VALUES (0, 0), (1, 0), (0, 1), (1, 1)) o(dx, dy)), f AS (SELECT id, sum(w * h) / sum(w) AS h FROM c JOIN dem USING (req, y, x) WHERE h IS NOT NULL GROUP BY id) SELECT pt.id, round(h, 5) AS h FROM pt LEFT JOIN f USING (id)""")
 def bilinear_sample(spark: SparkSession, d: str) -> DataFrame:
-    """Sample a grid between cells, ignoring unknown corners."""
-    return rounded(P.bilinear(_points64(spark, d), V.dem(V.grid(spark, d, 64)), "h", 64, 64), "h", digits=5)
+    """Sample grids between cells, ignoring unknown corners."""
+    return rounded(P.bilinear(_points64(spark, d), V.dem(V.grids(spark, d)), "h", 64, 64, ["req"]).select("id", "h"), "h", digits=5)
 
 
-@query(with_(V.GRID64, V.MASKS, PTS64) + """, h AS (SELECT id, px AS cx, py AS cy, CAST(floor(px + 0.5::DOUBLE) AS BIGINT) AS hx, CAST(floor(py + 0.5::DOUBLE) AS BIGINT) AS hy FROM pt),
-n AS (SELECT id, y, x, greatest(abs(x - hx), abs(y - hy)) AS ring, pow(x - cx, 2) + pow(y - cy, 2) AS d, abs(y - hy) = greatest(abs(x - hx), abs(y - hy)) AS flat FROM h JOIN masks ON y BETWEEN hy - 3 AND hy + 3 AND x BETWEEN hx - 3 AND hx + 3 WHERE green = 1)
+@query(with_(V.GRIDS, V.MASKS, PTS64) + """, h AS (SELECT id, req, px AS cx, py AS cy, CAST(floor(px + 0.5::DOUBLE) AS BIGINT) AS hx, CAST(floor(py + 0.5::DOUBLE) AS BIGINT) AS hy FROM pt),
+n AS (SELECT id, y, x, greatest(abs(x - hx), abs(y - hy)) AS ring, pow(x - cx, 2) + pow(y - cy, 2) AS d, abs(y - hy) = greatest(abs(x - hx), abs(y - hy)) AS flat FROM h JOIN masks ON masks.req = h.req AND y BETWEEN hy - 3 AND hy + 3 AND x BETWEEN hx - 3 AND hx + 3 WHERE green = 1)
 SELECT id, y, x FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ring, d, NOT flat, CASE WHEN flat THEN x ELSE y END, CASE WHEN flat THEN y ELSE x END) AS k FROM n) WHERE k = 1""")
 def nearest_open_cell(spark: SparkSession, d: str) -> DataFrame:
-    """Snap points to the nearest open cell, ring by ring."""
-    points = _points64(spark, d).select("id", F.col("px").alias("cx"), F.col("py").alias("cy"))
-    return P.nearest_open(points, V.masks(V.grid(spark, d, 64)).where("green = 1"), 3)
+    """Snap points to the nearest open cell, ring by ring."""
+    points = _points64(spark, d).select("id", "req", F.col("px").alias("cx"), F.col("py").alias("cy"))
+    return P.nearest_open(points, V.masks(V.grids(spark, d)).where("green = 1"), 3, ["req"]).select("id", "y", "x")
+
 
+@query(with_(V.GRIDS, V.MASKS, PTS64) + """, h AS (SELECT id, req, px AS cx, py AS cy, CAST(floor(px + 0.5::DOUBLE) AS BIGINT) AS hx, CAST(floor(py + 0.5::DOUBLE) AS BIGINT) AS hy FROM pt),
+n AS (SELECT id, cx, cy, y, x, greatest(abs(x - hx), abs(y - hy)) AS ring, pow(x - cx, 2) + pow(y - cy, 2) AS d, abs(y - hy) = greatest(abs(x - hx), abs(y - hy)) AS flat FROM h JOIN masks ON masks.req = h.req AND y BETWEEN hy - 4 AND hy + 4 AND x BETWEEN hx - 4 AND hx + 4 WHERE green = 1)
+SELECT id, y, x FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ring, d, NOT flat, CASE WHEN flat THEN x ELSE y END, CASE WHEN flat THEN y ELSE x END) AS k FROM n) WHERE k = 1 AND sqrt(d) * 15 <= 60""")
+def element_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Elements to the open cell nearest to them, if it is within 60 metres."""
+    points = _points64(spark, d).select("id", "req", F.col("px").alias("cx"), F.col("py").alias("cy"))
+    found = P.nearest_open(points, V.masks(V.grids(spark, d)).where("green = 1"), 4, ["req"]).join(points, ["req", "id"])
+    return found.where(F.sqrt(F.pow(F.col("x") - F.col("cx"), 2) + F.pow(F.col("y") - F.col("cy"), 2)) * 15 <= fixed.ELEMENT_M).select("id", "y", "x")
 
-@query(with_(V.GRID64, V.MASKS, "p AS (SELECT DISTINCT user_id, event_id % 64 AS y, event_id * 7 % 64 AS x FROM events)") + ", a AS (SELECT DISTINCT user_id, y + dy AS y, x + dx AS x FROM p, range(-1, 2) u(dy), range(-1, 2) v(dx)) SELECT user_id, count(DISTINCT masks.y * 64 + masks.x) AS labels FROM a JOIN masks USING (y, x) WHERE green = 1 GROUP BY user_id")
+
+@query(with_(V.GRIDS, V.MASKS, "p AS (SELECT DISTINCT user_id, event_id % (SELECT max(req) + 1 FROM grid) AS req, event_id % 64 AS y, event_id * 7 % 64 AS x FROM events)") + ", a AS (SELECT DISTINCT user_id, req, y + dy AS y, x + dx AS x FROM p, range(-1, 2) u(dy), range(-1, 2) v(dx)) SELECT user_id, count(DISTINCT (masks.req * 64 + masks.y) * 64 + masks.x) AS labels FROM a JOIN masks USING (req, y, x) WHERE green = 1 GROUP BY user_id")
 def labels_near_path(spark: SparkSession, d: str) -> DataFrame:
     """Distinct labels in a square around each path's cells."""
-    path = V.load(spark, d, "events").select("user_id", (F.col("event_id") % 64).alias("y"), (F.col("event_id") * 7 % 64).alias("x"))
-    labels = V.masks(V.grid(spark, d, 64)).where("green = 1").select("y", "x", (F.col("y") * 64 + F.col("x")).alias("label"))
-    return P.near_labels(path, labels, "user_id", 1)
+    e = F.col("event_id")
+    many = V.load(spark, d, "embeddings").agg((F.floor(F.max("vec_id") / 64) + 1).alias("many"))  # one row
+    path = V.load(spark, d, "events").crossJoin(F.broadcast(many)).select("user_id", (e % F.col("many")).alias("req"), (e % 64).alias("y"), (e * 7 % 64).alias("x"))
+    labels = V.masks(V.grids(spark, d)).where("green = 1").select("req", "y", "x", ((F.col("req") * 64 + F.col("y")) * 64 + F.col("x")).alias("label"))
+    return P.near_labels(path, labels, "user_id", 1, ["req"])
 
 
 @query(with_(V.PATHS) + "SELECT user_id, event_type, round(n / sum(n) OVER (PARTITION BY user_id), 8) AS share FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL)")
 def kind_share(spark: SparkSession, d: str) -> DataFrame:
     """Shares of each kind along a path."""
-    from pyspark.sql import Window
+    return rounded(P.shares(V.load(spark, d, "events"), "user_id", "event_type"), "share", digits=8)
 
-    counts = V.load(spark, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
-    return rounded(counts.select("user_id", "event_type", (F.col("n") / F.sum("n").over(Window.partitionBy("user_id"))).alias("share")), "share", digits=8)
 
-
-@query(with_(V.GRID64, V.MASKS) + "SELECT median(v) FILTER (walk = 1) AS median, count(*) FILTER (walk = 1) / count(*)::DOUBLE AS share, coalesce(min(v) FILTER (green = 1), 0) AS least FROM masks")
+@query(with_(V.GRIDS, V.MASKS) + "SELECT req, median(v) FILTER (walk = 1) AS median, count(*) FILTER (walk = 1) / count(*)::DOUBLE AS share, coalesce(min(v) FILTER (green = 1), 0) AS least FROM masks GROUP BY req")
 def median_and_share(spark: SparkSession, d: str) -> DataFrame:
-    """Exact median, conditional share and guarded minimum."""
-    m = V.masks(V.grid(spark, d, 64))
-    return m.agg(F.median(F.when(F.col("walk") == 1, F.col("v"))).alias("median"), (F.count_if(F.col("walk") == 1) / F.count("*")).alias("share"), F.coalesce(F.min(F.when(F.col("green") == 1, F.col("v"))), F.lit(0.0)).alias("least"))
+    """Exact median, conditional share and guarded minimum of each grid."""
+    m = V.masks(V.grids(spark, d))
+    rest = m.groupBy("req").agg((F.count_if(F.col("walk") == 1) / F.count("*")).alias("share"), F.coalesce(F.min(F.when(F.col("green") == 1, F.col("v"))), F.lit(0.0)).alias("least"))
+    return rest.join(S.median(m.where("walk = 1"), ["req"], "v"), "req", "left")
+
 
+@query(with_(V.GRIDS, V.MASKS, "k AS (SELECT req, y, x, CASE WHEN v > 0.2 THEN 3 WHEN v > 0.15 THEN 2 WHEN v > -0.08 THEN 1 ELSE 0 END AS kind, CASE WHEN req % 2 = 0 THEN abs(v) * 10 ELSE 0 END AS width FROM grid)", "big AS (SELECT *, CAST(kind IN (2, 3) AS INT) AS large FROM k)", _sql_box("big", "large", "max", 2, "b", "req, y, x, kind, width"))
+       + ", m AS (SELECT req, median(width) AS med FROM k WHERE kind = 1 GROUP BY req) SELECT req, y, x, CAST(kind = 1 AND CASE WHEN med > 0 THEN width <= 1.2::DOUBLE * med ELSE large = 0 END AS INT) AS thin FROM b LEFT JOIN m USING (req)")
+def thin_minor_roads(spark: SparkSession, d: str) -> DataFrame:
+    """Minor roads that are narrow for their grid, by the median width or by their neighbours."""
+    v = F.col("v")
+    kind = F.when(v > 0.2, 3).when(v > 0.15, 2).when(v > -0.08, 1).otherwise(0)
+    walk = V.grids(spark, d).select("req", "y", "x", kind.alias("kind"), F.when(F.col("req") % 2 == 0, F.abs(v) * 10).otherwise(0.0).alias("width"))
+    return S.thin_roads(walk, 16, ["req"]).select("req", "y", "x", "thin")
 
-KIND_CASE = "CASE WHEN v > 0.15 THEN 3 WHEN v > 0.08 THEN 2 WHEN v > 0.05 THEN 4 WHEN v > -0.08 THEN 1 ELSE 0 END"
-COSTS = "(" + ", ".join(f"{fixed.KIND_COST[k]!r}::DOUBLE" for k in ("MINOR", "SECONDARY", "MAJOR", "PATH")) + ")"
 
+KIND_CASE = "CASE WHEN v > 0.2 THEN 5 WHEN v > 0.15 THEN 3 WHEN v > 0.08 THEN 2 WHEN v > 0.05 THEN 4 WHEN v > -0.08 THEN 1 ELSE 0 END"
 
-@query(with_(V.GRID, f"k AS (SELECT *, {KIND_CASE} AS kind FROM grid)") + """SELECT y, x, kind, round(CASE kind WHEN 1 THEN 1.0::DOUBLE WHEN 2 THEN 1.1::DOUBLE WHEN 3 THEN 1.3::DOUBLE ELSE 1.6::DOUBLE END
-* greatest(0.6::DOUBLE, least(3::DOUBLE, exp(-1.2::DOUBLE * greatest(0::DOUBLE, v) + 1.5::DOUBLE * (x % 5) / 5 + CASE kind WHEN 3 THEN 1.2::DOUBLE WHEN 2 THEN 0.5::DOUBLE ELSE 0 END))), 6) AS cost FROM k WHERE kind > 0""")
+
+@query(with_(V.GRID, f"k AS (SELECT *, {KIND_CASE} AS kind FROM grid)") + """SELECT y, x, kind, round(CASE WHEN kind = 5 THEN 15::DOUBLE ELSE CASE kind WHEN 1 THEN 1.0::DOUBLE WHEN 2 THEN 1.1::DOUBLE WHEN 3 THEN 1.3::DOUBLE ELSE 1.6::DOUBLE END
+* greatest(0.6::DOUBLE, least(3::DOUBLE, exp(-1.2::DOUBLE * greatest(0::DOUBLE, v) - 1.5::DOUBLE * (x % 4) / 4 - 1.0::DOUBLE * (y % 2) + 1.5::DOUBLE * (x % 5) / 5 + CASE kind WHEN 3 THEN 1.2::DOUBLE WHEN 2 THEN 0.5::DOUBLE ELSE 0 END))) END, 6) AS cost FROM k WHERE kind > 0""")
 def cost_grid(spark: SparkSession, d: str) -> DataFrame:
-    """Cost per metre: the kind's base times the clamped theme factor."""
+    """Cost per metre: the kind's base times the clamped theme factor; trunk roads without."""
     v = F.col("v")
-    kind = F.when(v > 0.15, 3).when(v > 0.08, 2).when(v > 0.05, 4).when(v > -0.08, 1).otherwise(0)
+    kind = F.when(v > 0.2, 5).when(v > 0.15, 3).when(v > 0.08, 2).when(v > 0.05, 4).when(v > -0.08, 1).otherwise(0)
     rows = V.grid(spark, d).withColumn("kind", kind).where("kind > 0")
-    base = F.create_map(*[F.lit(x) for k in ("MINOR", "SECONDARY", "MAJOR", "PATH") for x in (fixed.KINDS[k], fixed.KIND_COST[k])])[F.col("kind")]
-    e = -1.2 * F.greatest(F.lit(0.0), v) + 1.5 * (F.col("x") % 5) / 5 + F.when(F.col("kind") == 3, 1.2).when(F.col("kind") == 2, 0.5).otherwise(0.0)
-    return rounded(rows.select("y", "x", "kind", (base * clamp(F.exp(e), fixed.THEME_MIN, fixed.THEME_MAX)).alias("cost")), "cost")
+    rows = rows.select("y", "x", "kind", F.greatest(F.lit(0.0), v).alias("nearGreen"), (F.col("x") % 4 / 4).alias("nearWater"), (F.col("y") % 2).alias("thin"), (F.col("x") % 5 / 5).alias("slope"))
+    weights = {"nearGreen": -1.2, "nearWater": -1.5, "major": 1.2, "secondary": 0.5, "thin": -1.0, "slope": 1.5}
+    return rounded(rows.select("y", "x", "kind", C.cost(weights).alias("cost")), "cost")
 
 
 # ---- requests, strings and cards --------------------------------------------------------------
@@ -538,43 +568,79 @@ def valid_locations(spark: SparkSession, d: str) -> DataFrame:
     return table.select("c_custkey", L.valid_location().alias("valid"))
 
 
-@query("""SELECT event_id, CAST(floor(value * 40) AS BIGINT) AS metres, greatest(5, CAST(floor(value * 40 / 1000 / 4 * 60 / 5 + 0.5::DOUBLE) AS BIGINT) * 5) AS minutes,
-CASE WHEN value >= 60 THEN '어려움' WHEN value >= 25 THEN '보통' ELSE '쉬움' END AS difficulty FROM events""")
+TAGS_OF = "[['nature', 'urban', 'quiet', 'lively', 'river', 'alley', 'night', 'cafe', 'hill', 'flat'][CAST(event_id % 10 + 1 AS INT)], ['nature', 'urban', 'quiet', 'lively', 'river', 'alley', 'night', 'cafe', 'hill', 'flat'][CAST(event_id * 3 % 10 + 1 AS INT)]]"
+
+
+@query(f"""WITH e AS (SELECT event_id, value * 40 AS m, {TAGS_OF} AS tags, event_id % 2 = 0 AS analysed, CASE WHEN event_id % 3 = 0 THEN NULL ELSE value END AS ascent, event_id % 4 AS green, value AS edge, value / 3 AS off, CASE WHEN event_id % 5 = 0 THEN 120 ELSE 30 END AS minutes FROM events),
+l(tag, label) AS (VALUES {LABELS}), n AS (SELECT event_id, string_agg(label, ', ' ORDER BY i) AS names, string_agg(label, ' ' ORDER BY i) || ' 산책' AS title FROM e, range(1, 3) r(i) JOIN l ON l.tag = tags[i] GROUP BY event_id)
+SELECT event_id, title, greatest(5, CAST(floor(m / 1000 / 4 * 60 / 5 + 0.5::DOUBLE) AS BIGINT) * 5) AS duration,
+CASE WHEN ascent IS NULL THEN CASE WHEN list_contains(tags, 'hill') OR minutes >= 120 THEN '보통' ELSE '쉬움' END WHEN ascent >= 60 THEN '어려움' WHEN ascent >= 25 THEN '보통' ELSE '쉬움' END AS difficulty,
+names || ' 분위기에 맞춰 주변 길을 이어 만든 ' || printf('%.1f', floor(m / 100 + 0.5::DOUBLE) / 10) || 'km 순환 코스예요.' || CASE WHEN green > 0 OR edge >= 50 THEN ' ' || concat_ws(', ', CASE WHEN green > 0 THEN '녹지 ' || green || '곳' END, CASE WHEN edge >= 50 THEN '강변 ' || CAST(floor(edge / 10 + 0.5::DOUBLE) AS BIGINT) * 10 || 'm' END) || ' 구간을 지나요.' ELSE '' END
+|| CASE WHEN ascent IS NOT NULL THEN ' 오르막은 약 ' || CAST(floor(ascent + 0.5::DOUBLE) AS BIGINT) || 'm예요.' ELSE '' END || ' 가까운 길에서 출발해 같은 지점으로 돌아와요.' AS description,
+nullif(concat_ws(' ', CASE WHEN off > 10 THEN '출발점은 현재 위치에서 약 ' || CAST(floor(off + 0.5::DOUBLE) AS BIGINT) || 'm 떨어진 길 위에 있어요.' END, CASE WHEN NOT analysed THEN '아이콘과 장소명 확인 없이 지도에 보이는 지형과 길로 구성했어요.' END, CASE WHEN list_has_any(tags, ['quiet', 'lively', 'night']) THEN '분위기는 지도 형태로 추정하며 소음이나 조명 상태는 확인하지 못해요.' END), '') AS notice FROM e JOIN n USING (event_id)""")
 def course_card(spark: SparkSession, d: str) -> DataFrame:
-    """Distance, minutes in fives and difficulty of a course."""
-    v = F.col("value")
-    return V.load(spark, d, "events").select("event_id", F.floor(v * 40).alias("metres"), F.greatest(F.lit(5).cast("long"), half_up(v * 40 / 1000 / fixed.WALK_KMH * 60 / 5) * 5).alias("minutes"), F.when(v >= 60, "어려움").when(v >= 25, "보통").otherwise("쉬움").alias("difficulty"))
+    """Title, minutes in fives, difficulty, description and notices of a course."""
+    e, v = F.col("event_id"), F.col("value")
+    names = F.array(*map(F.lit, ["nature", "urban", "quiet", "lively", "river", "alley", "night", "cafe", "hill", "flat"]))
+    rows = V.load(spark, d, "events").select(
+        "event_id", (v * 40).alias("length_m"), F.array(names[(e % 10).cast("int")], names[(e * 3 % 10).cast("int")]).alias("tags"), (e % 2 == 0).alias("analysed"), F.when(e % 3 != 0, v).alias("ascent_m"),
+        (e % 4).alias("green_regions"), v.alias("water_edge_m"), (v / 3).alias("start_offset_m"), F.when(e % 5 == 0, 120).otherwise(30).alias("minutes"),
+    )
+    return course.card(rows).select("event_id", "title", "duration", "difficulty", "description", "notice")
+
+
+STATIC = ", ".join(f"('{i}', '{t}', {km!r}::DOUBLE, {m}, '{w}', {lat!r}::DOUBLE, {lng!r}::DOUBLE)" for i, t, km, m, w, lat, lng in fixed.COURSES)
+
+
+@query(with_(V.POINTS, f"c(course, title, km, minutes, difficulty, clat, clng) AS (VALUES {STATIC})") + f"SELECT id, course, title, minutes, round({_sql_hav('lat', 'lng', 'clat', 'clng')}, 2) AS away_m FROM pts, c")
+def static_courses(spark: SparkSession, d: str) -> DataFrame:
+    """The static courses and how far each is from each customer."""
+    courses = spark.createDataFrame(fixed.COURSES, "course string, title string, km double, minutes int, difficulty string, clat double, clng double")
+    pairs = V.points(spark, d).join(F.broadcast(courses))  # a few fixed rows
+    return rounded(pairs.select("id", "course", "title", "minutes", haversine("lat", "lng", "clat", "clng").alias("away_m")), "away_m", digits=2)
+
+
+@query(with_(V.PATHS) + ", n AS (SELECT *, lat - lag(lat) OVER w AS uy, lng - lag(lng) OVER w AS ux, lead(lat) OVER w - lat AS vy, lead(lng) OVER w - lng AS vx FROM (SELECT user_id, i, i % 5 // 2 AS lng, i // 3 AS lat FROM path) WINDOW w AS (PARTITION BY user_id ORDER BY i)) SELECT user_id, i FROM n WHERE NOT coalesce(ux * vy - uy * vx = 0 AND ux * vx + uy * vy > 0, false)")
+def path_without_collinear(spark: SparkSession, d: str) -> DataFrame:
+    """Points at which a path does not go straight on."""
+    i = F.col("i")
+    path = V.paths(spark, d).select("user_id", "i", F.floor(i % 5 / 2).alias("x"), F.floor(i / 3).alias("y"))
+    return P.without_collinear(path, "user_id").select("user_id", i.cast("long").alias("i"))
 
 
 @query("SELECT event_id, CASE WHEN event_id % 9 = 0 THEN NULL ELSE (event_id % 256) * 256 + event_id * 7 % 256 + (event_id * 13 % 256) / 256::DOUBLE - 32768 END AS metres FROM events")
 def decode_elevation(spark: SparkSession, d: str) -> DataFrame:
     """Elevation from three bytes; null where transparent."""
     e = F.col("event_id")
-    return V.load(spark, d, "events").select("event_id", F.when(e % 9 != 0, e % 256 * 256.0 + e * 7 % 256 + e * 13 % 256 / 256.0 - 32768).alias("metres"))
+    px = V.load(spark, d, "events").select("event_id", (e % 256).alias("r"), (e * 7 % 256).alias("g"), (e * 13 % 256).alias("b"), F.when(e % 9 == 0, 0).otherwise(255).alias("a"))
+    return px.select("event_id", tiles.elevation("r", "g", "b", "a").alias("metres"))
 
 
 @query("SELECT user_id, arg_max(event_id, {'t': ts, 'e': event_id}) AS event_id, CAST(max(ts) AS VARCHAR) AS ts, count(*) AS superseded FROM events GROUP BY user_id")
 def latest_request(spark: SparkSession, d: str) -> DataFrame:
     """A user's newest request supersedes the earlier ones."""
-    return V.load(spark, d, "events").groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"), F.max("ts").cast("string").alias("ts"), F.count("*").alias("superseded"))
+    latest = limiter.latest(V.load(spark, d, "events").select("user_id", "ts", "event_id"), "user_id", ["ts", "event_id"])
+    return latest.select("user_id", "event_id", F.col("ts").cast("string").alias("ts"), F.col("n").alias("superseded"))
 
 
 @query("SELECT CAST(time_bucket(INTERVAL 1 HOUR, ts) AS VARCHAR) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def hourly_events(spark: SparkSession, d: str) -> DataFrame:
-    rows = V.load(spark, d, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
-    return rounded(rows.select(F.col("w.start").cast("string").alias("hour"), "event_type", "n", "total"), "total", digits=4)
+    """Counts and sums in windows of the clock."""
+    rows = limiter.counts(V.load(spark, d, "events"), "1 hour", ["event_type"], total=F.sum("value"))
+    return rounded(rows.select(F.col("start").cast("string").alias("hour"), "event_type", "n", "total"), "total", digits=4)
 
 
 # ---- guards, features and attributes ----------------------------------------------------------
 
 
-@query(with_(V.GRID64, V.MASKS, PTS64.replace("/ 100::DOUBLE AS px", "// 100 AS x").replace("/ 100::DOUBLE AS py", "// 100 AS y")) + "SELECT id, round(avg(green), 8) AS fraction FROM pt JOIN masks m ON m.y BETWEEN pt.y - 2 AND pt.y + 2 AND m.x BETWEEN pt.x - 2 AND pt.x + 2 GROUP BY id")
+@query(with_(V.GRIDS, V.MASKS, PTS64.replace("/ 100::DOUBLE AS px", "// 100 AS x").replace("/ 100::DOUBLE AS py", "// 100 AS y")) + ", size AS (SELECT req, max(y) + 1 AS h FROM grid GROUP BY req) SELECT id, round(sum(green) / ((least(h - 1, any_value(pt.y) + 2) - greatest(0, any_value(pt.y) - 2) + 1) * (least(63, any_value(pt.x) + 2) - greatest(0, any_value(pt.x) - 2) + 1)), 8) AS fraction FROM pt JOIN size USING (req) JOIN masks m ON m.req = pt.req AND m.y BETWEEN pt.y - 2 AND pt.y + 2 AND m.x BETWEEN pt.x - 2 AND pt.x + 2 WHERE pt.y < h GROUP BY id, h")
 def box_fraction(spark: SparkSession, d: str) -> DataFrame:
     """Class share around points by a summed-area table."""
-    e = F.col("event_id")
-    points = V.load(spark, d, "events").select(e.alias("id"), F.floor(e * 91 % 6400 / 100).alias("y"), F.floor(e * 37 % 6400 / 100).alias("x"))
-    sat = S.summed_area(V.masks(V.grid(spark, d, 64)).select("y", "x", "green"), "green").select("y", "x", "sat")
-    return rounded(C.box_fraction(sat, points, 2, 64, 64), "fraction", digits=8)
+    grids = V.masks(V.grids(spark, d))
+    high = grids.groupBy("req").agg((F.max("y") + 1).alias("h"))
+    points = _points64(spark, d).select("id", "req", F.floor("py").alias("y"), F.floor("px").alias("x")).join(high, "req").where("y < h")
+    sat = S.summed_area(grids.select("req", "y", "x", "green"), "green", ["req"]).select("req", "y", "x", "sat")
+    return rounded(C.box_fraction(sat, points, 2, F.col("h"), 64, ["req"]).select("id", "fraction"), "fraction", digits=8)
 
 
 @query(with_(V.CANDIDATES) + """SELECT cell, i - 1 AS n, round([green, open, water, "waterNear", built, major, secondary, minor, thin, path, "minorDensity",
@@ -602,14 +668,9 @@ def waypoint_labels(spark: SparkSession, d: str) -> DataFrame:
 FROM (SELECT *, lag({'y': y, 'x': x}) OVER (PARTITION BY user_id ORDER BY event_id) AS prev FROM (SELECT user_id, event_id, event_id % 64 AS y, event_id * 7 % 64 AS x, event_id % 3 = 0 AS near FROM events)) GROUP BY user_id""")
 def cell_path_length(spark: SparkSession, d: str) -> DataFrame:
     """Length of a cell path, and of its part beside water."""
-    from pyspark.sql import Window
-
     e = F.col("event_id")
-    cells = V.load(spark, d, "events").select("user_id", "event_id", (e % 64).alias("y"), (e * 7 % 64).alias("x"), (e % 3 == 0).alias("near"))
-    prev = F.lag(F.struct("y", "x")).over(Window.partitionBy("user_id").orderBy("event_id"))
-    step = F.coalesce(F.sqrt(F.pow(F.col("y") - F.col("p.y"), 2) + F.pow(F.col("x") - F.col("p.x"), 2)) * 3, F.lit(0.0))
-    rows = cells.withColumn("p", prev).withColumn("step", step)
-    return rounded(rows.groupBy("user_id").agg(F.sum(F.when(F.col("near"), F.col("step")).otherwise(0.0)).alias("edge_m"), F.sum("step").alias("length_m")), "edge_m", "length_m", digits=4)
+    cells = V.load(spark, d, "events").select("user_id", "event_id", (e % 64).alias("y"), (e * 7 % 64).alias("x"))
+    return rounded(P.cell_length(cells, "user_id", "event_id", 3, e % 3 == 0), "edge_m", "length_m", digits=4)
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderpriority = '1-URGENT')")

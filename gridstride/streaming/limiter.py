@@ -9,7 +9,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -46,6 +47,39 @@ def admitted_stream(requests: DataFrame, key: str, limit: int, window_s: int) ->
     return requests.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, event_id long, ok boolean", "start long, n int", "append", "NoTimeout")
 
 
+def in_flight(requests: DataFrame, key: str, most: int) -> DataFrame:
+    """(key, event_id, ok) of requests (key, start_s, end_s, event_id): whether fewer than ``most`` admitted ones are running when it comes, in order of arrival.
+
+    A key's requests are folded in order in one Arrow group, which keeps only the ends of those running.
+    """
+    kind = requests.schema[key].dataType.simpleString()
+    ids = requests.schema["event_id"].dataType.simpleString()
+
+    def fold(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("start_s", "ascending"), ("event_id", "ascending")])
+        running: list[float] = []
+        ok = []
+        for start, end in zip(group.column("start_s").to_pylist(), group.column("end_s").to_pylist(), strict=True):
+            running = [e for e in running if e > start]
+            ok.append(len(running) < most)
+            running += [end] * ok[-1]
+        return pa.table({key: group.column(key), "event_id": group.column("event_id"), "ok": pa.array(ok, pa.bool_())})
+
+    return requests.select(key, "start_s", "end_s", "event_id").groupBy(key).applyInArrow(fold, f"{key} {kind}, event_id {ids}, ok boolean")
+
+
+def latest(requests: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Each key's newest request, which supersedes the earlier ones, and how many there were."""
+    rest = [c for c in requests.columns if c != key]
+    one = requests.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("one"), F.count("*").alias("n"))
+    return one.select(key, *[F.col("one")[c].alias(c) for c in rest], "n")
+
+
+def counts(events: DataFrame, width: str, by: list[str], **more: Column) -> DataFrame:
+    """(start, by, n, more) of windows of the clock; the same over a table or a stream."""
+    return events.groupBy(F.window("ts", width).alias("w"), *by).agg(F.count("*").alias("n"), *[c.alias(n) for n, c in more.items()]).select(F.col("w.start").alias("start"), *by, "n", *more)
+
+
 def counts_stream(events: DataFrame, late: str = "10 minutes", width: str = "1 minute") -> DataFrame:
-    """Counts per clock-aligned window and type, with a watermark for late rows."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
+    """Counts per window and type, with a watermark for late rows."""
+    return counts(events.withWatermark("ts", late), width, ["event_type"])
