@@ -72,3 +72,13 @@ def expected_tiles(plan: DataFrame, have: DataFrame, missing_limit: int = 2) ->
     joined = wanted.join(have.select("z", "x", "y", F.lit(True).alias("there")).distinct(), ["z", "x", "y"], "left")
     gone = F.col("there").isNull()
     return joined.groupBy("id", "minutes").agg(F.count_if(gone).alias("missing"), (~((F.count_if(gone) > missing_limit) | F.bool_or(gone & F.col("origin")))).alias("ok"))
+
+
+def attempts(plan: DataFrame, have: DataFrame) -> DataFrame:
+    """Each tile of each plan with ``attempt``: 1 if its own shard has it in ``have`` (z, x, y, shard), 2 if the next one has, null if neither."""
+    names = "abcd"
+    after = F.create_map(*[F.lit(v) for k in range(4) for v in (names[k], names[(k + 1) % 4])])
+    tried = tiles(plan).withColumn("t", F.explode(F.array(F.struct(F.col("shard").alias("at"), F.lit(1).alias("n")), F.struct(after[F.col("shard")].alias("at"), F.lit(2).alias("n")))))
+    found = tried.join(have.select("z", "x", "y", F.col("shard").alias("at_"), F.lit(True).alias("there")).distinct(), ["z", "x", "y"], "left")
+    hit = F.when(F.col("there") & (F.col("at_") == F.col("t.at")), F.col("t.n"))
+    return found.groupBy("id", "minutes", "z", "x", "y").agg(F.min(hit).alias("attempt"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridstride.functions.rng import draws, fnv1a
+from gridstride.operators import course
 from gridstride.operators import graph as G
 from gridstride.plans import fixtures as V
 from gridstride.plans.queries import query, rounded, with_
@@ -88,13 +89,42 @@ def rate_limited(spark: SparkSession, d: str) -> DataFrame:
     return limiter.admitted(requests, "user_id", 10, 432000)
 
 
+ELEMENTS = """one AS (SELECT user_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 83 AS part, event_id AS e, event_type FROM events),
+el AS (SELECT user_id, part, row_number() OVER (PARTITION BY user_id, part ORDER BY e) AS i, CASE e % 3 WHEN 0 THEN 'icon' WHEN 1 THEN 'building' ELSE 'nature' END AS kind, CASE e % 4 WHEN 0 THEN 'cafe' WHEN 1 THEN 'green' ELSE 'shop' END AS category,
+    event_type AS label, e % 101 / 100::DOUBLE AS x, e % 89 / 100::DOUBLE AS y, 0.7::DOUBLE + e % 30 / 100::DOUBLE AS confidence FROM one),
+size AS (SELECT user_id, part, count(*) AS n FROM el GROUP BY ALL),
+ok AS (SELECT *, x < 1 AND x + 0.02::DOUBLE <= 1.001::DOUBLE AND confidence >= 0.8::DOUBLE AND confidence <= 1 AND (category <> 'cafe' OR kind <> 'nature') AS good, (x + least(0.02::DOUBLE, 1 - x) / 2) * 1000 AS px, (y + 0.01::DOUBLE) * 500 AS py FROM el JOIN size USING (user_id, part) WHERE n <= 80)"""
+
+
+@query("WITH RECURSIVE " + ELEMENTS + """, f(user_id, part, i, kept) AS (SELECT user_id, part, 0::BIGINT, []::STRUCT(category VARCHAR, px DOUBLE, py DOUBLE, i BIGINT)[] FROM size WHERE n <= 80 UNION ALL
+    SELECT f.user_id, f.part, o.i, CASE WHEN good AND len(list_filter(kept, lambda k: k.category = o.category AND sqrt(pow(k.px - o.px, 2) + pow(k.py - o.py, 2)) < 12)) = 0 THEN list_append(kept, {'category': o.category, 'px': o.px, 'py': o.py, 'i': o.i}) ELSE kept END
+    FROM f JOIN ok o ON o.user_id = f.user_id AND o.part = f.part AND o.i = f.i + 1),
+last AS (SELECT user_id, part, arg_max(kept, i) AS kept FROM f GROUP BY ALL)
+SELECT user_id, part, CASE WHEN n <= 80 THEN 'analyzed' ELSE 'unavailable' END AS status, coalesce(len(kept), 0) AS n, coalesce(list_reduce(list_prepend('', list_transform(kept, lambda k: k.category || ' ' || CAST(floor(k.px) AS BIGINT) || ' ' || CAST(floor(k.py) AS BIGINT))), lambda a, b: a || b || ';'), '') AS kept FROM size LEFT JOIN last USING (user_id, part)""")
 def map_elements(spark: SparkSession, d: str) -> DataFrame:
-    """Elements of each user's JSON, valid ones without near duplicates."""
+    """Elements of each image's JSON, valid ones without near duplicates; too many are an error."""
+    from pyspark.sql import Window
+
     e = F.col("event_id")
-    one = F.struct(F.when(e % 3 == 0, "icon").when(e % 3 == 1, "building").otherwise("nature").alias("kind"), F.when(e % 4 == 0, "cafe").when(e % 4 == 1, "green").otherwise("shop").alias("category"), F.col("event_type").alias("label"), (e % 97 / 100.0).alias("x"), (e % 89 / 100.0).alias("y"), F.lit(0.02).alias("width"), F.lit(0.02).alias("height"), (0.7 + e % 30 / 100.0).alias("confidence"))
-    rows = V.load(spark, d, "events").groupBy("user_id").agg(F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(F.struct("event_id", one.alias("o")))), lambda s: s["o"]).alias("elements"))).alias("text"))
+    part = F.floor((F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1) / 83)
+    one = F.struct(F.when(e % 3 == 0, "icon").when(e % 3 == 1, "building").otherwise("nature").alias("kind"), F.when(e % 4 == 0, "cafe").when(e % 4 == 1, "green").otherwise("shop").alias("category"), F.concat(F.lit(" "), F.col("event_type")).alias("label"), (e % 101 / 100.0).alias("x"), (e % 89 / 100.0).alias("y"), F.lit(0.02).alias("width"), F.lit(0.02).alias("height"), (0.7 + e % 30 / 100.0).alias("confidence"))
+    rows = V.load(spark, d, "events").withColumn("part", part).groupBy("user_id", "part").agg(F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(F.struct("event_id", one.alias("o")))), lambda s: s["o"]).alias("elements"))).alias("text"))
     kept = elements.parse(rows.withColumn("w", F.lit(1000)).withColumn("h", F.lit(500)), "text", "w", "h")
-    return kept.select("user_id", F.posexplode("kept").alias("n", "e")).select("user_id", "n", "e.kind", "e.category", F.round("e.x", 3).alias("x"), F.round("e.y", 3).alias("y"))
+    whole = lambda c: F.floor(c).cast("string")
+    told = F.aggregate("kept", F.lit(""), lambda s, k: F.concat(s, k["category"], F.lit(" "), whole(k["x"]), F.lit(" "), whole(k["y"]), F.lit(";")))
+    return kept.select("user_id", "part", "status", F.size("kept").cast("long").alias("n"), told.alias("kept"))
+
+
+@query("""WITH RECURSIVE s AS (SELECT user_id, event_id, CAST(epoch(ts) AS BIGINT) AS t, CAST(epoch(ts) AS BIGINT) + event_id % 50 * 10000 AS e, row_number() OVER (PARTITION BY user_id ORDER BY CAST(epoch(ts) AS BIGINT), event_id) AS i FROM events),
+f(user_id, event_id, i, ends, ok) AS (SELECT user_id, NULL::BIGINT, 0::BIGINT, []::BIGINT[], false FROM s WHERE i = 1 UNION ALL
+    SELECT s.user_id, s.event_id, s.i, CASE WHEN len(list_filter(ends, lambda x: x > s.t)) < 2 THEN list_append(list_filter(ends, lambda x: x > s.t), s.e) ELSE list_filter(ends, lambda x: x > s.t) END, len(list_filter(ends, lambda x: x > s.t)) < 2
+    FROM f JOIN s ON s.user_id = f.user_id AND s.i = f.i + 1)
+SELECT user_id, event_id, ok FROM f WHERE i > 0""")
+def requests_in_flight(spark: SparkSession, d: str) -> DataFrame:
+    """Requests admitted while fewer than two admitted ones are running."""
+    start = F.unix_seconds(F.col("ts").cast("timestamp"))
+    requests = V.load(spark, d, "events").select("user_id", "event_id", start.alias("start_s"), (start + F.col("event_id") % 50 * 10000).alias("end_s"))
+    return limiter.in_flight(requests, "user_id", 2)
 
 
 def lattice_loops(spark: SparkSession, d: str) -> DataFrame:
@@ -113,5 +143,19 @@ def lattice_loops(spark: SparkSession, d: str) -> DataFrame:
     return G.loops(requests).select("id", "reason", F.round("length_m", 3).alias("length_m"), F.size("path").alias("cells"), F.size("stops").alias("stops"))
 
 
-query(None)(map_elements)
+def pixel_courses(spark: SparkSession, d: str) -> DataFrame:
+    """Courses on images of streets among green blocks, one for each region."""
+    side, p = 320, F.col("p")
+    y, x = F.floor(p / side), p % side
+    key = F.col("r_regionkey").cast("long")
+    tags = F.when(key % 3 == 0, F.array(F.lit("nature"))).when(key % 3 == 1, F.array(F.lit("quiet"), F.lit("nature"))).otherwise(F.array(F.lit("cafe")))
+    requests = V.load(spark, d, "region").select(key.alias("req"), F.lit(16).alias("zoom"), F.lit(0.9469).alias("mpp"), F.lit(side).alias("width"), F.lit(side).alias("height"), F.lit(196.0).alias("origin_px"), F.lit(196.0).alias("origin_py"), F.lit(150.0).alias("half_m"), F.lit(15).alias("minutes"), tags.alias("tags"), (key + 42).alias("seed"), F.lit(False).alias("analysed"))
+    street = (y % 64 < 12) | (x % 64 < 12)
+    colour = lambda v: F.when(street, 255).otherwise(v).cast("int")
+    pixels = requests.select("req").crossJoin(spark.range(side * side).withColumnRenamed("id", "p")).select("req", y.alias("y"), x.alias("x"), colour(224).alias("r"), colour(236).alias("g"), colour(211).alias("b"), F.lit(255).alias("a"))  # an image for each request
+    out = course.courses(pixels, requests)
+    return out.select("req", "reason", F.round("length_m", 3).alias("length_m"), F.size("path").alias("cells"), F.size("stops").alias("stops"), "green_regions")
+
+
+query(None)(pixel_courses)
 query(None)(lattice_loops)

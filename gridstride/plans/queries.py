@@ -237,6 +237,18 @@ def missing_tiles(spark: SparkSession, d: str) -> DataFrame:
     return L.expected_tiles(plan, L.tiles(plan).where((F.col("x") * 31 + F.col("y") * 17) % 11 != 0))
 
 
+@query(with_(REQS, PLAN) + """, t AS (SELECT *, CAST((x + y) & 3 AS INT) AS shard FROM plan, LATERAL (SELECT unnest(range(x0, x1 + 1)) AS x) a, LATERAL (SELECT unnest(range(y0, y1 + 1)) AS y) b)
+SELECT id, minutes, count(*) FILTER ((x * 31 + y * 17) % 11 <> 0) AS first, count(*) FILTER ((x * 31 + y * 17) % 11 = 0 AND (x + 2 * y) % 3 = 0) AS second, count(*) FILTER ((x * 31 + y * 17) % 11 = 0 AND (x + 2 * y) % 3 <> 0) AS missing FROM t GROUP BY ALL""")
+def tile_attempts(spark: SparkSession, d: str) -> DataFrame:
+    """Tiles that come from their own shard, from the next one, or not at all."""
+    plan = L.plan_grid(_requests(spark, d))
+    there, x, y = L.tiles(plan).select("z", "x", "y", "shard").distinct(), F.col("x"), F.col("y")
+    after = F.translate("shard", "abcd", "bcda")
+    have = there.where((x * 31 + y * 17) % 11 != 0).union(there.where(((x * 31 + y * 17) % 11 == 0) & ((x + 2 * y) % 3 == 0)).withColumn("shard", after))
+    n = lambda c: F.count_if(c)
+    return L.attempts(plan, have).groupBy("id", "minutes").agg(n(F.col("attempt") == 1).alias("first"), n(F.col("attempt") == 2).alias("second"), n(F.col("attempt").isNull()).alias("missing"))
+
+
 @query(with_(V.POINTS) + f""", p AS (SELECT *, 12 AS z FROM pts) SELECT id, least(4094, greatest(0, CAST(floor({SQL_WX.format(t=1)} + 0.5::DOUBLE) AS BIGINT) - 1)) AS tx0, least(4094, greatest(0, CAST(floor({SQL_WY.format(t=1)} + 0.5::DOUBLE) AS BIGINT) - 1)) AS ty0 FROM p""")
 def plan_terrain(spark: SparkSession, d: str) -> DataFrame:
     return L.plan_terrain(V.points(spark, d)).select("id", "tx0", "ty0")
@@ -389,18 +401,18 @@ def distance_to_water(spark: SparkSession, d: str) -> DataFrame:
     return rounded(out.select("y", "x", "dist", S.closeness("dist", 12.0).alias("near")), "dist", "near")
 
 
-CLOSED = [_sql_box("masks", "walk", "max", 1, "c0", "req, y, x"), _sql_box("c0", "walk", "min", 1, "c1", "req, y, x")]
+CLOSED = [_sql_box("masks", "green", "max", 1, "c0", "req, y, x"), _sql_box("c0", "green", "min", 1, "c1", "req, y, x")]
 
 
 @query(with_(V.GRIDS, V.MASKS, *CLOSED) + """, deep AS (SELECT a.req, a.y, a.x, least(min(greatest(abs(a.y - b.y), abs(a.x - b.x)) * 3 + least(abs(a.y - b.y), abs(a.x - b.x))), any_value(3 * least(a.y + 1, 64 - a.y, a.x + 1, 64 - a.x))) AS dist
-    FROM c1 a JOIN c1 b ON a.req = b.req AND b.walk = 0 WHERE a.walk = 1 GROUP BY a.req, a.y, a.x),
-cell AS (SELECT req, y // 3 AS y, x // 3 AS x, avg(walk) >= 0.2 AS road FROM masks GROUP BY ALL), wide AS (SELECT req, y // 3 AS y, x // 3 AS x, max(dist) AS dist FROM deep GROUP BY ALL)
+    FROM c1 a LEFT JOIN c1 b ON a.req = b.req AND b.green = 0 WHERE a.green = 1 GROUP BY a.req, a.y, a.x),
+cell AS (SELECT req, y // 3 AS y, x // 3 AS x, avg(green) >= 0.2 AS road FROM masks GROUP BY ALL), wide AS (SELECT req, y // 3 AS y, x // 3 AS x, max(dist) AS dist FROM deep GROUP BY ALL)
 SELECT req, y, x, round(CASE WHEN road THEN coalesce(dist, 0) * 2 / 3::DOUBLE * 1.5::DOUBLE ELSE 0 END, 6) AS width FROM cell LEFT JOIN wide USING (req, y, x)""")
 def road_width(spark: SparkSession, d: str) -> DataFrame:
     """Widths of road cells, from the depth of their pixels in the closed road mask."""
     masks = V.masks(V.grids(spark, d))
-    road = masks.groupBy("req", F.floor(F.col("y") / 3).alias("y"), F.floor(F.col("x") / 3).alias("x")).agg((F.avg("walk") >= 0.2).cast("int").alias("road_cell"))
-    deep = G.depth(S.closed(masks.select("req", "y", "x", "walk"), "walk", ["req"]), "walk", 64, 64)
+    road = masks.groupBy("req", F.floor(F.col("y") / 3).alias("y"), F.floor(F.col("x") / 3).alias("x")).agg((F.avg("green") >= 0.2).cast("int").alias("road_cell"))
+    deep = G.depth(S.closed(masks.select("req", "y", "x", "green"), "green", ["req"]), "green", 64, 64)
     return rounded(S.road_widths(deep, road, 3, 1.5), "width")
 
 
@@ -630,6 +642,17 @@ def hourly_events(spark: SparkSession, d: str) -> DataFrame:
     return rounded(rows.select(F.col("start").cast("string").alias("hour"), "event_type", "n", "total"), "total", digits=4)
 
 
+@query("SELECT event_id, event_id % 7 <> 0 AND event_id % 1700 + 450 BETWEEN 512 AND 2048 AND event_id % 1500 + 600 BETWEEN 512 AND 2048 AS valid FROM events")
+def valid_uploads(spark: SparkSession, d: str) -> DataFrame:
+    """Whether a data URL is a PNG of the declared, allowed size (P10)."""
+    e = F.col("event_id")
+    width, height = e % 1700 + 450, e % 1500 + 600
+    told = F.when(e % 7 == 0, width + 1).otherwise(width)  # the header of every seventh says otherwise
+    head = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), F.lpad(F.hex(told), 8, "0"), F.lpad(F.hex(height), 8, "0"))
+    rows = V.load(spark, d, "events").select("event_id", F.concat(F.lit("data:image/png;base64,"), F.base64(F.unhex(head))).alias("url"), width.alias("w"), height.alias("h"))
+    return rows.select("event_id", tiles.valid_upload("url", "w", "h").alias("valid"))
+
+
 # ---- guards, features and attributes ----------------------------------------------------------
 
 

@@ -10,18 +10,28 @@ SCHEMA = "struct<elements: array<struct<kind: string, category: string, label: s
 KINDS, CATEGORIES, MOST, APART = ("nature", "building", "icon"), ("green", "water", "mountain", "cafe", "culture", "shop", "building", "transport", "other"), 80, 12
 
 
+def valid(e: F.Column) -> F.Column:
+    """Whether an element has a known kind and category, a short label, and a box within the image; a cafe must be an icon or a building."""
+    finite = ~F.isnan(e["x"] + e["y"] + e["width"] + e["height"] + e["confidence"])
+    box = (e["x"] >= 0) & (e["y"] >= 0) & (e["x"] < 1) & (e["y"] < 1) & (e["width"] > 0) & (e["height"] > 0) & (e["x"] + e["width"] <= 1.001) & (e["y"] + e["height"] <= 1.001)
+    sure = e["confidence"].between(0.8, 1.0)
+    return F.coalesce(e["kind"].isin(*KINDS) & e["category"].isin(*CATEGORIES) & (F.length(e["label"]) <= 100) & finite & box & sure & ((e["category"] != "cafe") | e["kind"].isin("icon", "building")), F.lit(False))
+
+
 def parse(rows: DataFrame, text: str, width: str, height: str) -> DataFrame:
-    """Explode a JSON column into valid elements, centres in pixels; of near ones of a category the first stays.
+    """Add ``status`` and ``kept``: the valid elements of a JSON column, their centres in pixels; of near ones of a category the first stays.
 
-    Null if the text is no such JSON. A duplicate is one within 12 pixels of an
-    element that was kept, so the fold is in order.
+    The status is ``unavailable``, and nothing is kept, if the text is no such JSON
+    or lists more than ``MOST`` elements; else ``analyzed``. A duplicate is one
+    within ``APART`` pixels of an element that was kept, so the fold over the few
+    elements of an image is in order.
     """
-    listed = "|".join
-    good = f"""filter(slice(elements, 1, {MOST}), e -> e.kind rlike '^({listed(KINDS)})$' and e.category rlike '^({listed(CATEGORIES)})$' and length(e.label) <= 100
-        and not isnan(e.x + e.y + e.width + e.height) and e.x >= 0 and e.y >= 0 and e.width > 0 and e.height > 0 and e.x + e.width <= 1.001 and e.y + e.height <= 1.001
-        and e.confidence between 0.8 and 1 and (e.category != 'cafe' or e.kind in ('icon', 'building')))"""
-    placed = f"transform({good}, e -> named_struct('kind', e.kind, 'category', e.category, 'label', e.label, 'x', (e.x + e.width / 2) * {width}, 'y', (e.y + e.height / 2) * {height}, 'confidence', e.confidence))"
+    listed = F.from_json(text, SCHEMA)["elements"]
+    fine = listed.isNotNull() & (F.size(listed) <= MOST)
+    centre = lambda e, at, side, whole: (e[at] + F.least(e[side], 1 - e[at]) / 2) * F.col(whole)
     kind = "array<struct<kind: string, category: string, label: string, x: double, y: double, confidence: double>>"
-    kept = f"aggregate(placed, cast(array() as {kind}), (s, e) -> if(exists(s, k -> k.category = e.category and sqrt(pow(k.x - e.x, 2) + pow(k.y - e.y, 2)) < {APART}), s, concat(s, array(e))))"
-    parsed = rows.withColumn("elements", F.from_json(text, SCHEMA)["elements"]).withColumn("placed", F.expr(placed)).withColumn("kept", F.expr(kept))
-    return parsed.drop("elements", "placed")
+    place = lambda e: F.struct(e["kind"].alias("kind"), e["category"].alias("category"), F.trim(e["label"]).alias("label"), centre(e, "x", "width", width).alias("x"), centre(e, "y", "height", height).alias("y"), e["confidence"].alias("confidence"))
+    near = lambda k, e: (k["category"] == e["category"]) & (F.sqrt(F.pow(k["x"] - e["x"], 2) + F.pow(k["y"] - e["y"], 2)) < APART)
+    placed = F.transform(F.filter(listed, valid), place).cast(kind)
+    kept = F.aggregate(placed, F.array().cast(kind), lambda s, e: F.when(F.exists(s, lambda k: near(k, e)), s).otherwise(F.concat(s, F.array(e))))
+    return rows.withColumn("status", F.when(fine, "analyzed").otherwise("unavailable")).withColumn("kept", F.when(fine, kept).otherwise(F.array().cast(kind)))

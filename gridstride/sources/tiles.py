@@ -2,17 +2,34 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def image_pixels(spark: SparkSession, path: str) -> DataFrame:
-    """(path, y, x, r, g, b, a) of every pixel of the PNG or JPEG files under a path, decoded by Spark's image source."""
-    i = F.col("image")
-    rows = spark.read.format("image").option("dropInvalid", True).load(path).select(i["origin"].alias("path"), i["width"].alias("w"), i["nChannels"].alias("c"), i["data"].alias("data"), F.explode(F.sequence(F.lit(0), i["height"] * i["width"] - 1)).alias("p"))
-    byte = lambda k: F.conv(F.hex(F.substring(F.col("data"), F.col("p") * F.col("c") + k + 1, F.lit(1))), 16, 10).cast("int")
-    grey = F.col("c") == 1  # the source gives blue, green, red, and alpha if there is one
-    return rows.select("path", F.floor(F.col("p") / F.col("w")).alias("y"), (F.col("p") % F.col("w")).cast("long").alias("x"), F.when(grey, byte(0)).otherwise(byte(2)).alias("r"), F.when(grey, byte(0)).otherwise(byte(1)).alias("g"), byte(0).alias("b"), F.when(F.col("c") == 4, byte(3)).otherwise(255).alias("a"))
+    """(path, y, x, r, g, b, a) of every pixel of the PNG or JPEG files under a path, decoded by Spark's image source.
+
+    Each image becomes arrays once; its bytes are not copied to its pixels' rows.
+    """
+    images = spark.read.format("image").option("dropInvalid", True).load(path).select("image.origin", "image.height", "image.width", "image.nChannels", "image.data")
+
+    def pixels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for origin, height, width, channels, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                raw = np.frombuffer(data, np.uint8).reshape(height, width, channels)
+                raw = np.repeat(raw, 3, axis=2) if channels == 1 else raw  # the source gives blue, green, red, and alpha if there is one
+                alpha = raw[:, :, 3] if channels == 4 else np.full((height, width), 255, np.uint8)
+                for lo in range(0, height, 256):
+                    part, y, x = raw[lo : lo + 256], *np.mgrid[lo : min(lo + 256, height), 0:width]
+                    values = [y, x, part[:, :, 2], part[:, :, 1], part[:, :, 0], alpha[lo : lo + 256]]
+                    columns = [pa.array(v.ravel().astype(np.int64 if k < 2 else np.int32)) for k, v in enumerate(values)]
+                    yield pa.RecordBatch.from_arrays([pa.array([origin] * len(columns[0]), pa.string()), *columns], names=["path", "y", "x", "r", "g", "b", "a"])
+
+    return images.mapInArrow(pixels, "path string, y long, x long, r int, g int, b int, a int")
 
 
 def elevation(r: str, g: str, b: str, a: str) -> Column:

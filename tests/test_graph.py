@@ -180,7 +180,8 @@ def test_without_collinear(spark):
 
 
 def test_rows_only_queries_run(spark, sf_dir):
-    assert graph_queries.map_elements(spark, sf_dir).count() > 0
+    got = {r.req: r.reason for r in graph_queries.pixel_courses(spark, sf_dir).collect()}
+    assert len(got) == 5 and got[0] is None and got[2] == "vision-unavailable"
     assert graph_queries.lattice_loops(spark, sf_dir).where("reason is null").count() > 0
 
 
@@ -191,10 +192,14 @@ def test_elements(spark):
 
     good = {"kind": "nature", "category": "green", "label": "a", "x": 0.25, "y": 0.5, "width": 0.1, "height": 0.2, "confidence": 0.9}
     items = [good, good, good | {"x": 0.99}, good | {"confidence": 0.2}, good | {"width": -1}, good | {"category": "cafe"}]
-    rows = spark.createDataFrame([(1, json.dumps({"elements": items}), 1000, 500), (2, "nothing", 1, 1)], "id int, t string, w int, h int")
-    got = {r.id: r.kept for r in parse(rows, "t", "w", "h").collect()}
-    assert [(e.x, e.y) for e in got[1]] == [(300.0, 300.0)]
-    assert not got[2]
+    many = [good | {"x": 0.01 * k, "y": 0.02 * k} for k in range(41)]
+    edge = [good | {"x": 0.9, "width": 0.1005, "label": "  b "}, good | {"x": 1.0, "width": 0.0005}]
+    tables = [{"elements": items}, {"elements": many + many}, {"elements": edge}, {"other": 1}, {"elements": []}]
+    rows = spark.createDataFrame([(k, json.dumps(v), 1000, 500) for k, v in enumerate(tables, 1)] + [(6, "nothing", 1, 1), (7, None, 1, 1)], "id int, t string, w int, h int")
+    got = {r.id: (r.status, [(e.label, e.x, e.y) for e in r.kept]) for r in parse(rows, "t", "w", "h").collect()}
+    assert got[1] == ("analyzed", [("a", 300.0, 300.0)]) and got[5] == ("analyzed", [])
+    assert all(got[k] == ("unavailable", []) for k in (2, 4, 6, 7))  # more than 80 are an error
+    assert got[3][1] == [("b", pytest.approx(950.0), pytest.approx(300.0))]  # clipped at the image's edge
 
 
 def test_upload_and_elevation(spark):
@@ -238,6 +243,19 @@ def test_stream_limits_like_the_batch(spark, tmp_path):
     assert len(got) == 58
 
 
+def test_stream_counts_like_the_batch(spark, tmp_path):
+    from gridstride.streaming.limiter import counts, counts_stream
+
+    rows = spark.range(400).selectExpr("timestamp_seconds(1700000000 + id * 13) AS ts", "if(id % 3 = 0, 'a', 'b') AS event_type")
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = counts_stream(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")))
+    q = stream.writeStream.format("memory").queryName("counted").outputMode("complete").option("checkpointLocation", str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    q.stop()
+    got = sorted(map(tuple, spark.table("counted").collect()))
+    assert got == sorted(map(tuple, counts(rows, "1 minute", ["event_type"]).collect())) and sum(r[2] for r in got) == 400
+
+
 def test_lattice_loops_serve_every_user(spark, sf_dir):
     from gridstride.plans.graph_queries import lattice_loops
 
