@@ -23,10 +23,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridstride.llm.common import durable
+from gridstride.llm.common import durable, fresh
 from gridstride.llm.components import components
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
@@ -116,10 +116,35 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, distance: int = DISTAN
     take part but name no component. Repeated rows give repeated results.
     """
     fps = durable(fingerprints(docs, size, id_col, text_col))
-    classes = fps.groupBy("fp").agg(F.min("id").alias("least"))
-    classes = durable(classes)
-    roots = components(near_pairs(classes.select("fp"), distance, agreeing(classes.count()))).withColumnRenamed("node", "fp")
-    rooted = durable(classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    rooted = _rooted(fps.groupBy("fp").agg(F.min("id").alias("least")), distance)
     named = durable(rooted.groupBy("root").agg(F.min("least").alias("component_id")))  # written, so that Spark can split the join of a large component
     names = rooted.select("fp", "root").join(named, "root").select("fp", "component_id")
     return fps.join(names, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _rooted(classes: DataFrame, distance: int) -> DataFrame:
+    """Add the component (root) of each distinct fingerprint."""
+    classes = durable(classes)
+    roots = components(near_pairs(classes.select("fp"), distance, agreeing(classes.count()))).withColumnRenamed("node", "fp")
+    return durable(classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+
+
+def one_of_each(docs: DataFrame, size: int = SHINGLE, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without those that nearly repeat another: of each component one row stays, that of the smallest id, nulls last.
+
+    Rows are told apart by id and text; of rows that agree in both, one stays.
+    """
+    row = F.xxhash64(F.lit("row"), F.col(id_col), F.col(text_col))
+    keyed = docs.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), row.alias("row")).alias("place"), F.col(text_col).alias("text"))
+    fps = durable(fingerprints(keyed, size, "place", "text").withColumnRenamed("id", "place"))
+    rooted = _rooted(fps.groupBy("fp").agg(F.min("place").alias("least")), distance)
+    keep = durable(rooted.groupBy("root").agg(F.min("least").alias("keep")))
+    roots = rooted.select("fp", "root").join(keep, "root").select("fp", "keep")
+    key = fresh(docs, "_row")
+    judged = fps.join(roots, "fp").groupBy(F.col("place.row").alias(key)).agg(F.count("*").alias("n"), F.bool_and(F.col("place") == F.col("keep")).alias("stays"))
+    judged = durable(judged.where("not stays or n > 1"))  # few: the others stay
+    kept = docs.withColumn(key, row).join(judged.where("not stays").select(key), key, "left_anti")
+    again = judged.where("stays").select(key)
+    rank = fresh(kept, "_rank")
+    several = kept.join(again, key, "left_semi").withColumn(rank, F.row_number().over(Window.partitionBy(key).orderBy(F.lit(1)))).where(F.col(rank) == 1).drop(rank)
+    return kept.join(again, key, "left_anti").unionByName(several).drop(key)

@@ -131,6 +131,13 @@ def test_fingerprints_and_components(docs, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def test_one_of_each_stays(spark):
+    near = " ".join(f"near{i} token" for i in range(200))
+    rows = [(1, "first text of some words", "x"), (1, "quite another text that shares no word", "y"), (2, near, "a"), (3, near, "b"), (2, near, "c"), (None, near, "d"), (None, "only here and without id", "e"), (5, None, "f"), (4, "", "g"), (9, near + " end", "h")]
+    got = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, _row string")).collect()
+    assert sorted((r.doc_id or 0, r._row in "ac" or r._row) for r in got) == [(0, "e"), (1, "x"), (1, "y"), (2, True), (4, "g")]
+
+
 def test_near_pairs_are_all_found_once(spark):
     r = random.Random(3)
     base = [r.getrandbits(64) for _ in range(40)]
