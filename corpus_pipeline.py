@@ -6,7 +6,7 @@ columns of ``documents``; the last returns pieces of sequences.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridstride.llm import decontam, langid, lines, packing, simhash
@@ -16,23 +16,22 @@ from gridstride.llm.queries import language_model, tokenizer_file
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text has letters and one clearly nearest language. Languages are learnt from ``docs``."""
-    found = langid.identify(docs, language_model(docs))
-    return found.where((F.col("lang_pred") != langid.UNKNOWN) & ~F.col("ambiguous")).select(docs.columns)
+    found = langid.identify(docs.select(F.struct(*docs.columns).alias("row"), "text"), language_model(docs))
+    return found.where((F.col("lang_pred") != langid.UNKNOWN) & ~F.col("ambiguous")).select("row.*")
 
 
 def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that nearly repeat an earlier one; a document that loses all its words goes."""
-    done = lines.deduplicate(docs)
+    """Documents without lines that nearly repeat an earlier one; a document that loses all its words goes. ``n_chars`` follows the text."""
+    done = lines.deduplicate(docs.select("doc_id", "text", F.struct(*docs.columns).alias("row")))
     done = done.where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
-    return done.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(docs.columns)
+    chars = F.when(F.col("n_removed") == 0, F.col("row.n_chars")).otherwise(F.length("text").cast("long"))
+    new = {"text": F.col("text"), "n_chars": chars}
+    return done.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each near-duplicate component, once. Rows without an id stay."""
-    groups = simhash.near_duplicates(docs).select(F.col("doc_id").alias("_id"), "component_id").where("_id = component_id").select("_id").distinct()
-    kept = docs.join(groups, F.col("doc_id") == F.col("_id"), "left").where("doc_id is null or _id is not null")
-    order = Window.partitionBy("doc_id").orderBy("text")
-    return kept.withColumn("_rank", F.row_number().over(order)).where("_rank = 1 or doc_id is null").select(docs.columns)
+    """Of each near-duplicate component the document of the smallest id, nulls last, once."""
+    return simhash.one_of_each(docs)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
