@@ -42,6 +42,8 @@ LONG, SHORT, COUNT = 112, 160, 512
 SAME = 43
 #: Lines of up to so many shingles, and so many hashes, are packed into one matrix.
 PACK = 1 << 17
+#: Columns of a matrix of shingles at once.
+COLUMNS = 4096
 BITMAP = 1 << 26
 #: Lines of a block, and about how many of a large family's lines all its lines are compared with first.
 BLOCK, PIVOTS = 1500, 16
@@ -191,40 +193,69 @@ def similar(a: set[str], b: set[str], similarity: float) -> bool:
     return both >= similarity * (len(a) + len(b) - both) - 1e-9 and both > 0
 
 
-def links_within(lines: list[str], similarity: float = SIMILARITY, classes: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs of lines whose shingle sets reach the Jaccard similarity, by exact intersections.
+def intersections(sets: list[set[str]], rows: np.ndarray) -> np.ndarray:
+    """How many shingles the sets of ``rows`` share with each set, exactly.
 
-    Lines of one class are joined already. Of many lines, pairs that are clearly too
-    different by their sketches are not intersected.
+    Shingles of one set alone are left out, and those that the same sets have are
+    one column of a matrix, weighted by their number: near copies have few columns.
     """
-    n, sets = len(lines), {}
-    start = np.arange(n) if classes is None else np.unique(classes, return_inverse=True)[1]
+    ids: dict[str, int] = {}
+    flat = np.concatenate([np.fromiter((ids.setdefault(x, len(ids)) for x in own), np.int64, len(own)) for own in sets])
+    owner = np.repeat(np.arange(len(sets)), [len(own) for own in sets])
+    marks = np.random.default_rng(7).integers(0, 1 << 63, (2, len(sets)), np.uint64)
+    who = np.zeros((2, len(ids)), np.uint64)  # of 128 bits, that tell which sets have a shingle
+    for k in (0, 1):
+        np.add.at(who[k], flat, marks[k][owner])
+    order = np.lexsort(who)
+    new = np.concatenate(([True], (who[:, order[1:]] != who[:, order[:-1]]).any(0)))
+    column = np.empty(len(ids), np.int64)
+    column[order] = np.cumsum(new) - 1
+    weight = np.bincount(column).astype(np.float32)
+    first = np.zeros(len(ids), bool)
+    first[order[new]] = True
+    shared = first & (np.bincount(flat, minlength=len(ids)) > 1)
+    number = np.cumsum(shared) - 1
+    use = shared[flat]
+    at, owner, weight = number[flat[use]], owner[use], weight[column[shared]]
+    order = np.argsort(at, kind="stable")
+    at, owner = at[order], owner[order]
+    out = np.zeros((len(rows), len(sets)), np.float32)
+    for lo in range(0, len(weight), COLUMNS):
+        a, b = np.searchsorted(at, (lo, lo + COLUMNS))
+        part = np.zeros((len(sets), min(COLUMNS, len(weight) - lo)), np.float32)
+        part[owner[a:b], at[a:b] - lo] = 1
+        out += (part[rows] * weight[lo : lo + COLUMNS]) @ part.T
+    return out
 
-    def real(i: int, j: int) -> bool:
-        for k in (i, j):
-            if k not in sets:
-                sets[k] = _sets(lines[k])
-        return similar(sets[i], sets[j], similarity)
 
+def links_within(lines: list[str], similarity: float = SIMILARITY, classes: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of lines whose shingle sets reach the Jaccard similarity, by exact intersections. Lines of one class are joined already."""
+    n, sets = len(lines), [_sets(x) for x in lines]
+    start = np.arange(n) if classes is None else np.unique(classes, return_inverse=True)[1]
     if n <= 8:
         label, links = start.tolist(), []
         for i, j in combinations(range(n), 2):
-            if label[i] != label[j] and real(i, j):
+            if label[i] != label[j] and similar(sets[i], sets[j], similarity):
                 links.append((i, j))
                 label = [label[i] if x == label[j] else x for x in label]
         return links
-    marks = np.zeros((2, n, WIDTH), np.uint8)
-    have = np.zeros((2, n), bool)
-    for kind, (at, rows) in enumerate(sketches(lines)):
-        marks[kind, at], have[kind, at] = rows, True
+    counts = np.fromiter(map(len, sets), np.int64, n)
+    largest = np.bincount(start).argmax()
+    asked = np.flatnonzero(start != largest) if (start == largest).sum() > 1 else np.arange(n)  # the others need not meet
+    both = intersections(sets, asked)
+    order = np.concatenate((asked, np.setdiff1d(np.arange(n), asked)))  # asked ones first: a pair is asked about by its first line
+    label, links = start[order], []
 
     def near(i: int, apart: np.ndarray) -> np.ndarray:
-        hope = ~(have[:, i, None] & have[:, apart]).any(0)
-        for kind in np.flatnonzero(have[:, i]):
-            hope |= have[kind, apart] & alike(marks[kind, i], marks[kind, apart])
-        return np.array([j for j in apart[hope].tolist() if real(i, j)], np.int64)
-
-    return forest(n, near, start)
+        if i >= len(asked):
+            return apart[:0]
+        at = order[apart]
+        share = both[i, at]
+        return apart[(share > 0) & (share >= similarity * (counts[order[i]] + counts[at] - share) - 1e-9)]
+
+    for x, y in forest(n, near, label):
+        links.append((int(order[x]), int(order[y])))
+    return links
 
 
 def _distinct_lines(texts: list[str | None]) -> dict[int, str]:

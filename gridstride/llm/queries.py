@@ -71,6 +71,15 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_repeated_passages, op4_token_counts, op5_packing, op6_main_text, op7_top_products, op8_line_dedup, op9_simhash, op10_decontamination)}
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_repeated_passages": r"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+windows AS (SELECT r, i, array_to_string(list_slice(w, i, i + 34), ' ') AS words FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM docs WHERE len(w) >= 35)),
+repeated AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY words) AS n FROM windows) WHERE n > 1),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS j FROM repeated),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY j) AS text FROM (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS j FROM docs) ANTI JOIN gone USING (r, j) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (r) LEFT JOIN (SELECT r, count(*) AS n FROM gone GROUP BY r) USING (r)
+""",
     "op7_top_products": """
 WITH parts AS (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
 bad AS (SELECT vec_id FROM parts WHERE x IS NULL OR NOT isfinite(x)),

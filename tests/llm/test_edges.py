@@ -12,7 +12,9 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from gridstride.llm import decontam, html, langid, lines, packing, simhash, substring, token_counts, topk, toxicity
+from conftest import same
+
+from gridstride.llm import decontam, html, langid, lines, packing, queries, simhash, substring, token_counts, topk, toxicity
 from gridstride.llm.components import components
 from gridstride.llm.queries import tokenizer_file
 
@@ -189,6 +191,15 @@ def test_line_dedup(spark, none):
     assert out.count() == 0 and out.columns == [*none.columns, "n_lines", "n_removed"]
 
 
+def test_intersections_are_exact():
+    r = random.Random(16)
+    base = "".join(r.choice("abcd ") for _ in range(200))
+    sets = [lines._sets(base[: r.randrange(60, 200)] + "".join(r.choice("ab") for _ in range(r.randrange(30)))) for _ in range(60)]
+    rows = np.arange(0, 60, 7)
+    got = lines.intersections(sets, rows)
+    assert all(got[k, j] == len(sets[i] & sets[j]) for k, i in enumerate(rows) for j in range(60) if i != j)
+
+
 def test_line_links_equal_brute_force():
     r = random.Random(6)
     base = ["".join(r.choice("abcd ") for _ in range(r.randrange(3, 90))) for _ in range(25)]
@@ -384,12 +395,31 @@ def test_buckets_prune_and_keep_the_best(spread):
     assert checked < (0.5 if spread < 1 else 0.9) * scores.size
 
 
-def test_top_products_equal_their_sql(spark, sf_dir, duck):
-    from conftest import same
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_queries_equal_their_sql(name, spark, sf_dir, duck):
+    same(queries.QUERIES[name](spark, sf_dir).toPandas(), duck.sql(queries.ORACLE_SQL[name]).df())
+
+
+CONTRACT = {
+    "op1": "doc_id bigint, held_out boolean, score double, predicted int", "op2": "doc_id bigint, held_out boolean, lang_pred string, score double", "op3": "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string",
+    "op4": "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean", "op5": "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint",
+    "op6": "page_id bigint, url string, text string, n_chars bigint", "op7": "query_id bigint, rank int, vec_id bigint, score bigint", "op8": "doc_id bigint, n_lines bigint, n_removed bigint, kept_sha256 string",
+    "op9": "doc_id bigint, fingerprint string, component_id bigint", "op10": "doc_id bigint, item_id bigint, distance int",
+}
 
-    from gridstride.llm import queries
 
-    same(queries.op7_top_products(spark, sf_dir).toPandas(), duck.sql(queries.ORACLE_SQL["op7_top_products"]).df())
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_columns_of_queries(name, spark, sf_dir):
+    found = queries.QUERIES[name](spark, sf_dir)
+    kinds, rows = dict(found.dtypes), found.count()
+    for column in CONTRACT[name.split("_")[0]].split(", "):
+        column, kind = column.split()
+        assert kinds[column] == kind, (column, kinds)
+    docs, pages = (spark.read.parquet(f"{sf_dir}/{t}.parquet").count() for t in ("documents", "pages"))
+    if name.split("_")[0] in ("op1", "op2", "op3", "op4", "op8", "op9"):
+        assert rows == docs
+    assert name != "op6_main_text" or rows == pages
+    assert rows > 0
 
 
 def test_main_text(spark):
