@@ -47,6 +47,8 @@ COLUMNS = 4096
 BITMAP = 1 << 26
 #: Lines of a block, and about how many of a large family's lines all its lines are compared with first.
 BLOCK, PIVOTS = 1500, 16
+#: No line's hash, in a map of them.
+NONE = -(1 << 63)
 SLICE = 1 << 21
 
 
@@ -406,7 +408,7 @@ def verified(family: DataFrame, texts: DataFrame, parts: int, similarity: float)
     small = rows.join(many, "root", "left_anti").select("line", "text", "root", zero.alias("i"), zero.alias("j"), F.col("line").alias("class"))
     if many.isEmpty():
         return _checked(small, parts, similarity)
-    rows = durable(rows.join(many, "root"))
+    rows = rows.join(many, "root")
 
     @F.pandas_udf("array<long>")
     def near(lines: pd.Series, roots: pd.Series, pivots: pd.Series) -> pd.Series:
@@ -421,13 +423,33 @@ def verified(family: DataFrame, texts: DataFrame, parts: int, similarity: float)
 
     chosen = rows.where(F.pmod(F.xxhash64("line"), F.ceil(F.col("count") / PIVOTS)) == 0)
     pivots = durable(chosen.groupBy("root").agg(F.collect_list(F.struct("line", "text")).alias("pivots")))  # PIVOTS of each, about
-    links = durable(rows.join(pivots, "root").select("line", "root", F.explode(near("text", "root", "pivots")).alias("pivot")).where("line != pivot"))
-    found = components(links.select("line", "pivot"))
-    placed = durable(rows.join(found.withColumnRenamed("node", "line").withColumnRenamed("root", "class"), "line", "left"))
-    sizes = placed.where("class is not null").groupBy("root", "class").count()
-    largest = sizes.groupBy("root").agg(F.max_by("class", F.struct("count", "class")).alias("largest"))
-    whole = placed.groupBy("root").agg(F.count("*").alias("n")).join(largest, "root", "left")
-    placed = durable(placed.join(durable(whole), "root").select("line", "text", "root", F.coalesce(F.col("class") == F.col("largest"), F.lit(False)).alias("joined"), F.coalesce("class", "line").alias("class"), F.ceil(F.col("n") / BLOCK).alias("all")))
+    placed = durable(rows.join(pivots, "root").select("line", "text", "root", near("text", "root", "pivots").alias("near")))
+    # pivots that a line is near to are of one class; there are few pairs of them
+    pairs = placed.select("root", F.explode(F.transform("near", lambda p: F.struct(F.array_min("near").alias("a"), p.alias("b")))).alias("p"))
+    counts = pairs.groupBy("root", "p").agg(F.count("*").alias("n")).groupBy("root").agg(F.collect_list(F.struct("p.a", "p.b", "n")).alias("pairs"))
+
+    @F.pandas_udf("map<long,long>")
+    def classes(rows: pd.Series) -> pd.Series:
+        """Each pivot's class, the largest under the key of none."""
+        out = []
+        for some in rows:
+            label = {p: p for x in some for p in (x["a"], x["b"])}
+            for x in some:
+                old, new = label[x["b"]], label[x["a"]]
+                label = {p: new if c == old else c for p, c in label.items()}
+            sizes: dict[int, int] = {}
+            for x in some:
+                if x["a"] == x["b"]:  # once for each line, under its least pivot
+                    sizes[label[x["a"]]] = sizes.get(label[x["a"]], 0) + x["n"]
+            out.append(label | {NONE: max(sizes, key=lambda c: (sizes[c], c))} if label else label)
+        return pd.Series(out)
+
+    known = counts.select("root", classes("pairs").alias("classes")).join(many, "root", "right")
+    sized = durable(known.select("root", "classes", F.ceil(F.col("count") / BLOCK).alias("all")))
+    own = F.try_element_at("classes", F.array_min("near"))
+    placed = placed.join(sized, "root").select("line", "text", "root", "near", "all", F.coalesce(own, "line").alias("class"), F.coalesce(own == F.try_element_at("classes", F.lit(NONE)), F.lit(False)).alias("joined"))
+    placed = durable(placed)
+    links = placed.select("line", F.explode("near").alias("pivot")).where("line != pivot")
     blocks = durable(placed.where("not joined").groupBy("root").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")))
     placed = placed.join(blocks, "root")
     hashed = F.xxhash64("line")
