@@ -408,7 +408,6 @@ def verified(family: DataFrame, texts: DataFrame, parts: int, similarity: float)
     small = rows.join(many, "root", "left_anti").select("line", "text", "root", zero.alias("i"), zero.alias("j"), F.col("line").alias("class"))
     if many.isEmpty():
         return _checked(small, parts, similarity)
-    rows = rows.join(many, "root")
 
     @F.pandas_udf("array<long>")
     def near(lines: pd.Series, roots: pd.Series, pivots: pd.Series) -> pd.Series:
@@ -416,13 +415,14 @@ def verified(family: DataFrame, texts: DataFrame, parts: int, similarity: float)
         out = []
         for line, root, some in zip(lines, roots, pivots, strict=True):
             if root not in known:
-                known[root] = [(p["line"], _sets(p["text"])) for p in some]
+                known[root] = [(p["line"], _sets(p["text"])) for p in (some if some is not None else ())]
             own = _sets(line)
             out.append([p for p, theirs in known[root] if similar(own, theirs, similarity)])
         return pd.Series(out)
 
-    chosen = rows.where(F.pmod(F.xxhash64("line"), F.ceil(F.col("count") / PIVOTS)) == 0)
-    pivots = durable(chosen.groupBy("root").agg(F.collect_list(F.struct("line", "text")).alias("pivots")))  # PIVOTS of each, about
+    chosen = rows.join(many, "root").where(F.pmod(F.xxhash64("line"), F.ceil(F.col("count") / PIVOTS)) == 0)
+    pivots = chosen.groupBy("root").agg(F.collect_list(F.struct("line", "text")).alias("pivots"))  # PIVOTS of each, about
+    pivots = durable(many.join(pivots, "root", "left").select("root", "pivots"))  # written, so that Spark can split the join of a large family
     placed = durable(rows.join(pivots, "root").select("line", "text", "root", near("text", "root", "pivots").alias("near")))
     # pivots that a line is near to are of one class; there are few pairs of them
     pairs = placed.select("root", F.explode(F.transform("near", lambda p: F.struct(F.array_min("near").alias("a"), p.alias("b")))).alias("p"))
