@@ -24,6 +24,8 @@ FEATURES = 1 << 12
 GRAMS = (1, 2, 3)
 #: Training rows per language, and in all, at most: they bound what the driver fits on. All languages are learnt.
 PER_LANGUAGE, ROWS = 400, 20_000
+#: So many languages' counts are broadcast.
+SMALL = 10_000
 #: A text is ambiguous if the runner-up's probability is this share of the winner's.
 NEAR = 0.9
 LETTER = regex.compile(r"\p{L}").search
@@ -123,6 +125,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     if not known:
         return fit(np.zeros((0, FEATURES), np.float32), [])
     each = max(1, min(per_language, ROWS // known))
+    counts = F.broadcast(counts) if known <= SMALL else counts  # of a checked size: texts are not shuffled for it
     sample = rows.join(counts, "lang").where(spread("language", "id", "text") < each / F.col("count")).limit(2 * each * known)
     found = sorted((r["lang"], bytes(r["x"])) for r in _featured(sample).collect())  # bounded by the two parameters, each row of fixed size
     return fit(np.array([np.frombuffer(x, np.float16) for _, x in found], np.float32).reshape(-1, FEATURES), [lang for lang, _ in found])
