@@ -24,7 +24,7 @@ def steps(path: DataFrame, key: str) -> DataFrame:
     """Add the previous point (plat, plng) and the metres from it."""
     w = Window.partitionBy(key).orderBy("i")
     rows = path.withColumn("plat", F.lag("lat").over(w)).withColumn("plng", F.lag("lng").over(w))
-    return rows.withColumn("step_m", F.coalesce(haversine("plat", "plng", "lat", "lng"), F.lit(0.0)))
+    return rows.withColumn("step_m", F.when(F.col("plat").isNull(), 0.0).otherwise(haversine("plat", "plng", "lat", "lng")))
 
 
 def length(path: DataFrame, key: str) -> DataFrame:

@@ -439,7 +439,7 @@ def macro_cells(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- paths ------------------------------------------------------------------------------------
 
-STEPS = V.PATHS + f", prev AS (SELECT *, lag(lat) OVER w AS plat, lag(lng) OVER w AS plng FROM path WINDOW w AS (PARTITION BY user_id ORDER BY i)), steps AS (SELECT *, coalesce({_sql_hav('plat', 'plng', 'lat', 'lng')}, 0) AS step_m FROM prev)"
+STEPS = V.PATHS + f", prev AS (SELECT *, lag(lat) OVER w AS plat, lag(lng) OVER w AS plng FROM path WINDOW w AS (PARTITION BY user_id ORDER BY i)), steps AS (SELECT *, CASE WHEN plat IS NULL THEN 0 ELSE {_sql_hav('plat', 'plng', 'lat', 'lng')} END AS step_m FROM prev)"
 SAMPLES = STEPS + ", up AS (SELECT *, sum(step_m) OVER (PARTITION BY user_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS upto FROM steps), res AS (SELECT user_id, k, plat + (lat - plat) * t AS lat, plng + (lng - plng) * t AS lng FROM (SELECT *, (k * 30000 - (upto - step_m)) / step_m AS t FROM up, LATERAL (SELECT unnest(range(CAST(floor((upto - step_m) / 30000) AS BIGINT) + 1, CAST(floor(upto / 30000) AS BIGINT) + 1)) AS k) s WHERE step_m > 0))"
 
 
