@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridstride.llm import decontam, html, langid, lines, packing, simhash, substring, token_counts, topk, toxicity
+from gridstride.llm import bytepairs, decontam, html, langid, lines, packing, runs, simhash, spelling, substring, token_counts, topk, toxicity
 from gridstride.llm.common import held_out, table
 
 
@@ -68,7 +68,54 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_repeated_passages, op4_token_counts, op5_packing, op6_main_text, op7_top_products, op8_line_dedup, op9_simhash, op10_decontamination)}
+def op11_bytepairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = tokenizer_file("byte_bpe_50k.tiktoken")
+    done = bytepairs.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
+    done = bytepairs.decode(done, ranks, public_tokenizers.PATTERN)
+    ids = F.concat_ws(" ", F.col("ids").cast("array<string>"))
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def planted_words(docs: DataFrame) -> DataFrame:
+    """(doc_id, words): the words of each text; where crc32(doc_id) ends in 0, all from word a on repeat the p words there."""
+    rows = docs.select("doc_id", F.coalesce(F.expr(r"regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+', 0)"), F.array().cast("array<string>")).alias("w"), F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    n, g = F.size("w"), F.floor(F.col("h") / 10)
+    rows = rows.withColumn("a", F.when((F.col("h") % 10 == 0) & (n > 0), (g % n).cast("int"))).withColumn("p", (1 + F.floor((n - F.col("a")) / (3 + g % 8))).cast("int"))
+    # copies of the p words, then the first of them that fill the rest
+    part = F.slice("w", F.col("a") + 1, F.col("p"))
+    again = F.flatten(F.array_repeat(part, F.ceil((n - F.col("a")) / F.col("p")).cast("int")))
+    return rows.select("doc_id", F.when(F.col("a").isNull(), F.col("w")).otherwise(F.slice(F.concat(F.slice("w", F.lit(1), F.col("a")), again), F.lit(1), n)).alias("words"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(planted_words(table(spark, sf_dir, "documents")))
+    # the greatest length, then the smallest start and period, as the least of a struct
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period"))))
+    lines_ = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    found = found.withColumn("best", best)
+    length = -F.col("best.less")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"), length.alias("length"), F.col("best.period").alias("period"),
+        F.expr("1000 * -best.less div best.period").alias("exponent_milli"), F.sha2(F.array_join(lines_, ""), 256).alias("runs_sha256"), F.sha2(F.array_join("kept", " "), 256).alias("collapsed_sha256"),
+    )
+
+
+def altered_runs(docs: DataFrame) -> DataFrame:
+    """(word) of each run of at least 6 letters, A-Z lower-cased; where 199 divides crc32(``doc_id:run``), without its code point crc32 % length."""
+    run = F.explode(F.expr("regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]{6,}', 0)"))
+    rows = docs.select("doc_id", run.alias("run")).withColumn("run", F.translate("run", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    rows = rows.withColumn("h", F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), "run").cast("binary")))
+    at = (F.col("h") % F.char_length("run")).cast("int")
+    less = F.concat(F.substring("run", F.lit(1), at), F.substring("run", at + 2, F.char_length("run")))
+    return rows.select(F.when(F.col("h") % 199 == 0, less).otherwise(F.col("run")).alias("word"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants of the words of ``documents``; a null doc_id counts as empty text in the checksum."""
+    return spelling.variants(spelling.word_counts(altered_runs(table(spark, sf_dir, "documents"))))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_repeated_passages, op4_token_counts, op5_packing, op6_main_text, op7_top_products, op8_line_dedup, op9_simhash, op10_decontamination, op11_bytepairs, op12_periodic_runs, op13_spelling_variants)}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_repeated_passages": r"""
@@ -93,5 +140,25 @@ scores AS (
 ),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM scores)
 SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM ranked WHERE n <= 20
+""",
+    "op13_spelling_variants": r"""
+WITH RECURSIVE bits(i, c, k) AS (SELECT range, range, 0 FROM range(256) UNION ALL SELECT i, xor(c >> 1, (c & 1) * 3988292384), k + 1 FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+runs AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+counted AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS id, run, count(*) AS n FROM runs WHERE length(run) >= 6 GROUP BY ALL),
+bytes AS (SELECT run, n, flatten(list_transform(list_transform(string_split(id, ''), lambda c: unicode(c)), lambda u: CASE WHEN u < 128 THEN [u] ELSE [192 + (u >> 6), 128 + (u & 63)] END)) AS b FROM counted),
+hashed AS (SELECT run, n, length(run) AS size, xor(list_reduce(b, lambda c, x: xor(c >> 8, t[(xor(c, x::BIGINT) & 255) + 1]), 4294967295::BIGINT), 4294967295) AS h FROM bytes, crc),
+altered AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % size) || substr(run, h % size + 2) ELSE run END AS word, n FROM hashed),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM altered WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+holes AS (SELECT word, n, i, substr(word, 1, i - 1) AS l, substr(word, i + 1) AS r FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (
+    SELECT a.word, b.word AS near, b.n AS near_n FROM holes a JOIN holes b ON a.i = b.i AND a.l = b.l AND a.r = b.r AND a.word <> b.word
+    UNION SELECT h.word, w.word, w.n FROM holes h JOIN words w ON w.word = h.l || h.r
+    UNION SELECT w.word, h.word, h.n FROM holes h JOIN words w ON w.word = h.l || h.r
+),
+best AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) AS k, count(*) OVER (PARTITION BY word) AS n_near FROM near),
+formed AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * n THEN near END AS form, CASE WHEN near_n >= 5 * n THEN near_n END AS form_n FROM words LEFT JOIN (FROM best WHERE k = 1) USING (word)),
+follow(word, root, next) AS (SELECT word, word, form FROM formed UNION ALL SELECT f.word, g.word, g.form FROM follow f JOIN formed g ON g.word = f.next)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN (FROM follow WHERE next IS NULL) USING (word)
 """,
 }
