@@ -6,8 +6,9 @@ put in one order, rarest first, two near words share a bigram among the first th
 at the same place, or one place on if the longer word got its code point before it.
 
 Rare bigrams make small groups, but some words have only frequent ones. The edit lies on one side of the
-shared bigram, so the other side of both words is equal: its text belongs to the join key too, which
-keeps groups small where the three rarest bigrams are frequent. What the join finds is verified exactly.
+shared bigram, so the other side of both words is equal, and of the edited side either the first half or
+the rest behind it. Their texts belong to the join key too, which keeps groups small where
+the three rarest bigrams are frequent. Keys are joined as hashes; what the join finds is verified exactly.
 All of this is DataFrame code over the distinct words.
 """
 
@@ -20,6 +21,8 @@ from gridstride.llm.common import durable
 
 #: Bigrams of a word that are joined: one edit of one code point touches at most two.
 PREFIX = 3
+#: Parts into which a bigram's words are dealt where they meet its count.
+SALTS = 16
 #: Doublings of a chain: a form is at least this many times as frequent as its word, so no chain of longs has over 28 steps.
 FACTOR, DOUBLINGS = 5, 5
 
@@ -31,29 +34,40 @@ def word_counts(runs: DataFrame, least_length: int = 6, least_count: int = 5, wo
 
 
 def _prefixes(words: DataFrame) -> DataFrame:
-    """(word, size, place, gram, left, right): the three rarest bigrams of each word, and the text on each side of them."""
+    """(word, place, gram, left, right): the three rarest bigrams of each word, and the text on each side of them."""
     size = F.char_length("word")
     places = words.select("word", F.explode(F.sequence(F.lit(1), size - 1)).alias("place")).withColumn("gram", F.substring("word", F.col("place"), F.lit(2)))
     often = places.groupBy("gram").agg(F.count("*").alias("often"))
-    ordered = places.join(often, "gram").groupBy("word").agg(F.sort_array(F.collect_list(F.struct("often", "gram", "place"))).alias("grams"))  # a word's own bigrams
-    first = ordered.select("word", size.alias("size"), F.explode(F.slice("grams", 1, PREFIX)).alias("g")).select("word", "size", "g.place", "g.gram")
-    return first.withColumn("left", F.substring("word", F.lit(1), F.col("place") - 1)).withColumn("right", F.substring("word", F.col("place") + 2, F.col("size")))
+    # a frequent bigram's words meet its count in several parts
+    often = often.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    counted = places.withColumn("part", F.pmod(F.xxhash64("word"), F.lit(SALTS).cast("long"))).join(often, ["gram", "part"])
+    ordered = counted.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("often", "gram", "place"))).alias("grams"))  # a word's own bigrams
+    first = ordered.select("word", F.explode(F.slice("grams", 1, PREFIX)).alias("g")).select("word", "g.place", "g.gram")
+    return first.withColumn("left", F.substring("word", F.lit(1), F.col("place") - 1)).withColumn("right", F.substring("word", F.col("place") + 2, size))
+
+
+def _keys(longer: int, same: str, edited: str) -> list[F.Column]:
+    """Hashes that two words share if the text ``same`` beside a bigram is equal and the other side is edited.
+
+    ``longer`` is what the other word has more code points than this one: -1, 0 or 1.
+    The place is the longer word's, the halves those of the shorter word's edited side.
+    """
+    size, place = F.char_length("word") + max(longer, 0), F.col("place") + (1 if longer == 1 and edited == "left" else 0)
+    m = F.char_length(edited)
+    half = F.floor((m - (1 if longer == -1 else 0)) / 2).cast("int")
+    rest = m + max(longer, 0) - half  # code points behind the half in the longer word, equal to as many in the shorter one
+    start = F.substring(edited, F.lit(1), half)
+    end = F.substring(edited, m - rest + 1, rest)
+    common = [F.lit(abs(longer)), F.lit(same), "gram", F.col(same), place, size]
+    return [F.xxhash64(*common, F.lit(k), text) for k, text in enumerate((start, end))]
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
     """(word, near), both ways, of the words (distinct, of four code points or more, else they may miss) that differ by one code point."""
     grams = durable(_prefixes(words))
-    # the side that is equal, the bigram's place and the size in the longer word, or in the greater of two words of one size
-    own = [F.struct(F.lit(side).alias("side"), F.col(side).alias("same"), F.col("place").alias("place"), F.col("size").alias("size"), F.lit(more).alias("more")) for side in ("left", "right") for more in (0, 1)]
-    asked = [
-        F.struct(F.lit("left").alias("side"), F.col("left").alias("same"), F.col("place").alias("place"), F.col("size").alias("size"), F.lit(0).alias("more")),
-        F.struct(F.lit("right").alias("side"), F.col("right").alias("same"), F.col("place").alias("place"), F.col("size").alias("size"), F.lit(0).alias("more")),
-        F.struct(F.lit("left").alias("side"), F.col("left").alias("same"), F.col("place").alias("place"), (F.col("size") + 1).alias("size"), F.lit(1).alias("more")),
-        F.struct(F.lit("right").alias("side"), F.col("right").alias("same"), (F.col("place") + 1).alias("place"), (F.col("size") + 1).alias("size"), F.lit(1).alias("more")),
-    ]
-    a = grams.select(F.col("word").alias("a"), "gram", F.explode(F.array(*asked)).alias("k")).select("a", "gram", "k.*")
-    b = grams.select(F.col("word").alias("b"), "gram", F.explode(F.array(*own)).alias("k")).select("b", "gram", "k.*")
-    met = a.join(b, ["gram", "side", "same", "place", "size", "more"]).where((F.col("more") == 1) | (F.col("a") < F.col("b")))
+    sides = [("left", "right"), ("right", "left")]
+    rows = lambda name, *longer: grams.select(F.col("word").alias(name), F.explode(F.array(*[k for d in longer for side in sides for k in _keys(d, *side)])).alias("key"))
+    met = rows("a", 0, 1).join(rows("b", 0, -1), "key").where((F.char_length("a") < F.char_length("b")) | (F.col("a") < F.col("b")))
     found = met.where(F.levenshtein("a", "b", 1) == 1).select("a", "b").distinct()
     return found.select(F.explode(F.array(F.struct(F.col("a").alias("word"), F.col("b").alias("near")), F.struct(F.col("b").alias("word"), F.col("a").alias("near")))).alias("p")).select("p.*")
 
