@@ -1,35 +1,41 @@
 """Removal of repeated passages by Rabin-Karp window hashes (operator 3).
 
-Every window of consecutive words of every document is hashed: words become
-64-bit polynomial hashes of their bytes, a window the polynomial of its words'
-hashes, both rolling (differences of prefix sums, modulo 2**64).
-
-Rows are dealt to parts by a hash. A part sends each of its distinct window
-hashes once, sorted and as differences, to the hash range that counts them; the
-range answers with one bit per hash: found in another part too. A part thus sends
-a common passage once, however often it holds it, and no task sees all of its
-occurrences. Parts then hash their windows again, merge the repeated ones into
+A word becomes a 128-bit hash, two numbers below the prime 2**61 - 1; a window of
+consecutive words becomes two polynomials of its words' numbers, modulo that prime,
+built by doubling. A part holds the texts of about ``part_bytes``.
+
+A part sends the first polynomial of each of its distinct windows once, sorted and as
+differences, to the hash range that counts them; the range answers with one bit
+for each: found in another part too. A part thus sends a common passage once, however
+often it holds it, and no task sees all of its occurrences. Windows found twice are
+then counted again by both polynomials, in the same way, so that a chance
+collision of the first removes nothing. Last, parts merge the repeated windows into
 maximal intervals and drop the words these cover.
 
-With n windows in the corpus, about n*n / 2**65 windows are taken for repeated by
-a chance collision (0.0005 over a gigabyte of text).
+With n windows about n*n / 2**62 of them pass the first count by chance: none in a gigabyte of
+text, some hundred millions in 100 TB; of those one in 2**64 / n may pass the second.
 """
 
 from __future__ import annotations
 
 import hashlib
+from itertools import compress, count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridstride.llm.common import partitions
+from gridstride.llm.common import durable, partitions
 
 WINDOW = 35
-WORD_BASE, WINDOW_BASE = 0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1
-SPACE = np.zeros(256, bool)
-SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Bytes of text of a part, about.
+PART_BYTES = 64 << 20
+PRIME = np.uint64((1 << 61) - 1)
+#: From the golden ratio and from the square root of two, below the prime.
+BASES = (np.uint64(0x9E3779B97F4A7C15 >> 4), np.uint64(0xB504F333F9DE6484 >> 4))
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -38,40 +44,49 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, np.uint64(base))
-    if n:
-        out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & PRIME) + (x >> np.uint64(61))
+    return np.where(x >= PRIME, x - PRIME, x)
 
 
-class Rolling:
-    """Hashes of ranges of a sequence of 64-bit values: sums of value * base**position, shifted back to position 0."""
+def times(a: np.ndarray, b: np.uint64) -> np.ndarray:
+    """a * b modulo the prime, for numbers below it, by halves of 32 bits."""
+    half, low = np.uint64(32), np.uint64((1 << 32) - 1)
+    a1, a0, b1, b0 = a >> half, a & low, b >> half, b & low
+    mid, least = a1 * b0 + a0 * b1, a0 * b0
+    # 2**61 is 1: 2**64 is 8, and 2**32 times the upper bits of ``mid`` is those bits
+    return _reduced((a1 * b1 << np.uint64(3)) + (mid >> np.uint64(29)) + ((mid & np.uint64((1 << 29) - 1)) << half) + (least & PRIME) + (least >> np.uint64(61)))
 
-    def __init__(self, values: np.ndarray, base: int):
-        self.back = _powers(pow(base, -1, 1 << 64), len(values) + 1)
-        self.sums = np.concatenate(([np.uint64(0)], np.cumsum(values * _powers(base, len(values)), dtype=np.uint64)))
 
-    def range(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return (self.sums[ends] - self.sums[starts]) * self.back[starts]
+def polynomials(values: np.ndarray, window: int, base: np.uint64) -> np.ndarray:
+    """The polynomial of each ``window`` consecutive values, the first of them of the highest power."""
+    done, size, doubled, power, length = None, 0, values, base, 1
+    while window >> size:
+        if window >> size & 1:
+            done, reach = (doubled, length) if done is None else (_reduced(times(done[: len(doubled) - reach] if len(doubled) > reach else done[:0], power) + doubled[reach:]), reach + length)
+        size += 1
+        if window >> size:
+            doubled = _reduced(times(doubled[: max(len(doubled) - length, 0)], power) + doubled[length:])
+            power, length = np.uint64(int(power) ** 2 % int(PRIME)), 2 * length
+    return done
 
 
-def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the runs of bytes that are no ASCII white space."""
-    space = np.concatenate(([True], SPACE[data], [True]))
-    return np.flatnonzero(space[:-1] & ~space[1:]), np.flatnonzero(~space[:-1] & space[1:])
+class Part:
+    """The words of some texts, and two hashes of each window of each text."""
 
+    def __init__(self, texts: list[bytes], window: int):
+        number = count()
+        known: dict[bytes, int] = {}
+        self.words = [t.split() for t in texts]
+        codes = [[known[w] if w in known else known.setdefault(w, next(number)) for w in words] for words in self.words]
+        table = np.array([divmod(xxhash.xxh3_128_intdigest(w), 1 << 64) for w in known], np.uint64).reshape(-1, 2) % PRIME
+        self.both = [[polynomials(table[np.array(c, np.int64), k], window, BASES[k]) if len(c) >= window else np.zeros(0, np.uint64) for k in (0, 1)] for c in codes]
 
-def window_hashes(text: bytes, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The hash of each window of one text, and its words' starts and ends."""
-    data = np.frombuffer(text, np.uint8)
-    starts, ends = word_bounds(data)
-    n = len(starts) - window + 1
-    if n < 1:
-        return np.zeros(0, np.uint64), starts, ends
-    words = _mix(Rolling(data.astype(np.uint64) + np.uint64(1), WORD_BASE).range(starts, ends) + (ends - starts).astype(np.uint64))
-    at = np.arange(n)
-    return _mix(Rolling(words, WINDOW_BASE).range(at, at + window)), starts, ends
+    def first(self) -> list[np.ndarray]:
+        return [_mix(a) for a, _ in self.both]
+
+    def second(self) -> list[np.ndarray]:
+        return [_mix(_mix(a) + b) for a, b in self.both]
 
 
 def covered(repeated: np.ndarray, words: int, window: int) -> np.ndarray:
@@ -91,8 +106,17 @@ def _values(planes: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(planes, np.uint8).reshape(8, -1).T.copy().view("<u8").ravel(), dtype=np.uint64)
 
 
-def _texts(rows: pa.Table) -> list[bytes]:
-    return [(t.as_py() or "").encode() for t in rows.column("text")]
+def _distinct(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The values in order, once each, and which of them come twice."""
+    values = np.sort(np.concatenate([*lists, np.zeros(0, np.uint64)]))
+    first = np.concatenate(([True], values[1:] != values[:-1])) if len(values) else np.zeros(0, bool)
+    return values[first], np.diff(np.append(np.flatnonzero(first), len(values))) > 1
+
+
+def _within(values: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
+    if not len(sorted_):
+        return np.zeros(len(values), bool)
+    return sorted_[np.minimum(np.searchsorted(sorted_, values), len(sorted_) - 1)] == values
 
 
 def repeated_passages(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, parts: int | None = None) -> DataFrame:
@@ -102,25 +126,23 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_
     else in the table, the same text included; windows are judged on the input.
     ``kept`` is the remaining words joined by one space. Null text has no words;
     repeated rows are occurrences of each other; rows shorter than a window keep
-    all; other columns are not read; an empty table gives no rows.
+    all; other columns are not read; an empty table gives no rows. ``parts`` is taken
+    from the texts' bytes (``PART_BYTES``) if it is not given, and never below the shuffle partitions.
     """
-    parts = parts or partitions(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    if parts is None:
+        size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+        parts = max(partitions(docs.sparkSession), -(-size // PART_BYTES))
     kind = rows.schema["id"].dataType.simpleString()
     rows = rows.withColumn("part", F.pmod(F.xxhash64("id", "text"), F.lit(parts)).cast("int"))
     edges = np.array([(1 << 64) * k // parts for k in range(1, parts)], np.uint64)  # of the hash ranges
 
-    def distinct(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        hashes = np.sort(np.concatenate([window_hashes(t, window)[0] for t in texts] or [np.zeros(0, np.uint64)]))
-        first = np.concatenate(([True], hashes[1:] != hashes[:-1])) if len(hashes) else np.zeros(0, bool)
-        again = np.diff(np.append(np.flatnonzero(first), len(hashes))) > 1
-        return hashes[first], again
+    def part_of(group: pa.Table) -> Part:
+        return Part([(t.as_py() or "").encode() for t in group.column("text")], window)
 
-    def send(group: pa.Table) -> pa.Table:
-        values, _ = distinct(_texts(group))
-        pieces = np.split(values, np.searchsorted(values, edges))
-        full = [(k, _planes(p)) for k, p in enumerate(pieces) if len(p)]
-        return pa.table({"part": pa.array([group.column("part")[0].as_py()] * len(full), pa.int32()), "range": pa.array([k for k, _ in full], pa.int32()), "planes": pa.array([p for _, p in full], pa.binary())})
+    def sent(part: int, values: np.ndarray) -> pa.Table:
+        full = [(k, _planes(p)) for k, p in enumerate(np.split(values, np.searchsorted(values, edges))) if len(p)]
+        return pa.table({"part": pa.array([part] * len(full), pa.int32()), "range": pa.array([k for k, _ in full], pa.int32()), "planes": pa.array([p for _, p in full], pa.binary())})
 
     def answer(group: pa.Table) -> pa.Table:
         lists = [_values(p.as_py()) for p in group.column("planes")]
@@ -129,31 +151,48 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_
         bits = [np.packbits(np.isin(v, twice, assume_unique=True)).tobytes() for v in lists]
         return pa.table({"part": group.column("part"), "range": group.column("range"), "bits": pa.array(bits, pa.binary())})
 
-    def remove(group: pa.Table, answers: pa.Table) -> pa.Table:
-        texts = _texts(group)
-        values, again = distinct(texts)
+    def repeated(lists: list[np.ndarray], answers: pa.Table) -> np.ndarray:
+        """The values, in order, that come twice here or in another part too."""
+        values, again = _distinct(lists)
         bits = dict(zip(answers.column("range").to_pylist(), answers.column("bits").to_pylist(), strict=True))
         lo = 0
         for k, hi in enumerate([*np.searchsorted(values, edges).tolist(), len(values)]):
             if hi > lo:
                 again[lo:hi] |= np.unpackbits(np.frombuffer(bits[k], np.uint8), count=hi - lo).astype(bool)
             lo = hi
-        again = values[again]
+        return values[again]
+
+    def candidates(part: Part, answers: pa.Table) -> list[np.ndarray]:
+        """For each text, which windows passed the first count."""
+        twice = repeated(part.first(), answers)
+        return [_within(h, twice) for h in part.first()]
+
+    def send(group: pa.Table) -> pa.Table:
+        return sent(group.column("part")[0].as_py(), _distinct(part_of(group).first())[0])
+
+    def send_candidates(group: pa.Table, answers: pa.Table) -> pa.Table:
+        part = part_of(group)
+        chosen = [h[c] for h, c in zip(part.second(), candidates(part, answers), strict=True)]
+        return sent(group.column("part")[0].as_py() if len(group) else 0, _distinct(chosen)[0])
+
+    def remove(group: pa.Table, answers: pa.Table) -> pa.Table:
+        part = part_of(group)
+        first, second = (answers.filter(pc.equal(answers.column("turn"), k)) for k in (1, 2))
+        held = candidates(part, first)
+        twice = repeated([h[c] for h, c in zip(part.second(), held, strict=True)], second)
         out = []
-        for text in texts:
-            hashes, starts, ends = window_hashes(text, window)
-            at = np.searchsorted(again, hashes)
-            at[at == len(again)] = 0
-            gone = covered(again[at] == hashes, len(starts), window) if len(again) and len(hashes) else np.zeros(len(starts), bool)
-            if gone.any():
-                kept = b" ".join([text[s:e] for s, e in zip(starts[~gone].tolist(), ends[~gone].tolist(), strict=True)])
-            else:
-                kept = b" ".join(text.split())
-            out.append((len(starts), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode() if with_text else None))
+        for words, hashes, c in zip(part.words, part.second(), held, strict=True):
+            gone = covered(c & _within(hashes, twice), len(words), window)
+            kept = b" ".join(compress(words, (~gone).tolist()))
+            out.append((len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode() if with_text else None))
         columns = list(zip(*out, strict=True)) or [[], [], [], []]
         return pa.table({"id": group.column("id"), "n_words": pa.array(columns[0], pa.int64()), "n_removed": pa.array(columns[1], pa.int64()), "kept_sha256": pa.array(columns[2], pa.string()), "kept": pa.array(columns[3], pa.string())})
 
-    sent = rows.groupBy("part").applyInArrow(send, "part int, range int, planes binary")
-    answers = sent.groupBy("range").applyInArrow(answer, "part int, range int, bits binary")
-    out = rows.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(remove, f"id {kind}, n_words long, n_removed long, kept_sha256 string, kept string")
+    def counted(values: DataFrame, turn: int) -> DataFrame:
+        return values.groupBy("range").applyInArrow(answer, "part int, range int, bits binary").withColumn("turn", F.lit(turn))
+
+    schema = "part int, range int, planes binary"
+    first = durable(counted(rows.groupBy("part").applyInArrow(send, schema), 1))  # two steps read it
+    second = counted(rows.groupBy("part").cogroup(first.groupBy("part")).applyInArrow(send_candidates, schema), 2)
+    out = rows.groupBy("part").cogroup(first.union(second).groupBy("part")).applyInArrow(remove, f"id {kind}, n_words long, n_removed long, kept_sha256 string, kept string")
     return (out if with_text else out.drop("kept")).withColumnRenamed("id", id_col)

@@ -11,7 +11,7 @@ import pytest
 
 from conftest import same
 
-from gridstride.llm import bytepairs, queries, runs, spelling
+from gridstride.llm import bytepairs, queries, runs, spelling, substring
 
 RANKS = queries.tokenizer_file("byte_bpe_50k.tiktoken")
 TEXTS = [None, "", " ", "\n\n  x", "it's  we'll\t\n 12ab <|endoftext|>", "a" * 30000, "日本語 текст é́ 🙂🙂", "word " * 9000, " " * 50000 + "end", "x " + "\n" * 45000, "same text", "same text"]
@@ -199,3 +199,39 @@ def test_altered_runs(spark):
 
 def test_spelling_query_equals_sql(spark, sf_dir, duck):
     same(queries.op13_spelling_variants(spark, sf_dir).toPandas(), duck.sql(queries.ORACLE_SQL["op13_spelling_variants"]).df())
+
+
+def thue_morse(n, swap):
+    return "".join("ab"[bin(i).count("1") % 2 ^ swap] for i in range(n))
+
+
+def test_words_that_collide_modulo_two_to_the_64_are_told_apart(spark):
+    """Polynomials modulo 2**64 take complementary Thue-Morse words of 1,024 letters for one word, whatever the base."""
+    tail = " ".join(f"w{i}" for i in range(34))
+    words = " ".join("xy"[bin(i).count("1") % 2] for i in range(64)), " ".join("yx"[bin(i).count("1") % 2] for i in range(64))
+    rows = [(0, f"{thue_morse(1024, 0)} {tail}"), (1, f"{thue_morse(1024, 1)} {tail}"), (2, f"{words[0]} p"), (3, f"{words[1]} q")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["n_removed"] for r in substring.repeated_passages(docs, 35).collect()}
+    assert got[0] == got[1] == 0
+
+
+def test_a_collision_of_the_first_count_removes_nothing(spark, monkeypatch):
+    monkeypatch.setattr(substring.Part, "first", lambda part: [np.zeros(len(a), np.uint64) + np.uint64(7) for a, _ in part.both])
+    shared = " ".join(f"s{i}" for i in range(8))
+    rows = [(0, " ".join(f"a{i}" for i in range(30))), (1, " ".join(f"b{i}" for i in range(30))), (2, f"{shared} left"), (3, f"right {shared}")]
+    got = sorted(tuple(r) for r in substring.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), 8, with_text=False, parts=3).select("doc_id", "n_removed").collect())
+    assert got == [(0, 0), (1, 0), (2, 8), (3, 8)]
+
+
+def test_parts_follow_the_bytes_of_the_texts(spark, monkeypatch, capsys):
+    sizes = []
+    monkeypatch.setattr(substring, "PART_BYTES", 20_000)
+    docs = spark.createDataFrame([(i, f"{i} " * 700) for i in range(200)], "doc_id long, text string")
+    size = sum(len(f"{i} " * 700) for i in range(200))
+    parts = -(-size // substring.PART_BYTES)
+    held = docs.selectExpr(f"pmod(xxhash64(doc_id, text), {parts}) as part", "octet_length(text) as n").groupBy("part").sum("n").collect()
+    sizes = [r[1] for r in held]
+    with capsys.disabled():
+        print(f"\n  {parts} parts of {substring.PART_BYTES} bytes: the largest holds {max(sizes)}")
+    assert max(sizes) < 4 * substring.PART_BYTES
+    assert substring.repeated_passages(docs, 35).count() == 200
