@@ -34,6 +34,24 @@ def shortest_paths(spark: SparkSession, d: str) -> DataFrame:
     return rounded(G.distances(cells, first), "metres")
 
 
+@query("WITH RECURSIVE " + ", ".join([V.GRIDS, V.MASKS, EDGES]) + """,
+priced AS (SELECT (req * 64 + y) * 64 + x AS id, CASE WHEN green = 1 THEN 0.75::DOUBLE WHEN v > 0 THEN 1.5::DOUBLE ELSE 3::DOUBLE END AS c FROM masks WHERE walk = 1),
+steps AS MATERIALIZED (SELECT a, b, w * ((p.c + q.c) * 0.5::DOUBLE) AS w FROM edges JOIN priced p ON p.id = a JOIN priced q ON q.id = b),
+dist(id, d) USING KEY (id) AS (SELECT min(id), 0::DOUBLE FROM open GROUP BY req UNION
+    SELECT e.b, min(dist.d + e.w) FROM dist JOIN steps e ON e.a = dist.id LEFT JOIN recurring.dist r ON r.id = e.b WHERE r.id IS NULL OR dist.d + e.w < r.d GROUP BY e.b),
+came AS MATERIALIZED (SELECT b AS id, arg_min(a, {'v': d + w, 'a': a}) AS before FROM dist JOIN steps ON a = id WHERE b NOT IN (SELECT min(id) FROM open GROUP BY req) GROUP BY b),
+asked AS (SELECT max(id) AS target FROM open GROUP BY req, y),
+way(target, id, k) AS (SELECT target, target, 0 FROM asked JOIN dist ON id = target UNION ALL SELECT target, before, k + 1 FROM way JOIN came USING (id))
+SELECT target // 64 AS row, round(d, 6) AS cost, CAST(max(k) OVER (PARTITION BY target) - k AS BIGINT) AS i, way.id // 64 % 64 AS y, way.id % 64 AS x FROM way JOIN dist ON dist.id = target""")
+def cheapest_ways(spark: SparkSession, d: str) -> DataFrame:
+    """The cheapest way from each grid's first open cell to the last one of each row, cell by cell."""
+    cells = V.masks(V.grids(spark, d)).where("walk = 1").select("req", "y", "x", F.when(F.col("green") == 1, 0.75).when(F.col("v") > 0, 1.5).otherwise(3.0).alias("cost"))
+    first = cells.groupBy("req").agg(F.min(F.struct("y", "x")).alias("c"))
+    last = cells.groupBy("req", "y").agg(F.max("x").alias("tx")).join(first, "req")
+    asked = last.select((F.col("req") * 64 + F.col("y")).alias("id"), "req", F.col("c.y").alias("sy"), F.col("c.x").alias("sx"), F.col("y").alias("ty"), "tx")
+    return rounded(G.cheapest(cells, asked).withColumnRenamed("id", "row"), "cost")
+
+
 COMPONENTS = "WITH RECURSIVE " + ", ".join([V.GRIDS, V.MASKS, EDGES]) + """, lab(id, l) USING KEY (id) AS (SELECT id, id FROM open UNION
     SELECT e.b, min(lab.l) FROM lab JOIN edges e ON e.a = lab.id AND (dy = 0 OR dx = 0) JOIN recurring.lab r ON r.id = e.b WHERE lab.l < r.l GROUP BY e.b)"""
 

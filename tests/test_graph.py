@@ -36,17 +36,6 @@ def test_used_cells_cost_more():
     assert any(y != 1 for y, _ in path)
 
 
-def test_distances_across_tiles_equal_dijkstra(spark):
-    random = np.random.default_rng(1)
-    mask = random.random((150, 70)) < 0.75
-    mask[0, 0] = True
-    got = {(r.y, r.x): r.metres for r in G.distances(walk(spark, mask), (0, 0), 2.0).collect()}
-    start = np.where(np.arange(mask.size).reshape(mask.shape) == 0, 0.0, INF)
-    best = G._relax(mask, start, 2.0, 2.0 * math.sqrt(2))
-    assert set(got) == {tuple(map(int, p)) for p in zip(*np.nonzero(np.isfinite(best)), strict=True)}
-    assert all(math.isclose(best[p], m, abs_tol=1e-9) for p, m in got.items())
-
-
 def test_draws_equal_the_stream(spark):
     row = spark.createDataFrame([(42,)], "s long").select(draws("s", 6).alias("d")).first()
     draw = G.rng(42)
