@@ -23,6 +23,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,13 +41,25 @@ WIDTH = BANDS * ROWS
 LONG, SHORT, COUNT = 112, 160, 512
 #: Sketches agree in 56 +- 3.4 of 70 bytes at similarity 0.8.
 SAME = 43
+#: At most WIDTH - SAME bytes of alike sketches differ, so one piece of so many is equal.
+PIECES = WIDTH - SAME + 1
+#: Up to so many sketches are compared without pieces, and up to so many of an equal piece all at once.
+FEW, FEW_EQUAL = 200, 32
+#: A key of more lines is split by the pieces of their sketches.
+HOT = 20_000
+#: A task names the lines of a key itself if it has so many, and asks about one of them alone.
+SURE = 64
+#: Parts into which a root's lines are dealt where they meet what is known of it.
+SALTS = 16
 #: Lines of up to so many shingles, and so many hashes, are packed into one matrix.
 PACK = 1 << 17
 #: Columns of a matrix of shingles at once.
-COLUMNS = 4096
+COLUMNS = 1024
 BITMAP = 1 << 26
 #: Lines of a block, and about how many of a large family's lines all its lines are compared with first.
 BLOCK, PIVOTS = 1500, 16
+#: Lines of a large family that a task compares with them.
+CHUNK = 500
 #: No line's hash, in a map of them.
 NONE = -(1 << 63)
 SLICE = 1 << 21
@@ -176,16 +189,65 @@ def alike(sketch: np.ndarray, others: np.ndarray) -> np.ndarray:
 def forest(n: int, near: Callable[[int, np.ndarray], np.ndarray], label: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links that join what ``near`` links: for each item it is asked only about later items that are not joined yet. Items of one ``label`` are joined from the start."""
     label, links = np.arange(n) if label is None else label.copy(), []
+    left = len(np.unique(label)) - 1
     for i in range(n - 1):
+        if not left:
+            break
         apart = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
         found = near(i, apart) if len(apart) else apart
         others, first = np.unique(label[found], return_index=True)
+        left -= len(others)
         for other, j in zip(others.tolist(), found[first].tolist(), strict=True):
             links.append((i, j))
             label[label == other] = label[i]
     return links
 
 
+def find(parent: np.ndarray, x: int) -> int:
+    while parent[x] != x:
+        parent[x] = parent[parent[x]]
+        x = parent[x]
+    return x
+
+
+def joined(own: np.ndarray) -> list[tuple[int, int]]:
+    """Links that join sketches as all alike pairs of them would.
+
+    Equal sketches are one. Of alike sketches at least one of ``PIECES`` pieces is equal, since fewer
+    bytes differ than there are pieces; so only those with an equal piece meet, and unlike ones seldom do.
+    """
+    _, first, same = np.unique(np.ascontiguousarray(own).view(f"V{WIDTH}").ravel(), return_index=True, return_inverse=True)
+    links = [(int(first[k]), i) for i, k in enumerate(same.tolist()) if first[k] != i]
+    if len(first) <= FEW:
+        return links + [(int(first[x]), int(first[y])) for x, y in forest(len(first), lambda i, apart: apart[alike(own[first[i]], own[first[apart]])])]
+    own, parent = own[first], np.arange(len(first))
+
+    def link(x: int, y: int) -> None:
+        a, b = find(parent, x), find(parent, y)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            links.append((int(first[x]), int(first[y])))
+
+    for k in range(PIECES):
+        piece = own[:, WIDTH * k // PIECES : WIDTH * (k + 1) // PIECES].astype(np.int64)
+        code = piece @ (256 ** np.arange(piece.shape[1]))
+        order = np.argsort(code, kind="stable")
+        starts = np.flatnonzero(np.concatenate(([True], np.diff(code[order]) != 0)))
+        sizes = np.diff(np.append(starts, len(order)))
+        size_at = np.repeat(sizes, sizes)
+        for d in range(1, FEW_EQUAL):  # small runs: all pairs at once
+            at = np.flatnonzero((size_at[:-d] <= FEW_EQUAL) & (code[order[d:]] == code[order[:-d]])) if d < len(order) else np.zeros(0, int)
+            x, y = order[at], order[at + d]
+            for hit in np.flatnonzero(alike(own[x], own[y])).tolist():
+                link(int(x[hit]), int(y[hit]))
+        for lo, n in zip(starts[sizes > FEW_EQUAL].tolist(), sizes[sizes > FEW_EQUAL].tolist(), strict=True):
+            at = order[lo : lo + n]
+            label = np.fromiter((find(parent, x) for x in at.tolist()), np.int64, n)
+            for x, y in forest(n, lambda i, apart, at=at: apart[alike(own[at[i]], own[at[apart]])], label):
+                link(int(at[x]), int(at[y]))
+    return links
+
+
 def _sets(line: str, size: int = SHINGLE) -> set[str]:
     return {line[i : i + size] for i in range(len(line) - size + 1)} or {line}
 
@@ -277,17 +339,37 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[list[str | None]]:
         yield part
 
 
+def _pairs(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    keys = [_values(p.as_py()) for p in group.column("keys")]
+    lines = [np.frombuffer(p.as_py(), np.int64) for p in group.column("lines")]
+    return np.concatenate([*keys, np.zeros(0, np.uint64)]), np.concatenate([*lines, np.zeros(0, np.int64)])
+
+
 def members(docs: DataFrame, parts: int) -> DataFrame:
-    """(key, line): lines that share a band key with another line, for each such key."""
+    """(key, line): lines that share a band key with another line, for each such key; some rows come twice.
+
+    A task that has more than ``SURE`` lines of a key knows that they share it and
+    asks about one of them, so that no range gathers all lines of a common key.
+    """
     edges = np.array([(1 << 64) * k // parts for k in range(1, parts)], np.uint64)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def packed(keys: np.ndarray, lines: np.ndarray) -> pa.RecordBatch:
             order = np.argsort(keys, kind="stable")
             keys, lines = keys[order], lines[order]
+            starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+            sizes = np.diff(np.append(starts, len(keys)))
+            sure = np.repeat(sizes > SURE, sizes)
+            known, known_lines = keys[sure], lines[sure]
+            use = ~sure
+            use[starts] = True
+            keys, lines = keys[use], lines[use]
             cuts = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
-            full = [(k, a, b) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
-            return pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in full], pa.int32()), pa.array([_planes(keys[a:b]) for _, a, b in full], pa.binary()), pa.array([lines[a:b].tobytes() for _, a, b in full], pa.binary())], names=["range", "keys", "lines"])
+            full = [(k, False, keys[a:b], lines[a:b]) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
+            # what is known of common keys goes anywhere
+            full += [(int(known_lines[a] % parts), True, known[a : a + HOT], known_lines[a : a + HOT]) for a in range(0, len(known), HOT)]
+            columns = [pa.array([x[0] for x in full], pa.int32()), pa.array([x[1] for x in full]), pa.array([_planes(x[2]) for x in full], pa.binary()), pa.array([x[3].tobytes() for x in full], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["range", "sure", "keys", "lines"])
 
         seen: set[int] = set()
         held, size = [], 0
@@ -304,12 +386,13 @@ def members(docs: DataFrame, parts: int) -> DataFrame:
             yield packed(*map(np.concatenate, zip(*held, strict=True)))
 
     def shared(group: pa.Table) -> pa.Table:
-        keys = np.concatenate([_values(p.as_py()) for p in group.column("keys")])
-        lines = np.concatenate([np.frombuffer(p.as_py(), np.int64) for p in group.column("lines")])
+        sure, group = group.filter(group.column("sure")), group.filter(pc.invert(group.column("sure")))
+        known, known_lines = _pairs(sure)
+        keys, lines = _pairs(group)
         order = np.argsort(keys, kind="stable")  # runs in order already
         keys, lines = keys[order], lines[order]
         same = keys[1:] == keys[:-1]
-        use = np.concatenate(([False], same)) | np.concatenate((same, [False]))
+        use = (np.concatenate(([False], same)) | np.concatenate((same, [False])))[: len(keys)]
         keys, lines = keys[use], lines[use]
         order = np.lexsort((lines, keys))
         keys, lines = keys[order], lines[order]
@@ -318,9 +401,9 @@ def members(docs: DataFrame, parts: int) -> DataFrame:
         keys, lines = keys[new], lines[new]  # a line once under a key, then again only keys of several lines
         same = keys[1:] == keys[:-1]
         use = (np.concatenate(([False], same)) | np.concatenate((same, [False])))[: len(keys)]
-        return pa.table({"key": keys[use].view(np.int64), "line": lines[use]})
+        return pa.table({"key": np.concatenate((keys[use], known)).view(np.int64), "line": np.concatenate((lines[use], known_lines))})
 
-    sent = docs.select("text").mapInArrow(send, "range int, keys binary, lines binary")
+    sent = docs.select("text").mapInArrow(send, "range int, sure boolean, keys binary, lines binary")
     return sent.groupBy("range").applyInArrow(shared, "key long, line long")
 
 
@@ -371,7 +454,11 @@ def sketches_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def families(shared: DataFrame, marks: DataFrame, parts: int) -> DataFrame:
-    """(node, root) of lines that stay close by their sketches under some band key."""
+    """(node, root) of lines that stay close by their sketches under some band key.
+
+    The lines of a key are one group, unless they are over ``HOT``: then those that also have
+    a piece of their sketches in common are, which separates no alike pair.
+    """
 
     def close(group: pa.Table) -> pa.Table:
         keys, lines = group.column("key").to_numpy(), group.column("line").to_numpy()
@@ -384,14 +471,26 @@ def families(shared: DataFrame, marks: DataFrame, parts: int) -> DataFrame:
         out = [np.stack((twos, twos + 1), axis=1)[alike(bits[twos], bits[twos + 1])]]
         more: list[tuple[int, int]] = []
         for lo, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-            own = bits[lo : lo + n]
-            more += [(lo + x, lo + y) for x, y in forest(n, lambda i, apart, own=own: apart[alike(own[i], own[apart])])]
+            more += [(lo + x, lo + y) for x, y in joined(bits[lo : lo + n])]
         at = np.concatenate([*out, np.array(more, np.int64).reshape(-1, 2)])
         return pa.table({"a": lines[at[:, 0]], "b": lines[at[:, 1]]})
 
     sketch = F.when(F.col("key") % 2 == 0, F.col("sketch0")).otherwise(F.col("sketch1"))
-    joined = shared.join(marks, "line").select("key", "line", sketch.alias("sketch"), F.pmod(F.xxhash64("key"), F.lit(4 * parts)).alias("part"))
-    return components(joined.groupBy("part").applyInArrow(close, "a long, b long"))
+    rows = shared.join(marks, "line").select("key", "line", sketch.alias("sketch"))
+    hot = durable(shared.groupBy("key").count().where(F.col("count") > HOT).select("key"))
+    if not hot.isEmpty():
+        rows = durable(rows)
+        pieces = [F.xxhash64("key", F.lit(k), F.substring("sketch", WIDTH * k // PIECES + 1, WIDTH * (k + 1) // PIECES - WIDTH * k // PIECES)) for k in range(PIECES)]
+        split = _met(rows, hot, "key").withColumn("key", F.explode(F.array(*pieces)))
+        rows = _met(rows, hot, "key", "left_anti").union(split)
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(4 * parts)))
+    return components(rows.groupBy("part").applyInArrow(close, "a long, b long"))
+
+
+def _met(rows: DataFrame, known: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``rows`` (with a column line) joined with what is known of each key, in several parts of a key, so that a common one is not one task."""
+    salted = known.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return rows.withColumn("part", F.pmod(F.xxhash64("line"), F.lit(SALTS).cast("long"))).join(salted, [key, "part"], how).drop("part")
 
 
 def verified(family: DataFrame, texts: DataFrame, parts: int, similarity: float) -> DataFrame:
@@ -405,25 +504,26 @@ def verified(family: DataFrame, texts: DataFrame, parts: int, similarity: float)
     many = durable(family.groupBy("root").count().where(F.col("count") > BLOCK))
     rows = family.select(F.col("node").alias("line"), "root").join(texts, "line")
     zero = F.lit(0).cast("long")
-    small = rows.join(many, "root", "left_anti").select("line", "text", "root", zero.alias("i"), zero.alias("j"), F.col("line").alias("class"))
     if many.isEmpty():
-        return _checked(small, parts, similarity)
-
-    @F.pandas_udf("array<long>")
-    def near(lines: pd.Series, roots: pd.Series, pivots: pd.Series) -> pd.Series:
-        known: dict[int, list[tuple[int, set[str]]]] = {}
-        out = []
-        for line, root, some in zip(lines, roots, pivots, strict=True):
-            if root not in known:
-                known[root] = [(p["line"], _sets(p["text"])) for p in (some if some is not None else ())]
-            own = _sets(line)
-            out.append([p for p, theirs in known[root] if similar(own, theirs, similarity)])
-        return pd.Series(out)
-
-    chosen = rows.join(many, "root").where(F.pmod(F.xxhash64("line"), F.ceil(F.col("count") / PIVOTS)) == 0)
-    pivots = chosen.groupBy("root").agg(F.collect_list(F.struct("line", "text")).alias("pivots"))  # PIVOTS of each, about
-    pivots = durable(many.join(pivots, "root", "left").select("root", "pivots"))  # written, so that Spark can split the join of a large family
-    placed = durable(rows.join(pivots, "root").select("line", "text", "root", near("text", "root", "pivots").alias("near")))
+        return _checked(rows.select("line", "text", "root", zero.alias("i"), zero.alias("j"), F.col("line").alias("class")), parts, similarity)
+    small = _met(rows, many, "root", "left_anti").select("line", "text", "root", zero.alias("i"), zero.alias("j"), F.col("line").alias("class"))
+
+    def near(group: pa.Table) -> pa.Table:
+        is_pivot = group.column("pivot")
+        pivots, some = group.filter(is_pivot), group.filter(pc.invert(is_pivot))
+        known = [(line, _sets(text)) for line, text in zip(pivots.column("line").to_pylist(), pivots.column("text").to_pylist(), strict=True)]
+        found = []
+        for text in some.column("text"):
+            own = _sets(text.as_py())
+            found.append([p for p, theirs in known if similar(own, theirs, similarity)])
+        return some.select(["line", "text", "root"]).append_column("near", pa.array(found, pa.list_(pa.int64())))
+
+    # a chunk of a family's lines meets copies of its pivots, about PIVOTS of them
+    own, hashed = _met(rows, many, "root"), F.xxhash64("line")
+    chunks = F.ceil(F.col("count") / CHUNK)
+    pivots = own.where(F.pmod(hashed, F.ceil(F.col("count") / PIVOTS)) == 0).select("line", "text", "root", F.explode(F.sequence(zero, chunks - 1)).alias("chunk"), F.lit(True).alias("pivot"))
+    lines = own.select("line", "text", "root", F.pmod(F.xxhash64(F.lit("chunk"), "line"), chunks).alias("chunk"), F.lit(False).alias("pivot"))
+    placed = durable(lines.union(pivots).groupBy("root", "chunk").applyInArrow(near, "line long, text string, root long, near array<long>"))
     # pivots that a line is near to are of one class; there are few pairs of them
     pairs = placed.select("root", F.explode(F.transform("near", lambda p: F.struct(F.array_min("near").alias("a"), p.alias("b")))).alias("p"))
     counts = pairs.groupBy("root", "p").agg(F.count("*").alias("n")).groupBy("root").agg(F.collect_list(F.struct("p.a", "p.b", "n")).alias("pairs"))
@@ -447,12 +547,11 @@ def verified(family: DataFrame, texts: DataFrame, parts: int, similarity: float)
     known = counts.select("root", classes("pairs").alias("classes")).join(many, "root", "right")
     sized = durable(known.select("root", "classes", F.ceil(F.col("count") / BLOCK).alias("all")))
     own = F.try_element_at("classes", F.array_min("near"))
-    placed = placed.join(sized, "root").select("line", "text", "root", "near", "all", F.coalesce(own, "line").alias("class"), F.coalesce(own == F.try_element_at("classes", F.lit(NONE)), F.lit(False)).alias("joined"))
+    placed = _met(placed, sized, "root").select("line", "text", "root", "near", "all", F.coalesce(own, "line").alias("class"), F.coalesce(own == F.try_element_at("classes", F.lit(NONE)), F.lit(False)).alias("joined"))
     placed = durable(placed)
     links = placed.select("line", F.explode("near").alias("pivot")).where("line != pivot")
     blocks = durable(placed.where("not joined").groupBy("root").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")))
-    placed = placed.join(blocks, "root")
-    hashed = F.xxhash64("line")
+    placed = _met(placed, blocks, "root")
     to_all = placed.where("not joined").select("line", "text", "root", F.pmod(hashed, "blocks").alias("i"), F.explode(F.sequence(zero, F.col("all") - 1)).alias("j"), "class")
     to_apart = placed.select("line", "text", "root", F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("i"), F.pmod(hashed, "all").alias("j"), "class")
     checked = _checked(small, parts, similarity).union(_checked(to_all.union(to_apart), parts, similarity))

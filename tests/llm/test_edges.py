@@ -273,8 +273,11 @@ def test_line_dedup_equals_brute_force(spark, monkeypatch):
             if len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y]) - 1e-9:
                 root[find(x)] = find(y)
     groups = len({find(x) for x in names})
-    for block in (1500, 5):  # the second: families are large
+    for block, hot, sure in ((1500, 20_000, 64), (5, 20_000, 64), (5, 3, 1)):  # then families are large, then keys are common too
         monkeypatch.setattr(lines, "BLOCK", block)
+        monkeypatch.setattr(lines, "CHUNK", block)
+        monkeypatch.setattr(lines, "HOT", hot)
+        monkeypatch.setattr(lines, "SURE", sure)
         table = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_gone", F.lit(1)).withColumn("_row", F.lit(2))
         got = lines.deduplicate(table).collect()
         kept = [x for r_ in got for x in r_.text.split("\n") if x]
@@ -290,6 +293,37 @@ def test_line_dedup_equals_brute_force(spark, monkeypatch):
     assert sum(least[find(x)] == r_.doc_id for r_ in got for x in r_.text.split("\n") if x) >= 0.99 * len(kept)
 
 
+def test_unlike_lines_under_one_key_take_little_time(capsys):
+    import time
+
+    r = np.random.default_rng(1)
+    unlike = r.integers(0, 256, (50_000, lines.WIDTH), dtype=np.uint8)
+    start = time.time()
+    found = lines.joined(unlike)
+    took = time.time() - start
+    with capsys.disabled():
+        print(f"\n  50,000 unlike lines under one key: {took:.2f} s, {len(found)} links")
+    assert took < 20 and not found
+
+
+def test_sketches_join_as_all_pairs_would():
+    r = np.random.default_rng(2)
+    for _ in range(10):
+        own = r.integers(0, 256, (12, lines.WIDTH), dtype=np.uint8)[r.integers(0, 12, 500)]
+        edited = r.random(own.shape) < r.uniform(0.05, 0.3)
+        own[edited] = r.integers(0, 256, edited.sum(), dtype=np.uint8)
+        own[:40] = own[40:80]
+        pairs_ = [(i, j) for i in range(500) for j in (i + 1 + np.flatnonzero(lines.alike(own[i], own[i + 1 :]))).tolist()]
+        classes = []
+        for links in (pairs_, lines.joined(own)):
+            parent = np.arange(500)
+            for a, b in links:
+                a, b = lines.find(parent, a), lines.find(parent, b)
+                parent[max(a, b)] = min(a, b)
+            classes.append([lines.find(parent, x) for x in range(500)])
+        assert classes[0] == classes[1]
+
+
 def test_rows_that_share_an_id_are_told_apart(spark):
     rows = [(7, "dup line of some words\nAlpha"), (7, "unique line with other words\nBeta"), (8, "dup line of some words\nGamma"), (9, "again and again"), (9, "again and again")]
     got = sorted((r.doc_id, r.text, r.n_removed) for r in lines.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect())
