@@ -1,8 +1,8 @@
 """Removal of repeated passages by Rabin-Karp window hashes (operator 3).
 
-A word becomes a 128-bit hash, two numbers below the prime 2**61 - 1; a window of
-consecutive words becomes two polynomials of its words' numbers, modulo that prime,
-built by doubling. A part holds the texts of about ``part_bytes``.
+A word becomes two 64-bit hashes; a window of consecutive words becomes two polynomials of its words'
+numbers, one modulo the prime 2**61 - 1 and one modulo 2**64, built by doubling. A part
+holds the texts of about ``PART_BYTES``.
 
 A part sends the first polynomial of each of its distinct windows once, sorted and as
 differences, to the hash range that counts them; the range answers with one bit
@@ -19,7 +19,8 @@ text, some hundred millions in 100 TB; of those one in 2**64 / n may pass the se
 from __future__ import annotations
 
 import hashlib
-from itertools import compress, count
+from collections.abc import Callable
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +32,11 @@ from pyspark.sql import functions as F
 from gridstride.llm.common import durable, partitions
 
 WINDOW = 35
-#: Bytes of text of a part, about.
-PART_BYTES = 64 << 20
+#: Bytes of text of a part, about; a part and a hash range take some 25 times that memory. Fewer, larger ones suit larger executors.
+PART_BYTES = 16 << 20
 PRIME = np.uint64((1 << 61) - 1)
 #: From the golden ratio and from the square root of two, below the prime.
-BASES = (np.uint64(0x9E3779B97F4A7C15 >> 4), np.uint64(0xB504F333F9DE6484 >> 4))
+BASES = (0x9E3779B97F4A7C15 >> 4, 0xB504F333F9DE6485)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -58,16 +59,19 @@ def times(a: np.ndarray, b: np.uint64) -> np.ndarray:
     return _reduced((a1 * b1 << np.uint64(3)) + (mid >> np.uint64(29)) + ((mid & np.uint64((1 << 29) - 1)) << half) + (least & PRIME) + (least >> np.uint64(61)))
 
 
-def polynomials(values: np.ndarray, window: int, base: np.uint64) -> np.ndarray:
-    """The polynomial of each ``window`` consecutive values, the first of them of the highest power."""
-    done, size, doubled, power, length = None, 0, values, base, 1
-    while window >> size:
-        if window >> size & 1:
-            done, reach = (doubled, length) if done is None else (_reduced(times(done[: len(doubled) - reach] if len(doubled) > reach else done[:0], power) + doubled[reach:]), reach + length)
-        size += 1
-        if window >> size:
-            doubled = _reduced(times(doubled[: max(len(doubled) - length, 0)], power) + doubled[length:])
-            power, length = np.uint64(int(power) ** 2 % int(PRIME)), 2 * length
+def polynomials(values: np.ndarray, window: int, base: int, by: Callable[[np.ndarray, np.uint64], np.ndarray], prime: bool) -> np.ndarray:
+    """The polynomial of each ``window`` consecutive values, the first of them of the highest power, modulo the prime or 2**64; by doubling."""
+    plus = (lambda a, b: _reduced(a + b)) if prime else np.add
+    modulus = int(PRIME) if prime else 1 << 64
+    done, reach, doubled, length = None, 0, values, 1
+    while length <= window:
+        power = np.uint64(pow(base, length, modulus))
+        if window & length:
+            # what is done so far, then the next ``length`` values
+            done, reach = (doubled, length) if done is None else (plus(by(done[: max(len(doubled) - reach, 0)], power), doubled[reach:]), reach + length)
+        if 2 * length <= window:
+            doubled = plus(by(doubled[: max(len(doubled) - length, 0)], power), doubled[length:])
+        length *= 2
     return done
 
 
@@ -75,18 +79,21 @@ class Part:
     """The words of some texts, and two hashes of each window of each text."""
 
     def __init__(self, texts: list[bytes], window: int):
-        number = count()
-        known: dict[bytes, int] = {}
-        self.words = [t.split() for t in texts]
-        codes = [[known[w] if w in known else known.setdefault(w, next(number)) for w in words] for words in self.words]
-        table = np.array([divmod(xxhash.xxh3_128_intdigest(w), 1 << 64) for w in known], np.uint64).reshape(-1, 2) % PRIME
-        self.both = [[polynomials(table[np.array(c, np.int64), k], window, BASES[k]) if len(c) >= window else np.zeros(0, np.uint64) for k in (0, 1)] for c in codes]
+        self.words, self.window = [t.split() for t in texts], window
+        hashes = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, chain.from_iterable(self.words))), ">u8").reshape(-1, 2).astype(np.uint64)
+        self.starts = np.cumsum([0, *map(len, self.words)])
+        # over all texts at once; windows that span two are left out when they are dealt to the texts
+        self.high = polynomials(_reduced(hashes[:, 0]), window, BASES[0], times, True)
+        self.low = polynomials(hashes[:, 1], window, BASES[1], np.multiply, False)
+
+    def _each(self, values: np.ndarray) -> list[np.ndarray]:
+        return [values[a : max(a, b - self.window + 1)] for a, b in zip(self.starts[:-1].tolist(), self.starts[1:].tolist(), strict=True)]
 
     def first(self) -> list[np.ndarray]:
-        return [_mix(a) for a, _ in self.both]
+        return self._each(_mix(self.high))
 
     def second(self) -> list[np.ndarray]:
-        return [_mix(_mix(a) + b) for a, b in self.both]
+        return self._each(_mix(_mix(self.high) + self.low))
 
 
 def covered(repeated: np.ndarray, words: int, window: int) -> np.ndarray:
@@ -164,8 +171,9 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_
 
     def candidates(part: Part, answers: pa.Table) -> list[np.ndarray]:
         """For each text, which windows passed the first count."""
-        twice = repeated(part.first(), answers)
-        return [_within(h, twice) for h in part.first()]
+        first = part.first()
+        twice = repeated(first, answers)
+        return [_within(h, twice) for h in first]
 
     def send(group: pa.Table) -> pa.Table:
         return sent(group.column("part")[0].as_py(), _distinct(part_of(group).first())[0])
@@ -178,10 +186,10 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_
     def remove(group: pa.Table, answers: pa.Table) -> pa.Table:
         part = part_of(group)
         first, second = (answers.filter(pc.equal(answers.column("turn"), k)) for k in (1, 2))
-        held = candidates(part, first)
-        twice = repeated([h[c] for h, c in zip(part.second(), held, strict=True)], second)
+        held, hashed = candidates(part, first), part.second()
+        twice = repeated([h[c] for h, c in zip(hashed, held, strict=True)], second)
         out = []
-        for words, hashes, c in zip(part.words, part.second(), held, strict=True):
+        for words, hashes, c in zip(part.words, hashed, held, strict=True):
             gone = covered(c & _within(hashes, twice), len(words), window)
             kept = b" ".join(compress(words, (~gone).tolist()))
             out.append((len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode() if with_text else None))

@@ -215,8 +215,18 @@ def test_words_that_collide_modulo_two_to_the_64_are_told_apart(spark):
     assert got[0] == got[1] == 0
 
 
+@pytest.mark.parametrize("window", [1, 2, 3, 5, 35, 36, 64])
+def test_polynomials(window):
+    r, prime = random.Random(1), (1 << 61) - 1
+    for modulus, base, by in ((prime, substring.BASES[0], substring.times), (1 << 64, substring.BASES[1], np.multiply)):
+        values = [r.randrange(modulus) for _ in range(120)] + [0, 1, modulus - 1]
+        for some in (values, values[:window], values[: window - 1]):
+            got = substring.polynomials(np.array(some, np.uint64), window, base, by, modulus == prime)
+            assert got.tolist() == [sum(v * pow(base, window - 1 - j, modulus) for j, v in enumerate(some[i : i + window])) % modulus for i in range(len(some) - window + 1)]
+
+
 def test_a_collision_of_the_first_count_removes_nothing(spark, monkeypatch):
-    monkeypatch.setattr(substring.Part, "first", lambda part: [np.zeros(len(a), np.uint64) + np.uint64(7) for a, _ in part.both])
+    monkeypatch.setattr(substring.Part, "first", lambda part: part._each(np.full(len(part.high), 7, np.uint64)))
     shared = " ".join(f"s{i}" for i in range(8))
     rows = [(0, " ".join(f"a{i}" for i in range(30))), (1, " ".join(f"b{i}" for i in range(30))), (2, f"{shared} left"), (3, f"right {shared}")]
     got = sorted(tuple(r) for r in substring.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), 8, with_text=False, parts=3).select("doc_id", "n_removed").collect())
