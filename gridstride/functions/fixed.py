@@ -73,3 +73,7 @@ TAG_LABELS = {"nature": "자연적인", "urban": "도시적인", "quiet": "조
 
 def target_metres(minutes: float) -> float:
     return minutes / 60 * WALK_KMH * 1000
+
+#: What a stop without a label is called, by the kind of its candidate, and else.
+PLACE_LABELS = {"green": "녹지 주변", "shore": "물가 주변", "built": "건물 주변"}
+PLACE_LABEL = "산책 경유지"

@@ -3,10 +3,12 @@
 Every step is a table operation keyed by the request ``req``; only the search for a
 round trip, which draws random numbers in order, is one Arrow group a request.
 
-Tables: ``requests`` (req, zoom, mpp, width, height, origin_px, origin_py, half_m,
-minutes, tags, seed, analysed), ``pixels`` (req, y, x, r, g, b, a), ``elements``
-(req, n, kind, category, label, x, y, confidence; pixels of the image) and
-``relief`` (req, y, x, elev, slope; cells).
+Tables: ``requests`` (req, lat, lng, zoom, x0, y0, tile_px, mpp, width, height, origin_px,
+origin_py, half_m, minutes, tags, seed, analysed), ``pixels`` (req, y, x, r, g, b, a and
+perhaps missing: that of a tile that is not there), ``elements`` (req, n, kind,
+category, label, x, y, confidence; pixels of the image) and ``terrain`` (req, ty,
+tx, y, x, r, g, b, a: pixels of elevation tiles). With terrain, ``requests`` also
+has field_zoom, field_x0, field_y0 and field_px, its tiles' zoom, first tile and side.
 """
 
 from __future__ import annotations
@@ -17,12 +19,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridstride.functions import fixed
-from gridstride.functions.geo import half_up
+from gridstride.functions.geo import half_up, haversine, lat_of, lng_of
 from gridstride.operators import candidates as C
 from gridstride.operators import graph as G
 from gridstride.operators import paths as P
 from gridstride.operators import pixels as X
 from gridstride.operators import stencils as S
+from gridstride.operators import terrain as T
 
 BY = ["req"]
 #: Classes whose share around a candidate is a feature.
@@ -169,30 +172,41 @@ def scored(requests: DataFrame, cands: DataFrame) -> DataFrame:
     return C.capped_each(rows, BY, fixed.MOST_CANDIDATES).where((F.size("asked") == 0) | (F.size("tags") > 0)).drop("w", "asked")
 
 
-def courses(pixels: DataFrame, requests: DataFrame, elements: DataFrame | None = None, relief: DataFrame | None = None) -> DataFrame:
-    """A course, or the reason why there is none, for each request.
+def courses(pixels: DataFrame, requests: DataFrame, elements: DataFrame | None = None, terrain: DataFrame | None = None) -> DataFrame:
+    """A course and its facts (``RESULT``), or the reason why there is none, for each request.
 
-    Reasons, in the order of the checks: blank, no-road, vision-unavailable,
-    no-match, diverged. Images, elements and relief of other requests are not read.
-    An empty table of requests gives no rows.
+    Reasons, in the order of the checks: blank, no-road, vision-unavailable, no-match (no candidates),
+    diverged, no-match (a wanted kind is not visited). Images, elements and terrain of other
+    requests are not read; a request without terrain has no ascent. An empty table of requests gives no rows.
     """
     out = None
     for zoom in sorted(r["zoom"] for r in requests.select("zoom").distinct().collect()):  # four at most
-        one = _courses(pixels, requests.where(F.col("zoom") == zoom), zoom, elements, relief)
+        one = _courses(pixels, requests.where(F.col("zoom") == zoom), zoom, elements, terrain)
         out = one if out is None else out.unionByName(one)
     return out if out is not None else _named(requests.limit(0).select("req", *[F.lit(None).cast(t).alias(n) for n, t in RESULT.items()]))
 
 
-RESULT = {"reason": "string", "length_m": "double", "path": "array<bigint>", "stops": "array<bigint>", "grid_width": "int", "green_regions": "bigint", "water_edge_m": "double", "minor_share": "double", "candidates": "bigint", "reached": "bigint", "ascent_m": "double"}
+POINT = "struct<lat: double, lng: double>"
+#: ``path`` and ``stops`` are cells in row order, ``way`` and ``waypoints`` their places on the map; ``turn_index`` is an index of the way.
+RESULT = {
+    "reason": "string", "length_m": "double", "path": "array<bigint>", "stops": "array<bigint>", "grid_width": "int", "green_regions": "bigint", "water_edge_m": "double", "minor_share": "double", "candidates": "bigint",
+    "reached": "bigint", "ascent_m": "double", "way": f"array<{POINT}>", "waypoints": "array<struct<lat: double, lng: double, path_index: bigint, kind: string, label: string, category: string, tags: array<string>>>",
+    "turn_index": "bigint", "road_shares": "map<string, double>", "start_offset_m": "double", "classified": "double",
+}
 
 
 def _named(rows: DataFrame) -> DataFrame:
     return rows.select("req", *[F.col(n).cast(t).alias(n) for n, t in RESULT.items()])
 
 
-def _courses(pixels: DataFrame, requests: DataFrame, zoom: int, elements: DataFrame | None, relief: DataFrame | None) -> DataFrame:
+def _courses(pixels: DataFrame, requests: DataFrame, zoom: int, elements: DataFrame | None, terrain: DataFrame | None) -> DataFrame:
     down, built = X.downsample(zoom), "BUILT" if zoom >= 15 else "URBAN"
     g = ground(pixels, requests, zoom)
+    maps = field = relief = None
+    if terrain is not None:
+        maps = T.placed(g.requests)
+        field = G.durable(T.mosaic(terrain, maps))
+        relief = G.durable(T.relief(field, maps, down))
     g.cells = g.cells.withColumn("built_share", F.col(f"f{fixed.CLASSES[built]}") / 255)
     start = g.requests.select("req", F.col("req").alias("id"), (F.col("origin_px") / down).alias("cx"), (F.col("origin_py") / down).alias("cy"), up_to(fixed.SNAP_M).alias("most"))
     origin = G.durable(snapped(start, g, fixed.SNAP_M).select("req", "y", "x"))
@@ -232,23 +246,46 @@ def _courses(pixels: DataFrame, requests: DataFrame, zoom: int, elements: DataFr
     way = G.durable(way.select("req", "i", "cell_m", F.floor(F.col("cell") / F.col("gw")).alias("y"), (F.col("cell") % F.col("gw")).alias("x")).join(g.cells.select("req", "y", "x", "kind", "nearWater"), ["req", "y", "x"]))
     greens = P.near_labels(way, g.green, "req", up_to(fixed.SEEN_M), BY).withColumnRenamed("labels", "green_regions")
     edge = P.cell_length(way, "req", "i", F.col("cell_m"), F.col("nearWater") >= 0.5).select("req", F.col("edge_m").alias("water_edge_m"))
-    minor = P.shares(way, "req", "kind").where(F.col("kind") == fixed.KINDS["MINOR"]).select("req", F.col("share").alias("minor_share"))
-    tags_met = trips.select("req", F.explode("stops").alias("stop")).join(g.requests.select("req", "gw"), "req").join(cands.select("req", "y", "x", F.explode("tags").alias("tag")), ["req"]).where(F.col("stop") == F.col("y") * F.col("gw") + F.col("x"))
-    visited = tags_met.groupBy("req").agg(F.collect_set("tag").alias("visited"))
+    kinds = {k: n.lower() for n, k in fixed.KINDS.items() if n != "NONE"}
+    named = F.create_map(*[F.lit(v) for kv in kinds.items() for v in kv])
+    share = P.shares(way, "req", "kind").where(F.col("kind") != fixed.KINDS["NONE"])
+    roads = share.groupBy("req").agg(F.map_from_entries(F.collect_list(F.struct(F.try_element_at(named, "kind"), "share"))).alias("found"))
+    zeros = F.create_map(*[v for n in kinds.values() for v in (F.lit(n), F.lit(0.0))])
+    roads = roads.select("req", F.map_zip_with(zeros, "found", lambda _, zero, x: F.coalesce(x, zero)).alias("road_shares"))
+
+    # places on the map
+    side = F.col("tile_px")
+    centre = lambda c: F.col(c) * down + down / 2
+    of = g.requests.select("req", "x0", "y0", "tile_px")
+    on_map = lambda rows: rows.join(of, "req").withColumns({"lat": lat_of(F.col("y0") * side + centre("y"), F.lit(zoom), side), "lng": lng_of(F.col("x0") * side + centre("x"), F.lit(zoom), side)}).drop("x0", "y0", "tile_px")
+    line = G.durable(on_map(way.select("req", "i", "y", "x")))
+    ways = line.groupBy("req").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "lat", "lng"))), lambda p: F.struct(p["lat"].alias("lat"), p["lng"].alias("lng"))).alias("way"))
+    stop = trips.select("req", F.posexplode(F.arrays_zip("stops", "kinds")).alias("n", "s")).join(g.requests.select("req", "gw"), "req")
+    stop = stop.select("req", "n", F.floor(F.col("s.stops") / F.col("gw")).alias("y"), (F.col("s.stops") % F.col("gw")).alias("x"), F.col("s.kinds").alias("place"))
+    about = cands.select("req", "y", "x", "kind", "category", "label", "tags")
+    stop = G.durable(on_map(stop.join(about, ["req", "y", "x"], "left")))
+    label = F.when(F.coalesce("label", F.lit("")) != "", F.col("label"))
+    for kind, text in fixed.PLACE_LABELS.items():
+        label = F.coalesce(label, F.when(F.col("kind") == kind, F.lit(text)))
+    near = P.nearest_on_path(line.withColumnRenamed("req", "r"), stop.select(F.col("req").alias("r"), "n", F.col("lat").alias("lat0"), F.col("lng").alias("lng0")), "r", ["n"]).withColumnRenamed("r", "req")
+    stop = stop.join(near, ["req", "n"]).withColumn("w", F.struct("n", "lat", "lng", F.col("nearest").cast("long").alias("path_index"), F.col("place").alias("kind"), F.coalesce(label, F.lit(fixed.PLACE_LABEL)).alias("label"), "category", "tags"))
+    waypoints = stop.groupBy("req").agg(F.transform(F.array_sort(F.collect_list("w")), lambda w: w.dropFields("n")).alias("waypoints"), F.min_by("nearest", F.when(F.col("place") == "turn", F.col("n"))).alias("turn"), F.array_distinct(F.flatten(F.collect_list("tags"))).alias("visited"))
     joined = checked.join(trips, "req", "left")
-    for more in (greens, edge, minor, visited):
+    start = line.where("i = 0").select("req", F.col("lat").alias("lat1"), F.col("lng").alias("lng1"))
+    for more in (greens, edge, roads, ways, waypoints, P.farthest(line, "req").withColumnRenamed("turn", "far"), start):
         joined = joined.join(more, "req", "left")
-    if relief is not None:
-        climbed = P.ascent(way.join(relief.select("req", "y", "x", "elev"), ["req", "y", "x"]), "req", "i", "elev")
-        joined = joined.join(climbed, "req", "left")
+    joined = joined.withColumn("turn_index", F.coalesce("turn", "far").cast("long")).withColumn("start_offset_m", haversine("lat", "lng", "lat1", "lng1")).withColumn("minor_share", F.col("road_shares")["minor"])
+    if terrain is not None:
+        joined = joined.join(T.climbed(line.select("req", "i", "lat", "lng"), field, maps), "req", "left")
     else:
         joined = joined.withColumn("ascent_m", F.lit(None).cast("double"))
     unseen = F.size(F.array_except(F.array_distinct("tags"), F.coalesce("visited", F.array().cast("array<string>")))) > 0
     reason = F.coalesce("before", "after", F.when(unseen, "no-match"))
     done = joined.withColumn("reason", reason).withColumn("grid_width", F.col("gw"))
-    shown = [F.when(F.col("reason").isNull(), F.col(c)).alias(c) for c in ("length_m", "path", "stops", "water_edge_m", "minor_share", "ascent_m")]
+    facts = ("length_m", "path", "stops", "water_edge_m", "minor_share", "ascent_m", "way", "waypoints", "turn_index", "road_shares", "start_offset_m")
+    shown = [F.when(F.col("reason").isNull(), F.col(c)).alias(c) for c in facts]
     seen_greens = F.when(F.col("reason").isNull(), F.coalesce("green_regions", F.lit(0))).alias("green_regions")
-    return _named(done.select("req", "reason", "grid_width", "candidates", "reached", seen_greens, *shown))
+    return _named(done.select("req", "reason", "grid_width", "candidates", "reached", "classified", seen_greens, *shown))
 
 
 def card(rows: DataFrame) -> DataFrame:

@@ -126,11 +126,11 @@ def farthest(path: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by("i", F.struct("_d", -F.col("i"))).alias("turn"))
 
 
-def nearest_on_path(path: DataFrame, points: DataFrame, key: str) -> DataFrame:
-    """Of each path, the point nearest to the path's own query point (lat0, lng0), longitudes scaled by its latitude; the first wins."""
+def nearest_on_path(path: DataFrame, points: DataFrame, key: str, more: Sequence[str] = ()) -> DataFrame:
+    """Of each path, the point nearest to the path's own query point (lat0, lng0), longitudes scaled by its latitude; the first wins. ``more`` tells several points of a path apart."""
     dx = (F.col("lng") - F.col("lng0")) * F.cos(F.radians("lat0"))
     d = dx * dx + F.pow(F.col("lat") - F.col("lat0"), 2)
-    return path.join(points, key).groupBy(key).agg(F.min_by("i", F.struct(d, "i")).alias("nearest"))
+    return path.join(points, key).groupBy(key, *more).agg(F.min_by("i", F.struct(d, "i")).alias("nearest"))
 
 
 def bilinear(points: DataFrame, grid: DataFrame, value: str, height: int, width: int, by: Sequence[str] = ()) -> DataFrame:

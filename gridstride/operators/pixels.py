@@ -101,10 +101,13 @@ def passable() -> F.Column:
 
 
 def classified_share(classified: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """(by, pixels, opaque, classified): the share of opaque pixels whose class is known; null without opaque ones."""
-    opaque = F.col("a") >= 128
-    known = F.count_if(opaque & (F.col("cls") != 0)) / F.nullif(F.count_if(opaque), F.lit(0))
-    return classified.groupBy(*by).agg(F.count("*").alias("pixels"), F.count_if(opaque).alias("opaque"), known.alias("classified"))
+    """(by, pixels, missing, classified): the share of pixels whose class is known, those of missing tiles (a column ``missing``, if there is one) left out; null if none is left.
+
+    A transparent pixel of a tile that is there is unknown.
+    """
+    lost = F.coalesce(F.col("missing"), F.lit(False)) if "missing" in classified.columns else F.lit(False)
+    known = F.count_if(~lost & (F.col("cls") != 0)) / F.nullif(F.count_if(~lost), F.lit(0))
+    return classified.groupBy(*by).agg(F.count("*").alias("pixels"), F.count_if(lost).alias("missing"), known.alias("classified"))
 
 
 def road_pixels(classified: DataFrame, zoom: int) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from gridstride.operators import blocks
@@ -60,7 +60,7 @@ def smoothed(cells: DataFrame, value: str, by: By = ()) -> DataFrame:
     return both.withColumn(value, F.when(F.col("_n") > 0, F.col("_s") / F.col("_n"))).drop("_s", "_n")
 
 
-def slope(cells: DataFrame, value: str, pixel_m: float, by: By = ()) -> DataFrame:
+def slope(cells: DataFrame, value: str, pixel_m: float | Column, by: By = ()) -> DataFrame:
     """Horn's gradient with replicated edges; null where a neighbour is unknown."""
     rows = cells
     for name, window, step in (("w", along_x(by), -1), ("e", along_x(by), 1)):

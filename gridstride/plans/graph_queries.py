@@ -167,7 +167,7 @@ def pixel_courses(spark: SparkSession, d: str) -> DataFrame:
     y, x = F.floor(p / side), p % side
     key = F.col("r_regionkey").cast("long")
     tags = F.when(key % 3 == 0, F.array(F.lit("nature"))).when(key % 3 == 1, F.array(F.lit("quiet"), F.lit("nature"))).otherwise(F.array(F.lit("cafe")))
-    requests = V.load(spark, d, "region").select(key.alias("req"), F.lit(16).alias("zoom"), F.lit(0.9469).alias("mpp"), F.lit(side).alias("width"), F.lit(side).alias("height"), F.lit(196.0).alias("origin_px"), F.lit(196.0).alias("origin_py"), F.lit(150.0).alias("half_m"), F.lit(15).alias("minutes"), tags.alias("tags"), (key + 42).alias("seed"), F.lit(False).alias("analysed"))
+    requests = V.load(spark, d, "region").select(key.alias("req"), F.lit(37.5485).alias("lat"), F.lit(126.9335).alias("lng"), F.lit(16).alias("zoom"), F.lit(55875).alias("x0"), F.lit(25383).alias("y0"), F.lit(512).alias("tile_px"), F.lit(0.9469).alias("mpp"), F.lit(side).alias("width"), F.lit(side).alias("height"), F.lit(196.0).alias("origin_px"), F.lit(196.0).alias("origin_py"), F.lit(150.0).alias("half_m"), F.lit(15).alias("minutes"), tags.alias("tags"), (key + 42).alias("seed"), F.lit(False).alias("analysed"))
     street = (y % 64 < 12) | (x % 64 < 12)
     colour = lambda v: F.when(street, 255).otherwise(v).cast("int")
     pixels = requests.select("req").crossJoin(spark.range(side * side).withColumnRenamed("id", "p")).select("req", y.alias("y"), x.alias("x"), colour(224).alias("r"), colour(236).alias("g"), colour(211).alias("b"), F.lit(255).alias("a"))  # an image for each request

@@ -17,6 +17,7 @@ from gridstride.operators import paths as P
 from gridstride.operators import pixels as X
 from gridstride.operators import planning as L
 from gridstride.operators import stencils as S
+from gridstride.operators import terrain as T
 from gridstride.plans import fixtures as V
 from gridstride.sources import tiles
 from gridstride.streaming import limiter
@@ -324,10 +325,13 @@ def class_histogram(spark: SparkSession, d: str) -> DataFrame:
     return _classified(spark, d).groupBy("cls").agg(F.count("*").alias("n"))
 
 
-@query(SEEN + "SELECT count(*) AS pixels, count(*) FILTER (a >= 128) AS opaque, round(1 - count(*) FILTER (cls = 0 AND a >= 128) / count(*) FILTER (a >= 128)::DOUBLE, 8) AS classified FROM seen")
+@query(SEEN.rstrip() + ", lost AS (SELECT y // 64 AS tile, y // 64 % 5 = 3 AS missing, CASE WHEN y // 64 % 5 = 3 THEN 0 ELSE cls END AS cls FROM seen), told AS (SELECT tile, count(*) AS n, count(*) FILTER (cls = 0) AS unknown, count(*) FILTER (missing) AS gone FROM lost GROUP BY tile) SELECT tile, n AS pixels, gone AS missing, CASE WHEN n > gone THEN round(1 - greatest(0, unknown - gone) / greatest(1, n - gone)::DOUBLE, 8) END AS classified FROM told")
 def classified_fraction(spark: SparkSession, d: str) -> DataFrame:
-    opaque = F.col("a") >= 128
-    return rounded(_classified(spark, d).agg(F.count("*").alias("pixels"), F.count_if(opaque).alias("opaque"), (1 - F.count_if((F.col("cls") == 0) & opaque) / F.count_if(opaque)).alias("classified")), "classified", digits=8)
+    """The share of known pixels of each tile; every fifth tile is missing, and other tiles have transparent pixels."""
+    tile = F.floor(F.col("y") / 64)
+    seen = _classified(spark, d).withColumn("tile", tile).withColumn("missing", tile % 5 == 3)
+    seen = seen.withColumn("cls", F.when(F.col("missing"), 0).otherwise(F.col("cls")))
+    return rounded(X.classified_share(seen, ["tile"]), "classified", digits=8)
 
 
 @query(SEEN + "SELECT '#' || lower(lpad(to_hex(r * 65536 + g * 256 + b), 6, '0')) AS colour, count(*) AS n, round(count(*) / (SELECT count(*) FROM seen WHERE (y * 64 + x) % 4 = 0 AND a >= 128)::DOUBLE, 8) AS share FROM seen WHERE (y * 64 + x) % 4 = 0 AND a >= 128 AND cls = 0 GROUP BY r, g, b ORDER BY n DESC, r * 65536 + g * 256 + b LIMIT 10")
@@ -653,6 +657,71 @@ def valid_uploads(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("event_id", tiles.valid_upload("url", "w", "h").alias("valid"))
 
 
+# ---- elevation --------------------------------------------------------------------------------
+
+SMOOTH = ["d2 AS (SELECT req, y, x, coalesce(h, 0) AS s, CAST(h IS NOT NULL AS INT) AS n FROM dem)", _sql_box("d2", "s", "sum", 1, "bs", "req, y, x"), _sql_box("d2", "n", "sum", 1, "bn", "req, y, x"), "sm AS (SELECT req, y, x, CASE WHEN n > 0 THEN s / n END AS h FROM bs JOIN bn USING (req, y, x))"]
+SIZE = "size AS (SELECT req, max(y) + 1 AS h, max(x) + 1 AS w FROM dem GROUP BY req)"
+
+
+def _sql_bilinear(points: str, view: str, values: list[str]) -> str:
+    """The known corners' weighted mean at points (k, req, fx, fy)."""
+    share = lambda f: f"(f{f} - 0.5::DOUBLE - floor(f{f} - 0.5::DOUBLE))"
+    weight = " * ".join(f"CASE WHEN d{f} = 1 THEN {share(f)} ELSE 1 - {share(f)} END" for f in "xy")
+    at = lambda f, most: f"least({most} - 1, greatest(0, CAST(floor(f{f} - 0.5::DOUBLE) AS BIGINT) + d{f})) AS {f}"
+    means = ", ".join(f"CASE WHEN sum(q) FILTER (v.{v} IS NOT NULL) > 0 THEN sum(q * v.{v}) / sum(q) FILTER (v.{v} IS NOT NULL) END AS {v}" for v in values)
+    return f"""corner AS (SELECT k, req, {at('x', 'w')}, {at('y', 'size.h')}, {weight} AS q FROM {points} JOIN size USING (req), (VALUES (0, 0), (1, 0), (0, 1), (1, 1)) o(dx, dy) WHERE fx >= 0 AND fx < w AND fy >= 0 AND fy < size.h),
+read AS (SELECT k, {means} FROM corner JOIN {view} v USING (req, y, x) GROUP BY k)"""
+
+
+#: Elevations as three bytes of a pixel, and as what these decode to.
+BYTES = "dem AS (SELECT req, y, x, CASE WHEN NOT (y % 17 = 0 AND x % 13 = 0) THEN floor((50 + 100 * v + 32768) * 256) / 256::DOUBLE - 32768 END AS h FROM grid)"
+CELLS_ON = "pt AS (SELECT (req * 90 + y) * 90 + x AS k, req, y, x, (x * 3 + 1.5::DOUBLE) * 0.25::DOUBLE + (39 + req % 3) * 8 - 320 AS fx, (y * 3 + 1.5::DOUBLE) * 0.25::DOUBLE AS fy FROM (SELECT DISTINCT req FROM grid), range(90) a(y), range(90) b(x))"
+HORN = """wide AS (SELECT sm.*, coalesce(w.h, CASE WHEN sm.x = 0 THEN sm.h END) AS a, coalesce(e.h, CASE WHEN sm.x = size.w - 1 THEN sm.h END) AS b FROM sm JOIN size USING (req) LEFT JOIN sm w ON w.req = sm.req AND w.y = sm.y AND w.x = sm.x - 1 LEFT JOIN sm e ON e.req = sm.req AND e.y = sm.y AND e.x = sm.x + 1),
+horn AS (SELECT c.req, c.y, c.x, c.h, sqrt(pow((n.b + 2 * c.b + s.b - (n.a + 2 * c.a + s.a)) / (8 * m), 2) + pow((s.a + 2 * s.h + s.b - (n.a + 2 * n.h + n.b)) / (8 * m), 2)) AS slope
+    FROM wide c JOIN size USING (req) JOIN wide n ON n.req = c.req AND n.x = c.x AND n.y = greatest(c.y - 1, 0) JOIN wide s ON s.req = c.req AND s.x = c.x AND s.y = least(c.y + 1, size.h - 1), metre)"""
+
+
+def _tile_pixels(spark: SparkSession, d: str) -> DataFrame:
+    """Each grid as four elevation tiles of 32 pixels a side."""
+    h = V.dem(V.grids(spark, d)).withColumn("m", F.floor((F.coalesce("h", F.lit(0.0)) + 32768) * 256))
+    half = lambda c: F.floor(F.col(c) / 32)
+    return h.select("req", (20 + half("y")).alias("ty"), (10 + half("x")).alias("tx"), (F.col("y") % 32).alias("y"), (F.col("x") % 32).alias("x"), F.floor(F.col("m") / 65536).alias("r"), F.floor(F.col("m") / 256 % 256).alias("g"), (F.col("m") % 256).alias("b"), F.when(F.col("h").isNull(), 0).otherwise(255).alias("a"))
+
+
+@query(with_(V.GRIDS, BYTES, *SMOOTH, SIZE, "metre AS (SELECT 156543.03392804097::DOUBLE * cos(radians(37.5::DOUBLE)) / 4096 * 8 AS m)", HORN, CELLS_ON, _sql_bilinear("pt", "horn", ["h", "slope"])) + "SELECT req, y, x, round(h + 1e-7::DOUBLE, 5) AS elev, round(CASE WHEN slope IS NOT NULL THEN greatest(0, least(1, slope / 0.08::DOUBLE)) END + 1e-7::DOUBLE, 5) AS slope FROM pt LEFT JOIN read USING (k)")
+def relief_on_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Decoded elevation tiles, smoothed, sloped and sampled onto the cells of each request's image, which lies on them at another scale."""
+    pixels = _tile_pixels(spark, d)
+    whole = {"lat": 37.5, "zoom": 14, "y0": 80, "tile_px": 32, "field_zoom": 12, "field_x0": 10, "field_y0": 20, "field_px": 32, "gh": 90, "gw": 90}
+    requests = T.placed(pixels.select("req").distinct().withColumns({k: F.lit(v) for k, v in whole.items()}).withColumn("x0", 39 + F.col("req") % 3))
+    found = T.relief(T.mosaic(pixels, requests), requests, 3)
+    # many values are short decimals: moved off the middle between two roundings
+    return rounded(found.withColumns({c: F.col(c) + 1e-7 for c in ("elev", "slope")}), "elev", "slope", digits=5)
+
+
+WAYS = V.PATHS + ", many AS (SELECT max(req) + 1 AS n FROM grid), line AS (SELECT user_id % n AS req, row_number() OVER (PARTITION BY user_id % n ORDER BY user_id, i) AS i, lat, lng FROM path, many)"
+ALONG = f"""prev AS (SELECT *, lag(lat) OVER w AS plat, lag(lng) OVER w AS plng FROM line WINDOW w AS (PARTITION BY req ORDER BY i)), steps AS (SELECT *, CASE WHEN plat IS NULL THEN 0 ELSE {_sql_hav('plat', 'plng', 'lat', 'lng')} END AS step_m FROM prev),
+up AS (SELECT *, sum(step_m) OVER (PARTITION BY req ORDER BY i ROWS UNBOUNDED PRECEDING) AS upto FROM steps),
+res AS (SELECT req, k AS n, plat + (lat - plat) * t AS lat, plng + (lng - plng) * t AS lng FROM (SELECT *, (k * 3000 - (upto - step_m)) / step_m AS t FROM up, LATERAL (SELECT unnest(range(CAST(floor((upto - step_m) / 3000) AS BIGINT) + 1, CAST(floor(upto / 3000) AS BIGINT) + 1)) AS k) s WHERE step_m > 0)
+    UNION ALL SELECT req, 0, arg_min(lat, i), arg_min(lng, i) FROM line GROUP BY req UNION ALL SELECT req, 1000000000, arg_max(lat, i), arg_max(lng, i) FROM line GROUP BY req HAVING count(*) > 1),
+pt AS (SELECT row_number() OVER (ORDER BY req, n) AS k, req, n, (lng + 180) / 360 * 65536 - 1745 * 32 AS fx, (0.5::DOUBLE - ln((1 + sin(radians(lat))) / (1 - sin(radians(lat)))) / (4 * {PI})) * 65536 - 793 * 32 AS fy FROM res)"""
+
+
+@query("WITH RECURSIVE " + ", ".join([V.GRIDS, V.DEM, *SMOOTH, SIZE, WAYS, ALONG, _sql_bilinear("pt", "sm", ["h"])]) + """, s AS MATERIALIZED (SELECT req, row_number() OVER (PARTITION BY req ORDER BY n) AS i, h AS e FROM pt JOIN read USING (k) WHERE h IS NOT NULL),
+f AS (SELECT req, i, e AS low, e AS top, false AS up, 0::DOUBLE AS total FROM s WHERE i = 1 UNION ALL SELECT s.req, s.i, CASE WHEN NOT up AND e < low THEN e WHEN up AND e <= top AND top - e > 8 THEN e ELSE low END, CASE WHEN NOT up AND e - low > 8 THEN e WHEN up AND e > top THEN e ELSE top END, CASE WHEN NOT up AND e - low > 8 THEN true WHEN up AND e <= top AND top - e > 8 THEN false ELSE up END, total + CASE WHEN NOT up AND e - low > 8 THEN e - low WHEN up AND e > top THEN e - top ELSE 0 END FROM f JOIN s ON s.req = f.req AND s.i = f.i + 1)
+SELECT req, round(arg_max(total, i), 4) AS ascent_m FROM f GROUP BY req""")
+def climb_along_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Metres climbed along each request's path, from its smoothed field each 3 km."""
+    from pyspark.sql import Window
+
+    grids = V.grids(spark, d)
+    many = grids.agg((F.max("req") + 1).alias("many"))  # one row
+    path = V.paths(spark, d).crossJoin(F.broadcast(many)).withColumn("req", F.col("user_id") % F.col("many"))
+    path = path.select("req", F.row_number().over(Window.partitionBy("req").orderBy("user_id", "i")).alias("i"), "lat", "lng")
+    requests = grids.select("req").distinct().select("req", F.lit(11).alias("field_zoom"), F.lit(1745).alias("field_x0"), F.lit(793).alias("field_y0"), F.lit(32).alias("field_px"))
+    return rounded(T.climbed(path, V.dem(grids), requests, 3000.0), "ascent_m", digits=4)
+
+
 # ---- guards, features and attributes ----------------------------------------------------------
 
 
