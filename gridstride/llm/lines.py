@@ -502,11 +502,12 @@ def verified(family: DataFrame, texts: DataFrame, parts: int, similarity: float)
     meets the family's other blocks.
     """
     many = durable(family.groupBy("root").count().where(F.col("count") > BLOCK))
-    rows = family.select(F.col("node").alias("line"), "root").join(texts, "line")
-    zero = F.lit(0).cast("long")
+    family, zero = family.select(F.col("node").alias("line"), "root"), F.lit(0).cast("long")
+    alone = lambda rows: rows.join(texts, "line").select("line", "text", "root", zero.alias("i"), zero.alias("j"), F.col("line").alias("class"))
     if many.isEmpty():
-        return _checked(rows.select("line", "text", "root", zero.alias("i"), zero.alias("j"), F.col("line").alias("class")), parts, similarity)
-    small = _met(rows, many, "root", "left_anti").select("line", "text", "root", zero.alias("i"), zero.alias("j"), F.col("line").alias("class"))
+        return _checked(alone(family), parts, similarity)
+    family = durable(_met(family, many, "root", "left"))  # texts join what is left of numbers
+    small = alone(family.where("count is null"))
 
     def near(group: pa.Table) -> pa.Table:
         is_pivot = group.column("pivot")
@@ -516,14 +517,16 @@ def verified(family: DataFrame, texts: DataFrame, parts: int, similarity: float)
         for text in some.column("text"):
             own = _sets(text.as_py())
             found.append([p for p, theirs in known if similar(own, theirs, similarity)])
-        return some.select(["line", "text", "root"]).append_column("near", pa.array(found, pa.list_(pa.int64())))
+        return some.select(["line", "root"]).append_column("near", pa.array(found, pa.list_(pa.int64())))
 
     # a chunk of a family's lines meets copies of its pivots, about PIVOTS of them
-    own, hashed = _met(rows, many, "root"), F.xxhash64("line")
-    chunks = F.ceil(F.col("count") / CHUNK)
-    pivots = own.where(F.pmod(hashed, F.ceil(F.col("count") / PIVOTS)) == 0).select("line", "text", "root", F.explode(F.sequence(zero, chunks - 1)).alias("chunk"), F.lit(True).alias("pivot"))
-    lines = own.select("line", "text", "root", F.pmod(F.xxhash64(F.lit("chunk"), "line"), chunks).alias("chunk"), F.lit(False).alias("pivot"))
-    placed = durable(lines.union(pivots).groupBy("root", "chunk").applyInArrow(near, "line long, text string, root long, near array<long>"))
+    large = family.where("count is not null")
+    chunks, none = F.ceil(F.col("count") / CHUNK), F.array().cast("array<struct<chunk: bigint, pivot: boolean>>")
+    own = F.array(F.struct(F.pmod(F.xxhash64(F.lit("chunk"), "line"), chunks).alias("chunk"), F.lit(False).alias("pivot")))
+    copies = F.transform(F.sequence(zero, chunks - 1), lambda c: F.struct(c.alias("chunk"), F.lit(True).alias("pivot")))
+    is_pivot = F.pmod(F.xxhash64("line"), F.ceil(F.col("count") / PIVOTS)) == 0
+    dealt = large.withColumn("to", F.concat(own, F.when(is_pivot, copies).otherwise(none))).join(texts, "line").select("line", "text", "root", F.explode("to").alias("to"))
+    placed = durable(dealt.select("line", "text", "root", "to.*").groupBy("root", "chunk").applyInArrow(near, "line long, root long, near array<long>"))
     # pivots that a line is near to are of one class; there are few pairs of them
     pairs = placed.select("root", F.explode(F.transform("near", lambda p: F.struct(F.array_min("near").alias("a"), p.alias("b")))).alias("p"))
     counts = pairs.groupBy("root", "p").agg(F.count("*").alias("n")).groupBy("root").agg(F.collect_list(F.struct("p.a", "p.b", "n")).alias("pairs"))
@@ -547,15 +550,18 @@ def verified(family: DataFrame, texts: DataFrame, parts: int, similarity: float)
     known = counts.select("root", classes("pairs").alias("classes")).join(many, "root", "right")
     sized = durable(known.select("root", "classes", F.ceil(F.col("count") / BLOCK).alias("all")))
     own = F.try_element_at("classes", F.array_min("near"))
-    placed = _met(placed, sized, "root").select("line", "text", "root", "near", "all", F.coalesce(own, "line").alias("class"), F.coalesce(own == F.try_element_at("classes", F.lit(NONE)), F.lit(False)).alias("joined"))
+    placed = _met(placed, sized, "root").select("line", "root", "near", "all", F.coalesce(own, "line").alias("class"), F.coalesce(own == F.try_element_at("classes", F.lit(NONE)), F.lit(False)).alias("joined"))
     placed = durable(placed)
     links = placed.select("line", F.explode("near").alias("pivot")).where("line != pivot")
     blocks = durable(placed.where("not joined").groupBy("root").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")))
     placed = _met(placed, blocks, "root")
-    to_all = placed.where("not joined").select("line", "text", "root", F.pmod(hashed, "blocks").alias("i"), F.explode(F.sequence(zero, F.col("all") - 1)).alias("j"), "class")
-    to_apart = placed.select("line", "text", "root", F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("i"), F.pmod(hashed, "all").alias("j"), "class")
-    checked = _checked(small, parts, similarity).union(_checked(to_all.union(to_apart), parts, similarity))
-    return checked.union(links.select("line", "pivot"))
+    hashed = F.xxhash64("line")
+    each = lambda n, i, j: F.transform(F.sequence(zero, F.col(n) - 1), lambda k: F.struct((k if i is None else i).alias("i"), (k if j is None else j).alias("j")))
+    to_all = F.when(~F.col("joined"), each("all", F.pmod(hashed, F.col("blocks")), None)).otherwise(F.array().cast("array<struct<i: bigint, j: bigint>>"))
+    to_apart = each("blocks", None, F.pmod(hashed, F.col("all")))
+    met = placed.select("line", "root", "class", F.array_distinct(F.concat(to_all, to_apart)).alias("to")).join(texts, "line")
+    met = met.select("line", "text", "root", F.explode("to").alias("to"), "class").select("line", "text", "root", "to.i", "to.j", "class")
+    return _checked(small, parts, similarity).union(_checked(met, parts, similarity)).union(links.select("line", "pivot"))
 
 
 def _checked(rows: DataFrame, parts: int, similarity: float) -> DataFrame:
