@@ -4,16 +4,16 @@ A word becomes two 64-bit hashes; a window of consecutive words becomes two poly
 numbers, one modulo the prime 2**61 - 1 and one modulo 2**64, built by doubling. A part
 holds the texts of about ``PART_BYTES``.
 
-A part sends the first polynomial of each of its distinct windows once, sorted and as
+A part sends the cheaper polynomial of each of its distinct windows once, sorted and as
 differences, to the hash range that counts them; the range answers with one bit
 for each: found in another part too. A part thus sends a common passage once, however
 often it holds it, and no task sees all of its occurrences. Windows found twice are
 then counted again by both polynomials, in the same way, so that a chance
-collision of the first removes nothing. Last, parts merge the repeated windows into
+collision of the first, or words made to collide modulo 2**64, remove nothing. Last, parts merge the repeated windows into
 maximal intervals and drop the words these cover.
 
-With n windows about n*n / 2**62 of them pass the first count by chance: none in a gigabyte of
-text, some hundred millions in 100 TB; of those one in 2**64 / n may pass the second.
+With n windows about n*n / 2**65 of them pass the first count by chance: none in a gigabyte of
+text, some ten millions in 100 TB; of those one in 2**64 / n may pass the second.
 """
 
 from __future__ import annotations
@@ -32,9 +32,11 @@ from pyspark.sql import functions as F
 from gridstride.llm.common import durable, partitions
 
 WINDOW = 35
-#: Bytes of text of a part, about; a part and a hash range take some 25 times that memory. Fewer, larger ones suit larger executors.
+#: Bytes of text of a part, about; a part takes some 15 times that memory. Fewer, larger ones suit larger executors.
 PART_BYTES = 16 << 20
 PRIME = np.uint64((1 << 61) - 1)
+#: Windows that are hashed at once.
+STEP = 1 << 15
 #: From the golden ratio and from the square root of two, below the prime.
 BASES = (0x9E3779B97F4A7C15 >> 4, 0xB504F333F9DE6485)
 
@@ -60,7 +62,9 @@ def times(a: np.ndarray, b: np.uint64) -> np.ndarray:
 
 
 def polynomials(values: np.ndarray, window: int, base: int, by: Callable[[np.ndarray, np.uint64], np.ndarray], prime: bool) -> np.ndarray:
-    """The polynomial of each ``window`` consecutive values, the first of them of the highest power, modulo the prime or 2**64; by doubling."""
+    """The polynomial of each ``window`` consecutive values, the first of them of the highest power, modulo the prime or 2**64; by doubling, ``STEP`` at a time."""
+    if len(values) > STEP + window:
+        return np.concatenate([polynomials(values[lo : lo + STEP + window - 1], window, base, by, prime) for lo in range(0, len(values) - window + 1, STEP)])
     plus = (lambda a, b: _reduced(a + b)) if prime else np.add
     modulus = int(PRIME) if prime else 1 << 64
     done, reach, doubled, length = None, 0, values, 1
@@ -76,24 +80,37 @@ def polynomials(values: np.ndarray, window: int, base: int, by: Callable[[np.nda
 
 
 class Part:
-    """The words of some texts, and two hashes of each window of each text."""
+    """The hashes of the words of some texts, and those of their windows."""
 
     def __init__(self, texts: list[bytes], window: int):
-        self.words, self.window = [t.split() for t in texts], window
-        hashes = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, chain.from_iterable(self.words))), ">u8").reshape(-1, 2).astype(np.uint64)
-        self.starts = np.cumsum([0, *map(len, self.words)])
+        self.texts, self.window, sizes, hashes = texts, window, [0], []
+        for text in texts:
+            words = text.split()
+            sizes.append(len(words))
+            hashes.append(b"".join(map(xxhash.xxh3_128_digest, words)))
+        self.hashes = np.frombuffer(b"".join(hashes), ">u8").reshape(-1, 2)
+        self.starts = np.cumsum(sizes)
         # over all texts at once; windows that span two are left out when they are dealt to the texts
-        self.high = polynomials(_reduced(hashes[:, 0]), window, BASES[0], times, True)
-        self.low = polynomials(hashes[:, 1], window, BASES[1], np.multiply, False)
+        self.low = polynomials(self.hashes[:, 1].astype(np.uint64), window, BASES[1], np.multiply, False)
 
-    def _each(self, values: np.ndarray) -> list[np.ndarray]:
-        return [values[a : max(a, b - self.window + 1)] for a, b in zip(self.starts[:-1].tolist(), self.starts[1:].tolist(), strict=True)]
+    def _spans(self) -> list[tuple[int, int]]:
+        return [(a, max(a, b - self.window + 1)) for a, b in zip(self.starts[:-1].tolist(), self.starts[1:].tolist(), strict=True)]
 
     def first(self) -> list[np.ndarray]:
-        return self._each(_mix(self.high))
+        """A hash of each window of each text."""
+        mixed = _mix(self.low)
+        return [mixed[a:b] for a, b in self._spans()]
 
-    def second(self) -> list[np.ndarray]:
-        return self._each(_mix(_mix(self.high) + self.low))
+    def second(self, wanted: list[np.ndarray]) -> list[np.ndarray]:
+        """Another hash of the wanted windows of each text."""
+        out = []
+        for (a, b), at in zip(self._spans(), wanted, strict=True):
+            if not at.any():
+                out.append(np.zeros(0, np.uint64))
+                continue
+            high = polynomials(_reduced(self.hashes[a : b + self.window - 1, 0].astype(np.uint64)), self.window, BASES[0], times, True)
+            out.append(_mix(_mix(self.low[a:b][at]) + high[at]))
+        return out
 
 
 def covered(repeated: np.ndarray, words: int, window: int) -> np.ndarray:
@@ -180,19 +197,20 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_
 
     def send_candidates(group: pa.Table, answers: pa.Table) -> pa.Table:
         part = part_of(group)
-        chosen = [h[c] for h, c in zip(part.second(), candidates(part, answers), strict=True)]
-        return sent(group.column("part")[0].as_py() if len(group) else 0, _distinct(chosen)[0])
+        return sent(group.column("part")[0].as_py() if len(group) else 0, _distinct(part.second(candidates(part, answers)))[0])
 
     def remove(group: pa.Table, answers: pa.Table) -> pa.Table:
         part = part_of(group)
         first, second = (answers.filter(pc.equal(answers.column("turn"), k)) for k in (1, 2))
-        held, hashed = candidates(part, first), part.second()
-        twice = repeated([h[c] for h, c in zip(hashed, held, strict=True)], second)
+        held = candidates(part, first)
+        hashed = part.second(held)
+        twice = repeated(hashed, second)
         out = []
-        for words, hashes, c in zip(part.words, hashed, held, strict=True):
-            gone = covered(c & _within(hashes, twice), len(words), window)
-            kept = b" ".join(compress(words, (~gone).tolist()))
-            out.append((len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode() if with_text else None))
+        for text, size, values, at in zip(part.texts, np.diff(part.starts).tolist(), hashed, held, strict=True):
+            at[at] = _within(values, twice)
+            gone = covered(at, size, window)
+            kept = b" ".join(compress(text.split(), (~gone).tolist()) if gone.any() else text.split())
+            out.append((size, int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode() if with_text else None))
         columns = list(zip(*out, strict=True)) or [[], [], [], []]
         return pa.table({"id": group.column("id"), "n_words": pa.array(columns[0], pa.int64()), "n_removed": pa.array(columns[1], pa.int64()), "kept_sha256": pa.array(columns[2], pa.string()), "kept": pa.array(columns[3], pa.string())})
 

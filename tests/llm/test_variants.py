@@ -216,7 +216,9 @@ def test_words_that_collide_modulo_two_to_the_64_are_told_apart(spark):
 
 
 @pytest.mark.parametrize("window", [1, 2, 3, 5, 35, 36, 64])
-def test_polynomials(window):
+@pytest.mark.parametrize("step", [7, 1 << 15])
+def test_polynomials(window, step, monkeypatch):
+    monkeypatch.setattr(substring, "STEP", step)
     r, prime = random.Random(1), (1 << 61) - 1
     for modulus, base, by in ((prime, substring.BASES[0], substring.times), (1 << 64, substring.BASES[1], np.multiply)):
         values = [r.randrange(modulus) for _ in range(120)] + [0, 1, modulus - 1]
@@ -226,7 +228,7 @@ def test_polynomials(window):
 
 
 def test_a_collision_of_the_first_count_removes_nothing(spark, monkeypatch):
-    monkeypatch.setattr(substring.Part, "first", lambda part: part._each(np.full(len(part.high), 7, np.uint64)))
+    monkeypatch.setattr(substring.Part, "first", lambda part: [np.full(b - a, 7, np.uint64) for a, b in part._spans()])
     shared = " ".join(f"s{i}" for i in range(8))
     rows = [(0, " ".join(f"a{i}" for i in range(30))), (1, " ".join(f"b{i}" for i in range(30))), (2, f"{shared} left"), (3, f"right {shared}")]
     got = sorted(tuple(r) for r in substring.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), 8, with_text=False, parts=3).select("doc_id", "n_removed").collect())
