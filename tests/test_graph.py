@@ -218,20 +218,6 @@ def test_image_source(spark, tmp_path):
     assert got == [(0, 0, 255, 0, 0, 255), (0, 1, 0, 255, 0, 128), (1, 0, 0, 0, 255, 255), (1, 1, 9, 8, 7, 0)]
 
 
-def test_stream_limits_like_the_batch(spark, tmp_path):
-    from gridstride.streaming.limiter import admitted, admitted_stream
-
-    rows = spark.createDataFrame([(k, t, t * 10 + k) for k in (1, 2) for t in range(0, 200, 7)], "k long, ts_s long, event_id long")
-    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
-    q = admitted_stream(stream, "k", 3, 60).writeStream.format("memory").queryName("limited").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
-    q.processAllAvailable()
-    q.stop()
-    got = {(r.k, r.event_id): r.ok for r in spark.table("limited").collect()}
-    assert got == {(r.k, r.event_id): r.ok for r in admitted(rows, "k", 3, 60).collect()}
-    assert len(got) == 58
-
-
 def test_stream_counts_like_the_batch(spark, tmp_path):
     from gridstride.streaming.limiter import counts, counts_stream
 
