@@ -87,26 +87,18 @@ class Limits(StatefulProcessor):
         start, n, ends = self.state.get() if self.state.exists() else (None, 0, [])
         batch, ok = pd.concat(rows).sort_values(["ts_s", "event_id"]), []
         ends, until = list(ends), batch["end_s"].tolist() if self.most is not None else [0] * len(batch)
-        watermark = timerValues.getCurrentWatermarkInMs()
         for at, end in zip(batch["ts_s"].tolist(), until, strict=True):
-            if 1000 * at < watermark:  # its window's state may be gone
-                ok.append(False)
-                continue
             if start is None or at - start > self.window_s:
                 start, n = at, 0
             ends = [e for e in ends if e > at]
             ok.append(n < self.limit and (self.most is None or len(ends) < self.most))
             n += ok[-1]
             ends += [end] * (ok[-1] and self.most is not None)
-        if start is not None:
-            self._keep(int(start), int(n), [int(e) for e in ends])
-        yield pd.DataFrame({"key": [key[0]] * len(batch), "event_id": batch["event_id"].to_numpy(), "ok": ok})
-
-    def _keep(self, start: int, n: int, ends: list[int]) -> None:
-        self.state.update((start, n, ends))
+        self.state.update((int(start), int(n), [int(e) for e in ends]))
         for timer in self.handle.listTimers():
             self.handle.deleteTimer(timer)
         self.handle.registerTimer(1000 * (max([start + self.window_s, *ends]) + 1))
+        yield pd.DataFrame({"key": [key[0]] * len(batch), "event_id": batch["event_id"].to_numpy(), "ok": ok})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802
         self.state.clear()
@@ -120,7 +112,7 @@ def admitted_stream(requests: DataFrame, key: str, limit: int, window_s: int, la
     """The same over a stream (key, ts_s, event_id; with ``most`` also end_s, and both limits hold).
 
     Requests of a key are taken in order within a micro-batch; one that arrives later than a newer one of an earlier
-    batch is judged against the open window, and one more than ``late`` behind the newest of earlier batches is not admitted. State lasts
+    batch is judged against the open window, and one that is ``late`` or more behind the newest of earlier batches gets no row. State lasts
     as long as its window and its running requests. The session's state store must be RocksDB.
     """
     ids, kind = (requests.schema[c].dataType.simpleString() for c in ("event_id", key))
