@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridstride.llm.common import durable, partitions
+from gridstride.llm.common import partitions
 
 WINDOW = 35
 #: Bytes of text of a part, about; a part takes some 15 times that memory. Fewer, larger ones suit larger executors.
@@ -218,7 +218,7 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_
         return values.groupBy("range").applyInArrow(answer, "part int, range int, bits binary").withColumn("turn", F.lit(turn))
 
     schema = "part int, range int, planes binary"
-    first = durable(counted(rows.groupBy("part").applyInArrow(send, schema), 1))  # two steps read it
+    first = counted(rows.groupBy("part").applyInArrow(send, schema), 1)  # two steps read it; Spark reuses its exchange and that of the rows
     second = counted(rows.groupBy("part").cogroup(first.groupBy("part")).applyInArrow(send_candidates, schema), 2)
     out = rows.groupBy("part").cogroup(first.union(second).groupBy("part")).applyInArrow(remove, f"id {kind}, n_words long, n_removed long, kept_sha256 string, kept string")
     return (out if with_text else out.drop("kept")).withColumnRenamed("id", id_col)
