@@ -2,18 +2,19 @@
 
 A wrapper is a union-free regular expression over a page's token stream: elements
 in order, each plain, optional or repeated, and text that is either constant or a
-slot. Two streams are aligned element by element; where they mismatch, text
-becomes a slot, an element that one of them lacks becomes optional, and runs of
-equal siblings become a repeated group. Aligning an expression with an expression
-is the same operation, so wrappers are inferred within tasks first, then within a
-few groups of a host, then for the host: no task gathers a host's pages.
+slot. Streams are aligned element by element, by label and by how many runs of that label came
+before it among its siblings; where they mismatch, text becomes a slot, an element that one of
+them lacks becomes optional, and runs of equal siblings become a repeated group. Aligning two expressions
+adds counts and keeps what both say, so it does not matter in which order, or in which tasks, a
+host's pages are aligned: within tasks first, then within a few groups of a host, then for the host.
 
 A wrapper tells a host's pages apart into template and content. Every item of it
 knows on how many pages it stands, how much text it holds, and how much of that is
 in links. The content region is the deepest element that holds most of the text
-that is no template. Template is what is constant over the host's pages, what is
+that is no template. Template is what is constant over different pages of the host, what is
 nearly all links on most of them, and what its tag, role, class or id hints at
-unless it holds most of the host's text. Every page is then matched with its host's
+unless it holds most of the host's text. A name that only contains a hinting word, beside others, counts
+where the wrapper agrees: where links or constants are most of the element. Every page is then matched with its host's
 wrapper, and the region's remaining blocks are its main text. A page that the
 wrapper does not match is taken as the only one of its host.
 """
@@ -34,9 +35,10 @@ from gridstride.llm.common import durable
 
 #: Elements without an end tag, without text of interest, whose text has no markup, inside lines of text, and that end an open sibling.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-RAW = {"script", "style", "noscript", "template", "svg", "iframe", "textarea", "title", "object", "canvas", "math"}
+RAW = {"script", "style", "noscript", "template", "svg", "iframe", "textarea", "title", "object", "canvas", "annotation", "annotation-xml"}
 PLAIN = {"script", "style", "textarea", "title", "iframe"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+INLINE |= {"math", "menclose", "mfenced", "mfrac", "mi", "mn", "mo", "mover", "mpadded", "mphantom", "mroot", "mrow", "ms", "mspace", "msqrt", "mstyle", "msub", "msubsup", "msup", "mtable", "mtd", "mtext", "mtr", "munder", "munderover", "semantics"}
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"ul", "ol", "dl", "table", "body", "html", "article", "section", "main", "div", "nav", "aside", "footer", "header", "form"}
 #: Elements, roles and words of class or id that hint at what is no article text.
@@ -48,21 +50,30 @@ SKIP_WORDS = {
     "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget", "widgets",
 }
 OUTER_WORDS = {"banner", "header", "masthead", "topbar"}
+#: Words that say nothing of an element's content; beside others than these a hinting word is no sure hint.
+PART_WORDS = {
+    "area", "article", "articles", "bar", "block", "body", "bottom", "box", "btn", "button", "buttons", "center", "container", "content", "desktop", "form", "global", "grid", "group", "holder", "icon", "icons", "inner", "item", "items",
+    "left", "link", "links", "list", "main", "mobile", "module", "outer", "overlay", "page", "panel", "post", "posts", "primary", "reader", "right", "row", "section", "secondary", "site", "slot", "top", "unit", "user", "users", "wrap", "wrapper",
+}
 #: Elements that are blocks of text, not parts of a page.
 BLOCKS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "ul", "ol", "dl", "li", "table", "tbody", "tr", "td", "figure", "figcaption"}
 #: A name of more words than these is a sentence, not a hint.
 NAME_WORDS = 3
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|</?([a-zA-Z][^\s>/]*)((?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')|[="'])*+)>|[^<]+|<""", re.S)
+#: For pages of which a tag does not end as quotes would have it.
+PLAIN_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|</?([a-zA-Z][^\s>/]*)([^>]*)>|[^<]+|<""", re.S)
 ATTRIBUTE = re.compile(r"""([\w:-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 WORD = re.compile(r"[A-Za-z]+")
 #: Elements nested deeper than this are read as children of the last one that is not.
 DEPTH = 120
-#: A constant is template if so many pages or more have it; longer than so many characters, it is kept in wrappers as its hash.
+#: A constant is template if so many different pages or more have it; longer than so many characters, it is kept in wrappers as its hash.
 SEEN, CONSTANT = 3, 200
-#: Shares: of a host's text from which on a hint does not count, of links in a menu, of the region's text that a template may have, of the text that a deeper region keeps.
-DOMINANT, LINKED, TEMPLATE, REGION = 0.8, 0.9, 0.3, 0.6
-#: Items of one element in a wrapper; from the first number on, siblings of one label are one item, and beyond the second, the rarest go (no page loses text by that).
-SIBLINGS, ITEMS = 40, 400
+#: Shares: of a host's text from which on a hint does not count, of links in a menu, of links or constants in what is hinted at in part, of the text that a deeper region keeps, and that a further article has of the largest.
+DOMINANT, LINKED, AGREED, REGION, FURTHER = 0.8, 0.9, 0.5, 0.6, 0.2
+#: Runs of one label among siblings that are told apart; later ones are a repeated group with the last.
+RANKS = 8
+#: Items that a task holds before it passes its wrappers on.
+HELD = 300_000
 GROUPS = 16
 #: All rules together are broadcast up to this size.
 BROADCAST_BYTES = 4 << 20
@@ -77,31 +88,38 @@ class Element:
         self.tag, self.label, self.children = tag, label, []
 
 
-def hinted(tag: str, role: str, names: str, inner: bool, whole: bool) -> bool:
-    """Whether an element's tag, role or names hint at template. ``inner``: within an article; ``whole``: it holds the page or its article, so its names do not count."""
+def hinted(tag: str, role: str, names: str, inner: bool, whole: bool) -> str:
+    """``!`` if an element's tag, role or a name hints at template, ``~`` if a name does in part, else nothing. ``inner``: within an article; ``whole``: it holds the page or its article, so its names do not count."""
     if tag in SKIP_TAGS or role in SKIP_ROLES or tag == "header" and not inner:
-        return True
+        return "!"
+    found = ""
     for name in () if whole else names.split():
         words = [w.lower() for w in WORD.findall(name)]
-        if len(words) <= NAME_WORDS and any(w in SKIP_WORDS or w in OUTER_WORDS and not inner for w in words):
-            return True
-    return False
+        hints = [w in SKIP_WORDS or w in OUTER_WORDS and not inner for w in words]
+        if any(hints) and len(words) <= NAME_WORDS:
+            if all(h or w in PART_WORDS for h, w in zip(hints, words, strict=True)):
+                return "!"
+            found = "~"
+    return found
 
 
 def _element(tag: str, attributes: str, inner: bool, whole: bool) -> Element:
-    """Labelled by tag, classes and role, and by ``!`` if hinted at."""
+    """Labelled by tag, classes (numbers in them alike) and role, and by its hint."""
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)} if "=" in attributes else {}
     role = found.get("role", "").lower()
-    label = ".".join([tag, *found.get("class", "").split()]) if tag not in ("html", "body") else tag
-    hint = hinted(tag, role, f"{found.get('class', '')} {found.get('id', '')}", inner, whole)
-    return Element(tag, label + f"[{role}]" * bool(role) + "!" * hint)
+    label = ".".join([tag, *re.sub(r"\d+", "0", found.get("class", "")).split()]) if tag not in ("html", "body") else tag
+    return Element(tag, label + f"[{role}]" * bool(role) + hinted(tag, role, f"{found.get('class', '')} {found.get('id', '')}", inner, whole))
 
 
 def parse(page: str | None) -> Element:
-    """A page's tree. Inline markup is text; unclosed and stray tags are borne with."""
+    """A page's tree. Inline markup is text; unclosed and stray tags are borne with. The time is that of the page's length.
+
+    A tag without an end makes all later ones end at the next ``>``; after the last ``>`` all is text.
+    """
     root = Element("", "")
     stack, at, page = [root], 0, page or ""
     article = link = 0
+    last, token, endless = page.rfind(">"), TOKEN, set()
 
     def close(depth: int) -> None:
         nonlocal article
@@ -111,7 +129,13 @@ def parse(page: str | None) -> Element:
         del stack[depth:]
 
     while at < len(page):
-        m = TOKEN.match(page, at)
+        if at > last and not page.startswith(("<!--", "<![CDATA["), at):
+            stack[-1].children.append((unescape(page[at:]), link > 0))
+            break
+        m = token.match(page, at)
+        if m[0] == "<" and token is TOKEN and re.match(r"/?[a-zA-Z]", page[at + 1 : at + 3]):
+            token = PLAIN_TOKEN
+            continue
         at = m.end()
         whole, tag = m[0], (m[1] or "").lower()
         if not tag:
@@ -127,7 +151,9 @@ def parse(page: str | None) -> Element:
                         break
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at) if not m[2].endswith("/") else None
+            end = None if m[2].endswith("/") or tag in endless else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            if end is None and not m[2].endswith("/"):
+                endless.add(tag)
             at = end.end() if end else len(page) if tag in PLAIN and not m[2].endswith("/") else at
             continue
         if tag in INLINE:
@@ -170,69 +196,27 @@ def _texts(element: Element) -> Iterator[Element | tuple[str, int]]:
             yield child
 
 
-# An expression is a list of items [label, quantifier, pages, characters, linked, content]: content is a list of
-# items for an element, a constant or None (a slot) for text, whose label is "#". Quantifiers: "", "?", "+", "*".
-def _both(a: str, b: str) -> str:
-    optional, repeated = a in ("?", "*") or b in ("?", "*"), a in ("+", "*") or b in ("+", "*")
-    return "*" if optional and repeated else "?" if optional else "+" if repeated else ""
-
-
-def _merge_items(a: list, b: list, repeat: bool) -> list:
-    """One item for two of the same label: on two pages, or (repeat) side by side on one."""
-    if a[0] == "#":
-        content = a[5] if a[5] == b[5] else None
-    else:
-        content = align(a[5], b[5])
-    quantifier = _both(_both(a[1], b[1]), "+" if repeat else "")
-    return [a[0], quantifier, max(a[2], b[2]) if repeat else a[2] + b[2], a[3] + b[3], a[4] + b[4], content]
+# An expression maps a label and a rank to an item [pages, repeated, characters, linked, content]. The content of an
+# element is an expression; that of text, whose label is "#", is [constant or None for a slot, hashes of pages].
+def _key(label: str, rank: int) -> str:
+    return f"{label}\t{rank}"
 
 
-def _fold(items: list) -> list:
-    """Neighbours of the same label become one repeated group; of very many siblings, all of one label do."""
-    out: list = []
-    for item in items:
-        if out and out[-1][0] == item[0]:
-            out[-1] = _merge_items(out[-1], item, True)
-        else:
-            out.append(item)
-    if len(out) > SIBLINGS:
-        by: dict[str, list] = {}
-        for item in out:
-            by[item[0]] = _merge_items(by[item[0]], item, True) if item[0] in by else item
-        out = list(by.values())
-    if len(out) > ITEMS:
-        rare = sorted(range(len(out)), key=lambda i: (-out[i][2], i))[ITEMS:]
-        out = [x for i, x in enumerate(out) if i not in set(rare)]
-    return out
-
-
-def align(a: list, b: list) -> list:
-    """The expression that covers both: a longest common sequence of labels is merged, the rest is optional."""
-    head = 0
-    while head < min(len(a), len(b)) and a[head][0] == b[head][0]:
-        head += 1
-    start = [_merge_items(x, y, False) for x, y in zip(a[:head], b[:head], strict=True)]
-    a, b = a[head:], b[head:]
-    tail = 0
-    while tail < min(len(a), len(b)) and a[-1 - tail][0] == b[-1 - tail][0]:
-        tail += 1
-    end = [_merge_items(x, y, False) for x, y in zip(a[len(a) - tail :], b[len(b) - tail :], strict=True)]
-    a, b = a[: len(a) - tail], b[: len(b) - tail]
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i][0] == b[j][0] else max(best[i + 1][j], best[i][j + 1])
-    middle, i, j = [], 0, 0
-    while i < len(a) or j < len(b):
-        if i < len(a) and j < len(b) and a[i][0] == b[j][0]:
-            middle.append(_merge_items(a[i], b[j], False))
-            i, j = i + 1, j + 1
+def align(a: dict, b: dict, same_page: bool = False, side_by_side: bool = False) -> dict:
+    """The expression that covers both, of different pages or (``same_page``) of parts of one; the items of ``side_by_side`` ones are siblings. It is the same whichever comes first; ``a`` is changed."""
+    for key, other in b.items():
+        item = a.get(key)
+        if item is None:
+            a[key] = other
+            continue
+        if key[0] == "#":
+            constant = item[4][0] if item[4][0] == other[4][0] else None
+            content = [constant, sorted({*item[4][1], *other[4][1]})[:SEEN] if constant is not None else []]
         else:
-            first = j == len(b) or i < len(a) and best[i + 1][j] >= best[i][j + 1]
-            item = a[i] if first else b[j]
-            i, j = (i + 1, j) if first else (i, j + 1)
-            middle.append([item[0], _both(item[1], "?"), *item[2:]])
-    return _fold(start + middle + end)
+            content = align(item[4], other[4], same_page)
+        pages = max(item[0], other[0]) if same_page else item[0] + other[0]
+        a[key] = [pages, item[1] or other[1] or side_by_side, item[2] + other[2], item[3] + other[3], content]
+    return a
 
 
 def _constant(text: str) -> str:
@@ -240,79 +224,130 @@ def _constant(text: str) -> str:
     return text if len(text) <= CONSTANT else f"\0{xxhash.xxh3_128_hexdigest(text.encode())}"
 
 
-def expression(element: Element) -> list:
-    """A page's own expression: every text constant, repeated siblings folded."""
-    items = []
+def expression(element: Element, page: int = 0) -> dict:
+    """A page's own expression: every text constant, repeated siblings one group. ``page`` tells different pages apart."""
+    out: dict[str, list] = {}
+    runs: dict[str, int] = {}
+    before = None
     for child in _texts(element):
         if isinstance(child, tuple):
-            items.append(["#", "", 1, len(child[0]), child[1], _constant(child[0])])
+            label, item = "#", [1, False, len(child[0]), child[1], [_constant(child[0]), [page]]]
         else:
-            content = expression(child)
-            items.append([child.label, "", 1, sum(x[3] for x in content), sum(x[4] for x in content), content])
-    return _fold(items)
+            content = expression(child, page)
+            label, item = child.label, [1, False, sum(x[2] for x in content.values()), sum(x[3] for x in content.values()), content]
+        if label != before:
+            runs[label] = runs.get(label, -1) + 1
+        before = label
+        align(out, {_key(label, min(runs[label], RANKS - 1)): item}, True, True)
+    return out
+
 
+def regular(wrapper: dict, pages: int | None = None) -> str:
+    """The expression as text: labels with ?, + or *, text in quotes, slots as dots."""
+    pages = max((x[0] for x in wrapper.values()), default=0) if pages is None else pages
+    out = []
+    for key, (seen, repeated, _, _, content) in sorted(wrapper.items()):
+        label = key.split("\t")[0]
+        inner = ("..." if content[0] is None else repr(content[0])) if label == "#" else f"{label}({regular(content, seen)})"
+        out.append(inner + ("*" if repeated and seen < pages else "+" if repeated else "?" if seen < pages else ""))
+    return " ".join(out)
 
-def rules(wrapper: list) -> dict:
-    """What a host's wrapper says: the path of its content region, and paths and constant texts that are template."""
-    whole, pages = sum(x[3] for x in wrapper), max((x[2] for x in wrapper), default=0)
+
+def _template(item: list) -> bool:
+    return item[4][0] is not None and len(item[4][1]) >= SEEN
+
+
+def _fixed(content: dict) -> int:
+    """Characters of constants that are template."""
+    return sum((x[2] if _template(x) else 0) if key[0] == "#" else _fixed(x[4]) for key, x in content.items())
+
+
+def _children(contents: list[dict]) -> tuple[list[list], dict[str, list[list]]]:
+    """The texts of elements of one path, and their child elements by label, in order of labels."""
+    texts, inner = [], {}
+    for content in contents:
+        for key, item in content.items():
+            if key[0] == "#":
+                texts.append(item)
+            else:
+                inner.setdefault(key.split("\t")[0], []).append(item)
+    return texts, dict(sorted(inner.items()))
+
+
+def rules(wrapper: dict) -> dict:
+    """What a host's wrapper says: the paths of its content region, and paths and constant texts that are template."""
+    whole, pages = sum(x[2] for x in wrapper.values()), max((x[0] for x in wrapper.values()), default=0)
     drop: list[tuple] = []
+    sizes: dict[tuple, int] = {}
 
-    def content(items: list, path: tuple) -> int:
+    def measure(contents: list[dict], path: tuple) -> int:
         """Characters that are no template; paths of template elements go to ``drop``."""
-        total = 0
-        for label, _, seen, chars, linked, inner in items:
-            here = (*path, label)
-            if label == "#":
-                total += 0 if inner is not None and seen >= SEEN else chars
-                continue
-            hint = label.endswith("!") and chars < DOMINANT * whole
-            menu = seen >= max(SEEN, 0.5 * pages) and chars > 0 and linked >= LINKED * chars and chars < DOMINANT * whole
-            if hint or menu:
+        texts, inner = _children(contents)
+        total = sum(0 if _template(x) else x[2] for x in texts)
+        for label, items in inner.items():
+            here, seen = (*path, label), max(x[0] for x in items)
+            chars, linked, fixed = (sum(f(x) for x in items) for f in (lambda x: x[2], lambda x: x[3], lambda x: _fixed(x[4])))
+            hint = label.endswith("!") or label.endswith("~") and seen >= SEEN and max(linked, fixed) >= AGREED * chars
+            menu = seen >= max(SEEN, 0.5 * pages) and chars > 0 and linked >= LINKED * chars
+            if (hint or menu) and chars < DOMINANT * whole:
                 drop.append(here)
             else:
-                sizes[here] = content(inner, here)
+                sizes[here] = measure([x[4] for x in items], here)
                 total += sizes[here]
         return total
 
-    sizes: dict[tuple, int] = {}
-    everything = content(wrapper, ())
-    items, path = wrapper, ()
-    tag = lambda label: re.split(r"[.\[!]", label)[0]
+    everything = measure([wrapper], ())
+    contents, path, further = [wrapper], (), []
+    tag = lambda label: re.split(r"[.\[!~]", label)[0]
     while everything and not (path and tag(path[-1]) in ("article", "main")):
         # the deepest element that still holds most of the text; text and paragraphs beside it are of the same text
-        beside = any(x[0] == "#" or tag(x[0]) in BLOCKS and sizes.get((*path, x[0]), 0) for x in items)
-        deeper = [x for x in items if sizes.get((*path, x[0]), 0) >= REGION * everything and tag(x[0]) not in BLOCKS]
-        deeper = [x for x in deeper if tag(x[0]) in ("article", "main")] or ([] if beside else deeper)
+        texts, inner = _children(contents)
+        size = {label: sizes.get((*path, label), 0) for label in inner}
+        beside = bool(texts) or any(tag(x) in BLOCKS and size[x] for x in inner)
+        articles = sorted((x for x in inner if tag(x) == "article" and size[x]), key=lambda x: (-size[x], x))
+        if sum(size[x] for x in articles) >= REGION * everything:
+            further = [(*path, x) for x in articles if size[x] >= FURTHER * size[articles[0]]]
+            break
+        deeper = sorted((x for x in inner if size[x] >= REGION * everything and tag(x) not in BLOCKS), key=lambda x: (-size[x], x))
+        deeper = [x for x in deeper if tag(x) == "main"] or ([] if beside else deeper)
         if not deeper:
             break
-        items, path = deeper[0][5], (*path, deeper[0][0])
-    constants: dict[str, int] = {}
+        contents, path = [x[4] for x in inner[deeper[0]]], (*path, deeper[0])
+    constants: set[str] = set()
 
-    def gather(items: list, path: tuple) -> None:
-        for label, quantifier, seen, chars, _, inner in items:
-            if label != "#" and (*path, label) in sizes:
-                gather(inner, (*path, label))
-            elif label == "#" and inner is not None and seen >= SEEN and quantifier in ("", "?"):
-                constants[inner] = chars
+    def gather(contents: list[dict], path: tuple) -> None:
+        texts, inner = _children(contents)
+        constants.update(x[4][0] for x in texts if _template(x) and not x[1])
+        for label, items in inner.items():
+            if (*path, label) in sizes and (len(path) >= depth or any(p[: len(path) + 1] == (*path, label) for p in regions)):
+                gather([x[4] for x in items], (*path, label))
 
-    gather(items, path)
-    mostly = sum(constants.values()) > TEMPLATE * max(1, sum(x[3] for x in items))  # copies of one page, not a template
-    return {"path": list(path), "drop": [list(d) for d in drop], "constants": [] if mostly else sorted(constants), "known": [list(p) for p in sizes if p[-1].endswith("!")]}
+    regions = further or [path]
+    depth = len(regions[0])
+    gather([wrapper], ())
+    return {"paths": [list(p) for p in regions], "drop": [list(d) for d in drop], "constants": sorted(constants), "known": [list(p) for p in sizes if p[-1].endswith("!")]}
 
 
 def main_text(page: str | None, rule: dict | None) -> str:
     """The blocks of a page's content region, joined by line feeds."""
     root = parse(page)
 
-    def find(element: Element, path: list) -> list[Element]:
-        if not path:
-            return [element]
-        return [x for c in element.children if isinstance(c, Element) and c.label == path[0] for x in find(c, path[1:])]
-
-    regions = find(root, rule["path"]) if rule and rule["path"] else []
+    def find(element: Element, paths: list[list]) -> list[tuple[Element, tuple]]:
+        """The elements at the paths, in page order; each path is one tail of labels and the whole."""
+        here = [whole for tail, whole in paths if not tail]
+        if here:
+            return [(element, tuple(here[0]))]
+        found = []
+        for child in element.children:
+            if isinstance(child, Element):
+                on = [(tail[1:], whole) for tail, whole in paths if tail[0] == child.label]
+                found += find(child, on) if on else []
+        return found
+
+    regions = find(root, [(p, p) for p in rule["paths"]]) if rule and rule["paths"] != [[]] else []
     if not regions:  # a page unlike its host's others, or the host has no region deeper than the page
-        rule = rules(expression(root)) if not rule or rule["path"] else rule
-        regions = find(root, rule["path"])
+        rule = rules(expression(root)) if not rule or rule["paths"] != [[]] else rule
+        regions = find(root, [(p, p) for p in rule["paths"]])
     constants, drop, known = set(rule["constants"]), {tuple(d) for d in rule["drop"]}, {tuple(k) for k in rule["known"]}
     out: list[str] = []
 
@@ -326,8 +361,8 @@ def main_text(page: str | None, rule: dict | None) -> str:
             if here not in drop and (not child.label.endswith("!") or here in known):
                 blocks(child, here)
 
-    for region in regions:
-        blocks(region, tuple(rule["path"]))
+    for region, path in regions:
+        blocks(region, path)
     return "\n".join(out)
 
 
@@ -338,18 +373,27 @@ def host_of(url_col: str) -> F.Column:
 def wrappers(pages: DataFrame) -> DataFrame:
     """(host, rule) from (host, html): each host's expression, aligned over all its pages."""
 
+    def packed(held: dict[str, dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([json.dumps(v) for v in held.values()], pa.string())], names=["host", "wrapper"])
+
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list] = {}
+        held: dict[str, dict] = {}
+        size = 0
         for batch in batches:
-            for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = expression(parse(page))
-                held[host] = align(held[host], own) if host in held else own
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([json.dumps(v) for v in held.values()], pa.string())], names=["host", "wrapper"])
+            for host, page in zip(batch.column(0), batch.column(1), strict=True):
+                text = page.as_py()
+                own = expression(parse(text), xxhash.xxh3_64_intdigest(text.encode()) >> 1)
+                held[host.as_py()] = align(held.get(host.as_py(), {}), own)
+                size += len(text) // 100 + 1
+                if size > HELD:  # about as many items
+                    yield packed(held)
+                    held, size = {}, 0
+        yield packed(held)
 
     def together(group: pa.Table) -> pa.Table:
-        merged, *rest = map(json.loads, sorted(group.column("wrapper").to_pylist()))
-        for other in rest:
-            merged = align(merged, other)
+        merged: dict = {}
+        for other in group.column("wrapper"):
+            align(merged, json.loads(other.as_py()))
         return pa.table({"host": group.column("host")[:1], "wrapper": pa.array([json.dumps(merged)], pa.string())})
 
     def settle(group: pa.Table) -> pa.Table:

@@ -1,6 +1,7 @@
 """Edge cases and brute-force checks of each corpus operator on small tables."""
 
 import hashlib
+import json
 import math
 import random
 import re
@@ -506,18 +507,121 @@ def test_the_wrapper_tells_template_from_content(spark):
     assert "This page is kept for you." in html.main_text(page(1), None)  # one page alone cannot tell
 
 
-def test_expressions_stay_small():
-    pages = ["<body>" + "".join(f'<div class="x{(k * 7919 + j) % 5000}"><p>t{j}</p></div><h2>h</h2>' for j in range(300)) + "</body>" for k in range(40)]
-    held = html.expression(html.parse(pages[0]))
-    for p in pages[1:]:
-        held = html.align(held, html.expression(html.parse(p)))
-    assert len(held[0][5]) <= html.ITEMS
+def unhinted(r, host):
+    """Eight pages of a host whose names tell nothing: menu, notice and footer among the text, in an order of the host's own."""
+    a, b, c, d = (f"{x}{host}" for x in "abcd")
+    menu = "".join(f"<li><a href=x{j}>{r.choice(WORDS)} {j}</a></li>" for j in range(5))
+    parts = [f'<div class="{a}"><ul>{menu}</ul></div>', f'<div class="{c}"><p>All rights of house {host} are kept.</p></div>', "{}"]
+    r.shuffle(parts)
+    pages, texts = [], []
+    for k in range(8):
+        lines_ = [" ".join(r.choice(WORDS) for _ in range(r.randrange(12, 60))) for _ in range(r.randrange(2, 6))]
+        if r.random() < 0.5:
+            lines_.insert(1, f"Extra {k}")
+        notice = f'<div class="{d}">House {host} asks you to write.</div>'
+        body = f'<div class="{b}"><h2>Title {host} {k}</h2>{"".join(f"<p>{x}</p>" for x in lines_)}{notice}</div>'
+        pages.append("<html><body>" + "".join(parts).format(body) + "</body></html>")
+        texts.append("\n".join([f"Title {host} {k}", *lines_]))
+    return pages, texts
+
+
+def test_wrappers_do_not_depend_on_order_or_partitions(spark, capsys):
+    r = random.Random(6)
+    hosts = [unhinted(r, h) for h in range(60)]
+    rows = [(h * 8 + k, f"https://h{h}.example/{k}", p) for h, (pages, _) in enumerate(hosts) for k, p in enumerate(pages)]
+    want = {h * 8 + k: t for h, (_, texts_) in enumerate(hosts) for k, t in enumerate(texts_)}
+    for parts in (1, 3, 7):
+        r.shuffle(rows)
+        table = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts)
+        assert {x.page_id: x.text for x in html.extract(table).collect()} == want
+    changed = sum(html.main_text(p, None) != want[i] for i, _, p in rows)
+    with capsys.disabled():
+        print(f"\n  {changed} of {len(rows)} pages of unhinted hosts have another text without their wrapper")
+    assert changed == len(rows)
+
+
+def test_alignment_equals_counting(spark):
+    """Brute force: what an aligned expression says of each place is counted page by page."""
+    r = random.Random(2)
 
+    def some(depth):
+        out = ""
+        for _ in range(r.randrange(4)):
+            out += r.choice(["one ", "two ", "<br>"]) if depth > 2 or r.random() < 0.4 else f"<{(t := r.choice(['div', 'section', 'p']))} class={r.choice('xy')}>{some(depth + 1)}</{t}>"
+        return out
+
+    for _ in range(60):
+        pages = [html.expression(html.parse(some(0)), n) for n in range(4)]
+        orders = [list(range(4)), [3, 1, 0, 2]]
+        made = []
+        for order in orders:
+            held = {}
+            for n in order:
+                held = html.align(held, json.loads(json.dumps(pages[n])))
+            made.append(held)
+        left, right = (html.align({}, json.loads(json.dumps(pages[n]))) for n in (0, 2))
+        html.align(left, json.loads(json.dumps(pages[1])))
+        html.align(right, json.loads(json.dumps(pages[3])))
+        made.append(html.align(left, right))
+        assert made[0] == made[1] == made[2]
+
+        def check(aligned, own):
+            assert set(aligned) == {k for p in own for k in p}
+            for k, (seen, repeated, chars, linked, content) in aligned.items():
+                there = [p[k] for p in own if k in p]
+                assert (seen, repeated, chars, linked) == (len(there), any(x[1] for x in there), sum(x[2] for x in there), sum(x[3] for x in there))
+                if k[0] != "#":
+                    check(content, [x[4] for x in there])
+                elif len({x[4][0] for x in there}) == 1 and there[0][4][0] is not None:
+                    assert content == [there[0][4][0], sorted({n for x in there for n in x[4][1]})[: html.SEEN]]
+                else:
+                    assert content == [None, []]
+
+        check(made[0], pages)
+
+
+def test_wrapper_as_text():
+    pages = ["<div><h1>A</h1><p>x</p><p>y</p><b>same</b></div>", "<div><h1>B</h1><p>x</p><b>same</b></div><section>s</section>"]
+    held = {}
+    for n, p in enumerate(pages):
+        html.align(held, html.expression(html.parse(p), n))
+    assert html.regular(held) == "div('same' h1(...) p(...)+) section('s')?"
+
+
+def test_copies_of_a_page_are_no_template(spark):
+    text = "<body><div class=q><p>One long text that stands on four pages of the host alike.</p></div></body>"
+    rows = [(k, f"https://m.example/{k}", text) for k in range(4)]
+    assert {x.text for x in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == {"One long text that stands on four pages of the host alike."}
 
-def test_wrapper_alignment():
-    a, b = (html.expression(html.parse(x)) for x in ("<div><p>a</p><p>b</p><hr></div>", "<div><p>c</p><table></table></div>"))
-    (div,) = html.align(a, b)
-    assert [(x[0], x[1]) for x in div[5]] == [("p", "+"), ("hr", "?"), ("table", "?")] and div[5][0][5][0][5] is None
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<body><article><p>Life</p><section class="social-history"><p>Of the town</p></section><div class="share-price"><p>It rose.</p></div></article></body>', "Life\nOf the town\nIt rose."),
+        ('<body><main><p>Start</p><div class="search-theory"><p>of search</p></div></main></body>', "Start\nof search"),
+        ("<body><p>Energy <math><mi>E</mi><mo>=</mo><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup><annotation>E=mc^2</annotation></math> holds</p></body>", "Energy E=mc2 holds"),
+        ('<body><article class="a"><p>The first of the two long articles</p></article><article class="b"><p>The second one of two articles</p></article><aside>no</aside></body>', "The first of the two long articles\nThe second one of two articles"),
+        ('<body><article><p>Text</p><div class="social-share">Tell all</div><div class="post-comments">reader</div></article></body>', "Text"),
+    ],
+)
+def test_names_that_hint_in_part(page, text):
+    assert html.main_text(page, None) == text
+
+
+def test_a_name_that_hints_in_part_counts_where_the_wrapper_agrees(spark):
+    page = lambda k: f'<html><body><article><p>Story {k} {"told " * (30 + k)}</p><div class="share-prices"><a href=1>Tell</a> <a href=2>all</a></div><div class="search-theory"><p>Theory {k} of search</p></div></article></body></html>'
+    rows = [(k, f"https://w.example/{k}", page(k)) for k in range(4)]
+    got = {x.page_id: x.text for x in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"Story {k} {'told ' * (30 + k)}".strip() + f"\nTheory {k} of search" for k in range(4)}
+
+
+@pytest.mark.parametrize("piece", ["<a b", "<noscript>", '<a b="x>"', "<", "</p", "<!--", "<![CDATA[", "<div>", "<p a='", "< a", '<a href="x">', "<a b=\"", "<!a", "<svg>", "<div class='a b'>"])
+def test_a_million_characters_of_bad_markup_take_linear_time(piece):
+    import time
+
+    start = time.time()
+    html.main_text(piece * (1_000_000 // len(piece)), None)
+    assert time.time() - start < 10  # 1.4 s at most on a free core
 
 
 def labelled(spark, n=160):
