@@ -132,7 +132,7 @@ def systematic(rows: DataFrame, by: Sequence[str], every: int | Column, parts: i
     that ranks are made within ranges and a large group is no single task.
     """
     ends = rows.groupBy(*by).agg(F.min("cell").alias("_low"), F.max("cell").alias("_high"))
-    rows = rows.join(F.broadcast(ends), list(by)) if by else rows.crossJoin(F.broadcast(ends))  # a row for each group
+    rows = rows.join(ends, list(by)) if by else rows.crossJoin(F.broadcast(ends))  # one row
     rows = rows.withColumn("_part", F.floor((F.col("cell") - F.col("_low")) * parts / (F.col("_high") - F.col("_low") + 1)))
     sizes = rows.groupBy(*by, "_part").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

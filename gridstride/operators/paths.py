@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridstride.functions.geo import haversine
+from gridstride.operators.blocks import durable
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -101,14 +102,67 @@ def sampled(path: DataFrame, key: str, every_m: float = 30.0) -> DataFrame:
     return first.union(resampled(path, key, every_m)).union(last)
 
 
-def without_collinear(path: DataFrame, key: str) -> DataFrame:
-    """Drop points (x, y) at which a path goes straight on; its ends and points where it turns back stay."""
-    w = Window.partitionBy(key).orderBy("i")
-    ux, uy = F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w)
-    vx, vy = F.lead("x").over(w) - F.col("x"), F.lead("y").over(w) - F.col("y")
-    on = (ux * vy - uy * vx == 0) & (ux * vx + uy * vy > 0)
-    kept = fresh(path, "_on")
-    return path.withColumn(kept, F.coalesce(on, F.lit(False))).where(~F.col(kept)).drop(kept)
+#: Fixed value: how far from zero a cross product may be on a straight line.
+STRAIGHT = 1e-6
+
+
+def without_collinear(path: DataFrame, key: str, tolerance: float = STRAIGHT) -> DataFrame:
+    """Drop points (x, y) at which a path goes straight on from the last point kept; its ends and points where it turns back stay.
+
+    Points are judged from the one before them first, then all of them from the last one kept; of each path the first that is
+    judged otherwise then is turned, until there is none. On straight lines both judge alike, so there is rarely a second round.
+    """
+    kept, ahead = fresh(path, "_kept"), Window.partitionBy(key).orderBy("i")
+    x, y = F.col("x").cast("double"), F.col("y").cast("double")
+
+    def straight(rows: DataFrame, before: F.Column) -> F.Column:
+        ux, uy = x - before["x"], y - before["y"]
+        vx, vy = F.lead("x").over(ahead) - x, F.lead("y").over(ahead) - y
+        return F.coalesce((F.abs(ux * vy - uy * vx) <= tolerance) & (ux * vx + uy * vy > 0), F.lit(False))
+
+    here = F.struct(x.alias("x"), y.alias("y"))
+    rows = durable(path.withColumn(kept, ~straight(path, F.lag(here).over(ahead))))
+    while True:
+        last = F.last(F.when(F.col(kept), here), ignorenulls=True).over(ahead.rowsBetween(Window.unboundedPreceding, -1))
+        wrong = rows.withColumn("_wrong", F.col(kept) == straight(rows, last)).where("_wrong").groupBy(key).agg(F.min("i").alias("_turn"))
+        wrong = durable(wrong)
+        if wrong.isEmpty():
+            return rows.where(F.col(kept)).drop(kept)
+        turned = F.coalesce(F.col("i") == F.col("_turn"), F.lit(False))
+        rows = durable(rows.join(wrong, key, "left").withColumn(kept, F.col(kept) != turned).drop("_turn"))
+
+
+def simplified(path: DataFrame, key: str, tolerance: float) -> DataFrame:
+    """(key, i, x, y): the points that Douglas and Peucker's rule keeps, by distance to segments; the first of equally far ones.
+
+    All segments of all paths are judged in one round: the farthest point of each that lies beyond the tolerance
+    stays and splits it, the points of the others go. So rounds grow with the depth of the splits, and a long path is no
+    single group. Without a tolerance above zero all points stay.
+    """
+    points = path.select(key, "i", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    if not tolerance > 0:
+        return points
+    at = lambda c: F.struct(F.col("i"), F.col("x"), F.col("y")).alias(c)
+    ends = points.groupBy(key).agg(F.min_by(at("p"), "i").alias("a"), F.max_by(at("p"), "i").alias("b"))
+    inner = durable(points.join(ends, key).where("i > a.i and i < b.i"))
+    kept = [ends.select(key, F.explode(F.array_distinct(F.array("a", "b"))).alias("p")).select(key, "p.*")]
+    vx, vy, px, py = F.col("b.x") - F.col("a.x"), F.col("b.y") - F.col("a.y"), F.col("x") - F.col("a.x"), F.col("y") - F.col("a.y")
+    size, along = vx * vx + vy * vy, px * vx + py * vy
+    to_b = F.pow(F.col("x") - F.col("b.x"), 2) + F.pow(F.col("y") - F.col("b.y"), 2)
+    off = F.when((size == 0) | (along <= 0), px * px + py * py).when(along >= size, to_b).otherwise(F.pow(px * vy - py * vx, 2) / F.nullif(size, F.lit(0.0)))
+    while True:
+        far = inner.groupBy(key, F.col("a.i").alias("s")).agg(F.max_by(at("p"), F.struct(off, -F.col("i"))).alias("m"), F.max(off).alias("d")).where(F.col("d") > tolerance * tolerance)
+        far = durable(far.select(key, "s", "m"))
+        if far.isEmpty():
+            break
+        kept.append(far.select(key, "m.*"))
+        split = inner.withColumn("s", F.col("a.i")).join(far, [key, "s"]).where("i != m.i")
+        before = F.col("i") < F.col("m.i")
+        inner = durable(split.select(key, "i", "x", "y", F.when(before, F.col("a")).otherwise(F.col("m")).alias("a"), F.when(before, F.col("m")).otherwise(F.col("b")).alias("b")))
+    out = kept[0]
+    for more in kept[1:]:
+        out = out.union(more)
+    return out
 
 
 def without_repeats(path: DataFrame, key: str, cell: str) -> DataFrame:

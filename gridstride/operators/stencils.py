@@ -130,7 +130,7 @@ def thin_roads(walk: DataFrame, zoom: int, by: By = ()) -> DataFrame:
     if zoom < 16:
         return rows.withColumn("thin", alone.cast("int")).drop("_large")
     middle = median(walk.where(minor), by, "width")
-    rows = rows.join(F.broadcast(middle), list(by), "left") if by else rows.crossJoin(F.broadcast(middle))  # a row for each grid
+    rows = rows.join(middle, list(by), "left") if by else rows.crossJoin(F.broadcast(middle))  # one row
     narrow = F.when(F.coalesce(F.col("median"), F.lit(0.0)) > 0, minor & (F.col("width") <= fixed.THIN_FACTOR * F.col("median"))).otherwise(alone)
     return rows.withColumn("thin", narrow.cast("int")).drop("_large", "median")
 

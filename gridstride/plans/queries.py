@@ -310,12 +310,15 @@ def _classified(spark: SparkSession, d: str) -> DataFrame:
     return X.classify(_pixels(spark, d), X.lookup_table(X.palette(spark), 16))
 
 
-@query("WITH " + ", ".join([PALETTE, *(_sql_lut_fast(z).replace("act", f"act{z}").replace("shell", f"shell{z}").replace("ranked", f"ranked{z}").replace("one ", f"one{z} ").replace("lut ", f"lut{z} ") for z in (14, 15, 16, 17))]) + " " + " UNION ALL ".join(f"SELECT {z} AS zoom, count(*) AS filled, count(*) FILTER (cls = 255) AS conflicts FROM lut{z}" for z in (14, 15, 16, 17)))
+@query(with_(V.GRID, PALETTE, PIXELS, "shown AS (SELECT r // 2 * 16384 + g // 2 * 128 + b // 2 AS key, count(*) AS n FROM px GROUP BY ALL)", *(_sql_lut_fast(z).replace("act", f"act{z}").replace("shell", f"shell{z}").replace("ranked", f"ranked{z}").replace("one ", f"one{z} ").replace("lut ", f"lut{z} ") for z in (14, 15, 16, 17))) + " UNION ALL ".join(f"SELECT {z} AS zoom, count(cls) AS filled, count(*) FILTER (cls = 255) AS conflicts, CAST(sum(n) FILTER (cls = 255) AS BIGINT) AS pixels FROM shown LEFT JOIN lut{z} USING (key)" for z in (14, 15, 16, 17)))
 def lookup_slots(spark: SparkSession, d: str) -> DataFrame:
-    """Filled and conflicting slots of each zoom's colour table."""
+    """Of the colours of all pixels: how many slots of each zoom's colour table they meet, how many of these conflict, and for how many pixels."""
+    shown = _pixels(spark, d).groupBy(X.key("r", "g", "b").alias("key")).agg(F.count("*").alias("n"))
     out = None
     for z in (14, 15, 16, 17):
-        one = X.lookup_table(X.palette(spark), z).agg(F.lit(z).alias("zoom"), F.count("*").alias("filled"), F.count_if(F.col("cls") == X.CONFLICT).alias("conflicts"))
+        met = shown.join(X.lookup_table(X.palette(spark), z), "key", "left")
+        clash = F.col("cls") == X.CONFLICT
+        one = met.agg(F.lit(z).alias("zoom"), F.count("cls").alias("filled"), F.count_if(clash).alias("conflicts"), F.sum(F.when(clash, F.col("n"))).alias("pixels"))
         out = one if out is None else out.union(one)
     return out
 
@@ -624,6 +627,21 @@ def path_without_collinear(spark: SparkSession, d: str) -> DataFrame:
     return P.without_collinear(path, "user_id").select("user_id", i.cast("long").alias("i"))
 
 
+LINE = "pts AS (SELECT user_id, i, (lng - 126.9::DOUBLE) * 1000 AS x, (lat - 37.5::DOUBLE) * 1000 AS y FROM path)"
+
+
+@query("WITH RECURSIVE " + ", ".join([V.PATHS, LINE]) + """, seg(user_id, a, b) AS (SELECT user_id, min(i), max(i) FROM pts GROUP BY user_id UNION ALL
+    SELECT user_id, unnest([a, m]), unnest([m, b]) FROM (SELECT user_id, a, b, arg_max(i, {'d': d, 'i': -i}) AS m, max(d) AS d FROM (
+        SELECT user_id, a, b, i, CASE WHEN l = 0 OR t <= 0 THEN px * px + py * py WHEN t >= l THEN pow(x - bx, 2) + pow(y - by_, 2) ELSE pow(px * vy - py * vx, 2) / l END AS d FROM (
+            SELECT s.*, p.i, p.x, p.y, q.x AS bx, q.y AS by_, q.x - o.x AS vx, q.y - o.y AS vy, p.x - o.x AS px, p.y - o.y AS py, pow(q.x - o.x, 2) + pow(q.y - o.y, 2) AS l, (p.x - o.x) * (q.x - o.x) + (p.y - o.y) * (q.y - o.y) AS t
+            FROM seg s JOIN pts o ON o.user_id = s.user_id AND o.i = a JOIN pts q ON q.user_id = s.user_id AND q.i = b JOIN pts p ON p.user_id = s.user_id AND p.i > a AND p.i < b)) GROUP BY user_id, a, b) WHERE d > 400)
+SELECT user_id, i FROM (SELECT user_id, a AS i FROM seg UNION SELECT user_id, b FROM seg)""")
+def simplified_path(spark: SparkSession, d: str) -> DataFrame:
+    """The points of each user's path that simplification keeps."""
+    path = V.paths(spark, d).select("user_id", "i", ((F.col("lng") - 126.9) * 1000).alias("x"), ((F.col("lat") - 37.5) * 1000).alias("y"))
+    return P.simplified(path, "user_id", 20.0).select("user_id", F.col("i").cast("long").alias("i"))
+
+
 @query("SELECT event_id, CASE WHEN event_id % 9 = 0 THEN NULL ELSE (event_id % 256) * 256 + event_id * 7 % 256 + (event_id * 13 % 256) / 256::DOUBLE - 32768 END AS metres FROM events")
 def decode_elevation(spark: SparkSession, d: str) -> DataFrame:
     """Elevation from three bytes; null where transparent."""

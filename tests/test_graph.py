@@ -83,6 +83,42 @@ def test_simplify_keeps_corners():
     assert G.simplify(line, 0.1).tolist() == [[0, 0], [2, 0], [2, 2]]
 
 
+def test_simplified_paths_equal_one_by_one(spark):
+    random = np.random.default_rng(4)
+    lines = {k: np.cumsum(random.integers(-3, 4, (n, 2)), axis=0).astype(float) for k, n in enumerate((1, 2, 3, 40, 90, 200))}
+    lines[6] = np.array([[0, 0], [5, 0], [5, 5], [0, 5], [0, 0]], float)  # closed
+    lines[7] = np.zeros((6, 2))
+    table = spark.createDataFrame([(k, i, float(x), float(y)) for k, line in lines.items() for i, (x, y) in enumerate(line)], "k int, i int, x double, y double")
+    for tolerance in (0.5, 3.0, 0.0):
+        got = {}
+        for r in sorted(paths.simplified(table, "k", tolerance).collect(), key=lambda r: r.i):
+            got.setdefault(r.k, []).append([r.x, r.y])
+        assert {k: v for k, v in got.items() if k < 7} == {k: G.simplify(v, tolerance).tolist() for k, v in lines.items() if k < 7}
+        assert got[7] == [[0.0, 0.0]] * (2 if tolerance else 6)
+
+
+def test_collinear_points_by_the_last_kept_one(spark):
+    def fold(line, eps=1e-6):
+        kept, (ax, ay) = [0], line[0]
+        for i in range(1, len(line) - 1):
+            (bx, by), (cx, cy) = line[i], line[i + 1]
+            ux, uy, vx, vy = bx - ax, by - ay, cx - bx, cy - by
+            if not (abs(ux * vy - uy * vx) <= eps and ux * vx + uy * vy > 0):
+                kept.append(i)
+                ax, ay = bx, by
+        return kept + [len(line) - 1] * (len(line) > 1)
+
+    random = np.random.default_rng(5)
+    lines = {k: np.cumsum(random.integers(0, 2, (60, 2)), axis=0).astype(float).tolist() for k in range(5)}
+    lines[5] = [[float(i), 4e-7 * i * i / 2] for i in range(40)]  # bends by less than the tolerance at each point
+    lines[6], lines[7] = [[1.0, 2.0]], [[0.0, 0.0], [1.0, 1.0]]
+    table = spark.createDataFrame([(k, i, x, y) for k, line in lines.items() for i, (x, y) in enumerate(line)], "k int, i int, x double, y double")
+    got = {}
+    for r in sorted(paths.without_collinear(table, "k").collect(), key=lambda r: r.i):
+        got.setdefault(r.k, []).append(r.i)
+    assert got == {k: fold(line) for k, line in lines.items()}
+
+
 def test_chamfer_closed_form_equals_two_passes(spark):
     random = np.random.default_rng(3)
     mask = random.random((12, 9)) < 0.06
