@@ -56,16 +56,17 @@ def _with_least(rows: DataFrame, least: DataFrame) -> DataFrame:
     return rows.withColumn("part", F.pmod("v", F.lit(SALTS).cast("long"))).join(salted, ["u", "part"]).drop("part")
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, rounds: int = 60, reduce: bool = True) -> DataFrame:
     """(node, root) for every node of ``links`` (two long columns); root is the smallest node of its component.
 
     Nulls and links of a node to itself are ignored, repeated links are one, and
     an empty table gives no rows. The number of rounds grows with the logarithm of
-    the nodes; more than ``rounds`` of them are an error.
+    the nodes; more than ``rounds`` of them are an error. ``reduce``: union-find within
+    tasks first, which links from groups that are forests already do without.
     """
     a, b = links.columns
     edges = links.where(f"{a} is not null and {b} is not null and {a} != {b}").select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-    edges = durable(edges.mapInArrow(_forest, "u long, v long").distinct())
+    edges = durable((edges.mapInArrow(_forest, "u long, v long") if reduce else edges).distinct())
     for _ in range(rounds):
         # settled: every node has one link, and none leads on
         ends = edges.select("u", F.lit(1).alias("out")).union(edges.select("v", F.lit(0)).distinct())

@@ -62,7 +62,7 @@ BLOCK, PIVOTS = 1500, 16
 CHUNK = 500
 #: No line's hash, in a map of them.
 NONE = -(1 << 63)
-SLICE = 1 << 21
+SLICE = 1 << 20
 
 
 def _line_hash(line: str) -> int:
@@ -484,7 +484,7 @@ def families(shared: DataFrame, marks: DataFrame, parts: int) -> DataFrame:
         split = _met(rows, hot, "key").withColumn("key", F.explode(F.array(*pieces)))
         rows = _met(rows, hot, "key", "left_anti").union(split)
     rows = rows.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(4 * parts)))
-    return components(rows.groupBy("part").applyInArrow(close, "a long, b long"))
+    return components(rows.groupBy("part").applyInArrow(close, "a long, b long"), reduce=False)
 
 
 def _met(rows: DataFrame, known: DataFrame, key: str, how: str = "inner") -> DataFrame:
@@ -590,7 +590,7 @@ def line_components(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     shared = durable(members(docs, parts))
     family = durable(families(shared, sketches_of(docs, shared), parts))
     texts = durable(texts_of(docs, family.select(F.col("node").alias("line"))))
-    return components(verified(family, texts, parts, similarity))
+    return components(verified(family, texts, parts, similarity), reduce=False)
 
 
 def deduplicate(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
