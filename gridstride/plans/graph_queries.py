@@ -76,6 +76,57 @@ def region_statistics(spark: SparkSession, d: str) -> DataFrame:
     return rounded(out.withColumn("label", F.col("label").cast("long")), "cx", "cy")
 
 
+#: Fixed by the query: cells of 30 m (3 pixels of 10 m), windows of 900 m to each side; so stops snap to 5 cells (9 on rivers), elements to 2, every 4th shore cell is sampled, macro cells have 5 a side.
+PLACED = """kinds AS MATERIALIZED (SELECT 0 AS k, req, y, x FROM masks WHERE green = 1 UNION ALL SELECT 1, req, y, x FROM masks WHERE v > 0.02 AND v <= 0.15),
+spot AS MATERIALIZED (SELECT ((k * 1000000 + req) * 64 + y) * 64 + x AS id, * FROM kinds),
+side AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM spot a, (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) o(dy, dx) JOIN spot b ON b.k = a.k AND b.req = a.req AND b.y = a.y + dy AND b.x = a.x + dx),
+lab(id, l) USING KEY (id) AS (SELECT id, id FROM spot UNION SELECT side.b, min(lab.l) FROM lab JOIN side ON side.a = lab.id JOIN recurring.lab r ON r.id = side.b WHERE lab.l < r.l GROUP BY side.b),
+deep AS (SELECT a.id, least(min(greatest(abs(a.y - b.y), abs(a.x - b.x)) * 3 + least(abs(a.y - b.y), abs(a.x - b.x))), any_value(3 * least(a.y + 1, h - a.y, a.x + 1, 64 - a.x))) AS dist
+    FROM spot a JOIN (SELECT req, max(y) + 1 AS h FROM grid GROUP BY req) USING (req) LEFT JOIN masks b ON b.req = a.req AND NOT CASE a.k WHEN 0 THEN b.green = 1 ELSE b.v > 0.02 AND b.v <= 0.15 END GROUP BY a.id),
+region AS (SELECT k, req, l, count(*) AS n, avg(x) AS cx, avg(y) AS cy, arg_max(id, {'d': dist, 'i': -id}) AS pole FROM spot JOIN lab USING (id) JOIN deep USING (id) GROUP BY k, req, l),
+named AS (SELECT *, dense_rank() OVER (PARTITION BY k, req ORDER BY l) AS label FROM region WHERE n > k),
+shore AS (SELECT req, y, x, row_number() OVER (PARTITION BY req ORDER BY y, x) - 1 AS n FROM masks m WHERE water = 0 AND EXISTS (FROM masks w, (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) o(dy, dx) WHERE w.req = m.req AND w.y = m.y + dy AND w.x = m.x + dx AND w.water = 1)),
+el AS (SELECT event_id AS n, event_id % (SELECT max(req) + 1 FROM grid) AS req, event_id * 37 % 192 / 3::DOUBLE - 0.5::DOUBLE AS cx, event_id * 91 % 192 / 3::DOUBLE - 0.5::DOUBLE AS cy,
+    CASE event_id % 3 WHEN 0 THEN 'icon' WHEN 1 THEN 'building' ELSE 'nature' END AS kind, CASE event_id % 4 WHEN 0 THEN 'cafe' WHEN 1 THEN 'water' ELSE 'green' END AS category, event_type AS label FROM events WHERE event_id % 30 >= 10),
+point AS (SELECT 0 AS p, req, n, cx, cy, 2 AS most FROM el UNION ALL SELECT 1, req, label, pole % 64, pole // 64 % 64, 5 FROM named WHERE k = 0
+    UNION ALL SELECT 2, req, y * 64 + x, x, y, CASE WHEN req % 2 = 1 THEN 9 ELSE 5 END FROM shore WHERE n % 4 = 0
+    UNION ALL SELECT 3, req, label, pole % 64, pole // 64 % 64, 5 FROM named WHERE k = 1 UNION ALL SELECT 4, req, label, cx, cy, 5 FROM named WHERE k = 1),
+met AS (SELECT p, point.req, n, cx, cy, y, x, greatest(abs(x - floor(cx + 0.5::DOUBLE)), abs(y - floor(cy + 0.5::DOUBLE))) AS ring, pow(x - cx, 2) + pow(y - cy, 2) AS d, floor(cy + 0.5::DOUBLE) AS hy
+    FROM point JOIN masks m ON m.req = point.req AND walk = 1 AND greatest(abs(x - floor(cx + 0.5::DOUBLE)), abs(y - floor(cy + 0.5::DOUBLE))) <= most),
+snap AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY p, req, n ORDER BY ring, d, abs(y - hy) <> ring, CASE WHEN abs(y - hy) = ring THEN x ELSE y END, CASE WHEN abs(y - hy) = ring THEN y ELSE x END) AS r FROM met) WHERE r = 1),
+best AS (SELECT req, arg_max(y, {'v': v, 'y': -y, 'x': -x}) AS y, arg_max(x, {'v': v, 'y': -y, 'x': -x}) AS x FROM masks WHERE walk = 1 GROUP BY req, y // 5, x // 5),
+put AS (SELECT 0 AS p, s.req, s.n, y, x, CASE WHEN kind = 'icon' THEN 'icon' WHEN kind = 'building' THEN 'built' WHEN category = 'water' THEN 'shore' ELSE 'green' END AS kind, category, label FROM snap s JOIN el ON el.n = s.n AND p = 0 WHERE sqrt(d) * 30 <= 60
+    UNION ALL SELECT p, req, n, y, x, CASE p WHEN 1 THEN 'green' WHEN 2 THEN 'shore' ELSE 'built' END, NULL, NULL FROM snap s WHERE p IN (1, 2, 3) OR p = 4 AND NOT EXISTS (FROM snap f WHERE f.p = 3 AND f.req = s.req AND f.n = s.n)
+    UNION ALL SELECT 5, req, y * 64 + x, y, x, 'road', NULL, NULL FROM best),
+seen(id) AS (SELECT min(id) FROM open GROUP BY req UNION SELECT edges.b FROM seen JOIN edges ON edges.a = seen.id)"""
+
+
+@query("WITH RECURSIVE " + ", ".join([V.GRIDS, V.MASKS, EDGES, PLACED]) + """ SELECT req, y, x, kind, category, label FROM (SELECT *, row_number() OVER (PARTITION BY req, y, x ORDER BY least(p, 4) + (p = 5)::INT, n) AS r FROM put)
+WHERE r = 1 AND (req * 64 + y) * 64 + x IN (FROM seen)""")
+def generated_stops(spark: SparkSession, d: str) -> DataFrame:
+    """Where stops may be: elements, green poles, shore samples, built poles or middles, and roads of macro cells, snapped to open cells that the first one reaches."""
+    masks = V.masks(V.grids(spark, d)).withColumn("built", ((F.col("v") > 0.02) & (F.col("v") <= 0.15)).cast("int"))
+    size = masks.groupBy("req").agg((F.max("y") + 1).alias("gh"))
+    masks = G.durable(masks.join(size, "req"))
+    requests = size.select("req", F.lit(30.0).alias("cell_m"), F.lit(10.0).alias("mpp"), F.lit(900.0).alias("half_m"), F.when(F.col("req") % 2 == 1, F.array(F.lit("river"))).otherwise(F.array(F.lit("nature"))).alias("tags"))
+    places = []
+    for mask, least in (("green", 1), ("built", 2)):
+        named = G.components(masks.where(F.col(mask) == 1).select("req", "y", "x"), 64, least)
+        places.append(G.durable(G.regions(named, 30.0, G.depth(masks, mask, F.col("gh"), 64))))
+    cells = masks.select("req", "y", "x", F.col("walk").alias("passable"), F.col("water").alias("wet"), F.col("v").alias("road"), F.lit(30.0).alias("cell_m"))
+    e = F.col("event_id")
+    many = masks.agg((F.max("req") + 1).alias("many"))  # one row
+    elements = V.load(spark, d, "events").crossJoin(F.broadcast(many)).select(
+        (e % F.col("many")).alias("req"), e.alias("n"), F.when(e % 3 == 0, "icon").when(e % 3 == 1, "building").otherwise("nature").alias("kind"), F.when(e % 4 == 0, "cafe").when(e % 4 == 1, "water").otherwise("green").alias("category"),
+        F.col("event_type").alias("label"), (e * 37 % 192).cast("double").alias("x"), (e * 91 % 192).cast("double").alias("y"), F.when(e % 30 >= 10, 0.9).otherwise(0.5).alias("confidence"),
+    )
+    ground = course.Ground(requests, cells, None, places, 64, 30.0)
+    open_ = cells.where("passable = 1").select("req", "y", "x")
+    first = open_.groupBy("req").agg(F.min(F.struct("y", "x")).alias("c")).select("req", "c.y", "c.x")
+    reached = G.distances(open_, first).select("req", "y", "x")
+    return course.generated(ground, elements).join(reached, ["req", "y", "x"], "left_semi").select("req", "y", "x", "kind", "category", "label")
+
+
 _M = "4294967295"
 _MUL = lambda a, b: f"((({a}) * {b}::UHUGEINT) & {_M})"
 _MIX = ", ".join(f"(SELECT xor(u, u >> 15) FROM (SELECT {_MUL('xor(t, t >> 15)', 0x735A2D97)} AS u FROM (SELECT {_MUL('xor(a, a >> 16)', 0x21F0AAAD)} AS t FROM (SELECT ((seed + {k * 0x9E3779B9 & 0xFFFFFFFF}) & {_M})::UHUGEINT AS a)))) AS {n}" for k, n in enumerate("abcd", 1))

@@ -146,12 +146,12 @@ def turn_fallback(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(with_(V.CANDIDATES) + """SELECT cell, kind FROM (SELECT cell, kind, row_number() OVER (PARTITION BY cell ORDER BY p) AS n FROM (
-    SELECT cell % 5000 AS cell, kind, 0 AS p FROM cand WHERE kind = 'icon' AND cell < 5000 UNION ALL SELECT cell, kind, 1 FROM cand WHERE kind = 'green' UNION ALL
+    SELECT cell % 5000 AS cell, kind, 0 AS p FROM cand WHERE kind = 'icon' UNION ALL SELECT cell, kind, 1 FROM cand WHERE kind = 'green' UNION ALL
     SELECT DISTINCT cell - cell % 3, 'shore', 2 FROM cand WHERE kind = 'shore' UNION ALL SELECT DISTINCT cell - cell % 5, 'built', 3 FROM cand WHERE kind = 'built')) WHERE n = 1""")
 def first_generator_wins(spark: SparkSession, d: str) -> DataFrame:
     """Candidate generators in priority order, one row per cell."""
     cand = V.candidates(spark, d).select("cell", "kind")
-    parts = [cand.where("kind = 'icon' and cell < 5000").withColumn("cell", F.col("cell") % 5000), cand.where("kind = 'green'")]
+    parts = [cand.where("kind = 'icon'").withColumn("cell", F.col("cell") % 5000), cand.where("kind = 'green'")]
     parts += [cand.where(F.col("kind") == k).select((F.col("cell") - F.col("cell") % m).alias("cell"), "kind").distinct() for k, m in (("shore", 3), ("built", 5))]
     return C.first_wins(parts)
 
