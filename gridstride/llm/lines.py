@@ -43,8 +43,8 @@ LONG, SHORT, COUNT = 112, 160, 512
 SAME = 43
 #: At most WIDTH - SAME bytes of alike sketches differ, so one piece of so many is equal.
 PIECES = WIDTH - SAME + 1
-#: Up to so many sketches are compared without pieces, and up to so many of an equal piece all at once.
-FEW, FEW_EQUAL = 200, 32
+#: Up to so many sketches are compared all with all, up to so many without pieces, and up to so many of an equal piece all at once.
+SMALL, FEW, FEW_EQUAL = 24, 200, 32
 #: A key of more lines is split by the pieces of their sketches.
 HOT = 20_000
 #: A task names the lines of a key itself if it has so many, and asks about one of them alone.
@@ -188,8 +188,8 @@ def alike(sketch: np.ndarray, others: np.ndarray) -> np.ndarray:
 
 def forest(n: int, near: Callable[[int, np.ndarray], np.ndarray], label: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links that join what ``near`` links: for each item it is asked only about later items that are not joined yet. Items of one ``label`` are joined from the start."""
-    label, links = np.arange(n) if label is None else label.copy(), []
-    left = len(np.unique(label)) - 1
+    label_given, label, links = label, np.arange(n) if label is None else label.copy(), []
+    left = (n if label_given is None else len(np.unique(label))) - 1
     for i in range(n - 1):
         if not left:
             break
@@ -216,6 +216,18 @@ def joined(own: np.ndarray) -> list[tuple[int, int]]:
     Equal sketches are one. Of alike sketches at least one of ``PIECES`` pieces is equal, since fewer
     bytes differ than there are pieces; so only those with an equal piece meet, and unlike ones seldom do.
     """
+    if len(own) <= SMALL:
+        near, apart, links = (own[:, None] == own[None]).sum(2) >= SAME, np.ones(len(own), bool), []
+        for start in range(len(own)):
+            todo = [start] if apart[start] else []
+            apart[start] = False
+            while todo and apart.any():
+                i = todo.pop()
+                found = np.flatnonzero(near[i] & apart).tolist()
+                apart[found] = False
+                links += [(i, j) for j in found]
+                todo += found
+        return links
     _, first, same = np.unique(np.ascontiguousarray(own).view(f"V{WIDTH}").ravel(), return_index=True, return_inverse=True)
     links = [(int(first[k]), i) for i, k in enumerate(same.tolist()) if first[k] != i]
     if len(first) <= FEW:
