@@ -58,3 +58,23 @@ def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
     assert corpus_pipeline.run(spark, folder).count() == 0
+
+
+def test_null_and_repeated_ids(spark, tmp_path):
+    """Rows without an id, and rows that share one, pass all stages as rows of their own; rows that are wholly the same give one document."""
+    folder, r = str(tmp_path), random.Random(3)
+    words = {"xx": ["kamiro", "tuka", "romi", "karo", "mitu"], "yy": ["schein", "ungder", "einsch", "derung", "undein"]}
+    text = lambda lang: "\n".join(" ".join(r.choice(words[lang]) + r.choice("abcdefgh") + r.choice(words[lang]) for _ in range(30)) for _ in range(3))
+    rows = [(i, text("xx" if i % 2 else "yy"), "xx" if i % 2 else "yy", "s", 9) for i in range(40)]
+    rows += [(None, text("xx"), "xx", None, None), (None, text("yy"), None, None, None), (7, text("xx"), "xx", "s", 9), (7, rows[7][1], "xx", "s", 9), (None, None, None, None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(None, None), (1, "")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    library = Tokenizer.from_str(tokenizer_file("word_bpe_49k.json"))
+    size = lambda t: len(library.encode(t, add_special_tokens=False).ids) + 1
+    want: dict = {}
+    for i, t, *_ in [x for x in rows[:43] if x[1]]:
+        want[i] = want.get(i, 0) + size(t)
+    got: dict = {}
+    for p in corpus_pipeline.run(spark, folder).collect():
+        got[p.doc_id] = got.get(p.doc_id, 0) + p.length
+    assert got == want
