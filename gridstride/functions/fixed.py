@@ -77,3 +77,18 @@ def target_metres(minutes: float) -> float:
 #: What a stop without a label is called, by the kind of its candidate, and else.
 PLACE_LABELS = {"green": "녹지 주변", "shore": "물가 주변", "built": "건물 주변"}
 PLACE_LABEL = "산책 경유지"
+
+#: The words and sentences of a course's card.
+SENTENCES = {
+    "walk": " 산책", "today": "오늘의 산책", "hard": "어려움", "medium": "보통", "easy": "쉬움", "green": "녹지 ", "places": "곳", "water": "강변 ", "metres": "m",
+    "mood": " 분위기에 맞춰 주변 길을 이어 만든 ",
+    "loop": "km 순환 코스예요.",
+    "passes": " 구간을 지나요.",
+    "climb": "오르막은 약 ",
+    "climbed": "m예요.",
+    "returns": "가까운 길에서 출발해 같은 지점으로 돌아와요.",
+    "start": "출발점은 현재 위치에서 약 ",
+    "away": "m 떨어진 길 위에 있어요.",
+    "unread": "아이콘과 장소명 확인 없이 지도에 보이는 지형과 길로 구성했어요.",
+    "guessed": "분위기는 지도 형태로 추정하며 소음이나 조명 상태는 확인하지 못해요.",
+}

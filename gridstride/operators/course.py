@@ -293,24 +293,25 @@ def card(rows: DataFrame) -> DataFrame:
 
     Columns read: tags, length_m, minutes, ascent_m, green_regions, water_edge_m, start_offset_m, analysed.
     """
+    say = fixed.SENTENCES
     labels = F.create_map(*[F.lit(v) for kv in fixed.TAG_LABELS.items() for v in kv])
     named = F.filter(F.transform("tags", lambda t: F.try_element_at(labels, t)), lambda t: t.isNotNull())
     km = F.col("length_m") / 1000
     rows = rows.withColumn("labels", named)
-    title = F.when(F.size("labels") > 0, F.concat(F.array_join(F.slice("labels", 1, 2), " "), F.lit(" 산책"))).otherwise("오늘의 산책")
+    title = F.when(F.size("labels") > 0, F.concat(F.array_join(F.slice("labels", 1, 2), " "), F.lit(say["walk"]))).otherwise(say["today"])
     minutes = F.greatest(F.lit(5).cast("long"), half_up(km / fixed.WALK_KMH * 60 / 5) * 5)
-    guess = F.when(F.array_contains("tags", "hill") | (F.col("minutes") >= 120), "보통").otherwise("쉬움")
-    difficulty = F.when(F.col("ascent_m").isNull(), guess).when(F.col("ascent_m") >= 60, "어려움").when(F.col("ascent_m") >= 25, "보통").otherwise("쉬움")
+    guess = F.when(F.array_contains("tags", "hill") | (F.col("minutes") >= 120), say["medium"]).otherwise(say["easy"])
+    difficulty = F.when(F.col("ascent_m").isNull(), guess).when(F.col("ascent_m") >= 60, say["hard"]).when(F.col("ascent_m") >= 25, say["medium"]).otherwise(say["easy"])
     whole = lambda c: c.cast("long").cast("string")
-    green = F.when(F.col("green_regions") > 0, F.concat(F.lit("녹지 "), whole(F.col("green_regions")), F.lit("곳")))
-    water = F.when(F.col("water_edge_m") >= 50, F.concat(F.lit("강변 "), whole(half_up(F.col("water_edge_m") / 10) * 10), F.lit("m")))
+    green = F.when(F.col("green_regions") > 0, F.concat(F.lit(say["green"]), whole(F.col("green_regions")), F.lit(say["places"])))
+    water = F.when(F.col("water_edge_m") >= 50, F.concat(F.lit(say["water"]), whole(half_up(F.col("water_edge_m") / 10) * 10), F.lit(say["metres"])))
     tenths = F.format_string("%.1f", half_up(km * 10) / 10)
     facts = F.concat_ws(", ", green, water)
     text = F.concat_ws(
-        " ", F.concat(F.array_join("labels", ", "), F.lit(" 분위기에 맞춰 주변 길을 이어 만든 "), tenths, F.lit("km 순환 코스예요.")), F.when(facts != "", F.concat(facts, F.lit(" 구간을 지나요."))),
-        F.when(F.col("ascent_m").isNotNull(), F.concat(F.lit("오르막은 약 "), whole(half_up(F.col("ascent_m"))), F.lit("m예요."))), F.lit("가까운 길에서 출발해 같은 지점으로 돌아와요."),
+        " ", F.concat(F.array_join("labels", ", "), F.lit(say["mood"]), tenths, F.lit(say["loop"])), F.when(facts != "", F.concat(facts, F.lit(say["passes"]))),
+        F.when(F.col("ascent_m").isNotNull(), F.concat(F.lit(say["climb"]), whole(half_up(F.col("ascent_m"))), F.lit(say["climbed"]))), F.lit(say["returns"]),
     )
-    offset = F.when(F.col("start_offset_m") > 10, F.concat(F.lit("출발점은 현재 위치에서 약 "), whole(half_up(F.col("start_offset_m"))), F.lit("m 떨어진 길 위에 있어요.")))
-    unread = F.when(~F.col("analysed"), "아이콘과 장소명 확인 없이 지도에 보이는 지형과 길로 구성했어요.")
-    mood = F.when(F.arrays_overlap("tags", F.array(*map(F.lit, ("quiet", "lively", "night")))), "분위기는 지도 형태로 추정하며 소음이나 조명 상태는 확인하지 못해요.")
+    offset = F.when(F.col("start_offset_m") > 10, F.concat(F.lit(say["start"]), whole(half_up(F.col("start_offset_m"))), F.lit(say["away"])))
+    unread = F.when(~F.col("analysed"), say["unread"])
+    mood = F.when(F.arrays_overlap("tags", F.array(*map(F.lit, ("quiet", "lively", "night")))), say["guessed"])
     return rows.select("*", title.alias("title"), minutes.alias("duration"), difficulty.alias("difficulty"), text.alias("description"), F.nullif(F.concat_ws(" ", offset, unread, mood), F.lit("")).alias("notice")).drop("labels")
