@@ -440,6 +440,8 @@ CONTRACT = {
     "op4": "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean", "op5": "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint",
     "op6": "page_id bigint, url string, text string, n_chars bigint", "op7": "query_id bigint, rank int, vec_id bigint, score bigint", "op8": "doc_id bigint, n_lines bigint, n_removed bigint, kept_sha256 string",
     "op9": "doc_id bigint, fingerprint string, component_id bigint", "op10": "doc_id bigint, item_id bigint, distance int",
+    "op11": "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string", "op12": "doc_id bigint, n_runs bigint, start bigint, length bigint, period bigint, exponent_milli bigint, runs_sha256 string, collapsed_sha256 string",
+    "op13": "word string, form string, root string, n bigint, n_near bigint, form_n bigint",
 }
 
 
@@ -451,7 +453,7 @@ def test_columns_of_queries(name, spark, sf_dir):
         column, kind = column.split()
         assert kinds[column] == kind, (column, kinds)
     docs, pages = (spark.read.parquet(f"{sf_dir}/{t}.parquet").count() for t in ("documents", "pages"))
-    if name.split("_")[0] in ("op1", "op2", "op3", "op4", "op8", "op9"):
+    if name.split("_")[0] in ("op1", "op2", "op3", "op4", "op8", "op9", "op11", "op12"):
         assert rows == docs
     assert name != "op6_main_text" or rows == pages
     assert rows > 0
