@@ -37,7 +37,7 @@ class Merges:
         self.inner = np.array([vocab[s] for s in self.symbols], np.int64)
         self.last = np.array([vocab[s + suffix] for s in self.symbols], np.int64)
         self.made = np.array([vocab[a + b] for a, b in pairs], np.int64)
-        self.bits = 20
+        self.bits = 18
         self.keys = np.full(1 << self.bits, -1, np.int64)
         self.ranks = np.full(1 << self.bits, NONE, np.int32)
         for rank, (a, b) in enumerate(pairs):

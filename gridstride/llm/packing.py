@@ -15,24 +15,27 @@
 from __future__ import annotations
 
 import json
-import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridstride.llm.bpe import LONGEST, Merges
 from gridstride.llm.common import durable, partitions
 
-#: Fixed value: the pre-token pattern of the word vocabulary.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Characters for which the fast path equals the library: Latin scripts and common marks.
-PLAIN = regex.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-įĲ-ž‐-‧€]*").fullmatch
+#: Fixed value: the pre-token pattern of the word vocabulary, but for letters, of which runs are pre-tokens.
+NO_LETTERS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{N}|[^\s\p{L}\p{N}]+"
+#: Characters but those for which the fast path equals the library: Latin scripts and common marks.
+UNUSUAL = r"[^\t\n\r\x20-\x7e\x{a1}-\x{ac}\x{ae}-įĲ-ž‐-‧€]"
 MEMO = 150_000
+#: Places of nothing and of a text's end in the memo; pre-tokens that are left to the library have none.
+NONE, END, LEFT = 0, 1, -1
+#: Bytes of the texts that are encoded together.
+SLICE = 1 << 21
 WINDOW = 2048
 #: Least buckets of a length; more with more shuffle partitions.
 BUCKETS = 512
@@ -41,28 +44,24 @@ ROUNDS = 6
 
 
 class Encoder:
-    """Ids of whole texts, with a memo of white-space separated words."""
+    """Ids of whole texts, with a memo of pre-tokens."""
 
-    def __init__(self, spec: str):
-        self.spec, self.library = spec, None
-        self.merges, self.find = Merges(spec), regex.compile(PATTERN).findall
+    def __init__(self, spec: str, merges: Merges, end_id: int):
+        self.spec, self.merges, self.end_id, self.library = spec, merges, end_id, None
         self.specials = [t["content"] for t in json.loads(spec)["added_tokens"]]
         self._clear()
 
     def _clear(self) -> None:
-        self.memo: dict[str, int] = {}
-        self.sizes = np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
-
-    def _learn(self, words: list[str]) -> None:
-        found = [self.find(w) for w in words]
-        flat = [p.encode() for ps in found for p in ps]
-        ids, sizes = self.merges.encode(flat)
-        counts = np.fromiter(map(len, found), np.int64, len(found))
-        pieces = np.concatenate(([0], np.cumsum(sizes)))
-        ends = pieces[np.cumsum(counts)]
-        self.memo.update(zip(words, range(len(self.memo), len(self.memo) + len(words)), strict=True))
-        self.sizes = np.concatenate((self.sizes, np.diff(np.concatenate(([0], ends)))))
+        self.memo: dict[str, int] = {"": NONE}
+        self.starts = np.array([0, 0, 1])  # in ids, of the memo's places: of nothing, and of the end
+        self.ids = np.array([self.end_id], np.uint32)
+
+    def _learn(self, new: list[str]) -> None:
+        if not new:
+            return
+        ids, sizes = self.merges.encode([p.encode() for p in new])
+        self.memo.update(zip(new, range(len(self.starts) - 1, len(self.starts) - 1 + len(new)), strict=True))
+        self.starts = np.concatenate((self.starts, self.starts[-1] + np.cumsum(sizes)))
         self.ids = np.concatenate((self.ids, ids))
 
     def _by_library(self, text: str) -> np.ndarray:
@@ -72,48 +71,67 @@ class Encoder:
             self.library = Tokenizer.from_str(self.spec)
         return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text, without special tokens."""
-        split: list[list[str] | None] = []
-        for t in texts:
-            plain = PLAIN(t) and not any(s in t for s in self.specials)
-            words = unicodedata.normalize("NFC", t).lower().split() if plain else None
-            if words and max(map(len, words)) > LONGEST // 4:
-                words = None  # left to the library
-            split.append(words)
-        new = set().union(*(w for w in split if w)) if split else set()
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, without special tokens but each with the end id behind, and where those of each text end. Null counts as empty."""
+        texts = pc.fill_null(texts, "")
+        other = pc.match_substring_regex(texts, UNUSUAL)
+        for s in self.specials:
+            other = pc.or_(other, pc.match_substring(texts, s))
+        plain = pc.utf8_lower(pc.if_else(other, "", texts))  # in NFC, as all that UNUSUAL lets through
+        split = pc.ascii_split_whitespace(pc.replace_substring_regex(plain, NO_LETTERS, r" \0 "))
+        counts, found = np.diff(split.offsets.to_numpy()), split.flatten().dictionary_encode()
+        distinct = found.dictionary.to_numpy(zero_copy_only=False).tolist()  # quicker than to_pylist
         if len(self.memo) > MEMO:
             self._clear()
-        self._learn(list(new - self.memo.keys()))
-        starts = np.cumsum(self.sizes) - self.sizes
-        out, get = [], self.memo.__getitem__
-        for t, words in zip(texts, split, strict=True):
-            if words is None:
-                out.append(self._by_library(t))
-                continue
-            at = np.fromiter(map(get, words), np.int64, len(words))
-            sizes = self.sizes[at]
-            ends = np.cumsum(sizes)
-            place = np.repeat(starts[at] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
-            out.append(self.ids[place])
-        return out
+        self._learn([p for p in distinct if p not in self.memo and len(p) <= LONGEST // 4])
+        get = self.memo.get
+        at = np.array([get(p, LEFT) for p in distinct], np.int64)[found.indices.to_numpy()]
+        other = other.to_numpy(zero_copy_only=False)
+        if other.any() or (at == LEFT).any():
+            owner = np.repeat(np.arange(len(texts)), counts)
+            other = other | (np.bincount(owner[at == LEFT], minlength=len(texts)) > 0)
+            at[other[owner]] = NONE
+        last = np.cumsum(counts + 1) - 1  # each text's end, among its pre-tokens and those before
+        places = np.full(len(at) + len(texts), END)
+        places[np.delete(np.arange(len(places)), last)] = at
+        taken = pa.ListArray.from_arrays(pa.array(self.starts, pa.int32()), pa.array(self.ids)).take(pa.array(places))
+        ids, ends = taken.flatten().to_numpy(), taken.offsets.to_numpy()[last + 1].astype(np.int64)
+        by_library = np.flatnonzero(other)
+        if len(by_library):
+            more = np.zeros(len(texts), np.int64)
+            rest = [self._by_library(texts[i].as_py()) for i in by_library.tolist()]
+            more[by_library] = [len(x) for x in rest]
+            ids, ends = np.insert(ids, np.repeat(ends - 1, more), np.concatenate(rest)), ends + np.cumsum(more)
+        return ids, ends
+
+
+def slices(batch: pa.RecordBatch, column: int, size: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch in their order, so many together that their texts are about ``size`` bytes."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64)
+    cuts = [0, *(1 + np.flatnonzero(np.diff(np.cumsum(lengths) // size))).tolist(), batch.num_rows]
+    for lo, hi in zip(cuts, cuts[1:], strict=False):
+        if hi > lo:
+            yield batch.slice(lo, hi - lo)
 
 
 def pieces(docs: DataFrame, spec: str, end_id: int = 1, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per piece: id, start, length, ids_crc32, doc_tokens. Null text counts as empty."""
-    shared = docs.sparkSession.sparkContext.broadcast(spec)  # a tokenizer's file
+    shared = docs.sparkSession.sparkContext.broadcast((spec, Merges(spec)))  # a tokenizer's file, and its merges as tables
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
+        encoder = Encoder(*shared.value, end_id)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 400):
-                part = batch.slice(lo, 400)
-                rows = []
-                for row, ids in enumerate(encoder.encode([t or "" for t in part.column(1).to_pylist()])):
-                    ids = np.append(ids, np.uint32(end_id)).astype("<u4")
-                    rows += [(row, s, min(window, len(ids) - s), zlib.crc32(ids[s : s + window].tobytes()), len(ids)) for s in range(0, len(ids), window)]
-                row, *rest = (pa.array(c, pa.int64()) for c in zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(row), *rest], names=["id", "start", "length", "ids_crc32", "doc_tokens"])
+            for part in slices(batch, 1):
+                ids, ends = encoder.encode(part.column(1))
+                ids, sizes = np.ascontiguousarray(ids, "<u4"), np.diff(ends, prepend=0)
+                n = -(-sizes // window)
+                row = np.repeat(np.arange(len(n)), n)
+                start = window * (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n))
+                length = np.minimum(window, sizes[row] - start)
+                at = (ends - sizes)[row] + start
+                sums = [zlib.crc32(ids[a:b]) for a, b in zip(at.tolist(), (at + length).tolist(), strict=True)]
+                columns = [pa.array(c, pa.int64()) for c in (start, length, sums, sizes[row])]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), *columns], names=["id", "start", "length", "ids_crc32", "doc_tokens"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
