@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridstride.llm.common import durable, fresh, partitions
+from gridstride.llm.common import durable, fresh, partitions, released, released_group, slices
 from gridstride.llm.components import components
 from gridstride.llm.substring import _mix, _planes, _values
 
@@ -334,21 +334,25 @@ def links_within(lines: list[str], similarity: float = SIMILARITY, classes: np.n
     return links
 
 
-def _distinct_lines(texts: list[str | None]) -> dict[int, str]:
-    return {_line_hash(x): x for x in {x for t in texts for x in lines_of(t) if x and not x.isspace()}}
+def _split(texts: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
+    """How many lines each text has, null none, and all lines, by their places among distinct ones."""
+    split = pc.split_pattern(texts, "\n")
+    return np.diff(split.offsets.to_numpy()), split.flatten().dictionary_encode()
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[list[str | None]]:
-    """The texts of the first column, in lists of bounded size."""
+def _texts(lines: pa.Array) -> list[str]:
+    return lines.to_numpy(zero_copy_only=False).tolist()  # quicker than to_pylist
+
+
+def _distinct_lines(texts: pa.Array) -> dict[int, str]:
+    return {_line_hash(x): x for x in _texts(_split(texts)[1].dictionary) if x and not x.isspace()}
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Array]:
+    """The texts of the first column, in arrays of bounded size."""
     for batch in batches:
-        part, size = [], 0
-        for t in batch.column(0):
-            part.append(t.as_py())
-            size += len(part[-1] or "")
-            if size > SLICE:
-                yield part
-                part, size = [], 0
-        yield part
+        for part in slices(batch, 0, SLICE):
+            yield part.column(0)
 
 
 def _pairs(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -365,6 +369,7 @@ def members(docs: DataFrame, parts: int) -> DataFrame:
     """
     edges = np.array([(1 << 64) * k // parts for k in range(1, parts)], np.uint64)
 
+    @released
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def packed(keys: np.ndarray, lines: np.ndarray) -> pa.RecordBatch:
             order = np.argsort(keys, kind="stable")
@@ -397,6 +402,7 @@ def members(docs: DataFrame, parts: int) -> DataFrame:
         if size:
             yield packed(*map(np.concatenate, zip(*held, strict=True)))
 
+    @released_group
     def shared(group: pa.Table) -> pa.Table:
         sure, group = group.filter(group.column("sure")), group.filter(pc.invert(group.column("sure")))
         known, known_lines = _pairs(sure)
@@ -433,6 +439,7 @@ def _picked(docs: DataFrame, wanted: DataFrame, make: Callable[[list[str]], dict
     """``line`` and what ``make`` tells of the wanted lines, each once; a few others pass the bitmap and do no harm."""
     shared = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted))  # of fixed size
 
+    @released
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = shared.value
         for texts in _slices(batches):
@@ -472,6 +479,7 @@ def families(shared: DataFrame, marks: DataFrame, parts: int) -> DataFrame:
     a piece of their sketches in common are, which separates no alike pair.
     """
 
+    @released_group
     def close(group: pa.Table) -> pa.Table:
         keys, lines = group.column("key").to_numpy(), group.column("line").to_numpy()
         bits = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(len(lines), WIDTH)
@@ -521,6 +529,7 @@ def verified(family: DataFrame, texts: DataFrame, parts: int, similarity: float)
     family = durable(_met(family, many, "root", "left"))  # texts join what is left of numbers
     small = alone(family.where("count is null"))
 
+    @released_group
     def near(group: pa.Table) -> pa.Table:
         is_pivot = group.column("pivot")
         pivots, some = group.filter(is_pivot), group.filter(pc.invert(is_pivot))
@@ -579,6 +588,7 @@ def verified(family: DataFrame, texts: DataFrame, parts: int, similarity: float)
 def _checked(rows: DataFrame, parts: int, similarity: float) -> DataFrame:
     """(a, b): a spanning forest of the similar lines within each cell (root, i, j)."""
 
+    @released_group
     def check(group: pa.Table) -> pa.Table:
         group = group.sort_by([("root", "ascending"), ("i", "ascending"), ("j", "ascending"), ("line", "ascending")])
         lines, cell = group.column("line").to_numpy(), np.stack([group.column(c).to_numpy() for c in ("root", "i", "j")])
@@ -620,17 +630,17 @@ def deduplicate(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "
     kind = plain.schema["id"].dataType.simpleString()
     roots = line_components(plain, similarity)
 
+    @released
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, at, hashes = [], [], []
-            for row, text in enumerate(batch.column(2)):
-                for k, x in enumerate(lines_of(text.as_py())):
-                    if x and not x.isspace():
-                        rows.append(row)
-                        at.append(k)
-                        hashes.append(_line_hash(x))
-            where = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(where), batch.column(1).take(where), pa.array(at, pa.int64()), pa.array(hashes, pa.int64())], names=["id", "row", "at", "node"])
+            for part in slices(batch, 2, SLICE):
+                counts, found = _split(part.column(2))
+                distinct, of = _texts(found.dictionary), found.indices.to_numpy()
+                hashes = np.array([_line_hash(x) for x in distinct], np.int64)
+                use = np.array([bool(x) and not x.isspace() for x in distinct], bool)[of]
+                row = pa.array(np.repeat(np.arange(len(counts)), counts)[use])
+                at = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(row), part.column(1).take(row), pa.array(at[use]), pa.array(hashes[of[use]])], names=["id", "row", "at", "node"])
 
     row_key = F.xxhash64(F.lit("row"), F.col(id_col), F.col(text_col))
     place = durable(docs.select(F.col(id_col).alias("id"), row_key.alias("row"), F.col(text_col).alias("text")).mapInArrow(places, f"id {kind}, row long, at long, node long"))

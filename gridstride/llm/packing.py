@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridstride.llm.bpe import LONGEST, Merges
-from gridstride.llm.common import durable, partitions
+from gridstride.llm.common import durable, partitions, released, slices
 
 #: Fixed value: the pre-token pattern of the word vocabulary, but for letters, of which runs are pre-tokens.
 NO_LETTERS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{N}|[^\s\p{L}\p{N}]+"
@@ -34,8 +34,6 @@ UNUSUAL = r"[^\t\n\r\x20-\x7e\x{a1}-\x{ac}\x{ae}-įĲ-ž‐-‧€]"
 MEMO = 150_000
 #: Places of nothing and of a text's end in the memo; pre-tokens that are left to the library have none.
 NONE, END, LEFT = 0, 1, -1
-#: Bytes of the texts that are encoded together.
-SLICE = 1 << 21
 WINDOW = 2048
 #: Least buckets of a length; more with more shuffle partitions.
 BUCKETS = 512
@@ -105,19 +103,11 @@ class Encoder:
         return ids, ends
 
 
-def slices(batch: pa.RecordBatch, column: int, size: int = SLICE) -> Iterator[pa.RecordBatch]:
-    """Rows of a batch in their order, so many together that their texts are about ``size`` bytes."""
-    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64)
-    cuts = [0, *(1 + np.flatnonzero(np.diff(np.cumsum(lengths) // size))).tolist(), batch.num_rows]
-    for lo, hi in zip(cuts, cuts[1:], strict=False):
-        if hi > lo:
-            yield batch.slice(lo, hi - lo)
-
-
 def pieces(docs: DataFrame, spec: str, end_id: int = 1, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per piece: id, start, length, ids_crc32, doc_tokens. Null text counts as empty."""
     shared = docs.sparkSession.sparkContext.broadcast((spec, Merges(spec)))  # a tokenizer's file, and its merges as tables
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(*shared.value, end_id)
         for batch in batches:

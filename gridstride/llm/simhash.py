@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridstride.llm.common import durable, fresh
+from gridstride.llm.common import durable, fresh, released
 from gridstride.llm.components import components
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
@@ -67,6 +67,7 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
 def fingerprints(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp): the fingerprint as a signed long, one row per row."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = pa.array([_signed(fingerprint(t.as_py(), size)) for t in batch.column(1)], pa.int64())

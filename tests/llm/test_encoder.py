@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from gridstride.llm import packing
+from gridstride.llm import common, packing
 from gridstride.llm.bpe import Merges
 from gridstride.llm.queries import tokenizer_file
 
@@ -36,10 +36,10 @@ def test_encoder_equals_the_library(memo, monkeypatch):
 
 def test_slices_are_bounded_by_bytes():
     """Long texts are not encoded by hundreds at once."""
-    texts = [None, "", *["x" * 200_000] * 60, "y" * (5 * packing.SLICE), None, "z"]
+    texts = [None, "", *["x" * 200_000] * 60, "y" * (5 * common.SLICE), None, "z"]
     batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], names=["id", "text"])
-    parts = list(packing.slices(batch, 1))
+    parts = list(common.slices(batch, 1))
     assert [i for p in parts for i in p.column(0).to_pylist()] == list(range(len(texts)))
     sizes = [sorted(len(t or "") for t in p.column(1).to_pylist()) for p in parts]
-    assert all(sum(s[:-1]) <= packing.SLICE for s in sizes)  # and one text more
-    assert list(packing.slices(batch.slice(0, 0), 1)) == []
+    assert all(sum(s[:-1]) <= common.SLICE for s in sizes)  # and one text more
+    assert list(common.slices(batch.slice(0, 0), 1)) == []
