@@ -18,6 +18,8 @@ from gridstride.llm.common import durable
 
 #: Links that a task joins at once, and parts into which a node's links are dealt where they meet its least neighbour.
 CHUNK, SALTS = 200_000, 8
+#: Up to so many links of any node, they meet the least neighbour as one group.
+HUB = 1000
 
 
 def _reduced(links: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -69,13 +71,19 @@ def components(links: DataFrame, rounds: int = 60, reduce: bool = True) -> DataF
     edges = durable((edges.mapInArrow(_forest, "u long, v long") if reduce else edges).distinct())
     for _ in range(rounds):
         # settled: every node has one link, and none leads on
-        ends = edges.select("u", F.lit(1).alias("out")).union(edges.select("v", F.lit(0)).distinct())
-        if ends.groupBy("u").agg(F.sum("out").alias("out"), F.min("out").alias("low")).where("out > 1 or out = 1 and low = 0").isEmpty():
+        ends = edges.select("u", F.lit(1).alias("out")).union(edges.select("v", F.lit(0)))
+        nodes = ends.groupBy("u").agg(F.sum("out").alias("out"), F.min("out").alias("low"), F.count("*").alias("n"))
+        seen = nodes.agg(F.max(F.expr("out > 1 or out = 1 and low = 0")).alias("open"), F.max("n").alias("most")).first()
+        if not seen["open"]:
             roots = edges.select("v").distinct()
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots.select(F.col("v").alias("node"), F.col("v").alias("root")))
         both = edges.union(edges.select(F.col("v"), F.col("u")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = _with_least(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        if seen["most"] > HUB:
+            least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+            large = _with_least(both.where("v > u"), least)
+        else:
+            large = both.withColumn("m", F.least("u", F.min("v").over(Window.partitionBy("u")))).where("v > u")
+        large = large.select(F.col("v").alias("u"), F.col("m").alias("v"))
         # a node has few links to smaller ones now
         small = large.withColumn("m", F.min("v").over(Window.partitionBy("u")))
         small = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u != v").distinct()

@@ -18,7 +18,7 @@ Lines are told apart by 64-bit hashes.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import combinations
+from itertools import combinations, compress
 
 import numpy as np
 import pandas as pd
@@ -51,8 +51,10 @@ HOT = 20_000
 SURE = 64
 #: Parts into which a root's lines are dealt where they meet what is known of it.
 SALTS = 16
-#: Lines of up to so many shingles, and so many hashes, are packed into one matrix.
-PACK = 1 << 17
+#: Values that stay in a core's cache while they are worked on.
+NEAR = 1 << 15
+#: Bits of a character in the number of a shingle.
+BITS = 12
 #: Columns of a matrix of shingles at once.
 COLUMNS = 1024
 BITMAP = 1 << 26
@@ -80,20 +82,25 @@ def _hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     n, ends = max(0, len(data) - SHINGLE + 1), np.cumsum(sizes)
     h = np.zeros(len(data), np.uint32)
     h[:n] = data[:n]
-    for k in range(1, SHINGLE):
-        h[:n] *= np.uint32(0x9E3779B1)
-        h[:n] += data[k : k + n]
+    for lo in range(0, n, NEAR):
+        hi = min(n, lo + NEAR)
+        some = h[lo:hi]
+        for k in range(1, SHINGLE):
+            some *= np.uint32(0x9E3779B1)
+            some += data[lo + k : hi + k]
     for i in np.flatnonzero(sizes < SHINGLE).tolist():  # whole lines, told apart from shingles by their size
         h[ends[i] - sizes[i]] = xxhash.xxh32_intdigest(lines[i].encode())
     first = np.ones(len(data), bool)  # where a shingle, or a short line, begins
     for k in range(1, SHINGLE):
         first[(ends - k)[sizes > k]] = False
     h, counts = h[first], np.maximum(sizes - SHINGLE + 1, 1)
-    h ^= h >> np.uint32(15)
-    h *= np.uint32(0x85EBCA6B)
-    h ^= h >> np.uint32(13)
-    h *= np.uint32(0xC2B2AE35)
-    h ^= h >> np.uint32(16)
+    for lo in range(0, len(h), NEAR):
+        some = h[lo : lo + NEAR]
+        some ^= some >> np.uint32(15)
+        some *= np.uint32(0x85EBCA6B)
+        some ^= some >> np.uint32(13)
+        some *= np.uint32(0xC2B2AE35)
+        some ^= some >> np.uint32(16)
     return h, counts
 
 
@@ -101,24 +108,15 @@ _RANDOM = np.random.default_rng(11)
 _TIMES, _PLUS = _RANDOM.integers(0, 1 << 15, WIDTH, np.uint16) * np.uint16(2) + np.uint16(1), _RANDOM.integers(0, 1 << 16, WIDTH, np.uint16)
 
 
-def _many(h: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """MinHash with a permutation for each row, of lines of few distinct shingles, for which 16 bits of a hash do. Lines of about one size are packed into a matrix."""
+def _many(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """MinHash with a permutation for each row, of lines of few distinct shingles, for which 16 bits of a hash do."""
     h = (h >> np.uint32(16)).astype(np.uint16)
-    order = np.argsort(counts, kind="stable")
-    sizes, out, lo = counts[order], np.empty((len(counts), WIDTH), np.uint16), 0
-    while lo < len(order):
-        hi = int(np.searchsorted(sizes, sizes[lo] + max(16, sizes[lo] // 4), side="right"))
-        hi = min(hi, lo + max(1, PACK // int(sizes[hi - 1])))
-        at = order[lo:hi]
-        block = h[starts[at] + np.minimum(np.arange(sizes[hi - 1])[:, None], counts[at] - 1)]  # a line's last shingle fills its column
-        turned, least = np.empty_like(block), np.empty((WIDTH, len(at)), np.uint16)
-        for k in range(WIDTH):
-            np.multiply(block, _TIMES[k], out=turned)
-            np.add(turned, _PLUS[k], out=turned)
-            np.minimum.reduce(turned, axis=0, out=least[k])
-        out[at] = least.T
-        lo = hi
-    return out
+    starts, turned, least = np.cumsum(counts) - counts, np.empty_like(h), np.empty((WIDTH, len(counts)), np.uint16)
+    for k in range(WIDTH if len(counts) else 0):
+        np.multiply(h, _TIMES[k], out=turned)
+        np.add(turned, _PLUS[k], out=turned)
+        np.minimum.reduceat(turned, starts, out=least[k])
+    return np.ascontiguousarray(least.T)
 
 
 def _one(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -131,14 +129,13 @@ def _one(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
     none = np.uint32(0xFFFFFFFF)
     out = np.full(n * WIDTH, none, np.uint32)
     np.minimum.at(out, at, h * np.uint32(0x27D4EB2F))
-    out = out.reshape(-1, WIDTH)
-    for _ in range(WIDTH):
-        empty = np.flatnonzero((out == none).any(1))
-        if not len(empty):
-            break
-        part = out[empty]
-        out[empty] = np.where(part == none, np.roll(part, -1, axis=1), part)
-    return out
+    filled = out != none
+    empty, full, before = np.flatnonzero(~filled), np.flatnonzero(filled), np.cumsum(filled)
+    if len(full):
+        start = empty // WIDTH * WIDTH
+        later, first = full[np.minimum(before[empty], len(full) - 1)], full[np.minimum(before[start] - filled[start], len(full) - 1)]
+        out[empty] = out[np.where((later > empty) & (later < start + WIDTH), later, first)]  # after its last filled bin a line's first one comes
+    return out.reshape(-1, WIDTH)
 
 
 def signatures(lines: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -146,19 +143,20 @@ def signatures(lines: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     if not lines:
         return [(np.zeros(0, np.int64), np.zeros((0, WIDTH), np.uint32))] * 2
     h, counts = _hashes(lines)
-    starts = np.cumsum(counts) - counts
     seen = counts.copy()
     some = np.flatnonzero(counts >= LONG)  # others have fewer distinct ones for sure
+    own = h[np.repeat(counts >= LONG, counts)]
+    ends = np.append(0, np.cumsum(counts[some]))
     for lo in range(0, len(some), 4096):
         at = some[lo : lo + 4096]
         filled = np.zeros((len(at), COUNT), bool)
-        use = np.repeat(starts[at] - np.cumsum(counts[at]) + counts[at], counts[at]) + np.arange(counts[at].sum())
-        filled.reshape(-1)[np.repeat(np.arange(len(at)) * COUNT, counts[at]) + (h[use] >> np.uint32(23))] = True
+        filled.reshape(-1)[np.repeat(np.arange(len(at)) * COUNT, counts[at]) + (own[ends[lo] : ends[lo + len(at)]] >> np.uint32(23))] = True
         share = np.minimum(filled.mean(1), 1 - 0.5 / COUNT)
         seen[at] = np.floor(-COUNT * np.log1p(-share))
     short, long = np.flatnonzero(seen < SHORT), np.flatnonzero(seen >= LONG)
-    in_long = np.repeat(seen >= LONG, counts)
-    return [(short, _many(h, starts[short], counts[short])), (long, _one(h[in_long], counts[long]))]
+    if len(long) < len(some):
+        own = own[np.repeat(seen[some] >= LONG, counts[some])]
+    return [(short, _many(h[np.repeat(seen < SHORT, counts)], counts[short])), (long, _one(own, counts[long]))]
 
 
 def band_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -183,7 +181,13 @@ def sketches(lines: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
 
 def alike(sketch: np.ndarray, others: np.ndarray) -> np.ndarray:
     """Whether lines may reach the similarity, by their sketches of one kind."""
-    return (sketch == others).sum(1) >= SAME
+    same = np.zeros((len(others), -(-WIDTH // 8) * 8), bool)
+    np.equal(sketch, others, out=same[:, :WIDTH])
+    eights = same.view(np.uint64)  # bytes are counted eight at a time; no sum passes 255
+    total = eights[:, 0].copy()
+    for k in range(1, eights.shape[1]):
+        total += eights[:, k]
+    return (total * np.uint64(0x0101010101010101)) >> np.uint64(56) >= SAME
 
 
 def forest(n: int, near: Callable[[int, np.ndarray], np.ndarray], label: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -260,36 +264,91 @@ def joined(own: np.ndarray) -> list[tuple[int, int]]:
     return links
 
 
+def joined_small(own: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The same for many keys of few lines, whose sketches are ``sizes`` rows from each of ``starts`` on: (row, least row joined with it)."""
+    x, y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for n in np.unique(sizes).tolist():
+        i, j = np.triu_indices(n, 1)
+        at = starts[sizes == n]
+        for lo in range(0, len(at), max(1, NEAR // len(i))):
+            a, b = ((at[lo : lo + max(1, NEAR // len(i)), None] + k).ravel() for k in (i, j))
+            near = alike(own[a], own[b])
+            x.append(a[near])
+            y.append(b[near])
+    x, y, label = np.concatenate(x), np.concatenate(y), np.arange(len(own))
+    while (apart := label[x] != label[y]).any():
+        least = np.minimum(label[x], label[y])
+        np.minimum.at(label, x[apart], least[apart])
+        np.minimum.at(label, y[apart], least[apart])
+    row = np.flatnonzero(label != np.arange(len(own)))
+    return np.stack((row, label[row]), axis=1)
+
+
 def _sets(line: str, size: int = SHINGLE) -> set[str]:
     return {line[i : i + size] for i in range(len(line) - size + 1)} or {line}
 
 
-def similar(a: set[str], b: set[str], similarity: float) -> bool:
-    both = len(a & b) if min(len(a), len(b)) >= similarity * max(len(a), len(b)) - 1e-9 else 0
+def _codes(lines: list[str]) -> list[np.ndarray] | None:
+    """The set of each line as different numbers for different shingles, in order; none if the lines have too many characters for that."""
+    data = np.frombuffer("".join(lines).encode("utf-32-le"), "<u4")
+    if len(data) and data.max() + 1 >> BITS:
+        some, data = np.unique(data, return_inverse=True)
+        if len(some) >> BITS:
+            return None
+    data = data.astype(np.uint64) + np.uint64(1)  # no zero, so that a shorter line is no shingle
+    n = max(0, len(data) - SHINGLE + 1)
+    code = data[:n].copy()
+    for k in range(1, SHINGLE):
+        code <<= np.uint64(BITS)
+        code |= data[k : k + n]
+    out, lo = [], 0
+    for size in map(len, lines):
+        if size < SHINGLE:
+            out.append(np.array([sum(x << BITS * k for k, x in enumerate(data[lo : lo + size].tolist()))], np.uint64))
+        else:
+            own = np.sort(code[lo : lo + size - SHINGLE + 1])
+            new = np.ones(len(own), bool)
+            np.not_equal(own[1:], own[:-1], out=new[1:])
+            out.append(own[new])
+        lo += size
+    return out
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    both = np.sort(np.concatenate((a, b)))
+    return int(np.count_nonzero(both[1:] == both[:-1]))
+
+
+def similar(a: set[str] | np.ndarray, b: set[str] | np.ndarray, similarity: float) -> bool:
+    both = (len(a & b) if isinstance(a, set) else _common(a, b)) if min(len(a), len(b)) >= similarity * max(len(a), len(b)) - 1e-9 else 0
     return both >= similarity * (len(a) + len(b) - both) - 1e-9 and both > 0
 
 
-def intersections(sets: list[set[str]], rows: np.ndarray) -> np.ndarray:
+def intersections(sets: list[set[str]] | list[np.ndarray], rows: np.ndarray) -> np.ndarray:
     """How many shingles the sets of ``rows`` share with each set, exactly.
 
     Shingles of one set alone are left out, and those that the same sets have are
     one column of a matrix, weighted by their number: near copies have few columns.
     """
     ids: dict[str, int] = {}
-    flat = np.concatenate([np.fromiter((ids.setdefault(x, len(ids)) for x in own), np.int64, len(own)) for own in sets])
+    if isinstance(sets[0], set):
+        flat = np.concatenate([np.fromiter((ids.setdefault(x, len(ids)) for x in own), np.int64, len(own)) for own in sets])
+    else:
+        flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    n_ids = int(flat.max()) + 1
     owner = np.repeat(np.arange(len(sets)), [len(own) for own in sets])
     marks = np.random.default_rng(7).integers(0, 1 << 63, (2, len(sets)), np.uint64)
-    who = np.zeros((2, len(ids)), np.uint64)  # of 128 bits, that tell which sets have a shingle
+    who = np.zeros((2, n_ids), np.uint64)  # of 128 bits, that tell which sets have a shingle
     for k in (0, 1):
         np.add.at(who[k], flat, marks[k][owner])
     order = np.lexsort(who)
     new = np.concatenate(([True], (who[:, order[1:]] != who[:, order[:-1]]).any(0)))
-    column = np.empty(len(ids), np.int64)
+    column = np.empty(n_ids, np.int64)
     column[order] = np.cumsum(new) - 1
     weight = np.bincount(column).astype(np.float32)
-    first = np.zeros(len(ids), bool)
+    first = np.zeros(n_ids, bool)
     first[order[new]] = True
-    shared = first & (np.bincount(flat, minlength=len(ids)) > 1)
+    shared = first & (np.bincount(flat, minlength=n_ids) > 1)
     number = np.cumsum(shared) - 1
     use = shared[flat]
     at, owner, weight = number[flat[use]], owner[use], weight[column[shared]]
@@ -306,7 +365,7 @@ def intersections(sets: list[set[str]], rows: np.ndarray) -> np.ndarray:
 
 def links_within(lines: list[str], similarity: float = SIMILARITY, classes: np.ndarray | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the pairs of lines whose shingle sets reach the Jaccard similarity, by exact intersections. Lines of one class are joined already."""
-    n, sets = len(lines), [_sets(x) for x in lines]
+    n, sets = len(lines), _codes(lines) or [_sets(x) for x in lines]
     start = np.arange(n) if classes is None else np.unique(classes, return_inverse=True)[1]
     if n <= 8:
         label, links = start.tolist(), []
@@ -435,8 +494,14 @@ def _bitmap(lines: DataFrame) -> np.ndarray:
     return out
 
 
-def _picked(docs: DataFrame, wanted: DataFrame, make: Callable[[list[str]], dict[str, pa.Array]], schema: str) -> DataFrame:
-    """``line`` and what ``make`` tells of the wanted lines, each once; a few others pass the bitmap and do no harm."""
+def _set(words: np.ndarray, lines: np.ndarray) -> np.ndarray:
+    """Which lines have their bit in a bitmap."""
+    at = lines % BITMAP
+    return (words[at >> 5] >> (at & 31).astype(np.uint32) & 1).astype(bool)
+
+
+def sketches_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(line, kind, sketch) of the wanted lines, each once; a few others pass the bitmap and do no harm."""
     shared = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted))  # of fixed size
 
     @released
@@ -444,32 +509,15 @@ def _picked(docs: DataFrame, wanted: DataFrame, make: Callable[[list[str]], dict
         words = shared.value
         for texts in _slices(batches):
             found = _distinct_lines(texts)
-            at = np.fromiter(found, np.int64, len(found)) % BITMAP
-            use = words[at >> 5] >> (at & 31).astype(np.uint32) & 1
-            kept = [x for x, u in zip(found.items(), use.tolist(), strict=True) if u]
-            yield pa.RecordBatch.from_pydict({"line": pa.array([k for k, _ in kept], pa.int64()), **make([v for _, v in kept])})
-
-    return docs.select("text").mapInArrow(pick, f"line long, {schema}").distinct()  # a hash of whole rows, cheaper than a first value
-
-
-def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(line, text)"""
-    return _picked(docs, wanted, lambda lines: {"text": pa.array(lines, pa.string())}, "text string")
+            lines = np.fromiter(found, np.int64, len(found))
+            use = _set(words, lines)
+            lines = lines[use]
+            for kind, (at, rows) in enumerate(sketches(list(compress(found.values(), use.tolist())))):
+                ends = np.arange(len(at) + 1, dtype=np.int32) * np.int32(WIDTH)
+                sketch = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(rows)])
+                yield pa.RecordBatch.from_arrays([pa.array(lines[at]), pa.array(np.full(len(at), kind, np.int64)), sketch], names=["line", "kind", "sketch"])
 
-
-def sketches_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(line, sketch0, sketch1): the sketch of each kind, null if the line has none of it."""
-
-    def make(lines: list[str]) -> dict[str, pa.Array]:
-        out = {}
-        for kind, (at, rows) in enumerate(sketches(lines)):
-            own: list[bytes | None] = [None] * len(lines)
-            for i, r in zip(at.tolist(), rows, strict=True):
-                own[i] = r.tobytes()
-            out[f"sketch{kind}"] = pa.array(own, pa.binary())
-        return out
-
-    return _picked(docs, wanted, make, "sketch0 binary, sketch1 binary")
+    return docs.select("text").mapInArrow(pick, "line long, kind long, sketch binary").distinct()  # a hash of whole rows, cheaper than a first value
 
 
 def families(shared: DataFrame, marks: DataFrame, parts: int) -> DataFrame:
@@ -483,20 +531,18 @@ def families(shared: DataFrame, marks: DataFrame, parts: int) -> DataFrame:
     def close(group: pa.Table) -> pa.Table:
         keys, lines = group.column("key").to_numpy(), group.column("line").to_numpy()
         bits = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(len(lines), WIDTH)
-        order = np.argsort(keys, kind="stable")
+        order = np.lexsort((lines, keys))  # links to the least line are alike under all keys of a family
         keys, lines, bits = keys[order], lines[order], bits[order]
         starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
         sizes = np.diff(np.append(starts, len(keys)))
-        twos = starts[sizes == 2]
-        out = [np.stack((twos, twos + 1), axis=1)[alike(bits[twos], bits[twos + 1])]]
+        few = (sizes > 1) & (sizes <= SMALL)
         more: list[tuple[int, int]] = []
-        for lo, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+        for lo, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
             more += [(lo + x, lo + y) for x, y in joined(bits[lo : lo + n])]
-        at = np.concatenate([*out, np.array(more, np.int64).reshape(-1, 2)])
+        at = np.concatenate([joined_small(bits, starts[few], sizes[few]), np.array(more, np.int64).reshape(-1, 2)])
         return pa.table({"a": lines[at[:, 0]], "b": lines[at[:, 1]]})
 
-    sketch = F.when(F.col("key") % 2 == 0, F.col("sketch0")).otherwise(F.col("sketch1"))
-    rows = shared.join(marks, "line").select("key", "line", sketch.alias("sketch"))
+    rows = shared.join(marks, "line").where("kind + (key & 1L) != 1").select("key", "line", "sketch")  # an equal kind, said so that rows are sorted by one number
     hot = durable(shared.groupBy("key").count().where(F.col("count") > HOT).select("key"))
     if not hot.isEmpty():
         rows = durable(rows)
@@ -525,7 +571,8 @@ def verified(family: DataFrame, texts: DataFrame, parts: int, similarity: float)
     family, zero = family.select(F.col("node").alias("line"), "root"), F.lit(0).cast("long")
     alone = lambda rows: rows.join(texts, "line").select("line", "text", "root", zero.alias("i"), zero.alias("j"), F.col("line").alias("class"))
     if many.isEmpty():
-        return _checked(alone(family), parts, similarity)
+        return _checked(alone(family), parts, similarity)  # where a line that comes again counts once
+    texts = durable(texts.distinct())
     family = durable(_met(family, many, "root", "left"))  # texts join what is left of numbers
     small = alone(family.where("count is null"))
 
@@ -606,13 +653,26 @@ def _checked(rows: DataFrame, parts: int, similarity: float) -> DataFrame:
     return rows.withColumn("part", F.pmod(F.xxhash64("root", "i", "j"), F.lit(4 * parts))).groupBy("part").applyInArrow(check, "a long, b long")
 
 
-def line_components(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(node, root): line hashes that have near copies, and the component of each. ``docs`` has a column text."""
+def relatives(docs: DataFrame) -> DataFrame:
+    """(node, root): line hashes that may have near copies, and the family of each. ``docs`` has a column text."""
     parts = partitions(docs.sparkSession)
     shared = durable(members(docs, parts))
-    family = durable(families(shared, sketches_of(docs, shared), parts))
-    texts = durable(texts_of(docs, family.select(F.col("node").alias("line"))))
-    return components(verified(family, texts, parts, similarity), reduce=False)
+    return durable(families(shared, sketches_of(docs, shared), parts))
+
+
+def without(texts: pa.Array, gone: pa.Array) -> pa.Array:
+    """Texts without their lines of the given numbers."""
+    out = []
+    for part in slices(pa.RecordBatch.from_arrays([texts, gone], names=["text", "gone"]), 0, SLICE):
+        split, drop = pc.split_pattern(part.column(0), "\n"), part.column(1)
+        counts = pc.fill_null(pc.list_value_length(split), 0).to_numpy().astype(np.int64)
+        starts, dropped = np.cumsum(counts) - counts, pc.fill_null(pc.list_value_length(drop), 0).to_numpy()
+        kept = np.ones(counts.sum(), bool)
+        kept[np.repeat(starts, dropped) + drop.flatten().to_numpy()] = False
+        ends = np.append(0, np.cumsum(np.add.reduceat(np.append(kept, False), starts, dtype=np.int64) * (counts > 0)))
+        rest = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), split.flatten().filter(pa.array(kept)))
+        out.append(pc.if_else(part.column(0).is_null(), None, pc.binary_join(rest, "\n")))
+    return pa.chunked_array(out, pa.string()).combine_chunks()
 
 
 def deduplicate(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -628,10 +688,12 @@ def deduplicate(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "
     docs = docs.drop("n_lines", "n_removed")
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = plain.schema["id"].dataType.simpleString()
-    roots = line_components(plain, similarity)
+    family = relatives(plain)
+    wanted = docs.sparkSession.sparkContext.broadcast(_bitmap(family.select(F.col("node").alias("line"))))  # of fixed size
 
     @released
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = wanted.value
         for batch in batches:
             for part in slices(batch, 2, SLICE):
                 counts, found = _split(part.column(2))
@@ -640,10 +702,18 @@ def deduplicate(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "
                 use = np.array([bool(x) and not x.isspace() for x in distinct], bool)[of]
                 row = pa.array(np.repeat(np.arange(len(counts)), counts)[use])
                 at = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(row), part.column(1).take(row), pa.array(at[use]), pa.array(hashes[of[use]])], names=["id", "row", "at", "node"])
+                of = of[use]
+                told = np.full(len(of), -1, np.int32)  # a family's line has its text at its first place in the slice
+                first = np.unique(of, return_index=True)[1]
+                first = first[_set(words, hashes[of[first]])]
+                told[first] = of[first]
+                text = found.dictionary.take(pa.array(told, mask=told < 0))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(row), part.column(1).take(row), pa.array(at[use]), pa.array(hashes[of]), text], names=["id", "row", "at", "node", "text"])
 
     row_key = F.xxhash64(F.lit("row"), F.col(id_col), F.col(text_col))
-    place = durable(docs.select(F.col(id_col).alias("id"), row_key.alias("row"), F.col(text_col).alias("text")).mapInArrow(places, f"id {kind}, row long, at long, node long"))
+    place = durable(docs.select(F.col(id_col).alias("id"), row_key.alias("row"), F.col(text_col).alias("text")).mapInArrow(places, f"id {kind}, row long, at long, node long, text string"))
+    texts = place.where("text is not null").select(F.col("node").alias("line"), "text")
+    roots = components(verified(family, texts, partitions(docs.sparkSession), similarity), reduce=False)
     # only lines with several places, or in a component, can go; of each component the first place stays
     often = place.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node")
     labels = often.join(roots, "node", "full").select("node", F.coalesce("root", "node").alias("label"))
@@ -654,16 +724,10 @@ def deduplicate(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "
     gone = gone.groupBy("row").agg(F.collect_set("at").alias(lost)).withColumnRenamed("row", key)
     joined = docs.withColumn(key, row_key).join(gone.hint("shuffle_hash"), key, "left")  # texts are not sorted for it
 
-    @F.pandas_udf("string")
-    def keep(texts: pd.Series, gone: pd.Series) -> pd.Series:
-        rest = []
-        for text, drop in zip(texts, gone, strict=True):
-            drop = set(drop.tolist()) if text is not None else ()
-            rest.append(text and "\n".join([x for k, x in enumerate(lines_of(text)) if k not in drop]))
-        return pd.Series(rest, dtype=object)
+    keep = F.arrow_udf(without, "string")
 
     text, hit = F.col(text_col), F.col(lost).isNotNull()
     done = joined.withColumn(out, keep(F.when(hit, text), F.col(lost)))
-    count = F.when(text.isNull(), 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
+    count = F.when(text.isNull(), 0).otherwise(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
     removed = F.when(hit, F.size(lost)).otherwise(0).cast("long")
     return done.select(*[F.when(hit, F.col(out)).otherwise(text).alias(c) if c == text_col else F.col(c) for c in docs.columns], count.alias("n_lines"), removed.alias("n_removed"))
